@@ -161,3 +161,220 @@ def D(expr: str) -> str:
 
 def I(expr: str) -> str:
     return f"CAST({expr} AS BIGINT)"
+
+
+def mode_sql(src: str, key: str, col: str, out: str) -> str:
+    """Most-frequent value per key; a tie at the top returns the smallest of all values."""
+    return f"""
+        SELECT {key}, CASE WHEN n_top > 1 THEN min_all ELSE top_value END AS {out} FROM (
+          SELECT {key}, count(*) FILTER (WHERE n = max_n) AS n_top, min(v) AS min_all,
+                 min(v) FILTER (WHERE n = max_n) AS top_value
+          FROM (SELECT {key}, v, n, max(n) OVER (PARTITION BY {key}) AS max_n
+                FROM (SELECT {key}, {col} AS v, count(*) AS n FROM {src}
+                      WHERE {col} IS NOT NULL GROUP BY 1, 2))
+          GROUP BY {key})"""
+
+
+# Fact-table fragments (shared CTE library for the fact and analysis oracles).
+STANDINS.update({
+    "v_order_item_fact": (["v_item_values"], """
+        SELECT order_id, count(DISTINCT product_id) AS distinct_products,
+               sum(quantity) AS total_quantity, sum(gross_item_value) AS gross_revenue,
+               sum(coalesce(discount_amount, 0.0)) AS total_discount_amount,
+               sum(net_item_value) AS net_revenue, sum(item_cogs) AS total_cogs,
+               sum(net_item_value) - sum(item_cogs) AS gross_margin
+        FROM v_item_values GROUP BY order_id"""),
+    "v_order_level": (["v_orders", "v_order_item_fact", "v_payments", "v_shipments"], """
+        SELECT o.*, f.distinct_products, f.total_quantity, f.gross_revenue, f.total_discount_amount,
+               f.net_revenue, f.total_cogs, f.gross_margin,
+               p.payment_method AS payment_method_payment, p.payment_value, p.installments,
+               s.ship_date, s.delivery_date, s.shipping_fee,
+               coalesce(p.payment_method, o.payment_method) AS payment_method_recorded
+        FROM v_orders o LEFT JOIN v_order_item_fact f USING (order_id)
+        LEFT JOIN v_payments p USING (order_id) LEFT JOIN v_shipments s USING (order_id)"""),
+    "v_order_returns": (["v_returns"], """
+        SELECT order_id, count(DISTINCT return_id) AS return_records_count,
+               count(DISTINCT product_id) AS returned_products_count,
+               sum(return_quantity) AS returned_units_count, sum(refund_amount) AS total_refund_amount,
+               min(return_date) AS first_return_date, max(return_date) AS last_return_date
+        FROM v_returns GROUP BY order_id"""),
+    "v_order_reviews": (["v_reviews"], """
+        SELECT order_id, count(DISTINCT review_id) AS reviews_count,
+               count(DISTINCT product_id) AS reviewed_products_count, avg(rating) AS avg_review_rating,
+               min(review_date) AS first_review_date, max(review_date) AS latest_review_date
+        FROM v_reviews GROUP BY order_id"""),
+    "v_order_fact": (["v_order_level", "v_order_returns", "v_order_reviews"], """
+        SELECT l.order_id, l.order_date, CAST(date_trunc('month', l.order_date) AS DATE) AS order_month,
+               l.customer_id, l.zip, l.order_status, l.payment_method_recorded, l.device_type, l.order_source,
+               l.distinct_products, l.total_quantity, l.gross_revenue AS total_order_value,
+               l.total_discount_amount, l.net_revenue, l.payment_value AS net_revenue_proxy,
+               l.payment_value - l.net_revenue AS payment_gap_vs_net_revenue, l.total_cogs, l.gross_margin,
+               l.total_discount_amount / nullif(l.gross_revenue, 0) AS discount_rate,
+               l.gross_margin / nullif(l.net_revenue, 0) AS gross_margin_rate,
+               l.payment_value, l.installments, l.ship_date, l.delivery_date, l.shipping_fee,
+               date_diff('day', l.order_date, l.ship_date) AS ship_lead_time_days,
+               date_diff('day', l.order_date, l.delivery_date) AS delivery_lead_time_days,
+               CAST(coalesce(r.return_records_count, 0) AS BIGINT) AS return_records_count,
+               CAST(coalesce(r.returned_products_count, 0) AS BIGINT) AS returned_products_count,
+               CAST(coalesce(r.returned_units_count, 0) AS BIGINT) AS returned_units_count,
+               r.total_refund_amount, r.first_return_date, r.last_return_date,
+               date_diff('day', l.order_date, r.first_return_date) AS days_to_first_return,
+               r.total_refund_amount / nullif(l.net_revenue, 0) AS refund_to_revenue_ratio,
+               CAST(coalesce(v.reviews_count, 0) AS BIGINT) AS reviews_count,
+               CAST(coalesce(v.reviewed_products_count, 0) AS BIGINT) AS reviewed_products_count,
+               v.avg_review_rating, v.first_review_date, v.latest_review_date,
+               date_diff('day', l.order_date, v.first_review_date) AS days_to_first_review
+        FROM v_order_level l LEFT JOIN v_order_returns r USING (order_id)
+        LEFT JOIN v_order_reviews v USING (order_id)"""),
+    "v_customer_order_dates": (["v_orders_slim"], """
+        SELECT customer_id, max(order_date) FILTER (WHERE rk = 1) AS first_order_date,
+               max(order_date) FILTER (WHERE rk = 2) AS second_order_date
+        FROM (SELECT customer_id, order_date,
+                     row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS rk
+              FROM v_orders_slim) GROUP BY customer_id"""),
+    "v_customer_items": (["v_order_items", "v_orders_slim"], """
+        SELECT o.customer_id, count(DISTINCT i.product_id) AS distinct_products_count,
+               sum(i.quantity) AS total_quantity
+        FROM v_order_items i LEFT JOIN v_orders_slim o USING (order_id) GROUP BY o.customer_id"""),
+    "v_mode_pay": (["v_order_level"], mode_sql("v_order_level", "customer_id", "payment_method_recorded",
+                                               "preferred_payment_method")),
+    "v_mode_dev": (["v_order_level"], mode_sql("v_order_level", "customer_id", "device_type",
+                                               "preferred_device_type")),
+    "v_mode_src": (["v_order_level"], mode_sql("v_order_level", "customer_id", "order_source",
+                                               "preferred_order_source")),
+    "v_customer_orders": (["v_order_level", "v_mode_pay", "v_mode_dev", "v_mode_src"], """
+        SELECT a.*, mp.preferred_payment_method, md.preferred_device_type, ms.preferred_order_source
+        FROM (SELECT customer_id, max(order_date) AS last_order_date,
+                     count(DISTINCT order_id) AS orders_count,
+                     count(*) FILTER (WHERE order_status = 'delivered') AS delivered_orders_count,
+                     count(*) FILTER (WHERE order_status = 'returned') AS returned_orders_count,
+                     count(*) FILTER (WHERE order_status = 'cancelled') AS cancelled_orders_count,
+                     count(ship_date) AS shipped_orders_count,
+                     coalesce(sum(gross_revenue), 0) AS gross_revenue,
+                     coalesce(sum(total_discount_amount), 0) AS total_discount_amount,
+                     coalesce(sum(net_revenue), 0) AS net_revenue,
+                     coalesce(sum(total_cogs), 0) AS total_cogs,
+                     coalesce(sum(gross_margin), 0) AS gross_margin,
+                     coalesce(sum(payment_value), 0) AS total_payment_value,
+                     avg(installments) AS avg_payment_installments,
+                     coalesce(sum(shipping_fee), 0) AS total_shipping_fee,
+                     avg(net_revenue) AS avg_order_value, avg(total_quantity) AS avg_items_per_order
+              FROM v_order_level GROUP BY customer_id) a
+        LEFT JOIN v_mode_pay mp USING (customer_id) LEFT JOIN v_mode_dev md USING (customer_id)
+        LEFT JOIN v_mode_src ms USING (customer_id)"""),
+    "v_customer_returns": (["v_returns", "v_orders_slim"], """
+        SELECT o.customer_id, sum(recs) AS return_records_count, sum(units) AS returned_units_count,
+               sum(refund) AS total_refund_amount, max(latest) AS last_return_date
+        FROM (SELECT order_id, count(DISTINCT return_id) AS recs, sum(return_quantity) AS units,
+                     sum(refund_amount) AS refund, max(return_date) AS latest
+              FROM v_returns GROUP BY order_id) r
+        LEFT JOIN v_orders_slim o USING (order_id) GROUP BY o.customer_id"""),
+    "v_customer_reviews": (["v_reviews"], """
+        SELECT customer_id, count(DISTINCT review_id) AS reviews_count, avg(rating) AS avg_review_rating,
+               max(review_date) AS latest_review_date
+        FROM v_reviews GROUP BY customer_id"""),
+    "v_customer_fact": (["v_customers", "v_customer_order_dates", "v_customer_orders", "v_customer_items",
+                         "v_customer_returns", "v_customer_reviews", "v_orders_slim"], """
+        SELECT c.customer_id, c.zip, c.city, c.signup_date, c.gender, c.age_group, c.acquisition_channel,
+               d.first_order_date, d.second_order_date, o.last_order_date,
+               date_diff('day', d.first_order_date, o.last_order_date) AS customer_tenure_days,
+               date_diff('day', o.last_order_date, e.analysis_end) AS days_since_last_order,
+               date_diff('day', c.signup_date, d.first_order_date) AS days_from_signup_to_first_order,
+               date_diff('day', d.first_order_date, d.second_order_date) AS days_to_second_order,
+               o.orders_count, o.delivered_orders_count, o.returned_orders_count, o.cancelled_orders_count,
+               o.shipped_orders_count, i.distinct_products_count, i.total_quantity,
+               o.gross_revenue AS total_order_value, o.total_discount_amount, o.net_revenue,
+               o.total_payment_value AS net_revenue_proxy,
+               o.total_payment_value - o.net_revenue AS payment_gap_vs_net_revenue,
+               o.total_cogs, o.gross_margin, o.total_payment_value, o.avg_payment_installments,
+               o.total_shipping_fee, o.avg_order_value, o.avg_items_per_order,
+               o.preferred_payment_method, o.preferred_device_type, o.preferred_order_source,
+               r.return_records_count, r.returned_units_count, r.total_refund_amount, r.last_return_date,
+               CAST(o.returned_orders_count AS DOUBLE) / nullif(CAST(o.orders_count AS DOUBLE), 0) AS return_rate_orders,
+               r.total_refund_amount / nullif(o.net_revenue, 0) AS refund_to_revenue_ratio,
+               CAST(coalesce(v.reviews_count, 0) AS BIGINT) AS reviews_count, v.avg_review_rating,
+               v.latest_review_date,
+               CAST(coalesce(v.reviews_count, 0) AS DOUBLE) / nullif(CAST(o.orders_count AS DOUBLE), 0) AS review_rate_orders
+        FROM v_customers c
+        LEFT JOIN v_customer_order_dates d USING (customer_id)
+        LEFT JOIN v_customer_orders o USING (customer_id)
+        LEFT JOIN v_customer_items i USING (customer_id)
+        LEFT JOIN v_customer_returns r USING (customer_id)
+        LEFT JOIN v_customer_reviews v USING (customer_id)
+        CROSS JOIN (SELECT max(order_date) AS analysis_end FROM v_orders_slim) e"""),
+    "v_cohort_activity": (["v_order_fact", "v_customer_fact"], """
+        SELECT customer_id, first_order_cohort_month, signup_cohort_month, order_month,
+               (year(order_month) - year(first_order_cohort_month)) * 12
+                 + (month(order_month) - month(first_order_cohort_month)) AS cohort_index,
+               acquisition_channel, count(DISTINCT order_id) AS orders_count,
+               coalesce(sum(total_order_value), 0) AS total_order_value,
+               coalesce(sum(net_revenue), 0) AS net_revenue,
+               coalesce(sum(net_revenue_proxy), 0) AS net_revenue_proxy,
+               coalesce(sum(gross_margin), 0) AS gross_margin, 1 AS active_month_flag,
+               coalesce(sum(net_revenue_proxy), 0) - coalesce(sum(net_revenue), 0) AS payment_gap_vs_net_revenue
+        FROM (SELECT f.customer_id, f.order_id, f.order_month, f.total_order_value, f.net_revenue,
+                     f.net_revenue_proxy, f.gross_margin, c.acquisition_channel,
+                     CAST(date_trunc('month', c.first_order_date) AS DATE) AS first_order_cohort_month,
+                     CAST(date_trunc('month', c.signup_date) AS DATE) AS signup_cohort_month
+              FROM v_order_fact f LEFT JOIN v_customer_fact c USING (customer_id))
+        GROUP BY ALL"""),
+    "v_activation": (["v_customer_fact"], """
+        SELECT customer_id, signup_date, CAST(date_trunc('month', signup_date) AS DATE) AS signup_cohort_month,
+               first_order_date, second_order_date,
+               CAST(date_trunc('month', first_order_date) AS DATE) AS activation_month,
+               (year(first_order_date) - year(signup_date)) * 12
+                 + (month(first_order_date) - month(signup_date)) AS months_to_activation,
+               days_from_signup_to_first_order AS days_signup_to_first_order,
+               CASE WHEN days_from_signup_to_first_order >= 0 THEN 1 ELSE 0 END AS signup_before_first_order_flag,
+               CASE WHEN first_order_date IS NOT NULL THEN 1 ELSE 0 END AS activated_flag,
+               CASE WHEN second_order_date IS NOT NULL THEN 1 ELSE 0 END AS repeat_order_flag,
+               CAST(coalesce(orders_count, 0) AS BIGINT) AS num_orders, acquisition_channel, net_revenue
+        FROM v_customer_fact"""),
+    "v_inventory_fact": (["v_inventory"], """
+        SELECT product_id, snapshot_date, CAST(date_trunc('month', snapshot_date) AS DATE) AS snapshot_month,
+               year, month, product_name, category, segment, stock_on_hand, units_received, units_sold,
+               units_received - units_sold AS net_units_change, stock_on_hand + units_sold AS available_units,
+               stockout_days,
+               CAST(stockout_days AS DOUBLE) / nullif(CAST(day(last_day(snapshot_date)) AS DOUBLE), 0) AS stockout_rate_days,
+               days_of_supply, fill_rate, sell_through_rate, stockout_flag, overstock_flag, reorder_flag
+        FROM v_inventory"""),
+})
+
+
+# Column-name -> output class for the SQL finalisation (twin of ``finalize``,
+# which is type-driven on the Spark side; the harness checks both agree).
+DATE_COLS = set("""order_date order_month ship_date delivery_date first_return_date last_return_date
+first_review_date latest_review_date signup_date first_order_date second_order_date last_order_date
+first_order_cohort_month signup_cohort_month activation_month snapshot_date snapshot_month Date date
+cohort_date month_start cohort_month return_date review_date start_date end_date""".split())
+DOUBLE_COLS = set("""total_order_value total_discount_amount net_revenue net_revenue_proxy
+payment_gap_vs_net_revenue total_cogs gross_margin discount_rate gross_margin_rate payment_value
+shipping_fee total_refund_amount refund_to_revenue_ratio avg_review_rating total_payment_value
+avg_payment_installments total_shipping_fee avg_order_value avg_items_per_order return_rate_orders
+review_rate_orders stockout_rate_days days_of_supply fill_rate sell_through_rate gross_revenue discount
+item_cogs revenue cogs Revenue COGS""".split())
+INT_COLS = set("""distinct_products total_quantity installments ship_lead_time_days
+delivery_lead_time_days return_records_count returned_products_count returned_units_count
+days_to_first_return reviews_count reviewed_products_count days_to_first_review customer_tenure_days
+days_since_last_order days_from_signup_to_first_order days_to_second_order orders_count
+delivered_orders_count returned_orders_count cancelled_orders_count shipped_orders_count
+distinct_products_count cohort_index active_month_flag months_to_activation days_signup_to_first_order
+signup_before_first_order_flag activated_flag repeat_order_flag num_orders year month
+stock_on_hand units_received units_sold net_units_change available_units stockout_days stockout_flag
+overstock_flag reorder_flag items rows unique_key duplicate_key_rows records_with_activity
+records_without_activity""".split())
+
+
+def select_final(view: str, cols: list[str], where: str = "", dates=(), doubles=(), ints=()) -> str:
+    """SELECT list applying D / R / I per column name (twin of ``finalize``)."""
+    parts = []
+    for c in cols:
+        if c in DATE_COLS or c in dates:
+            parts.append(f"{D(c)} AS {c}")
+        elif c in DOUBLE_COLS or c in doubles:
+            parts.append(f"{R(c)} AS {c}")
+        elif c in INT_COLS or c in ints:
+            parts.append(f"{I(c)} AS {c}")
+        else:
+            parts.append(c)
+    return f"SELECT {', '.join(parts)} FROM {view} {where}"
