@@ -109,7 +109,8 @@ STANDINS: dict[str, tuple[list[str], str]] = {
                 FROM v_inventory_base) b
           LEFT JOIN part p ON b.product_id = p.p_partkey)"""),
     "v_sales": (["v_item_values", "v_orders_slim"], """
-        SELECT s.Date, coalesce(d.Revenue, 0.0) AS Revenue, coalesce(d.COGS, 0.0) AS COGS
+        SELECT s.Date, CAST(round(CAST(coalesce(d.Revenue, 0.0) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS Revenue,
+               CAST(round(CAST(coalesce(d.COGS, 0.0) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS COGS
         FROM (SELECT CAST(unnest(generate_series(min(order_date), max(order_date), INTERVAL 1 DAY)) AS DATE) AS Date
               FROM v_orders_slim) s
         LEFT JOIN (SELECT o.order_date AS Date, sum(i.net_item_value) AS Revenue, sum(i.item_cogs) AS COGS
@@ -378,3 +379,45 @@ def select_final(view: str, cols: list[str], where: str = "", dates=(), doubles=
         else:
             parts.append(c)
     return f"SELECT {', '.join(parts)} FROM {view} {where}"
+
+
+STANDINS.update({
+    "v_orev": (["v_orders", "v_item_values"], """
+        SELECT o.*, a.items, a.gross_revenue, a.discount, a.net_revenue, a.item_cogs
+        FROM v_orders o LEFT JOIN (
+          SELECT order_id, sum(quantity) AS items, sum(gross_item_value) AS gross_revenue,
+                 coalesce(sum(discount_amount), 0.0) AS discount, sum(net_item_value) AS net_revenue,
+                 sum(item_cogs) AS item_cogs FROM v_item_values GROUP BY order_id) a USING (order_id)"""),
+    "v_rev_seasonality": (["v_orev"], """
+        SELECT year(order_date) AS year, month(order_date) AS month, strftime(order_date, '%b') AS month_name,
+               count(DISTINCT order_id) AS orders, coalesce(sum(net_revenue), 0.0) AS revenue,
+               coalesce(sum(item_cogs), 0.0) AS cogs,
+               coalesce(sum(net_revenue), 0.0) - coalesce(sum(item_cogs), 0.0) AS gross_margin
+        FROM v_orev GROUP BY 1, 2, 3"""),
+    "v_prod_seasonality": (["v_item_values", "v_orders_slim"], """
+        SELECT year(o.order_date) AS year, month(o.order_date) AS month,
+               strftime(o.order_date, '%b') AS month_name, i.category, i.segment,
+               sum(i.quantity) AS quantity, sum(i.net_item_value) AS revenue, sum(i.item_cogs) AS cogs,
+               sum(i.net_item_value) - sum(i.item_cogs) AS gross_margin
+        FROM v_item_values i LEFT JOIN v_orders_slim o USING (order_id) GROUP BY ALL"""),
+    "v_cohorts": (["v_customers"], """
+        SELECT cohort_date, new_customers, year(cohort_date) AS signup_year,
+               sum(new_customers) OVER (ORDER BY cohort_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 AS cumulative_customers
+        FROM (SELECT CAST(date_trunc('month', signup_date) AS DATE) AS cohort_date,
+                     count(DISTINCT customer_id) AS new_customers
+              FROM v_customers WHERE signup_date IS NOT NULL GROUP BY 1)"""),
+})
+DOUBLE_COLS.update("""gross_margin avg_revenue median_revenue avg_orders avg_gross_margin avg_quantity
+mean_bounce_rate promo_usage_percent avg_orders_per_customer estimated_region_revenue return_rate
+mean_payment_value gross_margin_ratio yoy_new_customer_change_pct refund_amount payment_value_sum
+avg_installments avg_stockout_days avg_fill_rate median_fill_rate avg_days_of_supply median_days_of_supply
+avg_sell_through_rate avg_stock_on_hand stockout_product_month_rate overstock_product_month_rate
+reorder_product_month_rate stockout_days_per_product_month lost_unit_sold_proxy units_weighted_avg_fill_rate
+estimated_unconstrained_units lost_unit_sold_proxy_share unit_weighted_fill_rate unit_share lost_unit_share
+units_ratio_to_next median_inter_order_gap_days shipping_fee""".split())
+INT_COLS.update("""quantity orders new_customers signup_year cumulative_customers customers returns promo_rows total_rows
+total_orders total_customers cancelled_orders return_rows item_rows returned_units payment_rows
+product_month_rows unique_products stockout_product_months overstock_product_months reorder_product_months
+total_stockout_days total_units_received total_units_sold gaps ship_lag_days delivery_lag_days
+units_rank""".split())

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kartlane.functions.exprs import r4
 from kartlane.sources.inline import promotions_schedule
 
 # Fixed label lists used to derive categorical stand-in columns.
@@ -241,9 +242,10 @@ def sales(cat) -> DataFrame:
              .groupBy(F.col("order_date").alias("Date"))
              .agg(F.sum("net_item_value").alias("Revenue"), F.sum("item_cogs").alias("COGS")))
     spine = date_spine(o, "order_date", "Date")
+    # stored like the source CSV: money at fixed decimals, so equal days compare equal
     return (spine.join(daily, "Date", "left")
-            .select("Date", F.coalesce("Revenue", F.lit(0.0)).alias("Revenue"),
-                    F.coalesce("COGS", F.lit(0.0)).alias("COGS")))
+            .select("Date", r4(F.coalesce("Revenue", F.lit(0.0))).alias("Revenue"),
+                    r4(F.coalesce("COGS", F.lit(0.0))).alias("COGS")))
 
 
 def sales_panel(cat, by: str = "segment") -> DataFrame:
@@ -268,8 +270,8 @@ def sales_panel(cat, by: str = "segment") -> DataFrame:
              .agg(F.sum("net_item_value").alias("Revenue"), F.sum("item_cogs").alias("COGS")))
     spine = date_spine(o, "order_date", "Date").crossJoin(F.broadcast(key.select("series_id").distinct()))
     return (spine.join(daily, ["series_id", "Date"], "left")
-            .select("series_id", "Date", F.coalesce("Revenue", F.lit(0.0)).alias("Revenue"),
-                    F.coalesce("COGS", F.lit(0.0)).alias("COGS")))
+            .select("series_id", "Date", r4(F.coalesce("Revenue", F.lit(0.0))).alias("Revenue"),
+                    r4(F.coalesce("COGS", F.lit(0.0))).alias("COGS")))
 
 
 def sample_submission(cat) -> DataFrame:
