@@ -131,8 +131,13 @@ STANDINS: dict[str, tuple[list[str], str]] = {
 }
 
 
-def with_views(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs it needs, dependencies first."""
+def with_views(body: str, *names: str, overrides: dict[str, str] | None = None) -> str:
+    """Prefix ``body`` with the CTEs it needs, dependencies first.
+
+    ``overrides`` swaps the body of a stand-in (e.g. a filtered orders table)
+    for every CTE built on it.
+    """
+    overrides = overrides or {}
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -146,7 +151,7 @@ def with_views(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS ({STANDINS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({overrides.get(n, STANDINS[n][1])})" for n in order)
     return f"WITH {ctes}\n{body}"
 
 

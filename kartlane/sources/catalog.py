@@ -105,6 +105,13 @@ class Catalog:
         self._tables[name] = df
         return df
 
+    def derive(self, overrides: dict[str, DataFrame]) -> "Catalog":
+        """A catalog whose named tables are replaced; everything built on them
+        (facts, series) is rebuilt lazily from the replacements."""
+        child = Catalog(self.spark, self.sf_dir, overrides)
+        child._raw = self._raw
+        return child
+
     def load_all(self) -> dict[str, DataFrame]:
         """``load_all_tables``: every retail table as a lazy frame + temp view."""
         out = {}
