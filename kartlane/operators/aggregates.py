@@ -80,16 +80,17 @@ def histogram(df: DataFrame, c: str, bins: int, keys: list[str] | None = None,
               density: bool = False) -> DataFrame:
     """Fixed-width bins between the (per-group) min and max.
 
-    ``width_bucket`` puts the maximum in bin n+1; ``least`` folds it into n
-    like numpy.  Output: keys, bin (1..n), lo, hi, count [, density].
+    Like ``width_bucket``, the maximum lands in bin n+1; ``least`` folds it
+    into n as numpy does.  Output: keys, bin (1..n), lo, hi, count [, density].
     """
     keys = keys or []
     x = F.col(c).cast("double")
     bounds = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     j = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull())
     j = j.join(bounds, keys, "inner") if keys else j.crossJoin(F.broadcast(bounds))
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
-        F.least(F.width_bucket("_x", "_lo", "_hi", F.lit(bins)), F.lit(bins)))
+    # bin = floor(n * (x - lo) / (hi - lo)) + 1, the maximum folded into bin n
+    raw = F.floor(F.lit(float(bins)) * (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1
+    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(F.least(raw, F.lit(bins)))
     counted = (j.groupBy(*keys, b.alias("bin"), "_lo", "_hi")
                .agg(F.count(F.lit(1)).alias("count")))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))

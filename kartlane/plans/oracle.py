@@ -426,3 +426,25 @@ total_orders total_customers cancelled_orders return_rows item_rows returned_uni
 product_month_rows unique_products stockout_product_months overstock_product_months reorder_product_months
 total_stockout_days total_units_received total_units_sold gaps ship_lag_days delivery_lag_days
 units_rank""".split())
+
+
+def hist_sql(src: str, x: str, bins: int, keys: list[str], density: bool = False) -> str:
+    """SQL twin of ``aggregates.histogram``."""
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    dens = ""
+    if density:
+        part = f"PARTITION BY {k}" if keys else ""
+        dens = (f", {R(f'CAST(cnt AS DOUBLE) / nullif(CAST(sum(cnt) OVER ({part}) AS DOUBLE) * (hi - lo), 0)')}"
+                " AS density")
+    return f"""
+    SELECT {kc}bin, {R('lo')} AS lo, {R('hi')} AS hi, cnt AS count{dens} FROM (
+      SELECT {kc}bin, _lo + CAST(bin - 1 AS DOUBLE) * ((_hi - _lo) / {float(bins)!r}) AS lo,
+             _lo + CAST(bin AS DOUBLE) * ((_hi - _lo) / {float(bins)!r}) AS hi, count(*) AS cnt
+      FROM (SELECT {kc}_lo, _hi,
+                   CAST(CASE WHEN _hi = _lo THEN 1
+                        ELSE least(floor({float(bins)!r} * (_x - _lo) / (_hi - _lo)) + 1, {bins}) END AS BIGINT) AS bin
+            FROM (SELECT {kc}CAST({x} AS DOUBLE) AS _x FROM {src} WHERE {x} IS NOT NULL) a
+            {'JOIN' if keys else 'CROSS JOIN'} (SELECT {kc}min(CAST({x} AS DOUBLE)) AS _lo, max(CAST({x} AS DOUBLE)) AS _hi
+                  FROM {src} {('GROUP BY ' + k) if keys else ''}) b {('USING (' + k + ')') if keys else ''})
+      GROUP BY ALL)"""
