@@ -448,3 +448,27 @@ def hist_sql(src: str, x: str, bins: int, keys: list[str], density: bool = False
             {'JOIN' if keys else 'CROSS JOIN'} (SELECT {kc}min(CAST({x} AS DOUBLE)) AS _lo, max(CAST({x} AS DOUBLE)) AS _hi
                   FROM {src} {('GROUP BY ' + k) if keys else ''}) b {('USING (' + k + ')') if keys else ''})
       GROUP BY ALL)"""
+
+
+STANDINS.update({
+    "v_sales_panel": (["v_item_values", "v_orders_slim"], """
+        SELECT s.series_id, s.Date,
+               CAST(round(CAST(coalesce(d.Revenue, 0.0) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS Revenue,
+               CAST(round(CAST(coalesce(d.COGS, 0.0) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS COGS
+        FROM (SELECT k.series_id, c.Date FROM
+                (SELECT CAST(unnest(generate_series(min(order_date), max(order_date), INTERVAL 1 DAY)) AS DATE) AS Date
+                 FROM v_orders_slim) c
+                CROSS JOIN (SELECT DISTINCT c_mktsegment AS series_id FROM customer) k) s
+        LEFT JOIN (SELECT cu.c_mktsegment AS series_id, o.order_date AS Date, sum(i.net_item_value) AS Revenue,
+                          sum(i.item_cogs) AS COGS
+                   FROM v_item_values i JOIN v_orders_slim o USING (order_id)
+                   JOIN customer cu ON o.customer_id = cu.c_custkey GROUP BY 1, 2) d USING (series_id, Date)"""),
+    "v_panel_long": (["v_sales_panel"], """
+        SELECT series_id, 'Revenue' AS target, Date, Revenue AS y FROM v_sales_panel
+        UNION ALL SELECT series_id, 'COGS', Date, COGS FROM v_sales_panel"""),
+    "v_tet": ([], "SELECT CAST(d AS DATE) AS tet_date FROM (VALUES " + ", ".join(
+        f"('{v}')" for v in ["1994-02-10", "1995-01-31", "1996-02-19", "1997-02-07", "1998-01-28", "1999-02-16",
+                             "2000-02-05", "2001-01-24", "2002-02-12", "2003-02-01", "2013-02-10", "2014-01-31",
+                             "2015-02-19", "2016-02-08", "2017-01-28", "2018-02-16", "2019-02-05", "2020-01-25",
+                             "2021-02-12", "2022-02-01", "2023-01-22", "2024-02-10"]) + ") t(d)"),
+})

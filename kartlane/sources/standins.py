@@ -268,7 +268,8 @@ def sales_panel(cat, by: str = "segment") -> DataFrame:
     daily = (iv.join(o, "order_id", "inner").join(key, "customer_id", "inner")
              .groupBy("series_id", F.col("order_date").alias("Date"))
              .agg(F.sum("net_item_value").alias("Revenue"), F.sum("item_cogs").alias("COGS")))
-    spine = date_spine(o, "order_date", "Date").crossJoin(F.broadcast(key.select("series_id").distinct()))
+    # series keys come from the data: no broadcast hint, AQE sizes the cross join at run time
+    spine = date_spine(o, "order_date", "Date").crossJoin(key.select("series_id").distinct())
     return (spine.join(daily, ["series_id", "Date"], "left")
             .select("series_id", "Date", r4(F.coalesce("Revenue", F.lit(0.0))).alias("Revenue"),
                     r4(F.coalesce("COGS", F.lit(0.0))).alias("COGS")))
@@ -322,4 +323,5 @@ BUILDERS = {
     "web_traffic": web_traffic,
     "promotions": promotions,
     "item_values": item_values,
+    "sales_panel": sales_panel,
 }
