@@ -152,6 +152,10 @@ def with_views(body: str, *names: str, overrides: dict[str, str] | None = None)
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({overrides.get(n, STANDINS[n][1])})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        # the body has its own CTEs: append them after the stand-ins
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
 
 

@@ -1 +1,457 @@
-"""q_forecast queries."""
+"""Forecast, split and metric queries.
+
+Relational operators carry DuckDB twins; MLlib fits are registered without
+SQL (rows-only check).  Panel: daily Revenue / COGS per market segment;
+validation year VAL_YEAR with forecast origin the last day before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kartlane.operators import evaluate as EV
+from kartlane.operators import features as FE
+from kartlane.operators import forecast as FC
+from kartlane.plans.oracle import D, R, STANDINS, with_views as W
+from kartlane.plans.registry import register
+from kartlane.sources.inline import fold_table
+
+VAL_YEAR = 2000
+ORIGIN = f"{VAL_YEAR - 1}-12-31"
+H_DAYS = 366
+K = FC.K
+
+
+def _long(cat):
+    return FE.to_long(cat.table("sales_panel"))
+
+
+def _hz(cat):
+    return FC.horizon_spine(_long(cat), ORIGIN, H_DAYS)
+
+
+def _naive(cat, L, name):
+    lg = _long(cat)
+    return FC.with_actuals(FC.naive_closed_form(lg, _hz(cat), ORIGIN, L), lg, name)
+
+
+def _mean3(cat):
+    lg = _long(cat)
+    p = FC.block_recursive(lg, _hz(cat), ORIGIN, {364: 1 / 3, 365: 1 / 3, 366: 1 / 3}, H_DAYS)
+    return FC.with_actuals(p, lg, "mean_364_366")
+
+
+def _wb(cat):
+    lg = _long(cat)
+    t = FC.weighted_baseline_one_step(lg).filter(F.year("Date") == VAL_YEAR)
+    return t.select(F.lit("weighted_baseline").alias("model"), *K, "Date", "y", "yhat")
+
+
+def _bfeat(cat):
+    return FC.baseline_raw(FE.baseline_lags(_long(cat)))
+
+
+def _factors(cat):
+    b = _bfeat(cat)
+    return FC.calibration_factors(b, (F.col("Date") < F.lit(f"{VAL_YEAR}-01-01").cast("date"))
+                                  & F.col("pred").isNotNull())
+
+
+def _calibrated(cat):
+    b = _bfeat(cat)
+    return FC.apply_calibration(b, _factors(cat))
+
+
+def _models(cat):
+    cal = _calibrated(cat).filter(F.year("Date") == VAL_YEAR).select(
+        F.lit("calibrated_baseline").alias("model"), *K, "Date", "y", F.col("pred_calibrated").alias("yhat"))
+    return [_naive(cat, 365, "seasonal_naive"), _naive(cat, 364, "lag364"), _mean3(cat), _wb(cat), cal]
+
+
+def _wide(cat):
+    """Validation-year table with one column per component model."""
+    out = None
+    names = ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"]
+    for n, m in zip(names, _models(cat)):
+        t = m.select(*K, "Date", "y", F.col("yhat").alias(n)) if out is None else m.select(*K, "Date",
+                                                                                            F.col("yhat").alias(n))
+        out = t if out is None else out.join(t, K + ["Date"], "inner")
+    return out
+
+
+# ---------------------------------------------------------------------- SQL library
+_VS = f"DATE '{ORIGIN}'"
+STANDINS.update({
+    "v_hz": (["v_panel_long"], f"""
+        SELECT k.series_id, k.target, CAST(unnest(generate_series({_VS} + 1, {_VS} + {H_DAYS}, INTERVAL 1 DAY)) AS DATE) AS Date
+        FROM (SELECT DISTINCT series_id, target FROM v_panel_long) k"""),
+    "v_naive365": (["v_hz", "v_panel_long"], f"""
+        SELECT 'seasonal_naive' AS model, h.series_id, h.target, h.Date, a.y, s.y AS yhat FROM v_hz h
+        LEFT JOIN v_panel_long s ON s.series_id = h.series_id AND s.target = h.target AND s.Date <= {_VS}
+             AND s.Date = h.Date - CAST(365 * ceil(date_diff('day', {_VS}, h.Date) / 365.0) AS INTEGER)
+        LEFT JOIN v_panel_long a ON a.series_id = h.series_id AND a.target = h.target AND a.Date = h.Date"""),
+    "v_lag364": (["v_hz", "v_panel_long"], f"""
+        SELECT 'lag364' AS model, h.series_id, h.target, h.Date, a.y, s.y AS yhat FROM v_hz h
+        LEFT JOIN v_panel_long s ON s.series_id = h.series_id AND s.target = h.target AND s.Date <= {_VS}
+             AND s.Date = h.Date - CAST(364 * ceil(date_diff('day', {_VS}, h.Date) / 364.0) AS INTEGER)
+        LEFT JOIN v_panel_long a ON a.series_id = h.series_id AND a.target = h.target AND a.Date = h.Date"""),
+    "v_mean3_b1": (["v_hz", "v_panel_long"], f"""
+        SELECT h.series_id, h.target, h.Date,
+               k4.y * {1 / 3!r} + k5.y * {1 / 3!r} + k6.y * {1 / 3!r} AS yhat
+        FROM v_hz h
+        LEFT JOIN (SELECT * FROM v_panel_long WHERE Date <= {_VS}) k4
+          ON k4.series_id = h.series_id AND k4.target = h.target AND k4.Date + 364 = h.Date
+        LEFT JOIN (SELECT * FROM v_panel_long WHERE Date <= {_VS}) k5
+          ON k5.series_id = h.series_id AND k5.target = h.target AND k5.Date + 365 = h.Date
+        LEFT JOIN (SELECT * FROM v_panel_long WHERE Date <= {_VS}) k6
+          ON k6.series_id = h.series_id AND k6.target = h.target AND k6.Date + 366 = h.Date
+        WHERE date_diff('day', {_VS}, h.Date) <= 364"""),
+    "v_mean3": (["v_mean3_b1", "v_hz", "v_panel_long"], f"""
+        WITH known AS (SELECT series_id, target, Date, y AS v FROM v_panel_long WHERE Date <= {_VS}
+                       UNION ALL SELECT series_id, target, Date, yhat FROM v_mean3_b1),
+        b2 AS (SELECT h.series_id, h.target, h.Date,
+                      k4.v * {1 / 3!r} + k5.v * {1 / 3!r} + k6.v * {1 / 3!r} AS yhat
+               FROM v_hz h
+               LEFT JOIN known k4 ON k4.series_id = h.series_id AND k4.target = h.target AND k4.Date + 364 = h.Date
+               LEFT JOIN known k5 ON k5.series_id = h.series_id AND k5.target = h.target AND k5.Date + 365 = h.Date
+               LEFT JOIN known k6 ON k6.series_id = h.series_id AND k6.target = h.target AND k6.Date + 366 = h.Date
+               WHERE date_diff('day', {_VS}, h.Date) > 364)
+        SELECT 'mean_364_366' AS model, p.series_id, p.target, p.Date, a.y, p.yhat
+        FROM (SELECT * FROM v_mean3_b1 UNION ALL SELECT * FROM b2) p
+        LEFT JOIN v_panel_long a USING (series_id, target, Date)"""),
+    "v_wb": (["v_panel_long"], f"""
+        SELECT 'weighted_baseline' AS model, series_id, target, Date, y, yhat FROM (
+          SELECT series_id, target, Date, y,
+                 0.5 * lag(y, 364) OVER w + 0.3 * lag(y, 7) OVER w
+                 + 0.2 * CASE WHEN count(y) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) >= 30
+                              THEN avg(y) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS yhat
+          FROM v_panel_long WINDOW w AS (PARTITION BY series_id, target ORDER BY Date))
+        WHERE year(Date) = {VAL_YEAR}"""),
+    "v_bfeat": (["v_panel_long"], """
+        SELECT *, """ + " + ".join(f"{c} * {float(w)!r}" for c, w in zip(FC.BASELINE_FEATURES, FC.DEFAULT_BASELINE_WEIGHTS))
+        + """ AS pred FROM (
+          SELECT series_id, target, Date, y,
+                 lag(y, 364) OVER w AS lag_364, lag(y, 365) OVER w AS lag_365, lag(y, 371) OVER w AS lag_371,
+                 """ + ", ".join(
+            f"CASE WHEN count(y) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) >= {n} "
+            f"THEN avg(y) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS rolling_{n}" for n in (7, 30, 90))
+        + """ FROM v_panel_long WINDOW w AS (PARTITION BY series_id, target ORDER BY Date))"""),
+    "v_factors": (["v_bfeat"], f"""
+        WITH f AS (SELECT series_id, target, Date, month(Date) AS month, isodow(Date) - 1 AS dayofweek,
+                          coalesce(y / nullif(pred, 0), 1.0) AS ratio
+                   FROM v_bfeat WHERE Date < DATE '{VAL_YEAR}-01-01' AND pred IS NOT NULL),
+        mf AS (SELECT series_id, target, month, count(*) AS n,
+                      least(greatest(1.0 + (quantile_cont(ratio, 0.5) - 1.0) * (count(*) / (count(*) + 60.0)), 0.8), 1.2) AS factor
+               FROM f GROUP BY 1, 2, 3),
+        wf AS (SELECT f.series_id, f.target, f.month, f.dayofweek, count(*) AS n,
+                      least(greatest(1.0 + (quantile_cont(f.ratio / mf.factor, 0.5) - 1.0) * (count(*) / (count(*) + 20.0)), 0.9), 1.1) AS factor
+               FROM f JOIN mf USING (series_id, target, month) GROUP BY 1, 2, 3, 4)
+        SELECT series_id, target, 'month' AS level, month, CAST(NULL AS INTEGER) AS dayofweek, factor, n FROM mf
+        UNION ALL SELECT series_id, target, 'weekday_month', month, dayofweek, factor, n FROM wf"""),
+    "v_cal": (["v_bfeat", "v_factors"], """
+        SELECT b.*, b.pred * coalesce(m.factor, 1.0) * coalesce(w.factor, 1.0) AS pred_calibrated
+        FROM v_bfeat b
+        LEFT JOIN (SELECT * FROM v_factors WHERE level = 'month') m
+          ON m.series_id = b.series_id AND m.target = b.target AND m.month = month(b.Date)
+        LEFT JOIN (SELECT * FROM v_factors WHERE level = 'weekday_month') w
+          ON w.series_id = b.series_id AND w.target = b.target AND w.month = month(b.Date)
+             AND w.dayofweek = isodow(b.Date) - 1"""),
+    "v_calm": (["v_cal"], f"""
+        SELECT 'calibrated_baseline' AS model, series_id, target, Date, y, pred_calibrated AS yhat
+        FROM v_cal WHERE year(Date) = {VAL_YEAR}"""),
+    "v_models": (["v_naive365", "v_lag364", "v_mean3", "v_wb", "v_calm"], """
+        SELECT * FROM v_naive365 UNION ALL SELECT * FROM v_lag364 UNION ALL SELECT * FROM v_mean3
+        UNION ALL SELECT * FROM v_wb UNION ALL SELECT * FROM v_calm"""),
+    "v_wide": (["v_models"], """
+        SELECT series_id, target, Date, first(y) FILTER (WHERE model = 'seasonal_naive') AS y,
+               """ + ", ".join(f"max(yhat) FILTER (WHERE model = '{m}') AS {m}" for m in
+                               ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"])
+        + " FROM v_models GROUP BY 1, 2, 3"),
+})
+
+_FC_OUT = f"SELECT model, series_id, target, {D('Date')} AS Date, {R('y')} AS y, {R('yhat')} AS yhat FROM "
+
+
+@register("fc_seasonal_naive", W(_FC_OUT + "v_naive365", "v_naive365"))
+def fc_seasonal_naive(cat):
+    """y(t - 365), recursively past one season (closed form, one join)."""
+    return _naive(cat, 365, "seasonal_naive")
+
+
+@register("fc_lag364", W(_FC_OUT + "v_lag364", "v_lag364"))
+def fc_lag364(cat):
+    """Weekday-aligned y(t - 364), recursive."""
+    return _naive(cat, 364, "lag364")
+
+
+@register("fc_mean_364_366", W(_FC_OUT + "v_mean3", "v_mean3"))
+def fc_mean_364_366(cat):
+    """Mean of lags 364/365/366 by block recursion (2 blocks for a 366-day horizon)."""
+    return _mean3(cat)
+
+
+@register("fc_weighted_baseline", W(_FC_OUT + "v_wb", "v_wb"))
+def fc_weighted_baseline(cat):
+    """0.5*lag364 + 0.3*lag7 + 0.2*rolling30 (one-step, actual lags)."""
+    return _wb(cat)
+
+
+_MET = f"""(SELECT model, target, avg(abs(y - yhat)) AS MAE, sqrt(avg((y - yhat) * (y - yhat))) AS RMSE,
+                   1.0 - sum((y - yhat) * (y - yhat)) / nullif(sum((y - ybar) * (y - ybar)), 0) AS R2
+            FROM (SELECT *, avg(y) OVER (PARTITION BY model, target) AS ybar FROM v_models
+                  WHERE y IS NOT NULL AND yhat IS NOT NULL) GROUP BY 1, 2)"""
+_MET_ALL = f"""(SELECT * FROM {_MET} UNION ALL
+                SELECT model, 'average', avg(MAE), avg(RMSE), avg(R2) FROM {_MET} GROUP BY model)"""
+
+
+@register("ev_metrics", W(f"SELECT model, target, {R('MAE')} AS MAE, {R('RMSE')} AS RMSE, {R('R2')} AS R2 "
+                          f"FROM {_MET_ALL}", "v_models"))
+def ev_metrics(cat):
+    """MAE, RMSE, R2 per (model, target) + average row, for the relational baselines."""
+    u = _models(cat)
+    t = u[0]
+    for m in u[1:]:
+        t = t.unionByName(m)
+    return EV.metrics(t)
+
+
+@register("ev_leaderboard", W(f"""
+    SELECT model, target, {R('MAE')} AS MAE, {R('RMSE')} AS RMSE, {R('R2')} AS R2,
+           row_number() OVER (ORDER BY RMSE, model) AS rank FROM {_MET_ALL} WHERE target = 'average'""", "v_models"))
+def ev_leaderboard(cat):
+    """Models ranked by average RMSE."""
+    return EV.leaderboard([EV.metrics(m) for m in _models(cat)])
+
+
+@register("ev_best_model", W(f"""
+    SELECT (SELECT model FROM {_MET_ALL} WHERE target = 'average' ORDER BY RMSE, model LIMIT 1) AS best_model,
+           {R(f"(SELECT min(RMSE) FROM {_MET_ALL} WHERE target = 'average')")} AS best_rmse""", "v_models"))
+def ev_best_model(cat):
+    """argmin of average RMSE over the candidates."""
+    u = _models(cat)
+    t = u[0]
+    for m in u[1:]:
+        t = t.unionByName(m)
+    return EV.best_model(EV.metrics(t))
+
+
+@register("ev_holdout_year", W(f"""
+    SELECT {D('Date')} AS Date, CASE WHEN year(Date) < {VAL_YEAR} THEN 'train' ELSE 'valid' END AS role
+    FROM v_sales WHERE year(Date) <= {VAL_YEAR}""", "v_sales"))
+def ev_holdout_year(cat):
+    """train < validation year, validate that year."""
+    return EV.holdout_year(cat.table("sales").select("Date"), VAL_YEAR)
+
+
+@register("ev_temporal_folds", W(f"""
+    SELECT f.fold, {D('s.Date')} AS Date, CASE WHEN s.Date <= f.te THEN 'train' ELSE 'valid' END AS role
+    FROM v_sales s CROSS JOIN (VALUES
+      ('A', DATE '{VAL_YEAR - 1}-12-31', DATE '{VAL_YEAR}-01-01', DATE '{VAL_YEAR}-12-31'),
+      ('B', DATE '{VAL_YEAR - 2}-12-31', DATE '{VAL_YEAR - 1}-01-01', DATE '{VAL_YEAR - 1}-12-31'),
+      ('C', DATE '{VAL_YEAR - 1}-06-30', DATE '{VAL_YEAR - 1}-07-01', DATE '{VAL_YEAR}-06-30')) f(fold, te, vs, ve)
+    WHERE s.Date <= f.te OR s.Date BETWEEN f.vs AND f.ve""", "v_sales"))
+def ev_temporal_folds(cat):
+    """Folds A/B/C as (fold, role) per day via a broadcast fold table."""
+    return EV.temporal_folds(cat.table("sales").select("Date"), fold_table(cat.spark, VAL_YEAR)).select(
+        "fold", "Date", "role")
+
+
+@register("ev_expanding_split", W(f"""
+    WITH r AS (SELECT Date, row_number() OVER (ORDER BY Date DESC) - 1 AS rev FROM v_sales),
+    v AS (SELECT 5 - CAST(floor(rev / 365) AS INTEGER) AS fold, min(Date) AS vs, max(Date) AS ve, count(*) AS vr
+          FROM r WHERE rev < 5 * 365 GROUP BY 1)
+    SELECT CAST(fold AS BIGINT) AS fold, {D('(SELECT min(Date) FROM v_sales)')} AS train_start,
+           {D('(SELECT max(Date) FROM v_sales s WHERE s.Date < v.vs)')} AS train_end,
+           {D('vs')} AS valid_start, {D('ve')} AS valid_end,
+           (SELECT count(*) FROM v_sales s WHERE s.Date < v.vs) AS train_rows, vr AS valid_rows FROM v""", "v_sales"))
+def ev_expanding_split(cat):
+    """TimeSeriesSplit(5, test_size=365) bounds table."""
+    return EV.expanding_split(cat.table("sales").select("Date"), 5, 365)
+
+
+@register("ev_ratio_split")
+def ev_ratio_split(cat):
+    """First 80 % of months train, last 20 % test (monthly panel)."""
+    from kartlane.operators import facts as FX
+    of = FX.order_fact(cat)
+    mp = FE.monthly_panel(of, FX.customer_fact(cat), FX.inventory_fact(cat))
+    return EV.ratio_split(mp, 0.8, "month").select("month", "revenue", "role")
+
+
+@register("ev_driver_labels")
+def ev_driver_labels(cat):
+    """Feature name -> business explanation (substring rules) on GBT importances."""
+    from kartlane.operators import mlmodels as ML
+    return EV.driver_labels(ML.feature_importance(cat))
+
+
+_FAC_OUT = f"""SELECT series_id, target, level, CAST(month AS BIGINT) AS month, CAST(dayofweek AS BIGINT) AS dayofweek,
+                      {R('factor')} AS factor, CAST(n AS BIGINT) AS n FROM v_factors"""
+
+
+@register("fc_calibration_factors", W(_FAC_OUT, "v_factors"))
+def fc_calibration_factors(cat):
+    """Month (n/(n+60), clip .8-1.2) then month x weekday (n/(n+20), clip .9-1.1) shrunk median factors."""
+    return _factors(cat)
+
+
+@register("fc_apply_calibration", W(f"""
+    SELECT series_id, target, {D('Date')} AS Date, {R('y')} AS y, {R('pred')} AS pred,
+           {R('pred_calibrated')} AS pred_calibrated FROM v_cal WHERE year(Date) = {VAL_YEAR}""", "v_cal"))
+def fc_apply_calibration(cat):
+    """Baseline x factors (default 1.0) over the validation year."""
+    return _calibrated(cat).filter(F.year("Date") == VAL_YEAR).select(*K, "Date", "y", "pred", "pred_calibrated")
+
+
+@register("fc_residual_target", W(f"""
+    SELECT series_id, target, {D('Date')} AS Date, {R('y - pred_calibrated')} AS residual
+    FROM v_cal WHERE y - pred_calibrated IS NOT NULL AND Date < DATE '{VAL_YEAR}-01-01'""", "v_cal"))
+def fc_residual_target(cat):
+    """y - calibrated baseline on training rows (NULL rows dropped)."""
+    c = _calibrated(cat).filter(F.col("Date") < F.lit(f"{VAL_YEAR}-01-01").cast("date"))
+    return FC.residual_target(c).select(*K, "Date", "residual")
+
+
+_ALPHA_CASE = ("CASE quarter(Date) " + " ".join(f"WHEN {q} THEN {a}" for q, a in FC.QUARTER_ALPHA.items()) + " END")
+
+
+@register("fc_blend_alpha", W(f"""
+    SELECT series_id, target, {D('Date')} AS Date,
+           {R(f'{_ALPHA_CASE} * calibrated_baseline + (1.0 - {_ALPHA_CASE}) * seasonal_naive')} AS blend
+    FROM v_wide""", "v_wide"))
+def fc_blend_alpha(cat):
+    """Tier 1: alpha(quarter) * specialist + (1 - alpha) * base, alpha {.6,.6,1,.6}."""
+    return FC.blend_alpha(_wide(cat), "calibrated_baseline", "seasonal_naive").select(*K, "Date", "blend")
+
+
+@register("fc_alpha_tuning", W(f"""
+    SELECT series_id, target, CAST(quarter(Date) AS BIGINT) AS quarter,
+           {R('least(greatest(coalesce(sum((y - seasonal_naive) * (calibrated_baseline - seasonal_naive)) / nullif(sum((calibrated_baseline - seasonal_naive) * (calibrated_baseline - seasonal_naive)), 0), 0.05), 0.05), 0.85)')} AS alpha
+    FROM v_wide WHERE y IS NOT NULL AND calibrated_baseline IS NOT NULL AND seasonal_naive IS NOT NULL
+    GROUP BY 1, 2, 3""", "v_wide"))
+def fc_alpha_tuning(cat):
+    """Per-quarter alpha in [.05, .85] minimising squared error (closed form)."""
+    return FC.alpha_tuning(_wide(cat), "calibrated_baseline", "seasonal_naive")
+
+
+_FAM = {"seasonal_naive": 0.10, "mean_364_366": 0.10, "calibrated_baseline": 0.80}
+_FAM_SQL = " + ".join(f"{c} * {w!r}" for c, w in _FAM.items())
+
+
+@register("fc_blend_families", W(f"""
+    SELECT series_id, target, {D('Date')} AS Date, {R(_FAM_SQL)} AS blend FROM v_wide""", "v_wide"))
+def fc_blend_families(cat):
+    """Tier 2: fixed .10 / .10 / .80 family blend."""
+    return FC.blend_families(_wide(cat), _FAM).select(*K, "Date", "blend")
+
+
+@register("fc_scale_calibration", W(f"""
+    SELECT series_id, target, {R('least(greatest(min(r), 0.8), 2.0)')} AS scale FROM (
+      SELECT series_id, target, r, sum(w) OVER (PARTITION BY series_id, target ORDER BY r, Date
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
+             sum(w) OVER (PARTITION BY series_id, target) AS tw
+      FROM (SELECT series_id, target, Date, y / ({_FAM_SQL}) AS r, {_FAM_SQL} AS w FROM v_wide
+            WHERE {_FAM_SQL} > 0 AND y IS NOT NULL))
+    WHERE cw >= tw / 2.0 GROUP BY 1, 2""", "v_wide"))
+def fc_scale_calibration(cat):
+    """Tier 3: c in [.8, 2] minimising MAE = weighted median of y/p (weights p)."""
+    t = FC.blend_families(_wide(cat), _FAM)
+    return FC.scale_calibration(t, "blend")
+
+
+_CW = {("seasonal_naive", "Revenue"): 0.2, ("mean_364_366", "Revenue"): 0.3, ("calibrated_baseline", "Revenue"): 0.5,
+       ("seasonal_naive", "COGS"): 0.25, ("mean_364_366", "COGS"): 0.25, ("calibrated_baseline", "COGS"): 0.5}
+
+
+@register("fc_combine_components", W(f"""
+    SELECT series_id, target, {D('Date')} AS Date, {R('greatest(sum(w * yhat), 0.0)')} AS yhat
+    FROM v_models JOIN (VALUES {', '.join(f"('{m}', '{t}', {w!r})" for (m, t), w in _CW.items())}) c(model, target, w)
+    USING (model, target) GROUP BY 1, 2, 3""", "v_models"))
+def fc_combine_components(cat):
+    """Weighted sum over (model, target) component weights, floored at 0."""
+    u = _models(cat)
+    t = u[0]
+    for m in u[1:]:
+        t = t.unionByName(m)
+    wt = cat.spark.createDataFrame([(m, tg, w) for (m, tg), w in _CW.items()], "model string, target string, w double")
+    return FC.combine_components(t, wt)
+
+
+_FIXMAP = {"residual_lgbm": "mean_364_366", "residual_xgb": "lag364", "direct_lgbm": "seasonal_naive",
+           "calibrated_baseline": "calibrated_baseline"}
+
+
+@register("fc_fixed_ensemble", W(f"""
+    SELECT series_id, target, {D('Date')} AS Date, {R('greatest(sum(w * yhat), 0.0)')} AS yhat
+    FROM v_models JOIN (VALUES {', '.join(
+        [f"('{_FIXMAP[m]}', 'Revenue', {w!r})" for m, w in FC.REVENUE_ENSEMBLE_WEIGHTS.items()]
+        + [f"('{_FIXMAP[m]}', 'COGS', {w!r})" for m, w in FC.COGS_ENSEMBLE_WEIGHTS.items()])}) c(model, target, w)
+    USING (model, target) GROUP BY 1, 2, 3""", "v_models"))
+def fc_fixed_ensemble(cat):
+    """Fixed .50/.25/.15/.10 (Revenue) and .60/.25/.15 (COGS) ensembles, floor 0."""
+    u = _models(cat)
+    t = u[0]
+    for m in u[1:]:
+        t = t.unionByName(m)
+    return FC.combine_components(t, FC.fixed_ensemble_weights(cat.spark, _FIXMAP))
+
+
+@register("fc_residual_alpha_blend", W(f"""
+    WITH rs AS (SELECT series_id, target, Date, y, pred_calibrated,
+                       lag(y - pred_calibrated, 365) OVER (PARTITION BY series_id, target ORDER BY Date) AS rp
+                FROM v_cal),
+    g AS (SELECT a.alpha, r.* FROM rs r CROSS JOIN (VALUES (0.25), (0.5), (0.75), (1.0)) a(alpha)
+          WHERE year(r.Date) = {VAL_YEAR}),
+    m AS (SELECT alpha, target, avg(abs(y - yhat)) AS MAE, sqrt(avg((y - yhat) * (y - yhat))) AS RMSE
+          FROM (SELECT *, pred_calibrated + alpha * rp AS yhat FROM g) WHERE y IS NOT NULL AND yhat IS NOT NULL
+          GROUP BY 1, 2)
+    SELECT {R('alpha')} AS alpha, target, {R('MAE')} AS MAE, {R('RMSE')} AS RMSE FROM m""", "v_cal"))
+def fc_residual_alpha_blend(cat):
+    """baseline + alpha * residual forecast (residual at t-365) for alpha in {.25,.5,.75,1}; metrics per alpha."""
+    from pyspark.sql import Window
+    c = _calibrated(cat)
+    w = Window.partitionBy(*K).orderBy("Date")
+    c = c.withColumn("rp", F.lag(F.col("y") - F.col("pred_calibrated"), 365).over(w)).filter(
+        F.year("Date") == VAL_YEAR)
+    g = FC.residual_alpha_blend(c, "pred_calibrated", "rp", cat.spark)
+    e = g.filter(F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    return (e.groupBy("alpha", "target")
+            .agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("MAE"),
+                 F.sqrt(F.avg((F.col("y") - F.col("yhat")) ** 2)).alias("RMSE")))
+
+
+_INNER = f"Date >= DATE '{VAL_YEAR - 1}-01-01' AND Date < DATE '{VAL_YEAR}-01-01'"
+
+
+@register("fc_simplex_gram", W(f"""
+    SELECT series_id, target, count(*) AS n, {R('sum(y * y) / 1e6')} AS yy, """ + ", ".join(
+    [f"{R(f'sum({a} * y) / 1e6')} AS xy{i}" for i, a in enumerate(FC.BASELINE_FEATURES)]
+    + [f"{R(f'sum({a} * {b}) / 1e6')} AS xx{i}_{j}" for i, a in enumerate(FC.BASELINE_FEATURES)
+       for j, b in enumerate(FC.BASELINE_FEATURES) if j >= i]) + f"""
+    FROM v_bfeat WHERE {_INNER} AND {' AND '.join(f'{c} IS NOT NULL' for c in FC.BASELINE_FEATURES)} AND y IS NOT NULL
+    GROUP BY 1, 2""", "v_bfeat"))
+def fc_simplex_gram(cat):
+    """X'X, X'y, y'y of the 6 baseline features per (series, target) on the inner window.
+
+    Reported in millions (sums of ~1e12 carry summation-order noise in the
+    last bits; the scaled value keeps 10+ significant digits).
+    """
+    b = _bfeat(cat).filter((F.col("Date") >= F.lit(f"{VAL_YEAR - 1}-01-01").cast("date"))
+                           & (F.col("Date") < F.lit(f"{VAL_YEAR}-01-01").cast("date")))
+    g = FC.gram(b, FC.BASELINE_FEATURES)
+    return g.select(*K, "n", *[(F.col(c) / 1e6).alias(c) for c in g.columns if c not in K + ["n"]])
+
+
+@register("fc_simplex_weights")
+def fc_simplex_weights(cat):
+    """Simplex weights (>= 0, sum 1) minimising RMSE of the baseline features, solved per group."""
+    b = _bfeat(cat).filter((F.col("Date") >= F.lit(f"{VAL_YEAR - 1}-01-01").cast("date"))
+                           & (F.col("Date") < F.lit(f"{VAL_YEAR}-01-01").cast("date")))
+    return FC.simplex_weights(FC.gram(b, FC.BASELINE_FEATURES), len(FC.BASELINE_FEATURES))
+
+
+@register("fc_ensemble_weights")
+def fc_ensemble_weights(cat):
+    """Simplex weights over the component models' validation predictions per (series, target)."""
+    cols = ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"]
+    return FC.simplex_weights(FC.gram(_wide(cat), cols), len(cols))
