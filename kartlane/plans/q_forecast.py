@@ -455,3 +455,167 @@ def fc_ensemble_weights(cat):
     """Simplex weights over the component models' validation predictions per (series, target)."""
     cols = ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"]
     return FC.simplex_weights(FC.gram(_wide(cat), cols), len(cols))
+
+
+# ----------------------------------------------------------------------------- MLlib (rows-only)
+def _ml():
+    from kartlane.operators import mlmodels as ML
+    return ML
+
+
+@register("fc_ridge_log")
+def fc_ridge_log(cat):
+    """Ridge (alpha=3) on z-scored calendar features, log target; validation-year predictions."""
+    ML = _ml()
+    return ML.fit_eval(cat, "ridge_log", ML.ridge(3.0), table="calendar", log=True)
+
+
+@register("fc_ridge_lag")
+def fc_ridge_lag(cat):
+    """Scaled ridge (alpha=10) on one-step lag / rolling features, one fit per target."""
+    ML = _ml()
+    return ML.fit_eval(cat, "ridge_lag", ML.ridge(10.0), table="lags", log=False)
+
+
+@register("fc_linear")
+def fc_linear(cat):
+    """OLS on the lag / rolling features."""
+    ML = _ml()
+    return ML.fit_eval(cat, "linear", ML.ols(), table="lags", log=False)
+
+
+@register("fc_random_forest")
+def fc_random_forest(cat):
+    """Random forest (300 trees, depth 14, min leaf 3) on lag features."""
+    ML = _ml()
+    return ML.fit_eval(cat, "random_forest", ML.random_forest(), table="lags", log=False)
+
+
+@register("fc_gbt_candidates")
+def fc_gbt_candidates(cat):
+    """Three boosting configs scored on the validation year; metrics with the best flagged."""
+    ML = _ml()
+    _, m = ML.gbt_candidates(cat)
+    best = EV.best_model(m).select("best_model")
+    return m.crossJoin(best).withColumn("is_best", F.col("model") == F.col("best_model")).drop("best_model")
+
+
+@register("fc_gbt_monthly")
+def fc_gbt_monthly(cat):
+    """Monthly GBT (lagged features) scored on the last 20 % of months."""
+    from pyspark.ml.regression import GBTRegressor
+    ML = _ml()
+    from kartlane.operators import facts as FX
+    of = FX.order_fact(cat)
+    mp = FE.monthly_features(FE.monthly_panel(of, FX.customer_fact(cat), FX.inventory_fact(cat)))
+    cols = ["signups", "stockout_rate", "fill_rate", "year", "month_num", "quarter", "rev_lag_1",
+            "rev_lag_3_avg", "orders_lag_1"]
+    sp = EV.ratio_split(mp.dropna(subset=cols + ["revenue"]), 0.8, "month")
+    tr = sp.filter(F.col("role") == "train").withColumn("label", F.col("revenue"))
+    m = GBTRegressor(featuresCol="features", labelCol="label", maxIter=60, stepSize=0.25, maxDepth=3,
+                     seed=42).fit(ML._vec(tr, cols))
+    te = sp.filter(F.col("role") == "test")
+    return m.transform(ML._vec(te, cols)).select("month", F.col("revenue").alias("y"),
+                                                 F.col("prediction").alias("yhat"))
+
+
+@register("fc_gbt_weighted_2phase")
+def fc_gbt_weighted_2phase(cat):
+    """Era-weighted GBT: holdout picks the best iteration, refit on all rows with it."""
+    return _ml().weighted_two_phase(cat)
+
+
+@register("fc_quarter_specialists")
+def fc_quarter_specialists(cat):
+    """4 boosted fits per target (quarter weight x3); each day uses its quarter's model."""
+    return _ml().quarter_specialists(cat)
+
+
+@register("fc_structural")
+def fc_structural(cat):
+    """Piecewise-linear trend + Fourier + promo regressors in log space."""
+    return _ml().structural(cat)
+
+
+@register("fc_residual_models")
+def fc_residual_models(cat):
+    """GBT on the residual (y - calibrated baseline) + baseline, and a direct GBT on y."""
+    from pyspark.ml.regression import GBTRegressor
+    ML = _ml()
+    cal = _calibrated(cat)
+    cal_f = FE.events_v2(FE.calendar_basic(cal))
+    cols = [c for c in cal_f.columns if c.startswith(("event_", "is_", "day", "week", "month", "quarter"))]
+    cols += FC.BASELINE_FEATURES
+    tr = cal_f.filter((F.year("Date") < VAL_YEAR) & F.col("pred_calibrated").isNotNull()).dropna(subset=cols)
+    va = cal_f.filter(F.year("Date") == VAL_YEAR).dropna(subset=cols)
+    out = None
+    for name, label, add_base in (("residual_gbt", F.col("y") - F.col("pred_calibrated"), True),
+                                  ("direct_gbt", F.col("y"), False)):
+        m = GBTRegressor(featuresCol="features", labelCol="label", maxIter=40, stepSize=0.2, maxDepth=4,
+                         seed=42).fit(ML._vec(tr.withColumn("label", label), cols))
+        p = m.transform(ML._vec(va, cols))
+        yhat = F.col("prediction") + F.col("pred_calibrated") if add_base else F.col("prediction")
+        p = p.select(F.lit(name).alias("model"), *K, "Date", "y", yhat.alias("yhat"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@register("fc_recursive_linear")
+def fc_recursive_linear(cat):
+    """Day-by-day weighted baseline x calibration per series (applyInPandas, parallel over series)."""
+    return _ml().recursive_linear(cat)
+
+
+@register("fc_direct_ml")
+def fc_direct_ml(cat):
+    """Direct multi-horizon forecast: GBT on calendar features over the template days."""
+    return _ml().direct_forecast(cat)
+
+
+@register("fc_rollforward_monthly")
+def fc_rollforward_monthly(cat):
+    """6-month roll-forward of the monthly model with rev_lag_1 refreshed from predictions."""
+    return _ml().rollforward_monthly(cat)
+
+
+@register("fc_refit_full")
+def fc_refit_full(cat):
+    """Refit on all observed days and forecast the template (the submission frame)."""
+    return _ml().direct_forecast(cat)
+
+
+@register("snk_forecast")
+def snk_forecast(cat):
+    """Forecast written as CSV in template order (ISO dates, 2 decimals, >= 0), read back."""
+    import uuid
+    from kartlane.plans.reports import output_root
+    ML = _ml()
+    path = f"{output_root(cat.spark)}/forecast_{uuid.uuid4().hex[:8]}"
+    return ML.forecast_sink(cat, ML.direct_forecast(cat), path)
+
+
+@register("snk_run_metadata")
+def snk_run_metadata(cat):
+    """Parameters, ensemble weights and best-model score written as one JSON record."""
+    import json
+    import uuid
+    from kartlane.plans.reports import output_root, write_run_metadata
+    u = _models(cat)
+    t = u[0]
+    for m in u[1:]:
+        t = t.unionByName(m)
+    best = EV.best_model(EV.metrics(t)).first()          # one row
+    meta = {"validation_year": VAL_YEAR, "origin": ORIGIN, "best_model": best["best_model"],
+            "best_rmse": best["best_rmse"], "revenue_weights": FC.REVENUE_ENSEMBLE_WEIGHTS,
+            "cogs_weights": FC.COGS_ENSEMBLE_WEIGHTS, "quarter_alpha": FC.QUARTER_ALPHA}
+    path = write_run_metadata(cat.spark, meta, f"{output_root(cat.spark)}/meta_{uuid.uuid4().hex[:8]}")
+    back = cat.spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.best_model").alias("best_model"),
+                       F.get_json_object("value", "$.validation_year").cast("int").alias("validation_year"),
+                       F.lit(json.dumps(sorted(meta))).alias("keys"))
+
+
+@register("ev_feature_importance")
+def ev_feature_importance(cat):
+    """GBT importances long (model, target, feature, importance) + share + rank."""
+    return _ml().feature_importance(cat)
