@@ -56,22 +56,23 @@ def calendar_feature_cols(df: DataFrame) -> list[str]:
 
 
 def lag_table(cat) -> DataFrame:
-    """Total daily series + one-step lag / rolling features (both targets) + calendar basics."""
+    """Total daily series + one-step lag / rolling features of both targets + calendar basics.
+
+    Built on the long panel (one window spec per (series, target)), then one
+    join per target brings the features side by side.
+    """
     s = cat.table("sales").withColumn("series_id", F.lit("total"))
-    p, o = ["series_id"], "Date"
-    cols = {}
+    long = materialize(FE.lag_rolling(FE.to_long(s)))
+    feats = [c for c in long.columns if c.startswith(("lag_", "roll_"))]
+    wide = s.select("Date", "Revenue", "COGS")
     for t in TARGETS:
-        for k in FE.LAGS:
-            cols[f"{t}_lag_{k}"] = lag(t, p, o, k)
-        for n in FE.ROLLING_WINDOWS:
-            from kartlane.operators.windows import shifted_rolling as sr
-            cols[f"{t}_roll_mean_{n}"] = sr(t, p, o, n, "avg", max(2, n // 3))
-            cols[f"{t}_roll_std_{n}"] = sr(t, p, o, n, "std", max(2, n // 3))
-    # window features first (one WindowExec), cut, then the row-wise calendar columns
-    w = materialize(s.withColumns(cols))
-    f = FE.cyclical(FE.calendar_basic(w))
-    feats = [c for c in f.columns if c not in ("Date", "Revenue", "COGS", "series_id")]
-    return materialize(f.dropna(subset=feats).drop("series_id"))
+        part = long.filter(F.col("target") == t).select("Date", *[F.col(c).alias(f"{t}_{c}") for c in feats])
+        wide = wide.join(part, "Date", "inner")
+    # cut before the wide NULL filter: a 48-column isnotnull filter over aliased
+    # window / calendar columns makes Catalyst's constraint propagation explode
+    f = materialize(FE.cyclical(FE.calendar_basic(wide)))
+    cols = [c for c in f.columns if c not in ("Date", "Revenue", "COGS")]
+    return f.dropna(subset=cols)
 
 
 def _split(df: DataFrame, year: int = VAL_YEAR):

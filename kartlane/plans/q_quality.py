@@ -63,7 +63,8 @@ def dq_table_summary(cat):
 def _col_sql(t, c, dtype):
     q = f'"{c}"'
     if dtype == "double":
-        num, txt, disp = f"CAST({q} AS DOUBLE)", "CAST(NULL AS VARCHAR)", f"CAST(CAST({q} AS DECIMAL(38,4)) AS VARCHAR)"
+        num, txt, disp = (f"CAST({q} AS DOUBLE)", "CAST(NULL AS VARCHAR)",
+                          f"CAST(CAST(CAST({q} AS DECIMAL(38,9)) AS DECIMAL(38,4)) AS VARCHAR)")
     elif dtype in ("bigint", "int"):
         num, txt, disp = f"CAST({q} AS DOUBLE)", "CAST(NULL AS VARCHAR)", f"CAST({q} AS VARCHAR)"
     elif dtype == "date":

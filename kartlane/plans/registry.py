@@ -58,5 +58,5 @@ def finalize(df: DataFrame, digits: int = 4) -> DataFrame:
 def load_all_plans() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
     from kartlane.plans import (q_sources, q_quality, q_facts, q_business, q_demand,  # noqa: F401
-                                q_supply, q_features, q_forecast)
+                                q_supply, q_features, q_forecast, q_primitives)
     return REGISTRY

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The surveyed workload is batch only: no watermarks, windows over event time,
+state or late data.  Nothing is built here (see README).
+"""
