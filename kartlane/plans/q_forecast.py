@@ -269,7 +269,12 @@ def ev_expanding_split(cat):
     return EV.expanding_split(cat.table("sales").select("Date"), 5, 365)
 
 
-@register("ev_ratio_split")
+@register("ev_ratio_split", W(f"""
+    SELECT {D('month')} AS month, {R('revenue')} AS revenue,
+           CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS role
+    FROM (SELECT order_month AS month, coalesce(sum(net_revenue), 0.0) AS revenue,
+                 row_number() OVER (ORDER BY order_month) AS rn, count(*) OVER () AS n
+          FROM v_order_fact GROUP BY order_month)""", "v_order_fact"))
 def ev_ratio_split(cat):
     """First 80 % of months train, last 20 % test (monthly panel)."""
     from kartlane.operators import facts as FX

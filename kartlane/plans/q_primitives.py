@@ -36,7 +36,7 @@ ALIASES = {
     "flt_promo_used": "q_promo_usage", "flt_equality": "q_return_reasons", "expr_item_values": "src_table_order_items",
     "expr_combine_first": "fact_order_level", "expr_period_label": "q_stockout_heatmap",
     "expr_bucket_cap": "q_retention_month_of_year", "expr_era_label": "q_era_distribution",
-    "expr_log_exp": "fc_ridge_log", "expr_clip": "fc_calibration_factors", "udaf_most_frequent": "agg_mode_tiebreak",
+"expr_clip": "fc_calibration_factors", "udaf_most_frequent": "agg_mode_tiebreak",
     "udf_nearest_tet": "fe_tet", "udf_black_friday": "fe_black_friday", "udf_get_era": "q_era_distribution",
     "udf_calibration_factor": "fc_apply_calibration", "udf_share_transform": "agg_share_within_group",
     "udaf_pred_count": "agg_conditional_count",
@@ -101,6 +101,12 @@ for _n in ("expr_month_trunc", "expr_month_diff", "expr_day_diff", "expr_month_n
     _proj(_n, "Calendar expressions on orders vs signup: month start, calendar month diff, day diff, "
               "month name, month length, month-end test.", _calendar, _CAL_SQL)
 
+_proj("expr_log_exp", "log target and exp back on positive daily revenue (log models filter y > 0).",
+      lambda cat: cat.table("sales").filter(F.col("Revenue") > 0).select(
+          "Date", F.log("Revenue").alias("log_revenue"), F.exp(F.log("Revenue")).alias("revenue_back")),
+      W(f"SELECT {D('Date')} AS Date, {R('ln(Revenue)')} AS log_revenue, {R('exp(ln(Revenue))')} AS revenue_back "
+        "FROM v_sales WHERE Revenue > 0", "v_sales"))
+
 _proj("expr_label_concat", "category + ' / ' + segment product-group label.",
       lambda cat: cat.table("products").select("product_id", X.label_concat("category", "segment").alias("product_group")),
       W("SELECT product_id, category || ' / ' || segment AS product_group FROM v_products", "v_products"))
