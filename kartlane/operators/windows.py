@@ -68,36 +68,57 @@ def global_rank_cumsum(df: DataFrame, value: str, tiebreak: str, n_buckets: int
     """Global rank (1..N) and running sum of ``value`` ordered by value then key.
 
     Equivalent to ``row_number()`` / running ``sum`` over an un-partitioned
-    window, computed without a single-task window:
-
-    1. one-row min/max -> bucket id = width_bucket(value) (reversed when
-       descending), so bucket order == value order;
-    2. bucket table (<= n_buckets rows): count and sum, prefix offsets by a
-       window over that small table;
-    3. inside each bucket: row_number / running sum ordered by (value, key),
-       plus the bucket's offsets.
-
-    Adds columns ``rank``, ``cum_value`` and ``n_total``, ``value_total``.
+    window, computed without a single-task window and without a hot task for
+    a value shared by many rows:
+
+    1. distinct values with their row counts (partial aggregation collapses
+       ties, however many rows share a value);
+    2. offsets over the distinct values by value-range buckets: bucket totals
+       -> prefix over the (<= n_buckets rows) bucket table -> window inside
+       each bucket (distinct values only, so no tie piles up);
+    3. rank inside a value by key-range sub-buckets of the numeric
+       ``tiebreak``: counts per (value, key bucket) -> prefix per value over
+       <= n_buckets rows -> row_number inside (value, key bucket).  Inside a
+       tie the running sum is offset + rank * value.
+
+    Adds ``rank``, ``cum_value``, ``n_total`` and ``value_total``.
     """
     x = F.col(value).cast("double")
-    stats = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"),
-                   F.count(F.lit(1)).alias("n_total"), F.sum(x).alias("value_total"))
-    j = df.crossJoin(F.broadcast(stats))
+    base = df.withColumn("_v", x)
+    vals = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_vn"), F.min(tiebreak).alias("_kmin"),
+                                  F.max(tiebreak).alias("_kmax"))
+    stats = vals.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_vn").alias("n_total"),
+                     F.sum(F.col("_v") * F.col("_vn")).alias("value_total"))
+    vb = vals.crossJoin(F.broadcast(stats))                     # stats: one row
     raw = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
-        F.least(F.width_bucket(x, "_lo", "_hi", F.lit(n_buckets)), F.lit(n_buckets)))
-    bucket = (F.lit(n_buckets + 1) - raw) if descending else raw
-    j = j.withColumn("_b", bucket.cast("int"))
-    btab = j.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"), F.sum(x).alias("_bs"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= n_buckets rows
-    btab = btab.select("_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off_n"),
-                       F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_off_s"))
-    j = j.join(F.broadcast(btab), "_b", "inner")
-    ordv = F.desc(value) if descending else F.asc(value)
-    w = Window.partitionBy("_b").orderBy(ordv, F.asc(tiebreak))
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (j.withColumn("rank", F.row_number().over(w) + F.col("_off_n"))
-            .withColumn("cum_value", F.sum(x).over(wr) + F.col("_off_s"))
-            .drop("_b", "_off_n", "_off_s", "_lo", "_hi"))
+        F.least(F.floor(F.lit(float(n_buckets)) * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1,
+                F.lit(n_buckets)))
+    vb = vb.withColumn("_b", ((F.lit(n_buckets + 1) - raw) if descending else raw).cast("int"))
+    vsum = F.col("_v") * F.col("_vn")
+    btab = vb.groupBy("_b").agg(F.sum("_vn").alias("_bn"), F.sum(vsum).alias("_bs"))
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)        # <= n_buckets rows
+    btab = btab.select("_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_pn"),
+                       F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_ps"))
+    wv = (Window.partitionBy("_b").orderBy(F.desc("_v") if descending else F.asc("_v"))
+          .rowsBetween(Window.unboundedPreceding, -1))
+    vb = (vb.join(F.broadcast(btab), "_b", "inner")
+          .withColumn("_off_n", F.col("_pn") + F.coalesce(F.sum("_vn").over(wv), F.lit(0)))
+          .withColumn("_off_s", F.col("_ps") + F.coalesce(F.sum(vsum).over(wv), F.lit(0.0)))
+          .select("_v", "_off_n", "_off_s", "_kmin", "_kmax", "n_total", "value_total"))
+    k = F.col(tiebreak).cast("double")
+    kb = F.when(F.col("_kmax") == F.col("_kmin"), F.lit(0)).otherwise(
+        F.least(F.floor(F.lit(float(n_buckets)) * (k - F.col("_kmin")) / (F.col("_kmax") - F.col("_kmin"))),
+                F.lit(n_buckets - 1))).cast("int")
+    rows = base.join(vb, "_v", "inner").withColumn("_kb", kb)     # a hot value is split by AQE skew join
+    ktab = rows.groupBy("_v", "_kb").agg(F.count(F.lit(1)).alias("_kn"))
+    wk = Window.partitionBy("_v").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)  # <= n_buckets rows
+    ktab = ktab.select("_v", "_kb", F.coalesce(F.sum("_kn").over(wk), F.lit(0)).alias("_kp"))
+    rows = rows.join(ktab, ["_v", "_kb"], "inner")
+    wr = Window.partitionBy("_v", "_kb").orderBy(F.asc(tiebreak))
+    within = F.col("_kp") + F.row_number().over(wr)
+    return (rows.withColumn("rank", F.col("_off_n") + within)
+            .withColumn("cum_value", F.col("_off_s") + within * F.col("_v"))
+            .drop("_v", "_off_n", "_off_s", "_kmin", "_kmax", "_kb", "_kp"))
 
 
 def prev_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out_col: str,
