@@ -23,6 +23,8 @@ K = FC.K
 
 
 def _long(cat):
+    # identical panel subtrees in one query are deduplicated by AQE's stage reuse
+    # (measured: checkpointing the panel first did not change ev_metrics at sf0.1)
     return FE.to_long(cat.table("sales_panel"))
 
 

@@ -105,6 +105,18 @@ class Catalog:
         self._tables[name] = df
         return df
 
+    def checkpointed(self, name: str) -> DataFrame:
+        """``table(name)`` cut from its lineage once per catalog (reliable checkpoint
+        in ``spark.checkpoint.dir``).  For small derived tables (the daily panel)
+        that many downstream branches read: they scan the checkpoint instead of
+        re-deriving it from the raw tables."""
+        key = f"{name}@checkpoint"
+        if key not in self._tables:
+            from kartlane.session import checkpoint_dir
+            checkpoint_dir(self.spark)
+            self._tables[key] = self.table(name).checkpoint(eager=True)
+        return self._tables[key]
+
     def derive(self, overrides: dict[str, DataFrame]) -> "Catalog":
         """A catalog whose named tables are replaced; everything built on them
         (facts, series) is rebuilt lazily from the replacements."""
