@@ -286,10 +286,18 @@ def fe_yoy_growth(cat):
 
 
 @register("fe_era_weights", W(f"""
-    SELECT {D('Date')} AS Date, {R("CASE WHEN year(Date) BETWEEN 1996 AND 1999 THEN 1.0 ELSE 0.01 END * CASE WHEN quarter(Date) = 4 THEN 3.0 ELSE 1.0 END")} AS weight
+    SELECT {D('Date')} AS Date, {R("CASE WHEN year(Date) BETWEEN 1996 AND 1999 THEN 1.0 ELSE 0.01 END")} AS weight
     FROM v_sales""", "v_sales"))
 def fe_era_weights(cat):
-    """Era sample weights (1.0 clean era, 0.01 elsewhere) with the x3 Q4 boost (fe_quarter_boost)."""
+    """Era sample weights: 1.0 inside the clean era, 0.01 elsewhere."""
+    return FE.era_weights(_dates(cat), 1996, 1999)
+
+
+@register("fe_quarter_boost", W(f"""
+    SELECT {D('Date')} AS Date, {R("CASE WHEN year(Date) BETWEEN 1996 AND 1999 THEN 1.0 ELSE 0.01 END * CASE WHEN quarter(Date) = 4 THEN 3.0 ELSE 1.0 END")} AS weight
+    FROM v_sales""", "v_sales"))
+def fe_quarter_boost(cat):
+    """Era weights x3 inside the specialist's quarter (Q4 here)."""
     return FE.quarter_boost(FE.era_weights(_dates(cat), 1996, 1999), 4)
 
 

@@ -470,6 +470,37 @@ def _ml():
     return ML
 
 
+def naive_template_forecast(cat):
+    """Template-horizon forecast by the closed-form seasonal naive from the last day."""
+    s = cat.table("sales")
+    end = s.agg(F.max("Date").alias("_T"))
+    t = cat.table("sample_submission").select("Date").crossJoin(F.broadcast(end))      # one-row scalar
+    t = t.withColumn("_src", F.date_sub("Date", (F.ceil(F.datediff("Date", "_T") / 365.0) * 365).cast("int")))
+    hist = s.select(F.col("Date").alias("_src"), "Revenue", "COGS")
+    return t.join(hist, "_src", "left").select("Date", "Revenue", "COGS")
+
+
+@register("dq_forecast_sanity", W(f"""
+    SELECT count(*) AS rows, {D('min(Date)')} AS first_date, {D('max(Date)')} AS last_date,
+           {R('min(Revenue)')} AS min_revenue, {R('max(Revenue)')} AS max_revenue,
+           {R('min(COGS)')} AS min_cogs, {R('max(COGS)')} AS max_cogs,
+           count(*) FILTER (WHERE Revenue IS NULL OR COGS IS NULL) > 0 AS any_null,
+           count(*) FILTER (WHERE Revenue < 0 OR COGS < 0) > 0 AS any_negative
+    FROM (SELECT t.Date, s.Revenue, s.COGS FROM
+            (SELECT CAST(unnest(generate_series(max(Date) + 1, max(Date) + 548, INTERVAL 1 DAY)) AS DATE) AS Date,
+                    max(Date) AS T FROM v_sales) t
+          LEFT JOIN v_sales s ON s.Date = t.Date - CAST(365 * ceil(date_diff('day', t.T, t.Date) / 365.0) AS INTEGER))""",
+    "v_sales"))
+def dq_forecast_sanity(cat):
+    """Forecast frame checks: shape, date range, min/max, any null, any negative."""
+    f = naive_template_forecast(cat)
+    return f.agg(F.count(F.lit(1)).alias("rows"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"),
+                 F.min("Revenue").alias("min_revenue"), F.max("Revenue").alias("max_revenue"),
+                 F.min("COGS").alias("min_cogs"), F.max("COGS").alias("max_cogs"),
+                 (F.count_if(F.col("Revenue").isNull() | F.col("COGS").isNull()) > 0).alias("any_null"),
+                 (F.count_if((F.col("Revenue") < 0) | (F.col("COGS") < 0)) > 0).alias("any_negative"))
+
+
 @register("fc_ridge_log")
 def fc_ridge_log(cat):
     """Ridge (alpha=3) on z-scored calendar features, log target; validation-year predictions."""
