@@ -146,3 +146,21 @@ def prev_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out_col:
 def duplicate_flag(keys: list[str], order: list) -> Column:
     """True for every row after the first of its key (pandas ``duplicated``)."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
+
+
+def row_number_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out_col: str,
+                      bucket: str = "month") -> DataFrame:
+    """``row_number()`` over (key ORDER BY date, tiebreak) without a per-key partition.
+
+    Rank = the key's row count in earlier time buckets (prefix over a
+    bucket-level table, bounded by the calendar) + row_number inside
+    (key, bucket).  A key with a third of all rows is spread over its buckets.
+    """
+    t = df.withColumn("_bk", F.trunc(F.col(date_col), bucket))
+    counts = t.groupBy(key, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    w_b = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "_bk", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_before"))
+    w_in = Window.partitionBy(key, "_bk").orderBy(date_col, tiebreak)
+    return (t.join(counts, [key, "_bk"], "inner")
+            .withColumn(out_col, F.col("_before") + F.row_number().over(w_in))
+            .drop("_bk", "_before"))

@@ -306,10 +306,11 @@ _proj("agg_argmax_group", "Best and worst category by revenue per year (max_by /
         "v_prod_seasonality"))
 
 # -- windows / sorts / sets -----------------------------------------------------------------------
-_proj("win_row_number", "Order sequence number per customer by (date, order id).",
-      lambda cat: cat.table("orders_slim").select(
-          "order_id", F.row_number().over(Window.partitionBy("customer_id").orderBy("order_date", "order_id"))
-          .alias("order_rank")),
+_proj("win_row_number", "Order sequence number per customer by (date, order id); hot-key safe "
+                        "(month buckets + per-customer month prefix).",
+      lambda cat: __import__("kartlane.operators.windows", fromlist=["x"]).row_number_in_key(
+          cat.table("orders_slim").select("customer_id", "order_id", "order_date"), "customer_id", "order_date",
+          "order_id", "order_rank").select("order_id", "order_rank"),
       W("SELECT order_id, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS order_rank "
         "FROM v_orders_slim", "v_orders_slim"))
 
