@@ -146,3 +146,21 @@ def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(v),) for v in range(11)], "x double")
     h = {r.bin: r["count"] for r in A.histogram(df, "x", 5).collect()}
     assert sum(h.values()) == 11 and h[5] == 3      # 8, 9, 10 (max folded into bin 5)
+
+
+def test_row_number_in_key_matches_plain_window(spark):
+    rows = [(1, 10, D("2000-01-31")), (1, 11, D("2000-02-01")), (1, 12, D("2000-02-01")),
+            (1, 13, D("2000-05-03")), (2, 20, D("2000-03-01")), (2, 21, D("1999-12-31"))]
+    df = spark.createDataFrame(rows, "c int, o int, d date")
+    got = {r.o: r.rk for r in WN.row_number_in_key(df, "c", "d", "o", "rk").collect()}
+    assert got == {10: 1, 11: 2, 12: 3, 13: 4, 21: 1, 20: 2}
+
+
+def test_global_rank_with_heavy_ties(spark):
+    vals = [(i, 5.0 if i % 3 else float(i % 7)) for i in range(200)]
+    df = spark.createDataFrame(vals, "k long, v double")
+    got = {r.k: (r.rank, r.cum_value) for r in WN.global_rank_cumsum(df, "v", "k", n_buckets=4).collect()}
+    cum = 0.0
+    for i, (k, v) in enumerate(sorted(vals, key=lambda t: (-t[1], t[0])), start=1):
+        cum += v
+        assert got[k][0] == i and got[k][1] == pytest.approx(cum)
