@@ -18,8 +18,8 @@ def mode_ref(df: DataFrame, keys: list[str], value: str, out_col: str) -> DataFr
     If two or more values share the top count, the result is the smallest
     of *all* the group's values (not only the tied ones); otherwise the
     single most frequent value.  Two aggregations, no window, no collect:
-    (keys, value) counts -> per key max count, number of values at the max,
-    value at the max, and min over all values.
+    (keys, value) counts -> per key the largest and the smallest value at the
+    top count (they differ exactly on a tie) and the minimum of all values.
     """
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
