@@ -173,14 +173,15 @@ def gbt_two_phase(train: DataFrame, cols: list[str], holdout_days: int = 180, ma
     return est.copy().setMaxIter(best).fit(_vec(train, cols)), best
 
 
-def weighted_two_phase(cat, quarter: int | None = None, name: str = "gbt_weighted_2phase") -> DataFrame:
+def weighted_two_phase(cat, quarter: int | None = None, name: str = "gbt_weighted_2phase",
+                       max_iter: int = 60) -> DataFrame:
     df = calendar_table(cat)
     cols = calendar_feature_cols(df)
     tr, va = _split(df)
     out = None
     for t in TARGETS:
         trt = era_weight(quarter=quarter)(tr.filter(F.col(t) > 0).withColumn("label", F.log(t)))
-        model, best = gbt_two_phase(trt, cols)
+        model, best = gbt_two_phase(trt, cols, max_iter=max_iter)
         p = _predict(model, _vec(va, cols), t, name, True).withColumn("best_iteration", F.lit(best))
         out = p if out is None else out.unionByName(p)
     return out
@@ -190,7 +191,8 @@ def quarter_specialists(cat) -> DataFrame:
     """4 boosted fits per target (quarter weight x3); each day takes its quarter's model."""
     parts = []
     for q in (1, 2, 3, 4):
-        p = weighted_two_phase(cat, quarter=q, name="quarter_specialist")
+        # 8 fits (4 quarters x 2 targets): phase-1 search capped at 30 boosting rounds
+        p = weighted_two_phase(cat, quarter=q, name="quarter_specialist", max_iter=30)
         parts.append(p.filter(F.quarter("Date") == q))
     out = parts[0]
     for p in parts[1:]:
