@@ -164,3 +164,15 @@ def test_global_rank_with_heavy_ties(spark):
     for i, (k, v) in enumerate(sorted(vals, key=lambda t: (-t[1], t[0])), start=1):
         cum += v
         assert got[k][0] == i and got[k][1] == pytest.approx(cum)
+
+
+def test_column_summary_approx_agrees_with_exact(cat):
+    from kartlane.operators import quality as Q
+    t = {"orders": cat.table("orders"), "products": cat.table("products")}
+    ex = {(r.table_name, r.column_name): r for r in Q.column_summary(t).collect()}
+    ap = {(r.table_name, r.column_name): r for r in Q.column_summary_approx(t).collect()}
+    assert ex.keys() == ap.keys()
+    for k, r in ex.items():
+        a = ap[k]
+        assert (a.non_null, a.missing, a.sample_values) == (r.non_null, r.missing, r.sample_values)
+        assert abs(a.unique - r.unique) <= max(2, 0.08 * r.unique)
