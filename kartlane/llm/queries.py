@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> (module of this package, function(spark, sf_dir))
 NAMES = {
     "op1_url_filter": ("q_native", "op1"),
+    "op5_bpe": ("q_arrow", "op5"),
+    "op8_packing": ("q_arrow", "op8"),
     "op10_simhash": ("q_native", "op10"),
 }
 
