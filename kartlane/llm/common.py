@@ -126,3 +126,42 @@ def texts_of(column):
     null = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
     for i in range(len(column)):
         yield data[:0] if null is not None and null[i] else data[off[i]:off[i + 1]]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, per_class: int) -> DataFrame:
+    """``(doc_id, text, y)`` of at most ``per_class`` labelled documents of each class, written once.
+
+    Only rows with ``crc32(doc_id) mod fold <> held`` count; they are chosen by
+    a hash of their id. Contradicting labels of one id count as 1. The chosen ids
+    (twice ``per_class`` at most) are small enough to broadcast.
+    """
+    spark = docs.sparkSession
+    own = (labels.select("doc_id", F.col(label).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+           .where(F.crc32(F.col("doc_id").cast("string")) % fold != held).groupBy("doc_id").agg(F.max("y").alias("y")))
+    own = materialize(own)
+    parts = [own.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    ids = [(r.doc_id, r.y) for p in parts for r in p.collect()]
+    ids = spark.createDataFrame(ids, "doc_id bigint, y int")
+    share = own.agg(F.avg("y")).first()[0]
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    return sample.withColumn("share", F.lit(share))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+    """Weighted logistic regression by Newton steps on standardised columns; returns coefficients, intercept last."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    c = np.zeros(z.shape[1])
+    pen = np.full(len(c), ridge)
+    pen[-1] = 1e-6
+    for _ in range(rounds):
+        p = sigmoid(z @ c)
+        g = z.T @ (weight * (p - y)) / weight.sum() + pen * c
+        h = (z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z / weight.sum() + np.diag(pen)
+        step = np.linalg.solve(h, g)
+        c -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+    return np.append(c[:-1] / scale, c[-1] - (c[:-1] * mean / scale).sum())
+
+
+def sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))

@@ -22,3 +22,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
     return packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))

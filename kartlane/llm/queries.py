@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_url_filter": ("q_native", "op1"),
     "op5_bpe": ("q_arrow", "op5"),
+    "op6_quality": ("q_arrow", "op6"),
     "op8_packing": ("q_arrow", "op8"),
+    "op9_toxicity": ("q_arrow", "op9"),
     "op10_simhash": ("q_native", "op10"),
 }
 
