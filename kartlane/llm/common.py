@@ -91,26 +91,37 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(raw: bytes | np.ndarray, strip: bool = False) -> np.ndarray:
+def word_bounds(b: np.ndarray, strip: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word of a lower-cased byte array; ``strip``: ASCII punctuation separates too."""
+    gap = _SPACE[b]
+    if strip:
+        gap = gap | _PUNCT[b]
+    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(raw: bytes | np.ndarray, strip: bool = False, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of one UTF-8 text, A-Z lower-cased, in text order.
 
-    With ``strip`` ASCII punctuation at either end of a word does not count.
+    With ``strip`` ASCII punctuation separates words too. With ``prefixes`` one
+    row for each number of bytes, of the words cut to that length, and a last
+    row for the whole words.
     """
     b = np.frombuffer(raw, np.uint8) if not isinstance(raw, np.ndarray) else raw
-    if not len(b):
-        return np.empty(0, np.uint64)
     b = _LOWER[b]
-    gap = _SPACE[b]
-    if strip:
-        gap = gap | _PUNCT[b]
-    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
+    start, end = word_bounds(b, strip) if len(b) else (np.empty(0, np.int64),) * 2
     if not len(start):
-        return np.empty(0, np.uint64)
+        return np.empty((len(prefixes) + 1, 0) if prefixes else 0, np.uint64)
     p, q = _powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64) * _ODD)
+
+    def hashed(to):
+        return mix((total[to] - total[start]) * q[start] + (to - start).astype(np.uint64) * _ODD)
+
+    if not prefixes:
+        return hashed(end)
+    return np.stack([*(hashed(np.minimum(end, start + k)) for k in prefixes), hashed(end)])
 
 
 _PUNCT = np.zeros(256, bool)

@@ -1,18 +1,24 @@
 """Operator 9, toxicity by class-conditional Kneser-Ney models.
 
-Two word-bigram models, toxic and ordinary, are estimated on a bounded,
-class-balanced sample of labelled rows (``per_class`` documents each). Both
-back off through class continuation counts to one shared unigram that is
-counted over *all* documents; expressions rarer than ``min_count`` (words) or
-``min_pair`` (pairs) in both classes have only that shared part, so they say
-nothing for either side. A document's features are its mean log-likelihood
-ratio per word and the highest mean of any window of ``WINDOW`` words; a
-logistic curve, fitted on sample rows that the counts did not see, turns them
-into a probability at the labels' own class share.
-
-Defined results: null and empty texts have no words and so ratios of 0, and
-get a score like any other; repeated rows are scored each; without labels of
-both classes every row gets the smoothed class share. Extra columns are not read.
+A word is generated from its start: its first 4 bytes, then its first 5 given
+those, and so on up to 8, then the whole word. Two such models, toxic and ordinary, are interpolated with absolute discounting on a bounded, balanced
+sample of labelled rows (at most ``per_class`` documents a class). Every step
+backs off to counts that both classes share: the first to the counts over *all*
+documents, the others to continuation counts (distinct words) of both classes.
+Rare expressions (fewer than ``MIN_COUNT`` in either class) have nothing but
+the shared part, so they speak for neither side, while a rare form of a
+frequent stem still speaks through its stem. Ratios are drawn towards 0 by two
+standard errors of their counts. A document's distinct words count once each,
+in training and in scoring, so loops of one word weigh no more than the word.
+
+A document's features are its mean log-likelihood ratio per distinct word and
+the highest mean of any window of ``WINDOW`` of them. A logistic curve, fitted on
+sample rows that the counts did not see, turns them into a probability at the
+labels' own class share.
+
+Defined results: null and empty texts have no words, so ratios of 0, and get a
+score like any other; repeated rows are scored each; without labels of both
+classes every row gets the class share. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,153 +30,157 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, logistic, materialize, sigmoid, texts_of, word_hashes
 
 WINDOW, STEP = 32, 16
+PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = [f"h{i}" for i in range(len(PREFIXES) + 1)]  # hashes of the prefixes and of the word
+MIN_COUNT, DISCOUNT = 8, 0.75
 
 
-def _counts(sample: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """Counted ``(y, v, w, n)``; with ``words`` their indices (0: any other word) and only pairs, else single words."""
+def _distinct(text) -> np.ndarray:
+    """Hash rows of a text's distinct words, in the order of their first appearance."""
+    h = word_hashes(text, True, PREFIXES)
+    _, first = np.unique(h[-1], return_index=True)
+    return h[:, np.sort(first)]
+
+
+def _grams(sample: DataFrame) -> DataFrame:
+    """Distinct words with their counts: ``(y, h0, ..., n)``."""
     def run(batches):
         import pyarrow as pa
-        for b in batches:
-            label, keys = b.column(1).to_pylist(), {}
-            for y, t in zip(label, texts_of(b.column(0))):
-                h = word_hashes(t, strip=True)
-                if words is None:
-                    keys.setdefault(y, []).append(np.stack([np.zeros(len(h), np.int64), h.view(np.int64)]))
-                elif len(h):
-                    i = _index(words, h)
-                    keys.setdefault(y, []).append(np.stack([h[:-1].view(np.int64), i[:-1], i[1:]]))
-            for y, parts in keys.items():
-                u, n = np.unique(np.concatenate(parts, axis=1), axis=1, return_counts=True)
-                cols = [np.full(u.shape[1], y, np.int64), *u, n.astype(np.int64)]
-                names = ["y", "v", "w", "n"] if words is None else ["y", "h", "v", "w", "n"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-    keys = ["y", "v", "w"] if words is None else ["y", "h", "v", "w"]
-    schema = ", ".join(f"{k} bigint" for k in [*keys, "n"])
-    return sample.select("text", "y").mapInArrow(run, schema).groupBy(*keys).agg(F.sum("n").alias("n"))
-
-
-def _index(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """1 + the place of each hash among the sorted ``words``, 0 where it is none of them."""
-    if not len(words):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, at + 1, 0)
+        for batch in batches:
+            parts: dict = {}
+            for y, t in zip(batch.column(1).to_pylist(), texts_of(batch.column(0))):
+                parts.setdefault(y, []).append(_distinct(t))
+            for y, h in parts.items():
+                h = np.concatenate(h, axis=1).view(np.int64)
+                _, at, n = np.unique(h[-1], return_index=True, return_counts=True)
+                cols = [np.full(len(at), y, np.int64), *h[:, at], n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["y", *LEVELS, "n"])
+    keys = ["y", *LEVELS]
+    return (sample.select("text", "y").mapInArrow(run, ", ".join(f"{k} bigint" for k in [*keys, "n"]))
+            .groupBy(*keys).agg(F.sum("n").alias("n")))
 
 
 class Model:
-    """Log-likelihood ratios: ``single[w]``, ``context[v]`` and the listed pairs."""
+    """Sorted unit hashes and log-likelihood ratios (last entry: any other unit, 0) of each step."""
 
-    def __init__(self, words, single, context, pairs, ratios):
-        self.words, self.single, self.context, self.pairs, self.ratios = words, single, context, pairs, ratios
+    def __init__(self, steps: list[tuple[np.ndarray, np.ndarray]]):
+        self.steps = steps
 
     def features(self, text) -> tuple[float, float]:
-        h = word_hashes(text, strip=True)
-        if not len(h):
+        h = _distinct(text)
+        n = h.shape[1]
+        if not n:
             return 0.0, 0.0
-        w = _index(self.words, h)
-        v = np.concatenate([[0], w[:-1]])
-        llr = self.single[w] + self.context[v]
-        if len(self.pairs):
-            key = v * np.int64(len(self.single)) + w
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            llr[hit] = self.ratios[at[hit]]
-        total = np.concatenate([[0.0], np.cumsum(llr)])
-        if len(h) <= WINDOW:
-            return total[-1] / len(h), total[-1] / WINDOW
-        lo = np.append(np.arange(0, len(h) - WINDOW, STEP), len(h) - WINDOW)
-        return total[-1] / len(h), float((total[lo + WINDOW] - total[lo]).max()) / WINDOW
-
-
-def _estimate(words, pairs, context, types, shared, d=0.75) -> Model:
-    """Interpolated Kneser-Ney for both classes over word indices; index 0 stands for all other words.
-
-    ``pairs``: rows ``(y, v, w, n)``; ``context``: rows ``(y, v, n)``; ``types``: rows ``(y, w, left contexts)``;
-    ``shared``: counts over all documents, the lowest backoff of both classes.
-    """
-    size = len(words) + 1
-    base = (shared + 0.5) / (shared.sum() + 0.5 * size)
-    key = pairs[:, 1] * np.int64(size) + pairs[:, 2]
-    keep = np.unique(key)
-    v, w = keep // size, keep % size
-    single, lam, prob = [], [], []
-    for y in (1, 0):
-        n1 = np.zeros(size)
-        own = types[types[:, 0] == y]
-        n1[own[:, 1]] = own[:, 2]
-        total = max(n1.sum(), 1.0)
-        uni = np.maximum(n1 - d, 0) / total + d * max((n1 > 0).sum(), 1) / total * base
-        own = context[context[:, 0] == y]
-        follow = np.zeros(size)
-        follow[own[:, 1]] = own[:, 2]
-        n = np.zeros(len(keep))
-        mine = pairs[:, 0] == y
-        n[np.searchsorted(keep, key[mine])] = pairs[mine, 3]
-        direct = np.maximum(n - d, 0) / np.maximum(follow[v], 1)
-        left = np.maximum(1 - np.bincount(v, weights=direct, minlength=size), 1e-6)
-        single.append(uni)
-        lam.append(left)
-        prob.append(direct + left[v] * uni[w])
-    return Model(words, np.log(single[0] / single[1]), np.log(lam[0] / lam[1]), keep, np.log(prob[0] / prob[1]))
-
-
-MIN_COUNT, MIN_PAIR = 8, 6
+        total = np.zeros(n + 1)
+        for units, (known, ratio) in zip(h, self.steps):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, units), len(known) - 1)
+                total[1:] += np.where(known[at] == units, ratio[at], 0.0)
+        total = np.cumsum(total)
+        if n <= WINDOW:
+            return total[-1] / n, total[-1] / WINDOW
+        lo = np.append(np.arange(0, n - WINDOW, STEP), n - WINDOW)
+        return total[-1] / n, float((total[lo + WINDOW] - total[lo]).max()) / WINDOW
+
+
+def _step(rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Log ratios of units; ``rows``: for class 1, then 0, the unit's count, its context's count and types."""
+    out = []
+    for n, of, types in (rows[:, 0:3].T, rows[:, 3:6].T):
+        kept = np.minimum(1.0, DISCOUNT * types / np.maximum(of, 1)) + (of == 0)
+        out.append(np.maximum(n - DISCOUNT, 0) / np.maximum(of, 1) + np.minimum(kept, 1.0) * shared)
+    ratio = np.log(np.maximum(out[0], 1e-12) / np.maximum(out[1], 1e-12))
+    error = 2 * np.sqrt(1 / (rows[:, 0] + 0.5) + 1 / (rows[:, 3] + 0.5))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - error, 0)
+
+
+def _sorted(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Collected rows in the order of their first column, a hash, and those hashes."""
+    rows = np.array([tuple(r) for r in df.collect()], np.int64).reshape(-1, width)
+    rows = rows[np.argsort(rows[:, 0].view(np.uint64))]
+    return rows[:, 0].copy().view(np.uint64), rows[:, 1:]
+
+
+def estimate(docs: DataFrame, grams: DataFrame) -> Model:
+    """The ratios of all units that occur ``MIN_COUNT`` times in a class; what is collected is bounded by the sample."""
+    def both(name, alias):
+        return [F.sum(F.when(F.col("y") == y, F.col(name)).otherwise(0)).alias(f"{alias}{y}") for y in (1, 0)]
+
+    def unit(i):
+        """Counts of the units of a level, their contexts (``up``), and how many units follow them at the next level."""
+        nxt = F.col(LEVELS[i + 1]) if i + 1 < len(LEVELS) else F.lit(None)
+        up = F.first(LEVELS[i - 1]) if i else F.lit(None).cast("bigint")
+        return grams.groupBy(F.col(LEVELS[i]).alias("h")).agg(
+            up.alias("up"), *both("n", "n"), *[F.countDistinct(F.when(F.col("y") == y, nxt)).alias(f"t{y}") for y in (1, 0)],
+            F.countDistinct(nxt).alias("t"))
+
+    often = F.greatest("n1", "n0") >= MIN_COUNT
+    level = materialize(unit(0))
+    top = level.agg(F.sum("n1").alias("o1"), F.sum("n0").alias("o0"), F.sum(F.signum("n1")).cast("long").alias("k1"),
+                    F.sum(F.signum("n0")).cast("long").alias("k0")).first()
+    known, rows = _sorted(level.where(often).select("h", "n1", "n0"), 3)
+    count, total = shared_counts(docs, known)
+    one = np.ones(len(rows))
+    table = np.stack([rows[:, 0], top.o1 * one, top.k1 * one, rows[:, 1], top.o0 * one, top.k0 * one], 1)
+    steps = [(known, _step(table, (count + 0.5) / (total + 0.5 * max(len(known), 1))))]
+    for i in range(1, len(LEVELS)):
+        # contexts of frequent units are frequent; their number is bounded by the sample
+        above = F.broadcast(level.where(often).select(F.col("h").alias("up"), F.col("n1").alias("o1"), F.col("n0").alias("o0"),
+                                                      F.col("t1").alias("k1"), F.col("t0").alias("k0"), F.col("t").alias("k")))
+        level = materialize(unit(i)) if i + 1 < len(LEVELS) else unit(i)
+        known, rows = _sorted(level.where(often).join(above, "up")
+                              .select("h", "n1", "o1", "k1", "n0", "o0", "k0", "k"), 8)
+        steps.append((known, _step(rows[:, :6], 1 / np.maximum(rows[:, 6], 1))))
+    return Model(steps)
+
+
+def shared_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """How often each listed stem occurs in all documents, and the number of all words."""
+    def run(batches):
+        import pyarrow as pa
+        total = np.zeros(len(known) + 1, np.int64)
+        for b in batches:
+            for t in texts_of(b.column(0)):
+                h = _distinct(t)[0]
+                if len(h) and len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    total += np.bincount(np.where(known[at] == h, at, len(known)), minlength=len(total))
+                else:
+                    total[-1] += len(h)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["w", "n"])
+    out = np.zeros(len(known) + 1)
+    for w, n in docs.select("text").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n")).collect():
+        out[w] = n  # one row per listed stem
+    return out[:-1], int(out.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, held: int = 0,
           per_class: int = 3000) -> tuple[Model | None, np.ndarray]:
     """Model and logistic coefficients (mean ratio, highest window, intercept)."""
     sample = labelled_sample(docs, labels, label, fold, held, per_class)
-    share = sample.agg(F.max("share"), F.countDistinct("y")).first()
-    if share[1] < 2:
-        p = 0.5 if share[0] is None else min(max(share[0], 1e-3), 1 - 1e-3)
+    found = {r.y: r for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.max("share").alias("share")).collect()}
+    if len(found) < 2:
+        share = next((r.share for r in found.values()), 0.5)
+        p = min(max(share, 1e-3), 1 - 1e-3)
         return None, np.array([0.0, 0.0, np.log(p / (1 - p))])
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))
-    counted, rest = sample.where(part != 0), sample.where(part == 0)
-    # bounded: the words that occur MIN_COUNT times in the sample's texts of one class
-    seen = _counts(counted, None).where(F.col("n") >= MIN_COUNT).select("w").distinct().collect()
-    words = np.sort(np.array([r.w for r in seen], np.int64).view(np.uint64)) if seen else np.empty(0, np.uint64)
-    pairs = materialize(_counts(counted, words))
-    # bounded by the listed words and pairs: left contexts per word, followers per word, pairs of MIN_PAIR and more
-    types = _rows(pairs.groupBy("y", "w").agg(F.countDistinct("h")), 3)
-    context = _rows(pairs.groupBy("y", "v").agg(F.sum("n")), 3)
-    listed = pairs.groupBy("y", "v", "w").agg(F.sum("n").alias("n"))
-    often = listed.groupBy("v", "w").agg(F.max("n").alias("most")).where(F.col("most") >= MIN_PAIR)
-    listed = _rows(listed.join(often, ["v", "w"]).select("y", "v", "w", "n"), 4)
-    model = _estimate(words, listed, context, types, shared_counts(docs, words))
-    got = features(rest, model, ["y"]).collect()
+    share = found[1].share
+    # a third for the curve; of the rest as many of one class as of the other
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3000))
+    few = min(found[0].n, found[1].n)
+    limit = F.when(F.col("y") == 1, int(2000 * few / found[1].n)).otherwise(int(2000 * few / found[0].n))
+    model = estimate(docs, materialize(_grams(sample.where(part < limit))))
+    got = features(sample.where(part >= 2000), model, ["y"]).collect()
     x = np.array([[r.mean, r.peak] for r in got]).reshape(-1, 2)
     y = np.array([r.y for r in got], float)
     if len(set(y)) < 2:
-        return model, np.array([20.0, 10.0, np.log(share[0] / (1 - share[0]))])
-    weight = np.where(y == 1, share[0] / max(y.mean(), 1e-9), (1 - share[0]) / max(1 - y.mean(), 1e-9))
+        return model, np.array([20.0, 10.0, np.log(share / (1 - share))])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return model, logistic(x, y, weight, ridge=1e-3)
 
 
-def _rows(df: DataFrame, width: int) -> np.ndarray:
-    return np.array([tuple(r) for r in df.collect()], np.int64).reshape(-1, width)
-
-
-def shared_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
-    """How often each listed word (index 0: any other) occurs in all documents."""
-    size = len(words) + 1
-
-    def run(batches):
-        import pyarrow as pa
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            for t in texts_of(b.column(0)):
-                total += np.bincount(_index(words, word_hashes(t, strip=True)), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["w", "n"])
-    out = np.zeros(size)
-    for w, n in docs.select("text").mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n")).collect():
-        out[w] = n  # one row per listed word
-    return out
-
-
 def features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the two ratios of each text."""
+    """``keep`` columns and the two ratios of each whole text."""
     types = dict(rows.dtypes)
 
     def run(batches):
@@ -182,17 +192,18 @@ def features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.select("text", *keep).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: Model | None, coef: np.ndarray, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+def score(docs: DataFrame, model: Model | None, coef: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and ``score``."""
     if model is None:
         return docs.select(*keep, F.lit(float(sigmoid(coef[2]))).alias("score"))
     z = sum((F.col(c) * float(a) for c, a in zip(("mean", "peak"), coef)), F.lit(float(coef[2])))
-    return features(docs, model, keep).select(*keep, (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))).alias("score"))
+    z = F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))
+    return features(docs, model, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     model, coef = train(docs, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return score(docs, model, coef).select("doc_id", held.alias("held_out"), "score",
-                                           F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return score(docs, model, coef, ["doc_id"]).select("doc_id", held.alias("held_out"), "score",
+                                                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
