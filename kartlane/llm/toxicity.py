@@ -5,10 +5,10 @@ those, and so on up to 8, then the whole word. Two such models, toxic and ordina
 sample of labelled rows (at most ``per_class`` documents a class). Every step
 backs off to counts that both classes share: the first to the counts over *all*
 documents, the others to continuation counts (distinct words) of both classes.
-Rare expressions (fewer than ``MIN_COUNT`` in either class) have nothing but
+Rare expressions (in fewer than ``MIN_COUNT`` documents of either class) have nothing but
 the shared part, so they speak for neither side, while a rare form of a
 frequent stem still speaks through its stem. Ratios are drawn towards 0 by two
-standard errors of their counts. A document's distinct words count once each,
+standard errors of their document counts. A document's distinct words count once each,
 in training and in scoring, so loops of one word weigh no more than the word.
 
 A document's features are its mean log-likelihood ratio per distinct word and
@@ -31,7 +31,6 @@ from .common import labelled_sample, logistic, materialize, sigmoid, texts_of, w
 
 WINDOW, STEP = 32, 16
 PREFIXES = (4, 5, 6, 7, 8)
-LEVELS = [f"h{i}" for i in range(len(PREFIXES) + 1)]  # hashes of the prefixes and of the word
 MIN_COUNT, DISCOUNT = 8, 0.75
 
 
@@ -43,21 +42,25 @@ def _distinct(text) -> np.ndarray:
 
 
 def _grams(sample: DataFrame) -> DataFrame:
-    """Distinct words with their counts: ``(y, h0, ..., n)``."""
+    """Units of every level: ``(y, level, h, up, n, d)``, ``n`` distinct words of a document summed, ``d`` documents."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             parts: dict = {}
             for y, t in zip(batch.column(1).to_pylist(), texts_of(batch.column(0))):
-                parts.setdefault(y, []).append(_distinct(t))
-            for y, h in parts.items():
-                h = np.concatenate(h, axis=1).view(np.int64)
-                _, at, n = np.unique(h[-1], return_index=True, return_counts=True)
-                cols = [np.full(len(at), y, np.int64), *h[:, at], n.astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["y", *LEVELS, "n"])
-    keys = ["y", *LEVELS]
-    return (sample.select("text", "y").mapInArrow(run, ", ".join(f"{k} bigint" for k in [*keys, "n"]))
-            .groupBy(*keys).agg(F.sum("n").alias("n")))
+                h = _distinct(t).view(np.int64)
+                for i in range(len(h)):
+                    u, at, n = np.unique(h[i], return_index=True, return_counts=True)
+                    parts.setdefault((y, i), []).append(np.stack([u, h[max(i - 1, 0)][at], n]))
+            for (y, i), rows in parts.items():
+                h, up, n = np.concatenate(rows, axis=1)
+                u, at, back, d = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                n = np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
+                cols = [np.full(len(u), y, np.int64), np.full(len(u), i, np.int64), u, up[at], n, d.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["y", "level", "h", "up", "n", "d"])
+    schema = "y bigint, level bigint, h bigint, up bigint, n bigint, d bigint"
+    return (sample.select("text", "y").mapInArrow(run, schema).groupBy("y", "level", "h")
+            .agg(F.first("up").alias("up"), F.sum("n").alias("n"), F.sum("d").alias("d")))
 
 
 class Model:
@@ -83,14 +86,15 @@ class Model:
         return total[-1] / n, float((total[lo + WINDOW] - total[lo]).max()) / WINDOW
 
 
-def _step(rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Log ratios of units; ``rows``: for class 1, then 0, the unit's count, its context's count and types."""
+def _step(rows: np.ndarray, docs: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Log ratios of units; ``rows``: for class 1, then 0, the unit's count, its context's count and types;
+    ``docs``: in how many documents of each class the unit occurs."""
     out = []
     for n, of, types in (rows[:, 0:3].T, rows[:, 3:6].T):
         kept = np.minimum(1.0, DISCOUNT * types / np.maximum(of, 1)) + (of == 0)
         out.append(np.maximum(n - DISCOUNT, 0) / np.maximum(of, 1) + np.minimum(kept, 1.0) * shared)
     ratio = np.log(np.maximum(out[0], 1e-12) / np.maximum(out[1], 1e-12))
-    error = 2 * np.sqrt(1 / (rows[:, 0] + 0.5) + 1 / (rows[:, 3] + 0.5))
+    error = 2 * np.sqrt(1 / (docs[:, 0] + 0.5) + 1 / (docs[:, 1] + 0.5))
     return np.sign(ratio) * np.maximum(np.abs(ratio) - error, 0)
 
 
@@ -107,30 +111,31 @@ def estimate(docs: DataFrame, grams: DataFrame) -> Model:
         return [F.sum(F.when(F.col("y") == y, F.col(name)).otherwise(0)).alias(f"{alias}{y}") for y in (1, 0)]
 
     def unit(i):
-        """Counts of the units of a level, their contexts (``up``), and how many units follow them at the next level."""
-        nxt = F.col(LEVELS[i + 1]) if i + 1 < len(LEVELS) else F.lit(None)
-        up = F.first(LEVELS[i - 1]) if i else F.lit(None).cast("bigint")
-        return grams.groupBy(F.col(LEVELS[i]).alias("h")).agg(
-            up.alias("up"), *both("n", "n"), *[F.countDistinct(F.when(F.col("y") == y, nxt)).alias(f"t{y}") for y in (1, 0)],
-            F.countDistinct(nxt).alias("t"))
-
-    often = F.greatest("n1", "n0") >= MIN_COUNT
+        """Counts of a level's units in both classes, and how many units of the next level follow them."""
+        after = (grams.where(F.col("level") == i + 1).groupBy(F.col("up").alias("h"))
+                 .agg(F.count_if(F.col("y") == 1).alias("k1"), F.count_if(F.col("y") == 0).alias("k0"),
+                      F.countDistinct(F.col("h")).alias("k")))
+        own = (grams.where(F.col("level") == i).groupBy("h")
+               .agg(F.first("up").alias("up"), *both("n", "n"), *both("d", "d")).join(after, "h", "left").fillna(0))
+        return own.where(F.greatest("d1", "d0") >= MIN_COUNT)
+
     level = materialize(unit(0))
-    top = level.agg(F.sum("n1").alias("o1"), F.sum("n0").alias("o0"), F.sum(F.signum("n1")).cast("long").alias("k1"),
-                    F.sum(F.signum("n0")).cast("long").alias("k0")).first()
-    known, rows = _sorted(level.where(often).select("h", "n1", "n0"), 3)
+    top = (grams.where("level = 0").groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect())
+    total_of, types_of = {r.y: r.n for r in top}, {r.y: r.k for r in top}
+    known, rows = _sorted(level.select("h", "n1", "n0", "d1", "d0"), 5)
     count, total = shared_counts(docs, known)
     one = np.ones(len(rows))
-    table = np.stack([rows[:, 0], top.o1 * one, top.k1 * one, rows[:, 1], top.o0 * one, top.k0 * one], 1)
-    steps = [(known, _step(table, (count + 0.5) / (total + 0.5 * max(len(known), 1))))]
-    for i in range(1, len(LEVELS)):
+    table = np.stack([rows[:, 0], total_of.get(1, 0) * one, types_of.get(1, 0) * one,
+                      rows[:, 1], total_of.get(0, 0) * one, types_of.get(0, 0) * one], 1)
+    steps = [(known, _step(table, rows[:, 2:], (count + 0.5) / (total + 0.5 * max(len(known), 1))))]
+    for i in range(1, len(PREFIXES) + 1):
         # contexts of frequent units are frequent; their number is bounded by the sample
-        above = F.broadcast(level.where(often).select(F.col("h").alias("up"), F.col("n1").alias("o1"), F.col("n0").alias("o0"),
-                                                      F.col("t1").alias("k1"), F.col("t0").alias("k0"), F.col("t").alias("k")))
-        level = materialize(unit(i)) if i + 1 < len(LEVELS) else unit(i)
-        known, rows = _sorted(level.where(often).join(above, "up")
-                              .select("h", "n1", "o1", "k1", "n0", "o0", "k0", "k"), 8)
-        steps.append((known, _step(rows[:, :6], 1 / np.maximum(rows[:, 6], 1))))
+        above = F.broadcast(level.select(F.col("h").alias("up"), F.col("n1").alias("o1"), F.col("n0").alias("o0"),
+                                         F.col("k1"), F.col("k0"), F.col("k")))
+        level = materialize(unit(i))
+        known, rows = _sorted(level.drop("k1", "k0", "k").join(above, "up")
+                              .select("h", "n1", "o1", "k1", "n0", "o0", "k0", "d1", "d0", "k"), 10)
+        steps.append((known, _step(rows[:, :6], rows[:, 6:8], 1 / np.maximum(rows[:, 8], 1))))
     return Model(steps)
 
 
