@@ -20,8 +20,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids`` (binary, little-endian unsigned 32-bit) of each text."""
     def run(batches):
         import pyarrow as pa
-        from .tokens import encoder
-        enc = encoder(path, SEPARATOR, True)
+        from .tokens import UnitEncoder, encoder
+        enc = encoder(UnitEncoder, path, SEPARATOR)
         for b in batches:
             ids = enc.encode([bytes(t) for t in texts_of(b.column(1))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -48,8 +48,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(batches):
         import pyarrow as pa
-        from .tokens import ByteDecoder, encoder
-        enc, dec = encoder(path, SEPARATOR, True), ByteDecoder(path)
+        from .tokens import ByteDecoder, UnitEncoder, encoder
+        enc, dec = encoder(UnitEncoder, path, SEPARATOR), ByteDecoder(path)
         for b in batches:
             n, x, y = [], [], []
             raws = [bytes(t) for t in texts_of(b.column(1))]

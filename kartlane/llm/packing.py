@@ -22,10 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts_of
+from .common import shared_dir
 
 WINDOW, CLOSE = 4096, 2
-SEPARATOR = "<|startoftext|>"
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -34,21 +33,21 @@ def tokenise(docs: DataFrame, path: str, vocabulary: int = 49_408) -> tuple[Data
     """``(doc_id, n, ids)`` with 16-bit ids, and ``(term, df)``; both read from the shared folder."""
     def run(batches):
         import pyarrow as pa
-        from .tokens import encoder
-        enc = encoder(path, SEPARATOR, False)
+        from .tokens import WordEncoder, encoder
+        enc = encoder(WordEncoder, path)
         df, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
         names = ["kind", "doc_id", "n", "ids"]
         for b in batches:
             n, out = [], []
-            raws = [bytes(t) for t in texts_of(b.column(1))]
-            for at in range(0, len(raws), 200):
-                for ids in enc.encode(raws[at:at + 200]):
-                    ids = np.append(np.frombuffer(ids, "<u4").astype("<u2"), np.uint16(CLOSE))
-                    seen[ids] = True
+            for at in range(0, b.num_rows, 2000):
+                ids, bound = enc.encode(b.column(1).slice(at, 2000))
+                for x, y in zip(bound[:-1], bound[1:]):
+                    own = np.append(ids[x:y], np.uint16(CLOSE))
+                    seen[own] = True
                     df += seen
-                    seen[ids] = False
-                    n.append(len(ids))
-                    out.append(ids.tobytes())
+                    seen[own] = False
+                    n.append(len(own))
+                    out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(n), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names)
         yield pa.RecordBatch.from_arrays(

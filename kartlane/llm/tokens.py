@@ -31,10 +31,10 @@ def load(path: str):
 
 
 class UnitEncoder:
-    """Exact ids of UTF-8 texts; ``keep_space``: units keep a leading space or line feed (byte-level BPE)."""
+    """Exact ids of UTF-8 texts for byte-level BPE; units keep their leading space or line feed."""
 
-    def __init__(self, path: str, separator: str, keep_space: bool, leaf: int = 4096, most: int = 500_000):
-        self.tok, self.leaf, self.most, self.keep = load(path), leaf, most, keep_space
+    def __init__(self, path: str, separator: str, leaf: int = 4096, most: int = 500_000):
+        self.tok, self.leaf, self.most = load(path), leaf, most
         self.sep, self.sep_id = separator, self.tok.token_to_id(separator)
         self.cache: dict[bytes, bytes] = {}
 
@@ -42,8 +42,6 @@ class UnitEncoder:
         """The text's units, or None where cutting it is not certain to be exact."""
         if b"<|" in raw:
             return None
-        if not self.keep:
-            return raw.split()
         if len(raw.translate(None, _OTHER_SPACE)) != len(raw):
             return None
         if any(x in raw for x in _WIDE_LEAD) and _WIDE_SPACE.search(raw):
@@ -144,10 +142,7 @@ class ByteDecoder:
 
     def __init__(self, path: str):
         tok = load(path)
-        byte = {}
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        for i, b in enumerate([*kept, *(x for x in range(256) if x not in set(kept))]):
-            byte[chr(b) if i < len(kept) else chr(256 + i - len(kept))] = b
+        byte = byte_alphabet()
         vocab = tok.get_vocab(with_added_tokens=True)
         self.table = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
@@ -160,8 +155,100 @@ class ByteDecoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, separator: str, keep_space: bool) -> UnitEncoder:
-    """One encoder per worker process, so that its units stay known from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path, separator, keep_space)
-    return _ENCODERS[path]
+def encoder(kind, path: str, *more):
+    """One encoder of a class and file per worker process, so that its words stay known from task to task."""
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path, *more)
+    return _ENCODERS[kind, path]
+
+
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_END = "\x01"
+
+
+class WordEncoder:
+    """Exact ids for tokenizer files of BPE with word ends that drop white space.
+
+    Words are cut and numbered by Arrow's kernels; each distinct word is encoded
+    once per worker. The merges of plain words (Latin-1 letters, digits, ASCII
+    marks but the apostrophe) run in ``tiktoken`` over the file's own merge list
+    with ``\\x01`` for a word's end; any other word goes through the tokenizer itself.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        import json
+
+        import tiktoken
+        self.tok, self.most = load(path), most
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        byte = byte_alphabet()
+
+        def raw(token: str) -> bytes:
+            body = token.removesuffix("</w>")
+            return bytes(byte[c] for c in body) + (_END.encode() if body != token else b"")
+
+        ranks = {bytes([x]): x for x in range(256)} | {bytes([x, 1]): 256 + x for x in range(256) if x != 1}
+        for j, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            ranks.setdefault(raw(a) + raw(b), 512 + j)
+        own = {raw(t): i for t, i in model["vocab"].items()}
+        self.ids = np.zeros(512 + len(model["merges"]), "<u2")
+        self.ends = np.zeros(len(self.ids), bool)
+        for t, r in ranks.items():
+            self.ids[r], self.ends[r] = own.get(t, 0), t.endswith(b"\x01")
+        self.bpe = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
+        self.cache: dict[bytes, bytes] = {b"": b""}
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.cache) + len(words) > self.most:
+            self.cache = {b"": b""}
+        plain, counts, names, rest = [], [], [], []
+        for w in words:
+            s = w.decode()
+            found = _PLAIN.findall(s)
+            if len(s) <= 64 and "<|" not in s and sum(map(len, found)) == len(s):
+                plain += found
+                counts.append(len(found))
+                names.append(w)
+            else:
+                rest.append(w)
+        if plain:
+            got = np.array(self.bpe.encode_ordinary(_END.join(plain).lower() + _END), np.int64)
+            last = np.flatnonzero(self.ends[got])[np.cumsum(counts) - 1] + 1
+            raw, cut = self.ids[got].tobytes(), (2 * last).tolist()
+            self.cache.update(zip(names, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
+        for w in rest:
+            s = w.decode()
+            self.cache[w] = tree_encode(self.tok, s).astype("<u2").tobytes()
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow string column (null: empty) in one array, and where each row begins and ends."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        lists = pc.ascii_split_whitespace(column.fill_null(""))
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        code = np.asarray(words.indices)
+        names = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.dictionary.type) else pa.binary()).to_pylist()
+        fresh = [w for w in names if w not in self.cache]
+        if fresh:
+            before = len(self.cache)
+            self._learn(fresh)
+            if len(self.cache) < before:  # it was emptied meanwhile
+                self._learn([w for w in names if w not in self.cache])
+        parts = list(map(self.cache.__getitem__, names))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        flat = np.frombuffer(b"".join(parts), "<u2")
+        start = np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(start[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, np.concatenate([[0], end])[bounds]
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in set(kept)]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(rest)}
