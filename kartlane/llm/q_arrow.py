@@ -36,3 +36,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+    return jaccard.near_duplicates(documents(spark, sf_dir), words=4, num=85, den=100)

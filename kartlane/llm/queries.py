@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> (module of this package, function(spark, sf_dir))
 NAMES = {
     "op1_url_filter": ("q_native", "op1"),
+    "op3_jaccard": ("q_arrow", "op3"),
     "op5_bpe": ("q_arrow", "op5"),
     "op6_quality": ("q_arrow", "op6"),
     "op8_packing": ("q_arrow", "op8"),

@@ -11,8 +11,9 @@ frequent stem still speaks through its stem. Ratios are drawn towards 0 by two
 standard errors of their document counts. A document's distinct words count once each,
 in training and in scoring, so loops of one word weigh no more than the word.
 
-A document's features are its mean log-likelihood ratio per distinct word and
-the highest mean of any window of ``WINDOW`` of them. A logistic curve, fitted on
+A document's features are its mean log-likelihood ratio per distinct word, the
+highest mean of any window of ``WINDOW`` of them, and the mean of its ``TOP``
+highest. A logistic curve, fitted on
 sample rows that the counts did not see, turns them into a probability at the
 labels' own class share.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, logistic, materialize, sigmoid, texts_of, word_hashes
 
-WINDOW, STEP = 32, 16
+WINDOW, STEP, TOP = 32, 16, 4
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_COUNT, DISCOUNT = 8, 0.75
 
@@ -69,21 +70,22 @@ class Model:
     def __init__(self, steps: list[tuple[np.ndarray, np.ndarray]]):
         self.steps = steps
 
-    def features(self, text) -> tuple[float, float]:
+    def features(self, text) -> tuple[float, float, float]:
         h = _distinct(text)
         n = h.shape[1]
         if not n:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         total = np.zeros(n + 1)
         for units, (known, ratio) in zip(h, self.steps):
             if len(known):
                 at = np.minimum(np.searchsorted(known, units), len(known) - 1)
                 total[1:] += np.where(known[at] == units, ratio[at], 0.0)
+        top = float(np.partition(total[1:], n - TOP)[n - TOP:].sum() if n > TOP else total.sum()) / TOP
         total = np.cumsum(total)
         if n <= WINDOW:
-            return total[-1] / n, total[-1] / WINDOW
+            return total[-1] / n, total[-1] / WINDOW, top
         lo = np.append(np.arange(0, n - WINDOW, STEP), n - WINDOW)
-        return total[-1] / n, float((total[lo + WINDOW] - total[lo]).max()) / WINDOW
+        return total[-1] / n, float((total[lo + WINDOW] - total[lo]).max()) / WINDOW, top
 
 
 def _step(rows: np.ndarray, docs: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -162,13 +164,13 @@ def shared_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5, held: int = 0,
           per_class: int = 3000) -> tuple[Model | None, np.ndarray]:
-    """Model and logistic coefficients (mean ratio, highest window, intercept)."""
+    """Model and logistic coefficients (mean ratio, highest window, highest words, intercept)."""
     sample = labelled_sample(docs, labels, label, fold, held, per_class)
     found = {r.y: r for r in sample.groupBy("y").agg(F.count("*").alias("n"), F.max("share").alias("share")).collect()}
     if len(found) < 2:
         share = next((r.share for r in found.values()), 0.5)
         p = min(max(share, 1e-3), 1 - 1e-3)
-        return None, np.array([0.0, 0.0, np.log(p / (1 - p))])
+        return None, np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))])
     share = found[1].share
     # a third for the curve; of the rest as many of one class as of the other
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3000))
@@ -176,32 +178,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
     limit = F.when(F.col("y") == 1, int(2000 * few / found[1].n)).otherwise(int(2000 * few / found[0].n))
     model = estimate(docs, materialize(_grams(sample.where(part < limit))))
     got = features(sample.where(part >= 2000), model, ["y"]).collect()
-    x = np.array([[r.mean, r.peak] for r in got]).reshape(-1, 2)
+    x = np.array([[r.mean, r.peak, r.top] for r in got]).reshape(-1, 3)
     y = np.array([r.y for r in got], float)
     if len(set(y)) < 2:
-        return model, np.array([20.0, 10.0, np.log(share / (1 - share))])
+        return model, np.array([0.0, 0.0, 2.0, np.log(share / (1 - share))])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     return model, logistic(x, y, weight, ridge=1e-3)
 
 
 def features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the two ratios of each whole text."""
+    """``keep`` columns and the three ratios of each whole text."""
     types = dict(rows.dtypes)
 
     def run(batches):
         import pyarrow as pa
         for b in batches:
-            f = np.array([model.features(t) for t in texts_of(b.column(0))], float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(f[:, 0]), pa.array(f[:, 1])], [*keep, "mean", "peak"])
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["mean double", "peak double"])
+            f = np.array([model.features(t) for t in texts_of(b.column(0))], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(f[:, i]) for i in range(3))],
+                                             [*keep, "mean", "peak", "top"])
+    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["mean double", "peak double", "top double"])
     return rows.select("text", *keep).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model | None, coef: np.ndarray, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and ``score``."""
     if model is None:
-        return docs.select(*keep, F.lit(float(sigmoid(coef[2]))).alias("score"))
-    z = sum((F.col(c) * float(a) for c, a in zip(("mean", "peak"), coef)), F.lit(float(coef[2])))
+        return docs.select(*keep, F.lit(float(sigmoid(coef[-1]))).alias("score"))
+    z = sum((F.col(c) * float(a) for c, a in zip(("mean", "peak", "top"), coef)), F.lit(float(coef[-1])))
     z = F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))
     return features(docs, model, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
 
