@@ -41,3 +41,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
     return jaccard.near_duplicates(documents(spark, sf_dir), words=4, num=85, den=100)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    return (warc.round_trip(pages(spark, sf_dir))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import htmltext
+    return htmltext.extract(pages(spark, sf_dir))

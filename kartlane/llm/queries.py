@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_url_filter": ("q_native", "op1"),
     "op3_jaccard": ("q_arrow", "op3"),
+    "op4_warc": ("q_arrow", "op4"),
     "op5_bpe": ("q_arrow", "op5"),
     "op6_quality": ("q_arrow", "op6"),
+    "op7_html": ("q_arrow", "op7"),
     "op8_packing": ("q_arrow", "op8"),
     "op9_toxicity": ("q_arrow", "op9"),
     "op10_simhash": ("q_native", "op10"),

@@ -43,4 +43,14 @@ select page_id, host, path, rule, case rule when 'net/' then 'block' when 'examp
  else case when high < 0.5 then 'block' else 'allow' end end as verdict from f
 """
 
-ORACLE = {"op1_url_filter": OP1}
+OP4 = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+k as (select payload_digest, max(page_id) as keeper from d where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+ case when keeper is null or page_id = keeper then 'response' else 'revisit' end as record_type,
+ case when page_id <> keeper then keeper end as refers_to
+from d left join k using (payload_digest)
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op4_warc": OP4}
