@@ -56,3 +56,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import htmltext
     return htmltext.extract(pages(spark, sf_dir))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pq
+    return pq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

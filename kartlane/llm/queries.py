@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> (module of this package, function(spark, sf_dir))
 NAMES = {
     "op1_url_filter": ("q_native", "op1"),
+    "op2_pq_dedup": ("q_arrow", "op2"),
     "op3_jaccard": ("q_arrow", "op3"),
     "op4_warc": ("q_arrow", "op4"),
     "op5_bpe": ("q_arrow", "op5"),
