@@ -1,16 +1,66 @@
-"""Training-corpus pipeline: stages over the documents table, each calling one operator."""
+"""Training-corpus pipeline: toxicity, quality, near duplicates, packing.
+
+Each stage reads everything that the stage before it kept; all but the last
+return the columns of ``documents``, whatever these are. Defined results: rows
+that repeat a ``doc_id`` are one document to the near-duplicate stage (the one
+with the least text stays); rows without an id link like any other, and stay if
+no document with an id is linked to them. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kartlane.llm import jaccard, packing, quality, toxicity
+from kartlane.llm.common import materialize
+from kartlane.llm.q_arrow import labels, tokenizer_path
+
+BROADCAST_ROWS = 1_000_000  # ids that may be broadcast (8 MB); beyond, a shuffled join
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """The text, and the row with all its columns in one struct, so that their names clash with nothing."""
+    return docs.select("text", F.struct("*").alias("row"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models do not predict to be toxic."""
+    model, coef = toxicity.train(docs, labels(spark, sf_dir))
+    return toxicity.score(_whole(docs), model, coef, ["row"]).where("score < 0.5").select("row.*")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality network predicts to be good."""
+    net, coef = quality.train(docs, labels(spark, sf_dir))
+    return quality.score(_whole(docs), net, coef, ["row"]).where("score >= 0.5").select("row.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group linked by five-word shingles at a Jaccard index of 0.8."""
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+        docs = materialize(docs.where("doc_id is null").unionByName(
+            docs.where("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", "text")
+            .withColumn("first", first).where("first = 1").select("row.*")))
+    found = jaccard.near_duplicates(docs, words=5, num=80, den=100)
+    kept = materialize(found.where("doc_id <=> component_id").select("doc_id").distinct())
+    small = kept.count() <= BROADCAST_ROWS
+    kept = kept.withColumnRenamed("doc_id", "kept_id")
+    return docs.join(F.broadcast(kept) if small else kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All pieces of the documents, in sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
 
-STAGES = []
+STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_duplicates", one_of_each), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written to the shared folder and read back."""
-    from kartlane.llm.common import materialize
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import labelled_sample, logistic, sigmoid, texts_of
 
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
 
 def features(rows: DataFrame, net: Net, keep: list[str]) -> DataFrame:
     """``keep`` columns and mean, highest and lowest chunk logit of each whole text."""
-    types = dict(rows.dtypes)
+    schema = StructType([rows.schema[k] for k in keep] + [StructField(c, DoubleType()) for c in ("mean", "top", "low")])
 
     def run(batches):
         import pyarrow as pa
@@ -156,7 +157,6 @@ def features(rows: DataFrame, net: Net, keep: list[str]) -> DataFrame:
             f = np.array(f, float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(f[:, i]) for i in range(3))],
                                              [*keep, "mean", "top", "low"])
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["mean double", "top double", "low double"])
     return rows.select("text", *keep).mapInArrow(run, schema)
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import labelled_sample, logistic, materialize, sigmoid, texts_of, word_hashes
 
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
 
 def features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns and the three ratios of each whole text."""
-    types = dict(rows.dtypes)
+    schema = StructType([rows.schema[k] for k in keep] + [StructField(c, DoubleType()) for c in ("mean", "peak", "top")])
 
     def run(batches):
         import pyarrow as pa
@@ -196,7 +197,6 @@ def features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             f = np.array([model.features(t) for t in texts_of(b.column(0))], float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(f[:, i]) for i in range(3))],
                                              [*keep, "mean", "peak", "top"])
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["mean double", "peak double", "top double"])
     return rows.select("text", *keep).mapInArrow(run, schema)
 
 
