@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from kartlane.functions.exprs import day_diff, month_diff, month_trunc, safe_divide, fdiv, days_in_month
 from kartlane.operators.aggregates import mode_ref
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES - output schemas of the five fact tables (names and order).
+# ---------------------------------------------------------------------------
 ORDER_FACT_COLUMNS = [
     "order_id", "order_date", "order_month", "customer_id", "zip", "order_status",
     "payment_method_recorded", "device_type", "order_source", "distinct_products",

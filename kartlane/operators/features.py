@@ -22,7 +22,7 @@ from kartlane.functions.exprs import days_in_month, last_friday_of_november, wee
 from kartlane.operators.joins import nearest_event, range_join_promo
 from kartlane.operators.windows import expanding_mean, lag, shifted_rolling
 from kartlane.sources.inline import (EVENT_CENTERS, FIXED_HOLIDAYS, PROMO_SCHEDULE, TET_SENTINEL,
-                                     TET_WINDOW_DAYS, promo_instances, tet_table)
+                                     TET_DATES, TET_WINDOW_DAYS, promo_instances, tet_table)
 
 TARGETS = ["Revenue", "COGS"]
 LAGS = [1, 7, 14, 30, 365]
@@ -131,6 +131,9 @@ def fixed_holidays(df: DataFrame) -> DataFrame:
 
 def tet_features(spark, df: DataFrame, d: str = "Date") -> DataFrame:
     """Signed days to the nearest Tet within +-45 (else 999) and five flags."""
+    known = F.year(d).between(min(TET_DATES), max(TET_DATES)) | F.col(d).isNull()
+    df = df.withColumn(d, F.when(known, F.col(d)).otherwise(
+        F.raise_error(F.concat(F.lit("no Lunar New Year is listed for "), F.col(d).cast("string"))).cast("date")))
     out = nearest_event(df, d, tet_table(spark), "tet_date", TET_WINDOW_DAYS, TET_SENTINEL, "tet_days_diff")
     x = F.col("tet_days_diff")
     return out.withColumns({

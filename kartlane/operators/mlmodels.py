@@ -268,12 +268,15 @@ def direct_forecast(cat, refit_all: bool = True) -> DataFrame:
 
 
 def forecast_sink(cat, forecast: DataFrame, path: str) -> DataFrame:
-    """Template order kept, ISO dates, round(2), non-null and >= 0 enforced; CSV written."""
+    """Template order kept, ISO dates, round(2), >= 0; a template day without a forecast is an error; CSV written."""
     tmpl = cat.table("sample_submission").select("Date")
+
+    def known(c):
+        gap = F.raise_error(F.concat(F.lit(f"no {c} forecast for "), F.col("Date").cast("string"))).cast("double")
+        return F.round(F.greatest(F.coalesce(F.nanvl(F.col(c), gap), gap), F.lit(0.0)), 2).alias(c)
+
     f = tmpl.join(forecast, "Date", "left").select(
-        F.date_format("Date", "yyyy-MM-dd").alias("Date"),
-        F.round(F.greatest(F.coalesce("Revenue", F.lit(0.0)), F.lit(0.0)), 2).alias("Revenue"),
-        F.round(F.greatest(F.coalesce("COGS", F.lit(0.0)), F.lit(0.0)), 2).alias("COGS")).orderBy("Date")
+        F.date_format("Date", "yyyy-MM-dd").alias("Date"), known("Revenue"), known("COGS")).orderBy("Date")
     f.write.mode("overwrite").option("header", True).csv(path)
     return cat.spark.read.option("header", True).schema("Date string, Revenue double, COGS double").csv(path)
 

@@ -7,6 +7,9 @@ never shadow the raw views they read.
 
 from __future__ import annotations
 
+from kartlane.sources.inline import TET_DATES
+from kartlane.sources.standins import FORECAST_HORIZON_DAYS
+
 # (dependencies, body)
 STANDINS: dict[str, tuple[list[str], str]] = {
     "v_customers": ([], """
@@ -108,6 +111,24 @@ STANDINS: dict[str, tuple[list[str], str]] = {
           FROM (SELECT *, CAST(year(snapshot_date) AS BIGINT) * 12 + CAST(month(snapshot_date) AS BIGINT) AS m
                 FROM v_inventory_base) b
           LEFT JOIN part p ON b.product_id = p.p_partkey)"""),
+    "v_promotions": ([], """
+        SELECT campaign || '_' || CAST(y AS VARCHAR) AS promo_id, campaign AS promo_name,
+               CASE WHEN coalesce(disc, 0) > 0 THEN 'percentage' ELSE 'fixed' END AS promo_type,
+               CASE WHEN coalesce(disc, 0) > 0 THEN CAST(disc AS DOUBLE) ELSE 50.0::DOUBLE END AS discount_value,
+               CAST(make_date(y, sm, sd) AS DATE) AS start_date, CAST(make_date(y, sm, sd) + dur AS DATE) AS end_date,
+               CAST(NULL AS VARCHAR) AS applicable_category, CAST(NULL AS VARCHAR) AS promo_channel,
+               CAST(0 AS INTEGER) AS stackable_flag, CAST(NULL AS DOUBLE) AS min_order_value
+        FROM (SELECT unnest(range(CAST(min(year(o_orderdate)) - 1 AS BIGINT),
+                                  CAST(max(year(o_orderdate)) + 2 AS BIGINT))) AS y FROM orders) yrs
+        CROSS JOIN (VALUES ('spring_sale', 3, 18, 30, 12.0, 'yearly'), ('mid_year', 6, 23, 29, 18.0, 'yearly'),
+          ('fall_launch', 8, 30, 32, 10.0, 'yearly'), ('year_end', 11, 18, 45, 20.0, 'yearly'),
+          ('urban_blowout', 7, 30, 33, NULL, 'odd'), ('rural_special', 1, 30, 30, 15.0, 'odd'))
+          camp(campaign, sm, sd, dur, disc, rec)
+        WHERE rec <> 'odd' OR y % 2 = 1"""),
+    "v_sample_submission": (["v_orders_slim"], f"""
+        SELECT CAST(unnest(generate_series(max(order_date) + 1, max(order_date) + {FORECAST_HORIZON_DAYS},
+                                           INTERVAL 1 DAY)) AS DATE) AS Date,
+               0.0::DOUBLE AS Revenue, 0.0::DOUBLE AS COGS FROM v_orders_slim"""),
     "v_sales": (["v_item_values", "v_orders_slim"], """
         SELECT s.Date, CAST(round(CAST(coalesce(d.Revenue, 0.0) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS Revenue,
                CAST(round(CAST(coalesce(d.COGS, 0.0) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS COGS
@@ -439,8 +460,8 @@ def hist_sql(src: str, x: str, bins: int, keys: list[str], density: bool = False
     dens = ""
     if density:
         part = f"PARTITION BY {k}" if keys else ""
-        dens = (f", {R(f'CAST(cnt AS DOUBLE) / nullif(CAST(sum(cnt) OVER ({part}) AS DOUBLE) * (hi - lo), 0)')}"
-                " AS density")
+        dens = (f", CAST(printf('%.6e', CAST(cnt AS DOUBLE) / nullif(CAST(sum(cnt) OVER ({part}) AS DOUBLE) * (hi - lo), 0)) "
+                "AS DOUBLE) AS density")
     return f"""
     SELECT {kc}bin, {R('lo')} AS lo, {R('hi')} AS hi, cnt AS count{dens} FROM (
       SELECT {kc}bin, _lo + CAST(bin - 1 AS DOUBLE) * ((_hi - _lo) / {float(bins)!r}) AS lo,
@@ -471,8 +492,5 @@ STANDINS.update({
         SELECT series_id, 'Revenue' AS target, Date, Revenue AS y FROM v_sales_panel
         UNION ALL SELECT series_id, 'COGS', Date, COGS FROM v_sales_panel"""),
     "v_tet": ([], "SELECT CAST(d AS DATE) AS tet_date FROM (VALUES " + ", ".join(
-        f"('{v}')" for v in ["1994-02-10", "1995-01-31", "1996-02-19", "1997-02-07", "1998-01-28", "1999-02-16",
-                             "2000-02-05", "2001-01-24", "2002-02-12", "2003-02-01", "2013-02-10", "2014-01-31",
-                             "2015-02-19", "2016-02-08", "2017-01-28", "2018-02-16", "2019-02-05", "2020-01-25",
-                             "2021-02-12", "2022-02-01", "2023-01-22", "2024-02-10"]) + ") t(d)"),
+        f"('{v}')" for v in TET_DATES.values()) + ") t(d)"),
 })

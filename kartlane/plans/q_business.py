@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kartlane.functions.exprs import r4
 from kartlane.operators import business as B
 from kartlane.operators.facts import order_revenue
 from kartlane.plans.oracle import D, R, select_final as S, with_views as W
@@ -114,10 +115,28 @@ def q_value_by_installments(cat):
 def _answer_sql(q, body, label, metric, how):
     order = "DESC" if how == "max" else "ASC"
     return (f"SELECT '{q}' AS question, (SELECT CAST({label} AS VARCHAR) FROM ({body}) "
-            f"ORDER BY {metric} {order}, CAST({label} AS VARCHAR) {order} LIMIT 1) AS answer")
+            f"ORDER BY {metric} {order} NULLS LAST, CAST({label} AS VARCHAR) {order} LIMIT 1) AS answer")
 
 
 _ANS = [
+    ("Q1_median_inter_order_gap_days", f"""SELECT {R('median(gap)')} AS gap, 1 AS m FROM (
+      SELECT date_diff('day', lag(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id),
+                       order_date) AS gap FROM v_orders_slim) WHERE gap IS NOT NULL""", "gap", "m", "max"),
+    ("Q5_promo_usage_percent", f"""SELECT {R("CAST(count(*) FILTER (WHERE promo_id IS NOT NULL OR promo_id_2 IS NOT NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) * 100.0")} AS p,
+      1 AS m FROM v_order_items""", "p", "m", "max"),
+    ("Q6_best_age_group", """SELECT age_group, CAST(count(order_id) AS DOUBLE) / nullif(CAST(count(DISTINCT customer_id) AS DOUBLE), 0) AS m
+      FROM (SELECT DISTINCT customer_id, age_group FROM v_customers) c LEFT JOIN v_orders_slim o USING (customer_id)
+      GROUP BY age_group""", "age_group", "m", "max"),
+    ("Q7_top_region_estimated_revenue", """SELECT region, sum(order_share * Revenue) AS m FROM (
+      SELECT r.order_date, r.region, CAST(r.n AS DOUBLE) / nullif(CAST(t.n AS DOUBLE), 0) AS order_share
+      FROM (SELECT order_date, region, count(*) AS n FROM v_orders LEFT JOIN v_geography USING (zip) GROUP BY 1, 2) r
+      LEFT JOIN (SELECT order_date, count(*) AS n FROM v_orders GROUP BY 1) t USING (order_date)) s
+      JOIN v_sales ON s.order_date = v_sales.Date GROUP BY region""", "region", "m", "max"),
+    ("Q9_highest_return_rate_size", """SELECT k.size, CAST(coalesce(r.n, 0) AS DOUBLE) / nullif(CAST(coalesce(i.n, 0) AS DOUBLE), 0) AS m
+      FROM (VALUES ('S'), ('M'), ('L'), ('XL')) k(size)
+      LEFT JOIN (SELECT p.size, count(*) AS n FROM v_returns LEFT JOIN v_products p USING (product_id) GROUP BY 1) r USING (size)
+      LEFT JOIN (SELECT p.size, count(*) AS n FROM v_order_items LEFT JOIN v_products p USING (product_id) GROUP BY 1) i USING (size)""",
+     "size", "m", "max"),
     ("Q2_best_segment", "SELECT segment, avg((price - cogs) / nullif(price, 0)) AS m FROM v_products GROUP BY 1",
      "segment", "m", "max"),
     ("Q3_top_return_reason", f"SELECT return_reason, count(*) AS m FROM v_returns LEFT JOIN v_products USING (product_id) "
@@ -132,10 +151,24 @@ _ANS = [
 
 
 @register("q_answer_sheet", W(" UNION ALL ".join(_answer_sql(*a) for a in _ANS),
-                              "v_products", "v_returns", "v_web_traffic", "v_orders_slim", "v_payments"))
+                              "v_products", "v_returns", "v_web_traffic", "v_orders_slim", "v_payments", "v_order_items",
+                              "v_customers", "v_orders", "v_geography", "v_sales"))
 def q_answer_sheet(cat):
     """Best label per question via max_by / min_by (argmax / argmin)."""
+    gap = B.inter_order_gap(cat.table("orders_slim"))
+    promo = B.promo_usage(cat.table("order_items"))
     parts = {
+        "Q1_median_inter_order_gap_days": (gap.select(r4("median_inter_order_gap_days").alias("gap"), F.lit(1).alias("m")),
+                                           "gap", "m", "max"),
+        "Q5_promo_usage_percent": (promo.select(r4("promo_usage_percent").alias("p"), F.lit(1).alias("m")), "p", "m", "max"),
+        "Q6_best_age_group": (B.orders_per_age_group(cat.table("customers"), cat.table("orders_slim")), "age_group",
+                              "avg_orders_per_customer", "max"),
+        "Q7_top_region_estimated_revenue": (B.region_revenue_alloc(cat.table("orders"), cat.table("geography"),
+                                                                   cat.table("sales")),
+                                            "region", "estimated_region_revenue", "max"),
+        "Q9_highest_return_rate_size": (B.return_rate_by_size(cat.table("returns"), cat.table("order_items"),
+                                                              cat.table("products"), cat.spark),
+                                        "size", "return_rate", "max"),
         "Q2_best_segment": (B.segment_margin(cat.table("products")), "segment", "gross_margin_ratio", "max"),
         "Q3_top_return_reason": (B.return_reasons(cat.table("returns"), cat.table("products"), RETURN_CATEGORY),
                                  "return_reason", "returns", "max"),

@@ -4,24 +4,16 @@ from __future__ import annotations
 
 from kartlane.operators import demand as DM
 from kartlane.operators import facts as FX
-from kartlane.plans.oracle import D, R, STANDINS, with_views
+from kartlane.plans.oracle import D, R, with_views as W
 from kartlane.plans.registry import register
 
-_URGENT = {"v_orders_slim": STANDINS["v_orders_slim"][1] + f" WHERE o_orderpriority = '{DM.DEMAND_PRIORITY}'"}
-
-
-def W(body, *names):
-    return with_views(body, *names, overrides=_URGENT)
-
-
 def _cf(cat):
-    return FX.customer_fact(DM.demand_catalog(cat))
+    return FX.customer_fact(cat)
 
 
 def _facts(cat):
-    dc = DM.demand_catalog(cat)
-    of, cf = FX.order_fact(dc), FX.customer_fact(dc)
-    return cf, of, FX.cohort_activity(dc, of, cf)
+    of, cf = FX.order_fact(cat), FX.customer_fact(cat)
+    return cf, of, FX.cohort_activity(cat, of, cf)
 
 
 _CNT = """(SELECT count(DISTINCT customer_id) AS total,
@@ -70,8 +62,8 @@ def q_funnel_links(cat):
            {_sh('leakage_customers', 'total')} AS share_of_all_customers,
            {R("round_even(CAST(leakage_customers AS DOUBLE) / nullif(CAST(base_customers AS DOUBLE), 0) * 1000.0, 1)")} AS customers_per_1k_base
     FROM (SELECT c.total, v.* FROM {_CNT} c, LATERAL (VALUES
-           ('No Order', 'Customer signed up but never placed an order', c.total - c.ordered, 'All Customers', c.total),
-           ('One-time Buyers', 'Customer placed exactly one order and did not repeat', c.one_time, 'Ordered Customers', c.ordered))
+           ('No Order', 'Signed up, but has no order so far', c.total - c.ordered, 'All Customers', c.total),
+           ('One-time Buyers', 'Bought once and has not come back', c.one_time, 'Ordered Customers', c.ordered))
           v(leakage_point, leakage_definition, leakage_customers, base_population, base_customers))
     """, "v_customer_fact"))
 def q_leakage(cat):

@@ -33,7 +33,7 @@ ALIASES = {
     "shape_pivot": "q_product_month_profile", "shape_pivot_rank": "fact_customer_order_dates",
     "shape_unstack_two": "q_stockout_heatmap_wide", "shape_melt": "q_channel_rates_long",
     "shape_reindex_fill": "q_return_rate_by_size", "expr_threshold_relabel": "q_channel_grouped",
-    "flt_promo_used": "q_promo_usage", "flt_equality": "q_return_reasons", "expr_item_values": "src_table_order_items",
+    "flt_promo_used": "q_promo_usage", "flt_equality": "q_return_reasons",
     "expr_combine_first": "fact_order_level", "expr_period_label": "q_stockout_heatmap",
     "expr_bucket_cap": "q_retention_month_of_year", "expr_era_label": "q_era_distribution",
 "expr_clip": "fc_calibration_factors", "udaf_most_frequent": "agg_mode_tiebreak",
@@ -49,6 +49,12 @@ def _proj(name, doc, build, sql):
 
 
 # -- expressions ---------------------------------------------------------------------------
+_proj("expr_item_values", "Gross, net and cost value of every order line.",
+      lambda cat: cat.table("item_values").select("order_id", "product_id", "quantity", "gross_item_value",
+                                                  "net_item_value", "item_cogs"),
+      W(f"SELECT order_id, product_id, quantity, {R('gross_item_value')} AS gross_item_value, "
+        f"{R('net_item_value')} AS net_item_value, {R('item_cogs')} AS item_cogs FROM v_item_values", "v_item_values"))
+
 _proj("expr_discount_formula", "percentage: qty*price*value/100; fixed: qty*value (promo type by promo slot).",
       lambda cat: cat.table("order_items").select(
           "order_id", "product_id",
@@ -148,10 +154,12 @@ _proj("prj_reorder_subset", "Fixed output column list (reordered projection of p
       lambda cat: cat.table("payments").select("installments", "order_id", "payment_method"),
       W("SELECT installments, order_id, payment_method FROM v_payments", "v_payments"))
 
-_proj("prj_sample_rows", "Deterministic 500-row sample: order by md5(key), key (same rows in any engine).",
+SAMPLE_ROWS = 5000  # the sample's size is the feature here
+
+_proj("prj_sample_rows", "Deterministic sample of SAMPLE_ROWS rows: order by md5(key), key (same rows in any engine).",
       lambda cat: cat.table("orders_slim").select("order_id", "order_status")
-      .orderBy(F.md5(F.col("order_id").cast("string")), "order_id").limit(500),
-      W("SELECT order_id, order_status FROM v_orders_slim ORDER BY md5(CAST(order_id AS VARCHAR)), order_id LIMIT 500",
+      .orderBy(F.md5(F.col("order_id").cast("string")), "order_id").limit(SAMPLE_ROWS),
+      W(f"SELECT order_id, order_status FROM v_orders_slim ORDER BY md5(CAST(order_id AS VARCHAR)), order_id LIMIT {SAMPLE_ROWS}",
         "v_orders_slim"))
 
 # -- joins ----------------------------------------------------------------------------------------
@@ -342,11 +350,11 @@ _proj("win_duplicate_flag", "Later duplicates of (product, snapshot) flagged by
       W("SELECT count(*) - count(DISTINCT (product_id, snapshot_date)) AS duplicate_rows FROM v_inventory",
         "v_inventory"))
 
-_proj("sort_multi_mixed", "Category sales ordered by revenue desc, category asc (top 20 as a report).",
+_proj("sort_multi_mixed", "Category sales ordered by revenue desc, category asc.",
       lambda cat: __import__("kartlane.operators.business", fromlist=["x"]).category_sales(cat.table("item_values"))
-      .orderBy(F.desc("revenue"), F.asc("category"), F.asc("segment")).limit(20).select("category", "segment", "revenue"),
+      .orderBy(F.desc("revenue"), F.asc("category"), F.asc("segment")).select("category", "segment", "revenue"),
       W(f"SELECT category, segment, {R('sum(net_item_value)')} AS revenue FROM v_item_values GROUP BY 1, 2 "
-        "ORDER BY sum(net_item_value) DESC, category, segment LIMIT 20", "v_item_values"))
+        "ORDER BY sum(net_item_value) DESC, category, segment", "v_item_values"))
 
 _proj("topk_head", "Top 10 customers by net revenue (TakeOrderedAndProject).",
       lambda cat: FX.order_fact(cat).groupBy("customer_id").agg(F.sum("net_revenue").alias("net_revenue"))

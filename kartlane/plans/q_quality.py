@@ -9,7 +9,7 @@ from kartlane.plans.registry import register
 from kartlane.sources.catalog import DATE_COLUMNS, FOREIGN_KEYS, KEY_COLUMNS
 
 PROFILED = ["sales", "customers", "geography", "products", "inventory", "web_traffic", "order_items",
-            "orders", "payments", "reviews", "returns", "shipments"]
+            "orders", "payments", "reviews", "returns", "shipments", "promotions", "sample_submission"]
 
 # Spark schemas of the profiled stand-ins (drives the SQL twins of the profiles).
 SCHEMAS = {
@@ -35,6 +35,10 @@ SCHEMAS = {
     "returns": "return_id string, order_id bigint, product_id bigint, return_date date, "
                "return_reason string, return_quantity bigint, refund_amount double",
     "shipments": "order_id bigint, ship_date date, delivery_date date, shipping_fee double",
+    "promotions": "promo_id string, promo_name string, promo_type string, discount_value double, start_date date, "
+                  "end_date date, applicable_category string, promo_channel string, stackable_flag int, "
+                  "min_order_value double",
+    "sample_submission": "Date date, Revenue double, COGS double",
 }
 
 
@@ -107,11 +111,10 @@ def dq_missing_by_table(cat):
     f"""SELECT '{t}' AS table_name, '{", ".join(k)}' AS key_columns, count(*) AS rows,
         count(*) - count(DISTINCT ({", ".join(k)})) AS duplicate_key_rows,
         {R(f"coalesce(CAST(count(*) - count(DISTINCT ({', '.join(k)})) AS DOUBLE) / nullif(CAST(count(*) AS DOUBLE), 0), 0.0)")} AS duplicate_key_pct
-        FROM v_{t}""" for t, k in KEY_COLUMNS.items() if t != "promotions"),
-    *[f"v_{t}" for t in KEY_COLUMNS if t != "promotions"]))
+        FROM v_{t}""" for t, k in KEY_COLUMNS.items()), *[f"v_{t}" for t in KEY_COLUMNS]))
 def dq_duplicate_keys(cat):
     """duplicate_key_report over the keyed tables."""
-    return Q.duplicate_key_report({n: cat.table(n) for n in KEY_COLUMNS if n != "promotions"})
+    return Q.duplicate_key_report({n: cat.table(n) for n in KEY_COLUMNS})
 
 
 @register("dq_relationships", W(" UNION ALL ".join(
@@ -276,9 +279,16 @@ def snk_reports(cat):
     from pyspark.sql import functions as F
     from kartlane.plans.reports import output_root, write_reports
     from kartlane.operators.business import revenue_seasonality, cohort_summary
+    from kartlane.operators.business import inventory_status, lost_units, product_seasonality
     tables = _tables(cat)
     orev = order_revenue(cat)
     reports = {
+        "eda_column_summary": Q.column_summary(tables),
+        "eda_date_coverage": Q.date_coverage(tables),
+        "eda_customer_acquisition_channel_nullness": Q.channel_nullness(cat.table("customers")),
+        "eda_product_seasonality": product_seasonality(cat.table("item_values"), cat.table("orders_slim")),
+        "eda_inventory_status_summary": inventory_status(cat.table("inventory")),
+        "eda_inventory_category_fill_rate_lost_unit_proxy": lost_units(cat.table("inventory")),
         "eda_table_summary": Q.table_summary(tables),
         "eda_duplicate_key_report": Q.duplicate_key_report({n: cat.table(n) for n in KEY_COLUMNS}),
         "eda_relationship_checks": Q.relationship_checks({n: cat.table(n) for n in PROFILED}),

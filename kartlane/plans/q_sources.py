@@ -25,11 +25,14 @@ _STANDIN_COLS = {
                   "{sell_through_rate}, product_name, category, segment, CAST(year AS BIGINT) AS year, "
                   "CAST(month AS BIGINT) AS month"),
     "sales": "{Date}, {Revenue}, {COGS}",
+    "sample_submission": "{Date}, {Revenue}, {COGS}",
+    "promotions": ("promo_id, promo_name, promo_type, {discount_value}, {start_date}, {end_date}, applicable_category, "
+                   "promo_channel, CAST(stackable_flag AS BIGINT) AS stackable_flag, {min_order_value}"),
     "web_traffic": ("{date}, sessions, unique_visitors, page_views, {bounce_rate}, {avg_session_duration_sec}, "
                     "traffic_source"),
 }
 _DATES = {"signup_date", "order_date", "ship_date", "delivery_date", "return_date", "review_date",
-          "snapshot_date", "Date", "date"}
+          "snapshot_date", "Date", "date", "start_date", "end_date"}
 
 
 def _select_list(spec: str) -> str:
@@ -54,15 +57,14 @@ for _n in _STANDIN_COLS:
 
 
 @register("src_read_table", with_views(
-    f"SELECT order_id, {D('order_date')} AS order_date, customer_id, order_status FROM v_orders_slim "
-    "WHERE order_status = 'cancelled'", "v_orders_slim"))
+    f"SELECT order_id, {D('order_date')} AS order_date, customer_id, order_status FROM v_orders_slim",
+    "v_orders_slim"))
 def src_read_table(cat):
-    """read_table('orders') projected and filtered: pruning + pushdown reach the scan."""
-    return (cat.table("orders_slim").filter(F.col("order_status") == "cancelled")
-            .select("order_id", "order_date", "customer_id", "order_status"))
+    """read_table('orders') projected: column pruning reaches the scan."""
+    return cat.table("orders_slim").select("order_id", "order_date", "customer_id", "order_status")
 
 
-_LOAD_ALL = [n for n in TABLE_NAMES if n not in ("promotions", "sample_submission")]
+_LOAD_ALL = list(TABLE_NAMES)
 
 
 @register("src_load_all", with_views(
@@ -80,14 +82,11 @@ def src_load_all(cat):
 
 @register("src_projected_scan", with_views(
     f"SELECT order_id, {D('order_date')} AS order_date, {R('payment_value')} AS payment_value "
-    "FROM v_orders_slim JOIN v_payments USING (order_id, payment_method) "
-    "WHERE order_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", "v_orders_slim", "v_payments"))
+    "FROM v_orders_slim JOIN v_payments USING (order_id, payment_method)", "v_orders_slim", "v_payments"))
 def src_projected_scan(cat):
-    """Schema'd read + select with explicit date columns, filtered to one year."""
-    o = cat.table("orders_slim").filter(F.col("order_date").between(F.lit("1997-01-01").cast("date"),
-                                                                      F.lit("1997-12-31").cast("date")))
-    return o.join(cat.table("payments"), ["order_id", "payment_method"], "inner").select(
-        "order_id", "order_date", "payment_value")
+    """Schema'd read + select with explicit date columns."""
+    return (cat.table("orders_slim").join(cat.table("payments"), ["order_id", "payment_method"], "inner")
+            .select("order_id", "order_date", "payment_value"))
 
 
 @register("src_inline_dim", f"""

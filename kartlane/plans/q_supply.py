@@ -238,7 +238,8 @@ _ERA = "(SELECT CASE WHEN year(Date) < {0} THEN 'early' WHEN year(Date) < {1} TH
        "WHEN year(Date) < {2} THEN 'transition' ELSE 'recent' END AS era, Revenue FROM v_sales)".format(*SP.ERA_BOUNDS)
 
 
-@register("q_era_distribution", W(hist_sql(_ERA, "Revenue", 50, ["era"], density=True), "v_sales"))
+@register("q_era_distribution", W(hist_sql(_ERA, "Revenue", 50, ["era"], density=True), "v_sales"),
+          significant=("density",))
 def q_era_distribution(cat):
     """Revenue density histogram (50 bins) per era."""
     return SP.era_distribution(cat.table("sales"))

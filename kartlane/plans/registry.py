@@ -24,27 +24,29 @@ class Query:
     build: Callable
     sql: str | None
     doc: str = ""
+    significant: tuple[str, ...] = ()  # small numbers: rounded to 7 significant digits instead of 4 decimals
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, significant: tuple[str, ...] = ()):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, (fn.__doc__ or "").strip())
+        REGISTRY[name] = Query(name, fn, sql, (fn.__doc__ or "").strip(), significant)
         return fn
     return deco
 
 
-def finalize(df: DataFrame, digits: int = 4) -> DataFrame:
+def finalize(df: DataFrame, digits: int = 4, significant: tuple[str, ...] = ()) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = r4(c.cast("double"), digits)
+            c = (F.format_string("%.6e", c.cast("double")).cast("double") if f.name in significant
+                 else r4(c.cast("double"), digits))
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(t, T.DateType):

@@ -50,7 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        # Only reached when the cluster names no shared folder (local tests).
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="kartlane-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # FIXED VALUES — must equal the surveyed workload for identical features.
 # ---------------------------------------------------------------------------
-# Lunar New Year (Tet) dates by year.  The workload lists 2013-2024; the
-# 1994-2003 dates are the public calendar dates for the test data's years.
+# Lunar New Year (Tet) dates by year, without a gap: public calendar dates.
+# Dates outside these years raise an error (``features.tet_features``).
 TET_DATES = {
     1994: "1994-02-10", 1995: "1995-01-31", 1996: "1996-02-19", 1997: "1997-02-07",
     1998: "1998-01-28", 1999: "1999-02-16", 2000: "2000-02-05", 2001: "2001-01-24",
-    2002: "2002-02-12", 2003: "2003-02-01",
+    2002: "2002-02-12", 2003: "2003-02-01", 2004: "2004-01-22", 2005: "2005-02-09",
+    2006: "2006-01-29", 2007: "2007-02-17", 2008: "2008-02-07", 2009: "2009-01-26",
+    2010: "2010-02-14", 2011: "2011-02-03", 2012: "2012-01-23",
     2013: "2013-02-10", 2014: "2014-01-31", 2015: "2015-02-19",
     2016: "2016-02-08", 2017: "2017-01-28", 2018: "2018-02-16",
     2019: "2019-02-05", 2020: "2020-01-25", 2021: "2021-02-12",
     2022: "2022-02-01", 2023: "2023-01-22", 2024: "2024-02-10",
+    2025: "2025-01-29", 2026: "2026-02-17", 2027: "2027-02-06", 2028: "2028-01-26",
 }
 
 # (name, start month, start day, duration days, discount or None, recurrence)
