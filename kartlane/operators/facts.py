@@ -3,8 +3,8 @@
 Shape of every builder: pre-aggregate each child table to one row per key
 (map-side partial aggregation absorbs hot keys), then chain left joins onto
 the spine so the grain stays 1:1.  No per-customer windows: first / second
-order dates come from aggregates (min of (date, id) structs), so a customer
-holding a third of all orders is still split across map tasks.
+order dates come from counts by customer and day, so a customer holding a third
+of all orders is combined in the map tasks and never meets in one task.
 """
 
 from __future__ import annotations
@@ -155,20 +155,20 @@ def order_fact(cat) -> DataFrame:
 
 # -- customer level -------------------------------------------------------------
 def customer_order_dates(cat) -> DataFrame:
-    """first / second order date per customer in (date, order_id) order.
+    """Dates of a customer's first and second order, in (date, order id) order.
 
-    Aggregate form of ``cumcount`` + pivot: the first order is the min struct;
-    the second is the min struct over orders other than the first.
+    Orders are counted by customer and day first, so a customer with a third of
+    all orders is spread over days and collapses in the map-side combine; the
+    per-customer step sees at most one row a calendar day. A day with two orders
+    holds both the first and the second.
     """
-    o = cat.table("orders_slim").select("customer_id", "order_id", "order_date")
-    first = (o.groupBy("customer_id")
-             .agg(F.min(F.struct("order_date", "order_id")).alias("_f")))
-    rest = (o.join(first, "customer_id", "inner")
-            .filter(F.struct("order_date", "order_id") != F.col("_f"))
-            .groupBy("customer_id").agg(F.min(F.struct("order_date", "order_id")).alias("_s")))
-    return (first.join(rest, "customer_id", "left")
-            .select("customer_id", F.col("_f.order_date").alias("first_order_date"),
-                    F.col("_s.order_date").alias("second_order_date")))
+    days = (cat.table("orders_slim").filter(F.col("order_date").isNotNull()).groupBy("customer_id", "order_date")
+            .agg(F.count(F.lit(1)).alias("_n")))
+    two = F.slice(F.sort_array(F.collect_list(F.struct("order_date", "_n"))), 1, 2)
+    return (days.groupBy("customer_id").agg(two.alias("_d"))
+            .select("customer_id", F.col("_d")[0]["order_date"].alias("first_order_date"),
+                    F.when(F.col("_d")[0]["_n"] > 1, F.col("_d")[0]["order_date"])
+                    .otherwise(F.get("_d", F.lit(1))["order_date"]).alias("second_order_date")))
 
 
 def customer_items(cat) -> DataFrame:

@@ -63,37 +63,49 @@ def group_head(df: DataFrame, part: list[str], order: list[Column], k: int) -> D
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def global_rank_cumsum(df: DataFrame, value: str, tiebreak: str, n_buckets: int = 512,
+def _bucketed(df: DataFrame, c: str, out: str, splits: list[float]) -> DataFrame:
+    """``out`` = number of ``splits`` at or below column ``c`` (binary search in the JVM; ``c`` not null)."""
+    if not splits:
+        return df.withColumn(out, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
+    edges = [-float("inf"), *splits, float("inf")]
+    return Bucketizer(splits=edges, inputCol=c, outputCol="_e").transform(df).withColumn(out, F.col("_e").cast("int")).drop("_e")
+
+
+def _quantiles(df: DataFrame, c: str, n: int) -> list[float]:
+    """At most ``n - 1`` increasing split points of about equal row counts (a bounded sketch, one row to the driver)."""
+    got = df.agg(F.percentile_approx(c, [i / n for i in range(1, n)], 20 * n)).first()[0]
+    return sorted({float(x) for x in got or []})
+
+
+def global_rank_cumsum(df: DataFrame, value: str, tiebreak: str, n_buckets: int = 256,
                        descending: bool = True) -> DataFrame:
     """Global rank (1..N) and running sum of ``value`` ordered by value then key.
 
     Equivalent to ``row_number()`` / running ``sum`` over an un-partitioned
-    window, computed without a single-task window and without a hot task for
-    a value shared by many rows:
+    window, without a one-task window and without a hot task for skewed values
+    or a value that many rows share:
 
     1. distinct values with their row counts (partial aggregation collapses
        ties, however many rows share a value);
-    2. offsets over the distinct values by value-range buckets: bucket totals
-       -> prefix over the (<= n_buckets rows) bucket table -> window inside
-       each bucket (distinct values only, so no tie piles up);
-    3. rank inside a value by key-range sub-buckets of the numeric
-       ``tiebreak``: counts per (value, key bucket) -> prefix per value over
-       <= n_buckets rows -> row_number inside (value, key bucket).  Inside a
+    2. offsets over the distinct values by quantile buckets, so that a long
+       tail fills buckets evenly: bucket totals -> prefix over the bucket table
+       (<= ``n_buckets`` rows) -> window inside each bucket;
+    3. rank inside a value by quantile buckets of the numeric ``tiebreak`` over
+       all rows: counts per (value, key bucket) -> prefix per value over
+       <= ``n_buckets`` rows -> row_number inside (value, key bucket).  Inside a
        tie the running sum is offset + rank * value.
 
-    Adds ``rank``, ``cum_value``, ``n_total`` and ``value_total``.
+    Adds ``rank``, ``cum_value``, ``n_total`` and ``value_total``.  Rows without a
+    value keep their place in the result and have none of the four.
     """
-    x = F.col(value).cast("double")
-    base = df.withColumn("_v", x)
-    vals = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_vn"), F.min(tiebreak).alias("_kmin"),
-                                  F.max(tiebreak).alias("_kmax"))
-    stats = vals.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_vn").alias("n_total"),
-                     F.sum(F.col("_v") * F.col("_vn")).alias("value_total"))
-    vb = vals.crossJoin(F.broadcast(stats))                     # stats: one row
-    raw = F.when(F.col("_hi") == F.col("_lo"), F.lit(1)).otherwise(
-        F.least(F.floor(F.lit(float(n_buckets)) * (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))) + 1,
-                F.lit(n_buckets)))
-    vb = vb.withColumn("_b", ((F.lit(n_buckets + 1) - raw) if descending else raw).cast("int"))
+    base = df.withColumns({"_v": F.col(value).cast("double"), "_k": F.col(tiebreak).cast("double")})
+    nulls, base = base.filter(F.col("_v").isNull()), base.filter(F.col("_v").isNotNull())
+    vals = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_vn"))
+    stats = vals.agg(F.sum("_vn").alias("n_total"), F.sum(F.col("_v") * F.col("_vn")).alias("value_total"))
+    vb = _bucketed(vals, "_v", "_b", _quantiles(vals, "_v", n_buckets))
+    if descending:
+        vb = vb.withColumn("_b", -F.col("_b"))
     vsum = F.col("_v") * F.col("_vn")
     btab = vb.groupBy("_b").agg(F.sum("_vn").alias("_bn"), F.sum(vsum).alias("_bs"))
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)        # <= n_buckets rows
@@ -104,21 +116,22 @@ def global_rank_cumsum(df: DataFrame, value: str, tiebreak: str, n_buckets: int
     vb = (vb.join(F.broadcast(btab), "_b", "inner")
           .withColumn("_off_n", F.col("_pn") + F.coalesce(F.sum("_vn").over(wv), F.lit(0)))
           .withColumn("_off_s", F.col("_ps") + F.coalesce(F.sum(vsum).over(wv), F.lit(0.0)))
-          .select("_v", "_off_n", "_off_s", "_kmin", "_kmax", "n_total", "value_total"))
-    k = F.col(tiebreak).cast("double")
-    kb = F.when(F.col("_kmax") == F.col("_kmin"), F.lit(0)).otherwise(
-        F.least(F.floor(F.lit(float(n_buckets)) * (k - F.col("_kmin")) / (F.col("_kmax") - F.col("_kmin"))),
-                F.lit(n_buckets - 1))).cast("int")
-    rows = base.join(vb, "_v", "inner").withColumn("_kb", kb)     # a hot value is split by AQE skew join
+          .select("_v", "_off_n", "_off_s"))
+    rows = base.join(vb, "_v", "inner")     # nothing needs the join key's partitioning: AQE may split a hot value
+    rows = _bucketed(rows, "_k", "_kb", _quantiles(base, "_k", n_buckets))
     ktab = rows.groupBy("_v", "_kb").agg(F.count(F.lit(1)).alias("_kn"))
     wk = Window.partitionBy("_v").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)  # <= n_buckets rows
     ktab = ktab.select("_v", "_kb", F.coalesce(F.sum("_kn").over(wk), F.lit(0)).alias("_kp"))
     rows = rows.join(ktab, ["_v", "_kb"], "inner")
     wr = Window.partitionBy("_v", "_kb").orderBy(F.asc(tiebreak))
     within = F.col("_kp") + F.row_number().over(wr)
-    return (rows.withColumn("rank", F.col("_off_n") + within)
-            .withColumn("cum_value", F.col("_off_s") + within * F.col("_v"))
-            .drop("_v", "_off_n", "_off_s", "_kmin", "_kmax", "_kb", "_kp"))
+    out = (rows.withColumn("rank", F.col("_off_n") + within)
+           .withColumn("cum_value", F.col("_off_s") + within * F.col("_v"))
+           .crossJoin(F.broadcast(stats))   # one row
+           .select(*df.columns, "n_total", "value_total", "rank", "cum_value"))
+    none = nulls.select(*df.columns, F.lit(None).cast("bigint").alias("n_total"), F.lit(None).cast("double").alias("value_total"),
+                        F.lit(None).cast("bigint").alias("rank"), F.lit(None).cast("double").alias("cum_value"))
+    return out.unionByName(none)
 
 
 def prev_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out_col: str,
@@ -138,11 +151,18 @@ def prev_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out_col:
     last = t.groupBy(key, "_bk").agg(F.max(F.col(date_col)).alias("_last"))
     w_b = Window.partitionBy(key).orderBy("_bk")
     last = last.select(key, "_bk", F.lag("_last").over(w_b).alias("_prev_bucket_last"))
-    return (t.join(last, [key, "_bk"], "inner")
+    return (_null_safe(t, last, [key, "_bk"])
             .withColumn(out_col, F.coalesce("_prev_in", "_prev_bucket_last"))
             .drop("_bk", "_prev_in", "_prev_bucket_last"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null, so that rows without a key or date stay."""
+    r = right.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{i}")) for i, k in enumerate(keys)]
+    return left.join(r, on, "inner").drop(*[f"_r_{i}" for i in range(len(keys))])
+
+
 def duplicate_flag(keys: list[str], order: list) -> Column:
     """True for every row after the first of its key (pandas ``duplicated``)."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
@@ -161,6 +181,6 @@ def row_number_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out
     w_b = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(key, "_bk", F.coalesce(F.sum("_n").over(w_b), F.lit(0)).alias("_before"))
     w_in = Window.partitionBy(key, "_bk").orderBy(date_col, tiebreak)
-    return (t.join(counts, [key, "_bk"], "inner")
+    return (_null_safe(t, counts, [key, "_bk"])
             .withColumn(out_col, F.col("_before") + F.row_number().over(w_in))
             .drop("_bk", "_before"))
