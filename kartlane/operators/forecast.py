@@ -92,6 +92,7 @@ def weighted_baseline_one_step(long: DataFrame) -> DataFrame:
     return long.withColumn("yhat", yhat)
 
 
+# FIXED VALUES - baseline features and their default weights.
 BASELINE_LAGS = [364, 365, 371]
 BASELINE_ROLLS = [7, 30, 90]
 BASELINE_FEATURES = [f"lag_{k}" for k in BASELINE_LAGS] + [f"rolling_{n}" for n in BASELINE_ROLLS]
@@ -181,8 +182,8 @@ def alpha_tuning(tab: DataFrame, spec: str, base: str, lo: float = 0.05, hi: flo
     g = (tab.filter(F.col("y").isNotNull() & F.col(spec).isNotNull() & F.col(base).isNotNull())
          .groupBy(*K, F.quarter("Date").alias("quarter"))
          .agg(F.sum((F.col("y") - F.col(base)) * d).alias("_num"), F.sum(d * d).alias("_den")))
-    return g.select(*K, "quarter", clip(F.coalesce(F.col("_num") / F.nullif(F.col("_den"), F.lit(0.0)),
-                                                   F.lit(lo)), lo, hi).alias("alpha"))
+    best = F.col("_num") / F.nullif(F.col("_den"), F.lit(0.0))
+    return g.select(*K, "quarter", clip(F.coalesce(best, F.lit(lo)), lo, hi).alias("alpha"), best.alias("unclipped"))
 
 
 def blend_families(tab: DataFrame, cols_weights: dict[str, float], out: str = "blend") -> DataFrame:
@@ -205,14 +206,16 @@ def scale_calibration(tab: DataFrame, pred: str, lo: float = 0.8, hi: float = 2.
     t = t.withColumns({"_cw": F.sum("w").over(w), "_tw": F.sum("w").over(Window.partitionBy(*K))})
     return (t.filter(F.col("_cw") >= F.col("_tw") / 2.0).groupBy(*K)
             .agg(F.min_by("r", F.struct("r", "Date")).alias("_c"))
-            .select(*K, clip("_c", lo, hi).alias("scale")))
+            .select(*K, clip("_c", lo, hi).alias("scale"), F.col("_c").alias("unclipped")))
 
 
 def combine_components(preds_long: DataFrame, weights: DataFrame) -> DataFrame:
     """sum over models of w(model, target) * yhat, floored at 0 (long join + agg)."""
     j = preds_long.join(F.broadcast(weights), ["model", "target"], "inner")   # weights: models x targets
-    return (j.groupBy(*K, "Date").agg(F.sum(F.col("w") * F.col("yhat")).alias("_s"))
-            .select(*K, "Date", F.greatest(F.col("_s"), F.lit(0.0)).alias("yhat")))
+    # a component without a value leaves no value, rather than a blend with too little weight
+    return (j.groupBy(*K, "Date").agg(F.sum(F.col("w") * F.col("yhat")).alias("_s"),
+                                      (F.count("yhat") == F.count(F.lit(1))).alias("_all"))
+            .select(*K, "Date", F.when(F.col("_all"), F.greatest(F.col("_s"), F.lit(0.0))).alias("yhat")))
 
 
 # Fixed ensemble weights (workload constants).

@@ -134,6 +134,44 @@ def global_rank_cumsum(df: DataFrame, value: str, tiebreak: str, n_buckets: int
     return out.unionByName(none)
 
 
+def exact_percentiles(df: DataFrame, c: str, probs: dict[str, float], n_buckets: int = 256) -> DataFrame:
+    """One row of interpolated exact percentiles ``name -> p`` of column ``c``, without one task that holds all values.
+
+    Two passes over the distinct values: bucket counts (at most ``n_buckets``
+    rows to the driver) tell which buckets hold the wanted ranks, and only those
+    buckets are ordered.  ``aggregates.quantiles`` is the one-pass form for columns
+    of few distinct values.
+    """
+    import math
+
+    from kartlane.session import cut_lineage
+    vals = cut_lineage(df.select(F.col(c).cast("double").alias("_v")).filter("_v is not null").groupBy("_v")
+                       .agg(F.count(F.lit(1)).alias("_n")))
+    vals = _bucketed(vals, "_v", "_b", _quantiles(vals, "_v", n_buckets))
+    sizes = {r["_b"]: r["n"] for r in vals.groupBy("_b").agg(F.sum("_n").alias("n")).collect()}
+    total = sum(sizes.values())
+    if not total:
+        return df.agg(*[F.max(F.lit(None).cast("double")).alias(k) for k in probs])
+    before, at = {}, 0
+    for b in sorted(sizes):
+        before[b], at = at, at + sizes[b]
+    ranks = {r for p in probs.values() for r in (math.floor((total - 1) * p), math.ceil((total - 1) * p))}
+    need = sorted({max(b for b in before if before[b] <= r) for r in ranks})
+    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    offset = F.create_map(*[F.lit(x) for b in need for x in (b, before[b])])
+    part = vals.filter(F.col("_b").isin(need)).withColumn("_c", F.sum("_n").over(w) + F.element_at(offset, F.col("_b")))
+
+    def value(r):  # the least value that has more than r values up to itself
+        return F.min(F.when(F.col("_c") > r, F.col("_v")))
+
+    out = []
+    for k, p in probs.items():
+        x = (total - 1) * p
+        lo, hi = value(math.floor(x)), value(math.ceil(x))
+        out.append((lo + (hi - lo) * F.lit(x - math.floor(x))).alias(k))
+    return part.agg(*out)
+
+
 def prev_in_key(df: DataFrame, key: str, date_col: str, tiebreak: str, out_col: str,
                 bucket: str = "month") -> DataFrame:
     """Previous ``date_col`` of the same ``key`` in (date, tiebreak) order.

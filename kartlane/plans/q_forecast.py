@@ -333,7 +333,8 @@ def fc_blend_alpha(cat):
 
 @register("fc_alpha_tuning", W(f"""
     SELECT series_id, target, CAST(quarter(Date) AS BIGINT) AS quarter,
-           {R('least(greatest(coalesce(sum((y - seasonal_naive) * (calibrated_baseline - seasonal_naive)) / nullif(sum((calibrated_baseline - seasonal_naive) * (calibrated_baseline - seasonal_naive)), 0), 0.05), 0.05), 0.85)')} AS alpha
+           {R('least(greatest(coalesce(sum((y - seasonal_naive) * (calibrated_baseline - seasonal_naive)) / nullif(sum((calibrated_baseline - seasonal_naive) * (calibrated_baseline - seasonal_naive)), 0), 0.05), 0.05), 0.85)')} AS alpha,
+           {R('sum((y - seasonal_naive) * (calibrated_baseline - seasonal_naive)) / nullif(sum((calibrated_baseline - seasonal_naive) * (calibrated_baseline - seasonal_naive)), 0)')} AS unclipped
     FROM v_wide WHERE y IS NOT NULL AND calibrated_baseline IS NOT NULL AND seasonal_naive IS NOT NULL
     GROUP BY 1, 2, 3""", "v_wide"))
 def fc_alpha_tuning(cat):
@@ -353,7 +354,7 @@ def fc_blend_families(cat):
 
 
 @register("fc_scale_calibration", W(f"""
-    SELECT series_id, target, {R('least(greatest(min(r), 0.8), 2.0)')} AS scale FROM (
+    SELECT series_id, target, {R('least(greatest(min(r), 0.8), 2.0)')} AS scale, {R('min(r)')} AS unclipped FROM (
       SELECT series_id, target, r, sum(w) OVER (PARTITION BY series_id, target ORDER BY r, Date
                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
              sum(w) OVER (PARTITION BY series_id, target) AS tw
@@ -533,7 +534,7 @@ def fc_random_forest(cat):
 def fc_gbt_candidates(cat):
     """Three boosting configs scored on the validation year; metrics with the best flagged."""
     ML = _ml()
-    _, m = ML.gbt_candidates(cat)
+    _, m = ML.gbt_candidates(cat, ML.QUERY_SPEED["patience"], step_scale=6.0)
     best = EV.best_model(m).select("best_model")
     return m.crossJoin(best).withColumn("is_best", F.col("model") == F.col("best_model")).drop("best_model")
 
@@ -541,32 +542,26 @@ def fc_gbt_candidates(cat):
 @register("fc_gbt_monthly")
 def fc_gbt_monthly(cat):
     """Monthly GBT (lagged features) scored on the last 20 % of months."""
-    from pyspark.ml.regression import GBTRegressor
     ML = _ml()
-    from kartlane.operators import facts as FX
-    of = FX.order_fact(cat)
-    mp = FE.monthly_features(FE.monthly_panel(of, FX.customer_fact(cat), FX.inventory_fact(cat)))
-    cols = ["signups", "stockout_rate", "fill_rate", "year", "month_num", "quarter", "rev_lag_1",
-            "rev_lag_3_avg", "orders_lag_1"]
-    sp = EV.ratio_split(mp.dropna(subset=cols + ["revenue"]), 0.8, "month")
+    cols = ML.MONTHLY_COLS
+    sp = EV.ratio_split(ML.monthly_table(cat).dropna(subset=cols + ["revenue"]), 0.8, "month")
     tr = sp.filter(F.col("role") == "train").withColumn("label", F.col("revenue"))
-    m = GBTRegressor(featuresCol="features", labelCol="label", maxIter=60, stepSize=0.25, maxDepth=3,
-                     seed=42).fit(ML._vec(tr, cols))
+    m, best, hit = ML.boosted(tr, cols, "month", max_iter=300, patience=ML.QUERY_SPEED["patience"], step=0.25, depth=3)
     te = sp.filter(F.col("role") == "test")
-    return m.transform(ML._vec(te, cols)).select("month", F.col("revenue").alias("y"),
-                                                 F.col("prediction").alias("yhat"))
+    return m.transform(ML._vec(te, cols)).select("month", F.col("revenue").alias("y"), F.col("prediction").alias("yhat"),
+                                                 F.lit(best).alias("best_iteration"), F.lit(hit).alias("limit_hit"))
 
 
 @register("fc_gbt_weighted_2phase")
 def fc_gbt_weighted_2phase(cat):
     """Era-weighted GBT: holdout picks the best iteration, refit on all rows with it."""
-    return _ml().weighted_two_phase(cat)
+    return _ml().weighted_two_phase(cat, **_ml().QUERY_SPEED)
 
 
 @register("fc_quarter_specialists")
 def fc_quarter_specialists(cat):
     """4 boosted fits per target (quarter weight x3); each day uses its quarter's model."""
-    return _ml().quarter_specialists(cat)
+    return _ml().quarter_specialists(cat, **_ml().QUERY_SPEED)
 
 
 @register("fc_structural")
@@ -577,24 +572,29 @@ def fc_structural(cat):
 
 @register("fc_residual_models")
 def fc_residual_models(cat):
-    """GBT on the residual (y - calibrated baseline) + baseline, and a direct GBT on y."""
-    from pyspark.ml.regression import GBTRegressor
+    """Per target: two learners of the residual (y - calibrated baseline), added back to it, and one of y for Revenue."""
     ML = _ml()
-    cal = _calibrated(cat)
-    cal_f = FE.events_v2(FE.calendar_basic(cal))
-    cols = [c for c in cal_f.columns if c.startswith(("event_", "is_", "day", "week", "month", "quarter"))]
-    cols += FC.BASELINE_FEATURES
-    tr = cal_f.filter((F.year("Date") < VAL_YEAR) & F.col("pred_calibrated").isNotNull()).dropna(subset=cols)
-    va = cal_f.filter(F.year("Date") == VAL_YEAR).dropna(subset=cols)
+    lg = FE.yoy_growth(_calibrated(cat)) if "yoy_lag_364_growth" not in _calibrated(cat).columns else _calibrated(cat)
+    start = lg.groupBy(*K).agg(F.min("Date").alias("data_start"))
+    f = FE.fourier_trend(FE.event_distance(FE.events_v2(FE.calendar_basic(lg.join(start, K)))))
+    keep = [c for c in f.columns if c.startswith(("event_", "days_to_", "is_", "day", "week", "month", "quarter", "sin_", "cos_",
+                                                  "yoy_")) and c != "data_start"] + FC.BASELINE_FEATURES
+    f = ML.materialize(f.select(*K, "Date", "y", "pred_calibrated", *dict.fromkeys(keep)))
+    cols = list(dict.fromkeys(keep))
     out = None
-    for name, label, add_base in (("residual_gbt", F.col("y") - F.col("pred_calibrated"), True),
-                                  ("direct_gbt", F.col("y"), False)):
-        m = GBTRegressor(featuresCol="features", labelCol="label", maxIter=40, stepSize=0.2, maxDepth=4,
-                         seed=42).fit(ML._vec(tr.withColumn("label", label), cols))
-        p = m.transform(ML._vec(va, cols))
-        yhat = F.col("prediction") + F.col("pred_calibrated") if add_base else F.col("prediction")
-        p = p.select(F.lit(name).alias("model"), *K, "Date", "y", yhat.alias("yhat"))
-        out = p if out is None else out.unionByName(p)
+    for t in ML.TARGETS:
+        one = f.filter(F.col("target") == t).dropna(subset=FC.BASELINE_FEATURES).fillna(0.0, cols)
+        tr = one.filter((F.year("Date") < VAL_YEAR) & F.col("pred_calibrated").isNotNull())
+        va = one.filter(F.year("Date") == VAL_YEAR)
+        learners = [("residual_gbt_deep", 5, True), ("residual_gbt_flat", 3, True)] + [("direct_gbt", 4, False)] * (t == "Revenue")
+        for name, depth, add in learners:
+            label = F.col("y") - F.col("pred_calibrated") if add else F.col("y")
+            m, best, hit = ML.boosted(tr.withColumn("label", label), cols, max_iter=350, depth=depth, **ML.QUERY_SPEED)
+            p = m.transform(ML._vec(va, cols))
+            yhat = F.col("prediction") + F.col("pred_calibrated") if add else F.col("prediction")
+            p = p.select(F.lit(name).alias("model"), *K, "Date", "y", yhat.alias("yhat"), F.lit(best).alias("best_iteration"),
+                         F.lit(hit).alias("limit_hit"))
+            out = p if out is None else out.unionByName(p)
     return out
 
 
@@ -607,19 +607,19 @@ def fc_recursive_linear(cat):
 @register("fc_direct_ml")
 def fc_direct_ml(cat):
     """Direct multi-horizon forecast: GBT on calendar features over the template days."""
-    return _ml().direct_forecast(cat)
+    return _ml().direct_forecast(cat, **_ml().QUERY_SPEED)
 
 
 @register("fc_rollforward_monthly")
 def fc_rollforward_monthly(cat):
     """6-month roll-forward of the monthly model with rev_lag_1 refreshed from predictions."""
-    return _ml().rollforward_monthly(cat)
+    return _ml().rollforward_monthly(cat, patience=_ml().QUERY_SPEED["patience"], step=0.25)
 
 
 @register("fc_refit_full")
 def fc_refit_full(cat):
-    """Refit on all observed days and forecast the template (the submission frame)."""
-    return _ml().direct_forecast(cat)
+    """All members refit on all observed days, blended by quarter, family and level, over the template."""
+    return _ml().final_forecast(cat, **_ml().QUERY_SPEED)
 
 
 @register("snk_forecast")
@@ -629,13 +629,12 @@ def snk_forecast(cat):
     from kartlane.plans.reports import output_root
     ML = _ml()
     path = f"{output_root(cat.spark)}/forecast_{uuid.uuid4().hex[:8]}"
-    return ML.forecast_sink(cat, ML.direct_forecast(cat), path)
+    return ML.forecast_sink(cat, ML.final_forecast(cat, **ML.QUERY_SPEED), path)
 
 
 @register("snk_run_metadata")
 def snk_run_metadata(cat):
     """Parameters, ensemble weights and best-model score written as one JSON record."""
-    import json
     import uuid
     from kartlane.plans.reports import output_root, write_run_metadata
     u = _models(cat)
@@ -650,10 +649,10 @@ def snk_run_metadata(cat):
     back = cat.spark.read.text(path)
     return back.select(F.get_json_object("value", "$.best_model").alias("best_model"),
                        F.get_json_object("value", "$.validation_year").cast("int").alias("validation_year"),
-                       F.lit(json.dumps(sorted(meta))).alias("keys"))
+                       F.to_json(F.json_object_keys("value")).alias("keys"))
 
 
 @register("ev_feature_importance")
 def ev_feature_importance(cat):
     """GBT importances long (model, target, feature, importance) + share + rank."""
-    return _ml().feature_importance(cat)
+    return _ml().feature_importance(cat, step=0.2, patience=_ml().QUERY_SPEED["patience"])

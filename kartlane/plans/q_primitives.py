@@ -252,9 +252,9 @@ _proj("agg_value_counts", "Frequency table of order source (NULL kept), descendi
       W("SELECT order_source, count(*) AS orders FROM v_orders_slim GROUP BY 1", "v_orders_slim"))
 
 _proj("agg_median_quantiles", "Exact p25/p50/p75/p90/p95/p99 and IQR of order net revenue.",
-      lambda cat: FX.order_fact(cat).agg(*A.quantiles("net_revenue", [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]),
-                                         (F.percentile("net_revenue", 0.75) - F.percentile("net_revenue", 0.25))
-                                         .alias("iqr")),
+      lambda cat: __import__("kartlane.operators.windows", fromlist=["x"]).exact_percentiles(
+          FX.order_fact(cat), "net_revenue", {f"p{int(round(p * 100))}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)})
+      .withColumn("iqr", F.col("p75") - F.col("p25")),
       W("SELECT " + ", ".join(f"{R(f'quantile_cont(net_revenue, {p})')} AS p{int(round(p * 100))}"
                               for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
         + f", {R('quantile_cont(net_revenue, 0.75) - quantile_cont(net_revenue, 0.25)')} AS iqr FROM v_order_fact",

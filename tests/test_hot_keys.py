@@ -60,3 +60,13 @@ def test_first_and_second_order_of_a_hot_customer(spark):
     assert got == {7: (day(3), day(3)), 8: (day(4), day(9)), 9: (day(1), None)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.lognormal(0, 2, 5000), np.full(2500, 1.5)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    want = {"a": 0.0, "b": 0.5, "c": 0.9, "d": 0.999, "e": 1.0}
+    got = W.exact_percentiles(df, "x", want, n_buckets=32).first()
+    assert all(abs(got[k] - np.quantile(v, p)) < 1e-9 * max(1, abs(got[k])) for k, p in want.items())
+    assert W.exact_percentiles(df.where("x is null"), "x", want).first()["b"] is None
