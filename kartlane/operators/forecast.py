@@ -108,7 +108,7 @@ def baseline_raw(feats: DataFrame, weights: list[float] = DEFAULT_BASELINE_WEIGH
             t = F.col(c) * F.lit(float(w))
             acc = t if acc is None else acc + t
         return feats.withColumn("pred", acc)
-    j = feats.join(F.broadcast(weight_table), K, "left")  # one row per (series, target)
+    j = feats.join(weight_table, K, "left")  # grows with the number of series: no broadcast hint
     acc = None
     for i, c in enumerate(BASELINE_FEATURES):
         t = F.col(c) * F.col(f"w{i}")

@@ -21,14 +21,6 @@ def left_lookup(fact: DataFrame, dim: DataFrame, on, cols: list[str] | None = No
     return fact.join(right, keys, "left")
 
 
-def left_chain(spine: DataFrame, sides: list[tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Several left joins onto one spine; each side must already be 1 row per key."""
-    out = spine
-    for side, keys in sides:
-        out = out.join(side, keys, "left")
-    return out
-
-
 def anti_fk(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
     """Rows of ``left`` with a non-null ``lcol`` absent from ``right.rcol``."""
     l = left.select(F.col(lcol).alias("_k")).filter(F.col("_k").isNotNull())
@@ -68,12 +60,6 @@ def date_spine(dates: DataFrame, date_col: str, out_col: str = "date", unit: str
             .select(F.explode(F.sequence("_lo", "_hi", step)).alias(out_col)))
 
 
-def spine_fill(spine: DataFrame, agg: DataFrame, key: str, zero_cols: list[str]) -> DataFrame:
-    """Spine LEFT JOIN aggregate with zero fill (join_spine_left)."""
-    out = spine.join(agg, key, "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero_cols})
-
-
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach a one-row aggregate to every row (join_scalar_broadcast).
 
@@ -113,16 +99,6 @@ def nearest_event(days: DataFrame, date_col: str, events: DataFrame, event_col:
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(sentinel))))
 
 
-def factor_lookup(df: DataFrame, factors: DataFrame, keys: list[str], factor_col: str,
-                  out_col: str) -> DataFrame:
-    """Multiplicative factor by key with default 1.0 (join_calibration_factor).
-
-    Factor tables are keyed by (month) or (month, weekday): <= 84 rows.
-    """
-    f = F.broadcast(factors.select(*keys, F.col(factor_col).alias(out_col)))
-    return df.join(f, keys, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(1.0)))
-
-
 def lag_by_date(df: DataFrame, keys: list[str], date_col: str, value_col: str,
                 days: int, out_col: str) -> DataFrame:
     """Value at date - k days via an equi self-join on the shifted date (join_lag_self).

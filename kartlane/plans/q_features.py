@@ -107,9 +107,9 @@ _CF_COLS = FE.FEATURE_GROUPS["calendar"] + FE.FEATURE_GROUPS["edges"] + ["t_days
            {', '.join(f"CAST(CASE WHEN days_to_eom <= {k - 1} THEN 1 ELSE 0 END AS BIGINT) AS is_last{k}, CAST(CASE WHEN days_from_som <= {k - 1} THEN 1 ELSE 0 END AS BIGINT) AS is_first{k}" for k in (1, 2, 3))},
            CAST(date_diff('day', DATE '2020-01-01', Date) AS BIGINT) AS t_days,
            {R("date_diff('day', DATE '2020-01-01', Date) / 365.25")} AS t_years,
-           CAST(CASE WHEN year <= 2018 THEN 1 ELSE 0 END AS BIGINT) AS regime_pre2019,
-           CAST(CASE WHEN year = 2019 THEN 1 ELSE 0 END AS BIGINT) AS regime_2019,
-           CAST(CASE WHEN year >= 2020 THEN 1 ELSE 0 END AS BIGINT) AS regime_post2019
+           CAST(CASE WHEN year < {FE.REGIME_YEAR} THEN 1 ELSE 0 END AS BIGINT) AS regime_pre2019,
+           CAST(CASE WHEN year = {FE.REGIME_YEAR} THEN 1 ELSE 0 END AS BIGINT) AS regime_2019,
+           CAST(CASE WHEN year > {FE.REGIME_YEAR} THEN 1 ELSE 0 END AS BIGINT) AS regime_post2019
     FROM {_CF}""", "v_sales"))
 def fe_calendar_final(cat):
     """build_features groups a-c: 10 basics, edge flags, days to EOM, trend, regimes."""

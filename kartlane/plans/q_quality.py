@@ -6,42 +6,11 @@ from kartlane.operators import quality as Q
 from kartlane.operators.facts import order_revenue
 from kartlane.plans.oracle import D, R, with_views as W
 from kartlane.plans.registry import register
-from kartlane.sources.catalog import DATE_COLUMNS, FOREIGN_KEYS, KEY_COLUMNS
+from kartlane.sources.catalog import DATE_COLUMNS, FOREIGN_KEYS, KEY_COLUMNS, SCHEMAS
 
 PROFILED = ["sales", "customers", "geography", "products", "inventory", "web_traffic", "order_items",
             "orders", "payments", "reviews", "returns", "shipments", "promotions", "sample_submission"]
 
-# Spark schemas of the profiled stand-ins (drives the SQL twins of the profiles).
-SCHEMAS = {
-    "sales": "Date date, Revenue double, COGS double",
-    "customers": "customer_id bigint, zip bigint, city string, signup_date date, gender string, "
-                 "age_group string, acquisition_channel string",
-    "geography": "zip bigint, city string, region string, district string",
-    "products": "product_id bigint, product_name string, category string, segment string, size string, "
-                "color string, price double, cogs double",
-    "inventory": "snapshot_date date, product_id bigint, stock_on_hand bigint, units_received bigint, "
-                 "units_sold bigint, stockout_days bigint, days_of_supply double, fill_rate double, "
-                 "stockout_flag int, overstock_flag int, reorder_flag int, sell_through_rate double, "
-                 "product_name string, category string, segment string, year int, month int",
-    "web_traffic": "date date, sessions bigint, unique_visitors bigint, page_views bigint, "
-                   "bounce_rate double, avg_session_duration_sec double, traffic_source string",
-    "order_items": "order_id bigint, product_id bigint, quantity bigint, unit_price double, "
-                   "discount_amount double, promo_id string, promo_id_2 string",
-    "orders": "order_id bigint, order_date date, customer_id bigint, zip bigint, order_status string, "
-              "payment_method string, device_type string, order_source string",
-    "payments": "order_id bigint, payment_method string, payment_value double, installments bigint",
-    "reviews": "review_id string, order_id bigint, product_id bigint, customer_id bigint, "
-               "review_date date, rating bigint, review_title string",
-    "returns": "return_id string, order_id bigint, product_id bigint, return_date date, "
-               "return_reason string, return_quantity bigint, refund_amount double",
-    "shipments": "order_id bigint, ship_date date, delivery_date date, shipping_fee double",
-    "promotions": "promo_id string, promo_name string, promo_type string, discount_value double, start_date date, "
-                  "end_date date, applicable_category string, promo_channel string, stackable_flag int, "
-                  "min_order_value double",
-    "sample_submission": "Date date, Revenue double, COGS double",
-}
-
-
 def _cols(t):
     return [tuple(x.strip().split(" ")) for x in SCHEMAS[t].split(",")]
 

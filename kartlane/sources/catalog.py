@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values of the schema (must equal the surveyed workload's metadata).
@@ -60,6 +59,37 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
     ("inventory", "product_id", "products", "product_id"),
 ]
 
+# Spark schemas of the 14 tables: readers take them instead of inferring, and the
+# SQL twins of the profiles are built from them.
+SCHEMAS: dict[str, str] = {
+    "sales": "Date date, Revenue double, COGS double",
+    "customers": "customer_id bigint, zip bigint, city string, signup_date date, gender string, "
+                 "age_group string, acquisition_channel string",
+    "geography": "zip bigint, city string, region string, district string",
+    "products": "product_id bigint, product_name string, category string, segment string, size string, "
+                "color string, price double, cogs double",
+    "inventory": "snapshot_date date, product_id bigint, stock_on_hand bigint, units_received bigint, "
+                 "units_sold bigint, stockout_days bigint, days_of_supply double, fill_rate double, "
+                 "stockout_flag int, overstock_flag int, reorder_flag int, sell_through_rate double, "
+                 "product_name string, category string, segment string, year int, month int",
+    "web_traffic": "date date, sessions bigint, unique_visitors bigint, page_views bigint, "
+                   "bounce_rate double, avg_session_duration_sec double, traffic_source string",
+    "order_items": "order_id bigint, product_id bigint, quantity bigint, unit_price double, "
+                   "discount_amount double, promo_id string, promo_id_2 string",
+    "orders": "order_id bigint, order_date date, customer_id bigint, zip bigint, order_status string, "
+              "payment_method string, device_type string, order_source string",
+    "payments": "order_id bigint, payment_method string, payment_value double, installments bigint",
+    "reviews": "review_id string, order_id bigint, product_id bigint, customer_id bigint, "
+               "review_date date, rating bigint, review_title string",
+    "returns": "return_id string, order_id bigint, product_id bigint, return_date date, "
+               "return_reason string, return_quantity bigint, refund_amount double",
+    "shipments": "order_id bigint, ship_date date, delivery_date date, shipping_fee double",
+    "promotions": "promo_id string, promo_name string, promo_type string, discount_value double, start_date date, "
+                  "end_date date, applicable_category string, promo_channel string, stackable_flag int, "
+                  "min_order_value double",
+    "sample_submission": "Date date, Revenue double, COGS double",
+}
+
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -133,19 +163,21 @@ class Catalog:
             out[name] = df
         return out
 
-    def register_views(self, names: list[str] | None = None) -> None:
-        for name in names or TABLE_NAMES:
-            self.table(name).createOrReplaceTempView(name)
 
+def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
+    """One of the 14 tables from CSV (with a header) or Parquet files, by its schema: nothing is inferred."""
+    if name not in SCHEMAS:
+        raise KeyError(f"Unknown table {name!r}. Available tables: " + ", ".join(sorted(SCHEMAS)))
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"unknown format {fmt!r}")
+    reader = spark.read.schema(SCHEMAS[name])
+    if fmt == "parquet":
+        return reader.parquet(path)
+    return reader.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
-def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet",
-               date_columns: list[str] | None = None) -> DataFrame:
-    """Schema'd read of an external dataset (CSV with header or Parquet).
 
-    No inference: the schema is passed in; date columns are cast to DateType.
-    """
-    reader = spark.read.schema(schema)
-    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
-    for c in date_columns or []:
-        df = df.withColumn(c, F.to_date(F.col(c)))
-    return df
+def external(spark: SparkSession, root: str, fmt: str = "csv") -> Catalog:
+    """A catalog over the files ``root/<table>.<fmt>`` of the retail schema instead of the driver's tables."""
+    tables = {n: read_table(spark, n, f"{root.rstrip('/')}/{n}.{fmt}", fmt) for n in TABLE_NAMES}
+    tables["orders_slim"] = tables["orders"].drop("zip")
+    return Catalog(spark, root, tables)

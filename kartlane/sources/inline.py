@@ -66,10 +66,6 @@ def tet_table(spark: SparkSession) -> DataFrame:
             .select("tet_year", F.col("tet_date").cast("date").alias("tet_date")))
 
 
-def holidays_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXED_HOLIDAYS, "h_month int, h_day int, holiday string")
-
-
 def campaigns_table(spark: SparkSession) -> DataFrame:
     rows = [(n, m, d, dur, None if disc is None else float(disc), rec)
             for n, m, d, dur, disc, rec in PROMO_SCHEDULE]
