@@ -10,11 +10,17 @@ two texts is found; nothing is sampled, capped or approximated.
    the hash of all it holds there; a shared passage alone makes no equal key.
    A set emits its non-empty ranges, and the empty ones too if it has no more
    than D non-empty ones, so no pair is lost.
-3. Keys held by several sets form tiles. Each member is first compared with the
-   tile's first set; verified links make components.
-4. Tiles whose members lie in different components are compared in blocks by
-   hashed bitmaps: the bits of A that B lacks bound the overlap from above.
-   What the bound lets through is decided by exact sorted-array intersection.
+3. Sets that share a key, and those that share one with them, form a cluster.
+   A cluster is a tile; one of more than ``BLOCK`` sets or ``SHINGLES`` shingles is
+   cut into size bands and these into blocks, with a tile for each two blocks of
+   a band and for what two neighbouring bands hold within reach of their border.
+   A task holds two blocks at most.
+4. Tiles of hashed bitmaps come first: the bits of A that B lacks bound the
+   overlap from above. Sets that no other set can reach by that bound are done.
+5. The sets that are left meet in tiles again, with finer bitmaps and their
+   sorted shingles: what the bound lets through is decided by exact sorted-array
+   intersection. Sets known to be of one component are not compared again, and
+   only a spanning forest of the links leaves a tile.
 
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; a text with fewer words than a shingle is one shingle; repeated rows
@@ -32,8 +38,9 @@ from .common import components, materialize, mix, texts_of, word_hashes
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-BROADCAST_ROWS = 1_000_000  # document ids that may be broadcast (8 MB); beyond, a shuffled join
-BLOCK = 512  # sets of one side of a compared block
+BROADCAST_ROWS = 200_000  # sets whose place (about 100 bytes) may be broadcast; beyond, a shuffled join
+BLOCK, SHINGLES = 4096, 3_000_000  # sets and shingles (24 MB) of a block
+COARSE, FINE = 4, 16  # bits of a bitmap for each shingle, up to twice as many
 
 
 def shingle_set(raw, words: int) -> np.ndarray:
@@ -50,6 +57,11 @@ def shingle_set(raw, words: int) -> np.ndarray:
     return np.unique(mix(s))
 
 
+def node_of(s: np.ndarray) -> int:
+    """The identity of a set."""
+    return int(mix(mix(s + _MUL[3]).sum(keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
+
+
 class Bands:
     """Size bands, the largest difference of a linked pair in each, and the number of hash ranges."""
 
@@ -87,28 +99,31 @@ def range_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set: a power of two of bits, about twice its size, 512 to 16384."""
-    bits = min(max(512, 1 << int(2 * len(s) - 1).bit_length()), 16384)
-    b = np.zeros(bits, np.uint8)
-    b[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(b)
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Hashed bitmap of a set, in 64-bit words; ``bits`` is a power of two."""
+    b = np.zeros(bits, bool)
+    b[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(b, bitorder="little").view(np.uint64)
+
 
+def width(shingles: int, each: int) -> int:
+    return max(256, 1 << int(each * shingles - 1).bit_length())
 
-def fold(b: np.ndarray, size: int) -> np.ndarray:
-    """The bitmap (bytes) folded to a smaller power of two; the low bits of a hash give its place."""
-    return np.bitwise_or.reduce(b.reshape(-1, size), axis=0) if len(b) > size else b
 
+def fold(b: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap folded to fewer words; the low bits of a hash are its place."""
+    return np.bitwise_or.reduce(b.reshape(-1, words), axis=0) if len(b) > words else b
 
-def overlap_bound(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> int:
-    """Upper bound of the overlap: a set bit that the other bitmap lacks is a shingle that the other lacks."""
-    size = min(len(a), len(b))
-    a, b = fold(a, size), fold(b, size)
-    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
+
+def overlap_bound(maps: np.ndarray, n: np.ndarray, x: int, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of set ``x`` with each of ``y``: a set bit that the other lacks is a shingle it lacks."""
+    other = maps[y]
+    return np.minimum(n[x] - np.bitwise_count(maps[x] & ~other).sum(1, dtype=np.int64),
+                      n[y] - np.bitwise_count(other & ~maps[x]).sum(1, dtype=np.int64))
 
 
 def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, node, n, bits, keys)``; node null without shingles, bits and keys on a set's first row of a task."""
+    """``(doc_id, node, n, keys)``; node null without shingles, keys on a set's first row of a task."""
     def run(batches):
         import pyarrow as pa
         bands, seen = Bands(num, den), set()
@@ -118,15 +133,15 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             for t in texts_of(b.column(1)):
                 s = shingle_set(t, words)
                 if not len(s):
-                    rows.append((None, 0, None, None))
+                    rows.append((None, 0, None))
                     continue
-                node = int(mix(mix(s + _MUL[3]).sum(keepdims=True) + np.uint64(len(s)))[0].view(np.int64))
+                node = node_of(s)
                 if node in seen:
-                    rows.append((node, len(s), None, None))
+                    rows.append((node, len(s), None))
                 else:
                     if len(seen) < 1_000_000:  # else a set may be sent once more, which changes nothing
                         seen.add(node)
-                    rows.append((node, len(s), bitmap(s).tobytes(), range_keys(s, bands).view(np.int64)))
+                    rows.append((node, len(s), range_keys(s, bands).view(np.int64)))
                 if len(rows) == 2000:
                     yield _rows(ids.slice(at, 2000), rows)
                     at, rows = at + 2000, []
@@ -134,156 +149,179 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def _rows(ids, rows):
         import pyarrow as pa
-        node, n, bits, keys = zip(*rows) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bits", "keys"])
+        node, n, keys = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()),
+                                           pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n bigint, bits binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n bigint, keys array<bigint>")
 
 
-def tiles(sig: DataFrame) -> DataFrame:
-    """``(key, first, node, pos)``: every set but the first of each key that several sets hold."""
+def shared_keys(sig: DataFrame) -> DataFrame:
+    """``(a, b)``: the first set of each key that several sets hold, with each of the others."""
     def run(batches):
         import pyarrow as pa
         key0 = node0 = first0 = None
-        pos0 = 0
         for b in batches:
             key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(key):
                 continue
-            same_key = np.concatenate([[key[0] == key0] if key0 is not None else [False], key[1:] == key[:-1]])
-            same = same_key & np.concatenate([[node[0] == node0] if node0 is not None else [False], node[1:] == node[:-1]])
-            start = np.flatnonzero(~same_key)
-            step = np.cumsum(~same)
+            same_key = np.concatenate([[key0 is not None and key[0] == key0], key[1:] == key[:-1]])
+            same = same_key & np.concatenate([[node0 is not None and node[0] == node0], node[1:] == node[:-1]])
             run_of = np.cumsum(~same_key)  # 0: the run that goes on from the batch before
-            base = np.concatenate([[0 - pos0], step[start]])
-            firsts = np.concatenate([[first0 if first0 is not None else 0], node[start]])
-            pos, first = step - base[run_of], firsts[run_of]
+            first = np.concatenate([[first0 if first0 is not None else 0], node[~same_key]])[run_of]
             keep = same_key & ~same
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, first, node, pos)], ["key", "first", "node", "pos"])
-            key0, node0, first0, pos0 = key[-1], node[-1], first[-1], int(pos[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(node[keep])], ["a", "b"])
+            key0, node0, first0 = key[-1], node[-1], first[-1]
 
     rows = sig.where("keys is not null").select(F.explode("keys").alias("key"), "node")
     return (rows.repartition("key").sortWithinPartitions("key", "node")
-            .mapInArrow(run, "key bigint, first bigint, node bigint, pos bigint"))
-
-
-def verify(docs: DataFrame, sig: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that really link."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = (sig.where("keys is not null").join(nodes, "node", "left_semi").groupBy("node")
-              .agg(F.min("doc_id").alias("doc_id")))
-    wanted = materialize(wanted)
-    few = wanted.count() <= BROADCAST_ROWS
+            .mapInArrow(run, "a bigint, b bigint").distinct())
+
+
+def members(sig: DataFrame) -> DataFrame:
+    """``(doc_id, node, cluster, n)``: a document for each set that shares a key with another."""
+    cluster = components(materialize(shared_keys(sig)))
+    return materialize(sig.where("keys is not null").join(cluster, "node").groupBy("node")
+                       .agg(F.min("doc_id").alias("doc_id"), F.first("component").alias("cluster"), F.first("n").alias("n")))
+
+
+def place(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``(doc_id, node, cluster, own, tiles)``: each member's block and the tiles ``(i, j)`` it is needed in."""
+    large = (rows.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+             .where((F.col("sets") > BLOCK) | (F.col("shingles") > SHINGLES)).select("cluster", F.lit(True).alias("large")))
+    band = F.floor(F.log2("n")).cast("long")
+    rows = rows.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0))
+    parts = rows.groupBy("cluster", "band").agg(
+        F.when(F.first("large"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES))).otherwise(1)
+        .cast("long").alias("parts"))
+    edge = F.pow(F.lit(2), F.col("band")).cast("long")  # the least size of the band
+    rows = rows.join(parts, ["cluster", "band"]).select(
+        "doc_id", "node", "cluster", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("own"),
+        F.explode(F.array_compact(F.array(
+            F.lit("same"), F.when(F.col("large") & (F.col("n") * den >= 2 * edge * num), F.lit("high")),
+            F.when(F.col("large") & (F.col("n") * num < edge * den), F.lit("low"))))).alias("role"))
+    block = parts.select("cluster", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    block = block.select("cluster", "band", (F.col("band") * (1 << 32) + F.col("part")).alias("own"))
+    x, y = block.alias("x"), block.alias("y")
+    met = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("y.own") >= F.col("x.own"))
+                 & (F.col("y.band") - F.col("x.band") <= 1)).select(
+        "x.cluster", F.struct(F.col("x.own").alias("i"), F.col("y.own").alias("j")).alias("tile"),
+        (F.col("x.band") == F.col("y.band")).alias("within"))
+    of = (met.select("cluster", F.col("tile.i").alias("own"), F.when(F.col("within"), "same").otherwise("high").alias("role"), "tile")
+          .unionByName(met.where("tile.i <> tile.j").select(
+              "cluster", F.col("tile.j").alias("own"), F.when(F.col("within"), "same").otherwise("low").alias("role"), "tile")))
+    return materialize(rows.join(of, ["cluster", "own", "role"]).groupBy("node", "doc_id", "cluster", "own")
+                       .agg(F.collect_list("tile").alias("tiles")))
+
+
+def in_tiles(docs: DataFrame, placed: DataFrame, words: int, payload, compare, schema: str) -> DataFrame:
+    """``compare(within, own, node, payloads)`` for every tile, ``payload(set)`` being what a set is sent as."""
+    few = placed.count() <= BROADCAST_ROWS
 
     def load(batches):
         import pyarrow as pa
         for b in batches:
-            node, out, sets = b.column(0).to_pylist(), [], []
-            for v, t in zip(node, texts_of(b.column(1))):
+            keep, sets = np.zeros(b.num_rows, bool), []
+            for i, (v, t) in enumerate(zip(b.column(0).to_pylist(), texts_of(b.column(4)))):
                 s = shingle_set(t, words)
-                own = int(mix(mix(s + _MUL[3]).sum(keepdims=True) + np.uint64(len(s)))[0].view(np.int64)) if len(s) else None
-                if own == v:  # rows of one id may have different texts
-                    out.append(v)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], ["node", "s"])
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", "text")
-    sets = materialize(texts.mapInArrow(load, "node bigint, s binary")).dropDuplicates(["node"])
-
-    def decide(batches):
-        import pyarrow as pa
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(x) + len(y)
-                least = -(-n * num // (num + den))  # common shingles that a link needs
-                if overlap_bound(bitmap(x), len(x), bitmap(y), len(y)) >= least:
-                    keep[i] = n - len(np.unique(np.concatenate([x, y]))) >= least
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["a", "b"])
-
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b"))
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(decide, "a bigint, b bigint"))
-
-
-def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs ``(a, b)`` of one tile but different components that the bitmap bound lets through.
-
-    ``members``: ``(key, pos, node, comp, n, bits)``. Large tiles are cut into blocks of ``BLOCK`` sets; a task holds
-    two blocks at a time.
-    """
-    last = members.groupBy("key").agg((F.max("pos").cast("long") / BLOCK).cast("long").alias("last"))
-    rows = members.join(last, "key").withColumn("own", (F.col("pos") / BLOCK).cast("long"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp",
-                       "n", "bits")
-    kind = "key bigint, i bigint, j bigint, own bigint, node bigint, comp bigint, n bigint, bits binary"
-
-    def compare(own, i, j, node, comp, n, bits):
-        out = []
-        order = np.argsort(n, kind="stable")
-        maps = [np.frombuffer(x, np.uint8) for x in bits]
-        size = min(map(len, maps))
-        maps = np.stack([fold(x, size) for x in maps])[order]
-        node, comp, n, own = node[order], comp[order], n[order], own[order]
-        for x in range(len(n) - 1):
-            to = int(np.searchsorted(n, n[x] * den // num, side="right"))  # size band of the smaller set
-            y = np.arange(x + 1, to)
-            y = y[(comp[y] != comp[x]) & ((own[y] != own[x]) | (i == j))]
-            if len(y):
-                bound = np.minimum(n[x] - np.bitwise_count(maps[x] & ~maps[y]).sum(1, dtype=np.int64),
-                                   n[y] - np.bitwise_count(maps[y] & ~maps[x]).sum(1, dtype=np.int64))
-                y = y[bound * (num + den) >= num * (n[x] + n[y])]
-                out += [(min(int(node[x]), int(v)), max(int(node[x]), int(v))) for v in node[y]]
-        return out
+                if len(s) and node_of(s) == v:  # rows of one id may have different texts
+                    keep[i] = True
+                    sets.append(payload(s).tobytes())
+            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep)) for c in b.columns[:4]), pa.array(sets, pa.binary())],
+                                             ["node", "cluster", "own", "tiles", "s"])
 
     def run(batches):
-        import pyarrow as pa
-        held = None
+        held = []  # slices of the tile that is being read
         for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            k = np.stack([t.column(c).to_numpy() for c in range(3)], 1)
-            cut = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1]) if len(k) else np.array([0])
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), b.num_rows]
             for x, y in zip(cut[:-1], cut[1:]):
-                yield from emit(t.slice(x, y - x))
-            held = t.slice(cut[-1])
-        if held is not None and held.num_rows:
+                if held and tuple(k[x]) != held[0][0]:
+                    yield from emit(held)
+                    held = []
+                held.append((tuple(k[x]), b.slice(x, y - x)))
+        if held:
             yield from emit(held)
 
-    def emit(t):
+    def emit(held):
         import pyarrow as pa
-        c = [t.column(x).to_numpy() for x in range(7)]
-        found = compare(c[3], c[1][0], c[2][0], c[4], c[5], c[6], t.column(7).to_pylist())
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        t = pa.Table.from_batches([b for _, b in held])
+        found = compare(held[0][0][1] == held[0][0][2], t.column(3).to_numpy(), t.column(4).to_numpy(),
+                        [np.frombuffer(s, np.uint64) for s in t.column(5).to_pylist()])
+        if len(found) and len(found[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in found], [x.split()[0] for x in schema.split(", ")])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(placed) if few else placed, "doc_id")
+    sets = texts.select("node", "cluster", "own", "tiles", "text").mapInArrow(
+        load, "node bigint, cluster bigint, own bigint, tiles array<struct<i: bigint, j: bigint>>, s binary")
+    rows = sets.select("cluster", F.explode("tiles").alias("t"), "own", "node", "s").select("cluster", "t.i", "t.j", "own", "node", "s")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, schema)
+
+
+def reachable(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``(node)``: the sets that by the bound of a coarse bitmap may link with another set of their cluster."""
+    def payload(s):
+        return np.concatenate([[np.uint64(len(s))], bitmap(s, width(len(s), COARSE))])
+
+    def compare(within, own, node, sent):
+        n = np.array([int(x[0]) for x in sent])
+        order = np.argsort(n, kind="stable")
+        n, node, own, maps = n[order], node[order], own[order], [sent[k][1:] for k in order]
+        hit, at = np.zeros(len(n), bool), 0
+        while at < len(n):  # rows whose partners have bitmaps of one width and the next
+            words_ = len(maps[at])
+            end = at + next((k for k, m in enumerate(maps[at:]) if len(m) > words_), len(n) - at)
+            to = int(np.searchsorted(n, n[end - 1] * den // num, side="right"))
+            table = np.stack([fold(m, words_) for m in maps[at:to]])
+            sizes = n[at:to]
+            for x in range(end - at):
+                y = np.arange(x + 1, int(np.searchsorted(sizes, sizes[x] * den // num, side="right")))
+                y = y[(node[at + y] != node[at + x]) & (within | (own[at + y] != own[at + x]))]
+                if len(y):
+                    fine = overlap_bound(table, sizes, x, y) * (num + den) >= num * (sizes[x] + sizes[y])
+                    hit[at + y[fine]] = True
+                    hit[at + x] |= fine.any()
+            at = end
+        return [node[hit]]
+
+    return in_tiles(docs, placed, words, payload, compare, "node bigint").distinct()
+
+
+def links(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``(a, b)``: a spanning forest of the linked sets of every tile."""
+    def compare(within, own, node, sets):
+        n = np.array([len(s) for s in sets])
+        order = np.argsort(n, kind="stable")
+        sets, n, node, own = [sets[k] for k in order], n[order], node[order], own[order]
+        bits = width(int(n[-1]), FINE)
+        while bits > 512 and bits // 8 * len(n) > 64 << 20:
+            bits //= 2
+        maps, root, found = np.stack([bitmap(s, bits) for s in sets]), np.arange(len(n)), []
+        for x in range(len(n) - 1):
+            y = np.arange(x + 1, int(np.searchsorted(n, n[x] * den // num, side="right")))  # size band of the smaller set
+            y = y[(root[y] != root[x]) & (within | (own[y] != own[x]))]
+            if not len(y):
+                continue
+            bound = overlap_bound(maps, n, x, y)
+            least = -(-num * (n[x] + n[y]) // (num + den))  # common shingles that a link needs
+            for k in np.flatnonzero(bound >= least):
+                if root[y[k]] != root[x] and len(np.intersect1d(sets[x], sets[y[k]], assume_unique=True)) >= least[k]:
+                    root[root == root[y[k]]] = root[x]
+                    found.append((node[x], node[y[k]]))
+        return list(zip(*found))
 
-    assert [x.split()[0] for x in kind.split(", ")] == rows.columns
-    return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
-            .distinct())
+    return in_tiles(docs, placed, words, lambda s: s, compare, "a bigint, b bigint").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row; the least id reachable by links, itself included."""
     sig = materialize(signatures(docs, words, num, den))
-    tile = materialize(tiles(sig))
-    pairs = materialize(tile.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = verify(docs, sig, pairs, words, num, den)
-    comp = materialize(components(links))
-    # tiles with members, the first left aside, of several components: those pairs have not been compared
-    own = tile.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = (own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"),
-                                    F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
-             .where("x <> y").groupBy("size", "members").agg(F.min("key").alias("key")).select("key"))
-    bits = sig.where("keys is not null").select("node", "n", "bits").dropDuplicates(["node"])
-    members = own.join(mixed, "key").join(bits, "node").select("key", "pos", "node", "comp", "n", "bits")
-    rest = materialize(block_pairs(materialize(members), num, den))
-    if not rest.isEmpty():
-        more = verify(docs, sig, rest, words, num, den)
-        comp = materialize(components(links.unionByName(more)))
+    found = members(sig)
+    left = materialize(reachable(docs, place(found, num, den), words, num, den))
+    found = place(found.join(left, "node", "left_semi"), num, den)
+    comp = components(materialize(links(docs, found, words, num, den)))
     nodes = (sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -156,15 +156,15 @@ def test_jaccard_against_brute_force(spark, docs, texts, words, num, den):
     assert sorted(map(tuple, got)) == brute_components(rows, words, num, den)
 
 
-def test_jaccard_blocks_find_what_the_first_comparison_misses(spark, monkeypatch):
-    """Chains: sets that share a key with a first set they do not link with."""
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+def test_jaccard_large_clusters_are_cut_into_blocks(spark, monkeypatch):
+    """Chains of near sets in clusters of many blocks and size bands."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
     rng = random.Random(9)
-    base = [f"w{i}" for i in range(40)]
+    base = [f"w{i}" for i in range(58)]
     rows = []
-    for i in range(40):
-        t = list(base)
-        for j in rng.sample(range(40), rng.choice([1, 1, 2, 3])):
+    for i in range(90):
+        t = list(base) + [f"y{k}" for k in range(rng.choice([0, 3, 6, 9, 14]))]
+        for j in rng.sample(range(58), rng.choice([1, 1, 2, 3, 5])):
             t[j] = f"x{rng.randrange(6)}"
         rows.append((i, " ".join(t)))
     got = jaccard.near_duplicates(frame(spark, rows, "doc_id bigint, text string"), 1, 85, 100).collect()
