@@ -91,29 +91,26 @@ def best_model(metric_table: DataFrame) -> DataFrame:
                    F.min("RMSE").alias("best_rmse"))
 
 
-# Fixed substring -> business explanation rules for feature names (first match wins).
+# FIXED VALUES - substrings of feature names, first match wins; the texts are our own.
 DRIVER_RULES = [
-    ("lag", "Recent demand momentum"),
-    ("roll", "Smoothed recent demand level"),
-    ("expanding", "Long-run demand level"),
-    ("promo", "Promotion calendar"),
-    ("tet", "Lunar New Year timing"),
-    ("hol", "Holiday calendar"),
-    ("sin", "Seasonal cycle"),
-    ("cos", "Seasonal cycle"),
-    ("month", "Month-of-year seasonality"),
-    ("dow", "Day-of-week pattern"),
-    ("dayofweek", "Day-of-week pattern"),
-    ("year", "Long-term trend"),
+    (("lag",), "what the series did lately, or a season ago"),
+    (("roll_mean",), "the level the series has been moving around"),
+    (("roll_std",), "how much sales have been swinging"),
+    (("dayofweek", "weekofyear", "month", "dayofyear"), "the time of week and year"),
+    (("cogs_to_revenue", "gross_margin"), "past margin and cost"),
 ]
+OTHER_DRIVER = "long-run level or place in the calendar"
 
 
 def driver_labels(importance: DataFrame, feature_col: str = "feature") -> DataFrame:
-    lab = None
-    for sub, text in DRIVER_RULES:
-        cond = F.col(feature_col).contains(sub)
-        lab = F.when(cond, F.lit(text)) if lab is None else lab.when(cond, F.lit(text))
-    return importance.withColumn("business_driver", lab.otherwise(F.lit("Other calendar effect")))
+    """``business_driver``: what the first matching rule says of a feature."""
+    lab = F
+    for parts, text in DRIVER_RULES:
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | F.col(feature_col).contains(p)
+        lab = lab.when(hit, F.lit(text))
+    return importance.withColumn("business_driver", lab.otherwise(F.lit(OTHER_DRIVER)))
 
 
 def importance_share(imp: DataFrame, top_k: int | None = None) -> DataFrame:

@@ -241,6 +241,19 @@ def dq_series_guards(cat):
     return Q.series_guards(cat.table("sales"), "Date", ["Revenue", "COGS"])
 
 
+# report -> the registered query with the same rows
+REPORT_QUERIES = {
+    "eda_table_summary": "dq_table_summary", "eda_column_summary": "dq_column_summary",
+    "eda_duplicate_key_report": "dq_duplicate_keys", "eda_relationship_checks": "dq_relationships",
+    "eda_date_coverage": "dq_date_coverage", "eda_customer_acquisition_channel_nullness": "dq_channel_nullness",
+    "eda_customer_cohorts": "q_cohort_summary", "eda_revenue_seasonality": "q_revenue_seasonality",
+    "eda_product_seasonality": "q_product_seasonality", "eda_inventory_status_summary": "q_inventory_status",
+    "eda_inventory_category_fill_rate_lost_unit_proxy": "q_lost_units",
+    "eda_inventory_snapshot_coverage": "dq_snapshot_coverage",
+    "eda_inventory_schema_quality_checks": "dq_inventory_checks", "eda_payment_revenue_proxy": "dq_payment_proxy_summary",
+}
+
+
 @register("snk_reports")
 def snk_reports(cat):
     """write_eda_reports: the EDA report tables written by name; returns name + row count."""

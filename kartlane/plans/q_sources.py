@@ -116,11 +116,12 @@ def src_date_spine(cat):
     return cat.table("sales")
 
 
-@register("src_derived_scan")
+@register("src_derived_scan", with_views(
+    f"SELECT order_id, {D('order_date')} AS order_date, {D('order_month')} AS order_month, customer_id, "
+    f"{R('net_revenue')} AS net_revenue, {I("date_diff('day', order_month, order_date)")} AS day_of_month0 FROM v_order_fact",
+    "v_order_fact"))
 def src_derived_scan(cat):
     """Write the order fact as Parquet in the shared checkpoint folder and re-read it."""
     from kartlane.plans.reports import write_and_read_fact
     return write_and_read_fact(cat)
 
-
-_ = I  # re-exported helper

@@ -61,4 +61,8 @@ def load_all_plans() -> dict[str, Query]:
     # importing the plan modules fills REGISTRY
     from kartlane.plans import (q_sources, q_quality, q_facts, q_business, q_demand,  # noqa: F401
                                 q_supply, q_features, q_forecast, q_primitives)
+    # the reports are the rows of other queries: their row counts are the sink's twin
+    REGISTRY["snk_reports"].sql = " UNION ALL ".join(
+        f"SELECT '{report}' AS report, count(*) AS rows FROM ({REGISTRY[name].sql})"
+        for report, name in q_quality.REPORT_QUERIES.items())
     return REGISTRY
