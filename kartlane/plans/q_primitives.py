@@ -383,7 +383,8 @@ def _register_aliases():
         if new in REGISTRY or old not in REGISTRY:
             continue
         q = REGISTRY[old]
-        REGISTRY[new] = q.__class__(new, q.build, q.sql, f"{q.doc} (primitive {new}; same plan as {old})")
+        REGISTRY[new] = q.__class__(new, q.build, q.sql, f"{q.doc} (primitive {new}; same plan as {old})",
+                                    q.significant)
 
 
 _register_aliases()
