@@ -13,31 +13,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kartlane.llm import jaccard, packing, quality, toxicity
-from kartlane.llm.common import materialize
+from kartlane.llm.common import bounded_batches, materialize
 from kartlane.llm.q_arrow import labels, tokenizer_path
 
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast (8 MB); beyond, a shuffled join
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """The text, and the row with all its columns in one struct, so that their names clash with nothing."""
-    return docs.select("text", F.struct("*").alias("row"))
+    """Each row with all its columns in one struct, so that their names clash with nothing."""
+    return docs.select(F.struct("*").alias("row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models do not predict to be toxic."""
+    bounded_batches(spark)
     model, coef = toxicity.train(docs, labels(spark, sf_dir))
-    return toxicity.score(_whole(docs), model, coef, ["row"]).where("score < 0.5").select("row.*")
+    return toxicity.score(_whole(docs), model, coef, ["row"], "row.text").where("score < 0.5").select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network predicts to be good."""
+    bounded_batches(spark)
     net, coef = quality.train(docs, labels(spark, sf_dir))
-    return quality.score(_whole(docs), net, coef, ["row"]).where("score >= 0.5").select("row.*")
+    return quality.score(_whole(docs), net, coef, ["row"], "row.text").where("score >= 0.5").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group linked by five-word shingles at a Jaccard index of 0.8."""
+    bounded_batches(spark)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
         docs = materialize(docs.where("doc_id is null").unionByName(
@@ -52,6 +55,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of the documents, in sequences of at most 4096 tokens."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import pieces, texts_of
 
 SEPARATOR = "<|endoftext|>"
 
@@ -50,7 +50,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         import pyarrow as pa
         from .tokens import ByteDecoder, UnitEncoder, encoder
         enc, dec = encoder(UnitEncoder, path, SEPARATOR), ByteDecoder(path)
-        for b in batches:
+        for b in pieces(batches):
             n, x, y = [], [], []
             raws = [bytes(t) for t in texts_of(b.column(1))]
             for at in range(0, len(raws), 200):
@@ -61,5 +61,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.cache.clear()
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

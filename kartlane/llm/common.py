@@ -128,6 +128,43 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[ord(c) for c in ".,;:!?\"()[]{}"]] = True
 
 
+ROWS_PER_BATCH = "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole documents travel in Arrow batches here: Spark's 10,000 rows a batch become 1,000 where nobody has set them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, ROWS_PER_BATCH)
+
+
+def pieces(batches, rows: int = 2000):
+    """Arrow batches cut to at most ``rows`` rows; gives unused memory back when a task ends."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    tidy()
+
+
+def tidy() -> None:
+    """Workers stay for the next task; the memory that this one has freed need not."""
+    import contextlib
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_column(batch, name: str):
+    """The text of a batch: a column, or a field of a struct column (``row.text``); null rows have null texts."""
+    import pyarrow.compute as pc
+    top, _, field = name.partition(".")
+    column = batch.column(batch.schema.get_field_index(top))
+    return pc.struct_field(column, field) if field else column
+
+
 def texts_of(column):
     """Yield each value of an Arrow string column as a UTF-8 byte view (null: empty), without copies."""
     import pyarrow as pa

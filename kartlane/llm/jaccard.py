@@ -34,12 +34,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, texts_of, word_hashes
+from .common import components, materialize, mix, pieces, texts_of, tidy, word_hashes
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 BROADCAST_ROWS = 200_000  # sets whose place (about 100 bytes) may be broadcast; beyond, a shuffled join
-BLOCK, SHINGLES = 4096, 3_000_000  # sets and shingles (24 MB) of a block
+BLOCK, SHINGLES = 4096, 1_500_000  # sets and shingles (12 MB) of a block
 COARSE, FINE = 4, 16  # bits of a bitmap for each shingle, up to twice as many
 
 
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         bands, seen = Bands(num, den), set()
-        for b in batches:
+        for b in pieces(batches):
             ids, at = b.column(0), 0
             rows = []
             for t in texts_of(b.column(1)):
@@ -220,7 +220,7 @@ def in_tiles(docs: DataFrame, placed: DataFrame, words: int, payload, compare, s
 
     def load(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches):
             keep, sets = np.zeros(b.num_rows, bool), []
             for i, (v, t) in enumerate(zip(b.column(0).to_pylist(), texts_of(b.column(4)))):
                 s = shingle_set(t, words)
@@ -244,6 +244,8 @@ def in_tiles(docs: DataFrame, placed: DataFrame, words: int, payload, compare, s
                 held.append((tuple(k[x]), b.slice(x, y - x)))
         if held:
             yield from emit(held)
+        held = None
+        tidy()
 
     def emit(held):
         import pyarrow as pa
@@ -296,7 +298,7 @@ def links(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) ->
         order = np.argsort(n, kind="stable")
         sets, n, node, own = [sets[k] for k in order], n[order], node[order], own[order]
         bits = width(int(n[-1]), FINE)
-        while bits > 512 and bits // 8 * len(n) > 64 << 20:
+        while bits > 512 and bits // 8 * len(n) > 24 << 20:
             bits //= 2
         maps, root, found = np.stack([bitmap(s, bits) for s in sets]), np.arange(len(n)), []
         for x in range(len(n) - 1):

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import pieces, shared_dir
 
 WINDOW, CLOSE = 4096, 2
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -37,19 +37,19 @@ def tokenise(docs: DataFrame, path: str, vocabulary: int = 49_408) -> tuple[Data
         enc = encoder(WordEncoder, path)
         df, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
         names = ["kind", "doc_id", "n", "ids"]
-        for b in batches:
+        for b in pieces(batches):
             n, out = [], []
-            for at in range(0, b.num_rows, 2000):
-                ids, bound = enc.encode(b.column(1).slice(at, 2000))
-                for x, y in zip(bound[:-1], bound[1:]):
-                    own = np.append(ids[x:y], np.uint16(CLOSE))
-                    seen[own] = True
-                    df += seen
-                    seen[own] = False
-                    n.append(len(own))
-                    out.append(own.tobytes())
+            ids, bound = enc.encode(b.column(1))
+            for x, y in zip(bound[:-1], bound[1:]):
+                own = np.append(ids[x:y], np.uint16(CLOSE))
+                seen[own] = True
+                df += seen
+                seen[own] = False
+                n.append(len(own))
+                out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(n), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names)
+        enc.cache.clear()  # the worker stays, its words need not
         yield pa.RecordBatch.from_arrays(
             [pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()),
              pa.array([df.tobytes()], pa.binary())], names)

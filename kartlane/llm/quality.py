@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import labelled_sample, logistic, sigmoid, texts_of
+from .common import labelled_sample, logistic, pieces, sigmoid, text_column, texts_of
 
 FILTERS, WIDTH, STRIDE, CHUNK = 16, 8, 4, 512
 HALF = CHUNK // 2 // STRIDE  # positions in half a chunk
@@ -143,30 +143,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
     return net, logistic(x, y, weight)
 
 
-def features(rows: DataFrame, net: Net, keep: list[str]) -> DataFrame:
-    """``keep`` columns and mean, highest and lowest chunk logit of each whole text."""
+def features(rows: DataFrame, net: Net, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and mean, highest and lowest chunk logit of each whole text; ``text`` may be a field of a kept struct."""
     schema = StructType([rows.schema[k] for k in keep] + [StructField(c, DoubleType()) for c in ("mean", "top", "low")])
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches):
             f = []
-            for t in texts_of(b.column(0)):
+            for t in texts_of(text_column(b, text)):
                 z = net.chunk_logits(t)
                 f.append((z.mean(), z.max(), z.min()))
             f = np.array(f, float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(f[:, i]) for i in range(3))],
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(f[:, i]) for i in range(3))],
                                              [*keep, "mean", "top", "low"])
-    return rows.select("text", *keep).mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*keep, text.split(".")[0]])).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, net: Net | None, coef: np.ndarray, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, net: Net | None, coef: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` and ``score``."""
     if net is None:
         return docs.select(*keep, F.lit(float(sigmoid(coef[-1]))).alias("score"))
     z = sum((F.col(c) * float(a) for c, a in zip(("mean", "top", "low"), coef)), F.lit(float(coef[-1])))
     z = F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))
-    return features(docs, net, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
+    return features(docs, net, keep, text).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ NAMES = {
 
 def _runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .common import bounded_batches
+        bounded_batches(spark)
         module, function = NAMES[name]
         return getattr(importlib.import_module(f"{__package__}.{module}"), function)(spark, sf_dir)
     run.__name__ = name

@@ -179,7 +179,7 @@ class WordEncoder:
         import json
 
         import tiktoken
-        self.tok, self.most = load(path), most
+        self.path, self.tok, self.most = path, None, most  # the tokenizer itself is loaded when a word needs it
         model = json.load(open(path, encoding="utf-8"))["model"]
         byte = byte_alphabet()
 
@@ -197,11 +197,11 @@ class WordEncoder:
         for t, r in ranks.items():
             self.ids[r], self.ends[r] = own.get(t, 0), t.endswith(b"\x01")
         self.bpe = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[bytes, bytes] = {b"": b""}
+        self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.cache) + len(words) > self.most:
-            self.cache = {b"": b""}
+            self.cache = {}
         plain, counts, names, rest = [], [], [], []
         for w in words:
             s = w.decode()
@@ -217,6 +217,8 @@ class WordEncoder:
             last = np.flatnonzero(self.ends[got])[np.cumsum(counts) - 1] + 1
             raw, cut = self.ids[got].tobytes(), (2 * last).tolist()
             self.cache.update(zip(names, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
+        if rest and self.tok is None:
+            self.tok = load(self.path)
         for w in rest:
             s = w.decode()
             self.cache[w] = tree_encode(self.tok, s).astype("<u2").tobytes()
@@ -229,6 +231,7 @@ class WordEncoder:
         bounds = np.asarray(lists.offsets).astype(np.int64)
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
+        self.cache[b""] = b""
         code = np.asarray(words.indices)
         names = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.dictionary.type) else pa.binary()).to_pylist()
         fresh = [w for w in names if w not in self.cache]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import labelled_sample, logistic, materialize, sigmoid, texts_of, word_hashes
+from .common import labelled_sample, logistic, materialize, pieces, sigmoid, text_column, texts_of, word_hashes
 
 WINDOW, STEP, TOP = 32, 16, 4
 PREFIXES = (4, 5, 6, 7, 8)
@@ -147,7 +147,7 @@ def shared_counts(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
     def run(batches):
         import pyarrow as pa
         total = np.zeros(len(known) + 1, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             for t in texts_of(b.column(0)):
                 h = _distinct(t)[0]
                 if len(h) and len(known):
@@ -187,26 +187,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
     return model, logistic(x, y, weight, ridge=1e-3)
 
 
-def features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the three ratios of each whole text."""
+def features(rows: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and the three ratios of each whole text; ``text`` may be a field of a kept struct."""
     schema = StructType([rows.schema[k] for k in keep] + [StructField(c, DoubleType()) for c in ("mean", "peak", "top")])
 
     def run(batches):
         import pyarrow as pa
-        for b in batches:
-            f = np.array([model.features(t) for t in texts_of(b.column(0))], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(f[:, i]) for i in range(3))],
+        for b in pieces(batches):
+            f = np.array([model.features(t) for t in texts_of(text_column(b, text))], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(f[:, i]) for i in range(3))],
                                              [*keep, "mean", "peak", "top"])
-    return rows.select("text", *keep).mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*keep, text.split(".")[0]])).mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, model: Model | None, coef: np.ndarray, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, coef: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` and ``score``."""
     if model is None:
         return docs.select(*keep, F.lit(float(sigmoid(coef[-1]))).alias("score"))
     z = sum((F.col(c) * float(a) for c, a in zip(("mean", "peak", "top"), coef)), F.lit(float(coef[-1])))
     z = F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))
-    return features(docs, model, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
+    return features(docs, model, keep, text).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
