@@ -99,7 +99,9 @@ def global_rank_cumsum(df: DataFrame, value: str, tiebreak: str, n_buckets: int
     Adds ``rank``, ``cum_value``, ``n_total`` and ``value_total``.  Rows without a
     value keep their place in the result and have none of the four.
     """
-    base = df.withColumns({"_v": F.col(value).cast("double"), "_k": F.col(tiebreak).cast("double")})
+    from kartlane.session import cut_lineage
+    # written once: the split points, the totals and the rows are all read from it
+    base = cut_lineage(df.withColumns({"_v": F.col(value).cast("double"), "_k": F.col(tiebreak).cast("double")}))
     nulls, base = base.filter(F.col("_v").isNull()), base.filter(F.col("_v").isNotNull())
     vals = base.groupBy("_v").agg(F.count(F.lit(1)).alias("_vn"))
     stats = vals.agg(F.sum("_vn").alias("n_total"), F.sum(F.col("_v") * F.col("_vn")).alias("value_total"))
