@@ -61,6 +61,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc.cache.clear()
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
