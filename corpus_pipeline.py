@@ -1,22 +1,23 @@
 """Training-corpus pipeline: toxicity, quality, near duplicates, packing.
 
 Each stage reads everything that the stage before it kept; all but the last
-return the columns of ``documents``, whatever these are. Defined results: rows
-that repeat a ``doc_id`` are one document to the near-duplicate stage (the one
-with the least text stays); rows without an id link like any other, and stay if
-no document with an id is linked to them. Empty tables pass through.
+return the columns of ``documents``, whatever these are. Defined results: every
+row is a document of its own to the near-duplicate stage, judged by its text
+alone; of linked rows the one of the least id stays (an arbitrary one of those
+that repeat it), and a row without an id only if no row of its group has one.
+Rows without text link with nothing and stay. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kartlane.llm import jaccard, packing, quality, toxicity
 from kartlane.llm.common import bounded_batches, materialize
 from kartlane.llm.q_arrow import labels, tokenizer_path
 
-BROADCAST_ROWS = 1_000_000  # ids that may be broadcast (8 MB); beyond, a shuffled join
+BROADCAST_ROWS = 1_000_000  # row keys that may be broadcast (8 MB); beyond, a shuffled join
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -39,18 +40,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by five-word shingles at a Jaccard index of 0.8."""
+    """One row, that of the least id, of each group linked by five-word shingles at a Jaccard index of 0.8."""
     bounded_batches(spark)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-        docs = materialize(docs.where("doc_id is null").unionByName(
-            docs.where("doc_id is not null").select(F.struct("*").alias("row"), "doc_id", "text")
-            .withColumn("first", first).where("first = 1").select("row.*")))
-    found = jaccard.near_duplicates(docs, words=5, num=80, den=100)
-    kept = materialize(found.where("doc_id <=> component_id").select("doc_id").distinct())
+    # the key alone tells rows apart; the whole row is written beside it, its text being read from there
+    rows = materialize(_whole(docs).select(F.monotonically_increasing_id().alias("key"), "row"))
+    kept = materialize(jaccard.first_rows(rows.select("key", "row.doc_id", "row.text"), words=5, num=80, den=100))
     small = kept.count() <= BROADCAST_ROWS
-    kept = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(F.broadcast(kept) if small else kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.join(F.broadcast(kept) if small else kept, "key", "left_semi").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,10 +22,13 @@ two texts is found; nothing is sampled, capped or approximated.
    intersection. Sets known to be of one component are not compared again, and
    only a spanning forest of the links leaves a tile.
 
+Every row gets a key of its own in a written table, and a set is read again by
+the key of one of its rows, so ids may repeat or be null.
+
 Defined results: null, empty and blank texts have no shingles and link with
 nothing; a text with fewer words than a shingle is one shingle; repeated rows
-and ids are rows of their own; extra columns are not read; an empty table gives
-an empty result.
+and ids, and rows without an id, are rows of their own; extra columns are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -122,15 +125,20 @@ def overlap_bound(maps: np.ndarray, n: np.ndarray, x: int, y: np.ndarray) -> np.
                       n[y] - np.bitwise_count(other & ~maps[x]).sum(1, dtype=np.int64))
 
 
-def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, node, n, keys)``; node null without shingles, keys on a set's first row of a task."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(key, doc_id, text)`` of every row, written once: the key is the row's own."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+
+
+def signatures(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``(key, doc_id, node, n, keys)``; node null without shingles, keys on a set's first row of a task."""
     def run(batches):
         import pyarrow as pa
         bands, seen = Bands(num, den), set()
         for b in pieces(batches):
-            ids, at = b.column(0), 0
+            ids, at = b.columns[:2], 0
             rows = []
-            for t in texts_of(b.column(1)):
+            for t in texts_of(b.column(2)):
                 s = shingle_set(t, words)
                 if not len(s):
                     rows.append((None, 0, None))
@@ -143,17 +151,18 @@ def signatures(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         seen.add(node)
                     rows.append((node, len(s), range_keys(s, bands).view(np.int64)))
                 if len(rows) == 2000:
-                    yield _rows(ids.slice(at, 2000), rows)
+                    yield _rows([c.slice(at, 2000) for c in ids], rows)
                     at, rows = at + 2000, []
-            yield _rows(ids.slice(at, len(rows)), rows)
+            yield _rows([c.slice(at, len(rows)) for c in ids], rows)
 
     def _rows(ids, rows):
         import pyarrow as pa
         node, n, keys = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()),
-                                           pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "keys"])
+        return pa.RecordBatch.from_arrays([*ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()),
+                                           pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "node", "n", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n bigint, keys array<bigint>")
+    return rows.select("key", "doc_id", "text").mapInArrow(
+        run, "key bigint, doc_id bigint, node bigint, n bigint, keys array<bigint>")
 
 
 def shared_keys(sig: DataFrame) -> DataFrame:
@@ -173,20 +182,20 @@ def shared_keys(sig: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(node[keep])], ["a", "b"])
             key0, node0, first0 = key[-1], node[-1], first[-1]
 
-    rows = sig.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+    rows = sig.where("keys is not null").select("node", F.explode("keys").alias("key")).select("key", "node")
     return (rows.repartition("key").sortWithinPartitions("key", "node")
             .mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def members(sig: DataFrame) -> DataFrame:
-    """``(doc_id, node, cluster, n)``: a document for each set that shares a key with another."""
+    """``(key, node, cluster, n)``: a row for each set that shares a range key with another."""
     cluster = components(materialize(shared_keys(sig)))
     return materialize(sig.where("keys is not null").join(cluster, "node").groupBy("node")
-                       .agg(F.min("doc_id").alias("doc_id"), F.first("component").alias("cluster"), F.first("n").alias("n")))
+                       .agg(F.min("key").alias("key"), F.first("component").alias("cluster"), F.first("n").alias("n")))
 
 
 def place(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``(doc_id, node, cluster, own, tiles)``: each member's block and the tiles ``(i, j)`` it is needed in."""
+    """``(key, node, cluster, own, tiles)``: each member's block and the tiles ``(i, j)`` it is needed in."""
     large = (rows.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
              .where((F.col("sets") > BLOCK) | (F.col("shingles") > SHINGLES)).select("cluster", F.lit(True).alias("large")))
     band = F.floor(F.log2("n")).cast("long")
@@ -196,7 +205,7 @@ def place(rows: DataFrame, num: int, den: int) -> DataFrame:
         .cast("long").alias("parts"))
     edge = F.pow(F.lit(2), F.col("band")).cast("long")  # the least size of the band
     rows = rows.join(parts, ["cluster", "band"]).select(
-        "doc_id", "node", "cluster", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("own"),
+        "key", "node", "cluster", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).alias("own"),
         F.explode(F.array_compact(F.array(
             F.lit("same"), F.when(F.col("large") & (F.col("n") * den >= 2 * edge * num), F.lit("high")),
             F.when(F.col("large") & (F.col("n") * num < edge * den), F.lit("low"))))).alias("role"))
@@ -210,24 +219,19 @@ def place(rows: DataFrame, num: int, den: int) -> DataFrame:
     of = (met.select("cluster", F.col("tile.i").alias("own"), F.when(F.col("within"), "same").otherwise("high").alias("role"), "tile")
           .unionByName(met.where("tile.i <> tile.j").select(
               "cluster", F.col("tile.j").alias("own"), F.when(F.col("within"), "same").otherwise("low").alias("role"), "tile")))
-    return materialize(rows.join(of, ["cluster", "own", "role"]).groupBy("node", "doc_id", "cluster", "own")
+    return materialize(rows.join(of, ["cluster", "own", "role"]).groupBy("node", "key", "cluster", "own")
                        .agg(F.collect_list("tile").alias("tiles")))
 
 
-def in_tiles(docs: DataFrame, placed: DataFrame, words: int, payload, compare, schema: str) -> DataFrame:
+def in_tiles(rows: DataFrame, placed: DataFrame, words: int, payload, compare, schema: str) -> DataFrame:
     """``compare(within, own, node, payloads)`` for every tile, ``payload(set)`` being what a set is sent as."""
     few = placed.count() <= BROADCAST_ROWS
 
     def load(batches):
         import pyarrow as pa
         for b in pieces(batches):
-            keep, sets = np.zeros(b.num_rows, bool), []
-            for i, (v, t) in enumerate(zip(b.column(0).to_pylist(), texts_of(b.column(4)))):
-                s = shingle_set(t, words)
-                if len(s) and node_of(s) == v:  # rows of one id may have different texts
-                    keep[i] = True
-                    sets.append(payload(s).tobytes())
-            yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep)) for c in b.columns[:4]), pa.array(sets, pa.binary())],
+            sets = [payload(shingle_set(t, words)).tobytes() for t in texts_of(b.column(4))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())],
                                              ["node", "cluster", "own", "tiles", "s"])
 
     def run(batches):
@@ -255,14 +259,14 @@ def in_tiles(docs: DataFrame, placed: DataFrame, words: int, payload, compare, s
         if len(found) and len(found[0]):
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in found], [x.split()[0] for x in schema.split(", ")])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(placed) if few else placed, "doc_id")
+    texts = rows.select("key", "text").join(F.broadcast(placed) if few else placed, "key")
     sets = texts.select("node", "cluster", "own", "tiles", "text").mapInArrow(
         load, "node bigint, cluster bigint, own bigint, tiles array<struct<i: bigint, j: bigint>>, s binary")
-    rows = sets.select("cluster", F.explode("tiles").alias("t"), "own", "node", "s").select("cluster", "t.i", "t.j", "own", "node", "s")
-    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, schema)
+    sent = sets.select("cluster", F.explode("tiles").alias("t"), "own", "node", "s").select("cluster", "t.i", "t.j", "own", "node", "s")
+    return sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, schema)
 
 
-def reachable(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def reachable(rows: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(node)``: the sets that by the bound of a coarse bitmap may link with another set of their cluster."""
     def payload(s):
         return np.concatenate([[np.uint64(len(s))], bitmap(s, width(len(s), COARSE))])
@@ -288,10 +292,10 @@ def reachable(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int
             at = end
         return [node[hit]]
 
-    return in_tiles(docs, placed, words, payload, compare, "node bigint").distinct()
+    return in_tiles(rows, placed, words, payload, compare, "node bigint").distinct()
 
 
-def links(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def links(rows: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(a, b)``: a spanning forest of the linked sets of every tile."""
     def compare(within, own, node, sets):
         n = np.array([len(s) for s in sets])
@@ -314,19 +318,31 @@ def links(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) ->
                     found.append((node[x], node[y[k]]))
         return list(zip(*found))
 
-    return in_tiles(docs, placed, words, lambda s: s, compare, "a bigint, b bigint").where("a <> b")
+    return in_tiles(rows, placed, words, lambda s: s, compare, "a bigint, b bigint").where("a <> b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row; the least id reachable by links, itself included."""
-    sig = materialize(signatures(docs, words, num, den))
+def grouped(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``(key, doc_id, n_shingles, component)`` of ``keyed`` rows; rows without shingles have no component."""
+    sig = materialize(signatures(rows, words, num, den))
     found = members(sig)
-    left = materialize(reachable(docs, place(found, num, den), words, num, den))
+    left = materialize(reachable(rows, place(found, num, den), words, num, den))
     found = place(found.join(left, "node", "left_semi"), num, den)
-    comp = components(materialize(links(docs, found, words, num, den)))
-    nodes = (sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left")
-             .withColumn("component", F.coalesce("component", "node")))
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = nodes.join(least, "component").select("node", "component_id")
-    return (sig.select("doc_id", "node", F.col("n").alias("n_shingles")).join(ids, "node", "left")
+    comp = components(materialize(links(rows, found, words, num, den)))
+    return (sig.join(comp, "node", "left")
+            .select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row; the least id reachable by links, itself included."""
+    found = grouped(keyed(docs), words, num, den)
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return (found.join(least, "component", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def first_rows(rows: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(key)`` of the ``keyed`` rows to keep: of each group the least id (a null one last), and every row without shingles."""
+    found = materialize(grouped(rows, words, num, den))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    return (found.where("component is not null").groupBy("component").agg(first).select("first.key")
+            .unionByName(found.where("component is null").select("key")))

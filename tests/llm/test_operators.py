@@ -171,6 +171,13 @@ def test_jaccard_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(rows, 1, 85, 100)
 
 
+def test_jaccard_rows_without_an_id_link(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (9, " ".join([*words[1:], "x"])), (None, " ".join([*words[2:], "y", "z"])), (3, "else")]
+    got = jaccard.near_duplicates(frame(spark, rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.component_id for r in got) == [3, 9, 9, 9]
+
+
 def test_jaccard_empty(none):
     assert jaccard.near_duplicates(none).count() == 0
 

@@ -48,6 +48,20 @@ def test_odd_rows_pass_the_pipeline(spark, tmp_path):
     corpus_pipeline.run(spark, f"{tmp_path}/some").count()
 
 
+def test_rows_are_judged_by_their_text_alone(spark):
+    """Repeated ids with different texts stay; near copies without an id go, among themselves and beside one with an id."""
+    words = [f"w{i}" for i in range(80)]
+    a, b, c = " ".join(words), " ".join(f"v{i}" for i in range(80)), " ".join(f"u{i}" for i in range(80))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(1, a, "first"), (1, b, "own text"), (1, near(a), "copy"), (None, near(b), "copy"), (None, c, "group"),
+            (None, near(c), "group"), (None, c, "group"), (None, "alone " + a[:20], "own text"), (None, None, "no text"), (2, " ", "no text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, key string").repartition(3)
+    got = sorted(r.key for r in corpus_pipeline.one_of_each(spark, docs, "").where("key <> 'first' and key <> 'copy'").collect())
+    assert got == ["group", "no text", "no text", "own text", "own text"]
+    left = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert len(left) == 6 and sum(r.text in (a, near(a)) for r in left) == 1
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = entry.queries()
