@@ -1,12 +1,17 @@
 """Operator 8, lexical retrieval packing.
 
-1. Each text is tokenised once into a table in the shared folder; the same tasks
-   add up document frequencies of all token ids (at most the vocabulary's size).
-2. Rows are dealt by a hash to shards of bounded size. In a shard, a BM25
+1. A bounded sample of the documents gives at most ``PIVOTS`` pivots, numbered so
+   that each is followed by one like it.
+2. Each text is tokenised once into a table in the shared folder, together with
+   the two pivots that its heaviest terms find by BM25; the same tasks add up
+   document frequencies of all token ids (at most the vocabulary's size).
+3. Rows in the order of their pivots are cut into shards of equal weight; rows
+   that share both pivots are spread by a hash of their row number over as many
+   shards as they fill. In a shard, a BM25
    inverted index over token ids returns the unused neighbours of each seed
    document, best first, which fill its window. The document that crosses the
    window's end is cut, and its rest seeds the next window.
-3. What is left at a shard's end is cut into sequences of power-of-two lengths,
+4. What is left at a shard's end is cut into sequences of power-of-two lengths,
    so that no sequence needs padding.
 
 ``query_terms`` is the number of a seed's heaviest terms that make up its BM25
@@ -19,27 +24,109 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir
+from .common import materialize, pieces, shared_dir
 
 WINDOW, CLOSE = 4096, 2
+PIVOTS, SAMPLE, PIVOT_TERMS = 1024, 4096, 256  # most pivots, sampled documents and terms kept of each
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
 
-def tokenise(docs: DataFrame, path: str, vocabulary: int = 49_408) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, ids)`` with 16-bit ids, and ``(term, df)``; both read from the shared folder."""
+class Pivots:
+    """Sampled documents by which the others are dealt to shards; ``sample``: ``(terms, counts)`` of each."""
+
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], most: int, vocabulary: int = 49_408):
+        sample = list({t.tobytes() + c.tobytes(): (t, c) for t, c in sample}.values())  # copies would be one pivot
+        df = np.zeros(vocabulary, np.int64)
+        for t, _ in sample:
+            df[t] += 1
+        n = len(sample)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.idf[df == 0] = 0  # no pivot has them
+        self.mean = max(1.0, sum(int(c.sum()) for _, c in sample) / max(n, 1))
+        chosen = [sample[i] for i in np.linspace(0, n - 1, min(most, n)).astype(int)] if n else []
+        self._index(chosen)
+        order, left = [], np.ones(len(chosen), bool)
+        at = 0
+        while left.any():  # each pivot is followed by the most similar one that is left
+            order.append(at)
+            left[at] = False
+            at = int(np.argmax(np.where(left, self._scores(*chosen[at]), -1)))
+        self._index([chosen[i] for i in order])
+
+    def _weights(self, terms, counts):
+        norm = 1.2 * (0.25 + 0.75 * counts.sum() / self.mean)
+        return self.idf[terms] * counts * np.float32(2.2) / (counts + np.float32(norm))
+
+    def _index(self, chosen):
+        self.n, parts = len(chosen), []
+        for i, (t, c) in enumerate(chosen):
+            w = self._weights(t, c)
+            best = np.argsort(-w, kind="stable")[:PIVOT_TERMS]
+            parts.append((t[best].astype(np.int64), np.full(len(best), i), w[best]))
+        term, doc, weight = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
+        self.start = np.searchsorted(term[order], np.arange(len(self.idf) + 1))
+
+    def _scores(self, terms, counts, query_terms: int = 24):
+        w, score = self._weights(terms, counts), np.zeros(self.n, np.float32)
+        if len(w) > query_terms:
+            terms = terms[np.argpartition(-w, query_terms)[:query_terms]]
+        for t in terms:
+            a, b = self.start[t], self.start[t + 1]
+            score[self.doc[a:b]] += self.weight[a:b]
+        return score
+
+    def nearest(self, own: np.ndarray) -> tuple[int, int]:
+        """The best and the second pivot of a document; ``n`` if it shares no heavy term with any."""
+        score = self._scores(*np.unique(own, return_counts=True))
+        out = []
+        for _ in range(2):
+            p = int(np.argmax(score)) if self.n else 0
+            out.append(p if self.n and score[p] > 0 else self.n)
+            score[p:p + 1] = 0
+        return out[0], out[1]
+
+
+def pivots(docs: DataFrame, path: str, rows: int, shard_rows: int) -> Pivots:
+    """Pivots from a sample of ``docs``; none where one shard holds all rows."""
+    if rows <= shard_rows:
+        return Pivots([], 0)
+
+    def run(batches):
+        import pyarrow as pa
+        from .tokens import WordEncoder, encoder
+        enc = encoder(WordEncoder, path)
+        for b in pieces(batches):
+            ids, bound = enc.encode(b.column(0))
+            out = []
+            for x, y in zip(bound[:-1], bound[1:]):
+                t, c = np.unique(ids[x:y], return_counts=True)
+                top = np.sort(np.argsort(-c, kind="stable")[:8 * PIVOT_TERMS])
+                out.append(np.stack([t[top].astype(np.int32), c[top].astype(np.int32)]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["terms"])
+        enc.cache.clear()
+
+    some = docs.select("text").where("text is not null").sample(min(1.0, SAMPLE / rows), seed=17)
+    found = [np.frombuffer(r.terms, np.int32).reshape(2, -1) for r in some.mapInArrow(run, "terms binary").limit(2 * SAMPLE).collect()]
+    return Pivots([(x[0], x[1]) for x in found if x.shape[1]], min(PIVOTS, -(-4 * rows // shard_rows)))
+
+
+def tokenise(docs: DataFrame, path: str, near: Pivots, vocabulary: int = 49_408) -> tuple[DataFrame, DataFrame]:
+    """``(row, doc_id, n, ids, p, q)`` with 16-bit ids and both pivots, and ``(term, df)``; both read from the shared folder."""
     def run(batches):
         import pyarrow as pa
         from .tokens import WordEncoder, encoder
         enc = encoder(WordEncoder, path)
         df, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
-        names = ["kind", "doc_id", "n", "ids"]
+        names = ["kind", "row", "doc_id", "n", "ids", "p", "q"]
         for b in pieces(batches):
-            n, out = [], []
-            ids, bound = enc.encode(b.column(1))
+            n, out, to = [], [], []
+            ids, bound = enc.encode(b.column(2))
             for x, y in zip(bound[:-1], bound[1:]):
                 own = np.append(ids[x:y], np.uint16(CLOSE))
                 seen[own] = True
@@ -47,17 +134,21 @@ def tokenise(docs: DataFrame, path: str, vocabulary: int = 49_408) -> tuple[Data
                 seen[own] = False
                 n.append(len(own))
                 out.append(own.tobytes())
+                to.append(near.nearest(own[:-1]) if near.n else (0, 0))
+            p, q = zip(*to) if to else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(n), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names)
+                [pa.array([0] * len(n), pa.int32()), *b.columns[:2], pa.array(n, pa.int64()), pa.array(out, pa.binary()),
+                 pa.array(p, pa.int32()), pa.array(q, pa.int32())], names)
         enc.cache.clear()  # the worker stays, its words need not
         yield pa.RecordBatch.from_arrays(
-            [pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()),
-             pa.array([df.tobytes()], pa.binary())], names)
+            [pa.array([1], pa.int32()), *[pa.array([None], pa.int64())] * 2, pa.array([0], pa.int64()),
+             pa.array([df.tobytes()], pa.binary()), *[pa.array([0], pa.int32())] * 2], names)
 
     spark, where = docs.sparkSession, shared_dir(docs.sparkSession)
-    schema = "kind int, doc_id bigint, n bigint, ids binary"
-    docs.select("doc_id", "text").mapInArrow(run, schema).write.partitionBy("kind").parquet(where)
-    table = spark.read.schema("doc_id bigint, n bigint, ids binary, kind int").parquet(where)
+    schema = "row bigint, doc_id bigint, n bigint, ids binary, p int, q int"
+    (docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "kind int, " + schema)
+     .write.partitionBy("kind").parquet(where))
+    table = spark.read.schema(schema + ", kind int").parquet(where)
 
     def sums(batches):
         import pyarrow as pa
@@ -157,9 +248,8 @@ def _trim(pieces, seq, used):
 
 def pack(docs: DataFrame, path: str, shard_rows: int = 2000, shard_tokens: int = 4_000_000) -> DataFrame:
     """All pieces of ``docs(doc_id, text)``; see the module's text."""
-    table, df = tokenise(docs, path)
+    table, df = tokenise(docs, path, pivots(docs, path, docs.count(), shard_rows))
     n, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-n // shard_rows), -(-total // shard_tokens))
     idf = np.zeros(49_408, np.float32)
     for t, f in df.collect():  # one row per id of the vocabulary at most
         idf[t] = np.log1p((n - f + 0.5) / (f + 0.5))
@@ -176,5 +266,23 @@ def pack(docs: DataFrame, path: str, shard_rows: int = 2000, shard_tokens: int =
                 [(shard << 32) + x[3] for x in p], [x[4] for x in p]]
         return pa.table({c.split()[0]: pa.array(v, pa.int64()) for c, v in zip(SCHEMA.split(", "), cols)})
 
-    shard = F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).alias("shard")
-    return table.select("doc_id", "n", "ids", shard).groupBy("shard").applyInArrow(run, SCHEMA)
+    return dealt(table, shard_rows, shard_tokens).groupBy("shard").applyInArrow(run, SCHEMA)
+
+
+def dealt(table: DataFrame, shard_rows: int, shard_tokens: int) -> DataFrame:
+    """``(doc_id, n, ids, shard)``: the rows in the order of their pivots, cut into shards of equal weight."""
+    weight = F.greatest(F.lit(1 / shard_rows), F.col("n") / shard_tokens)
+    # at most (PIVOTS + 1) ** 2 cells, which are small enough to broadcast at any size of the table
+    cells = materialize(table.groupBy("p", "q").agg(F.sum(weight).alias("w")))
+    at, first = 0.0, []
+    for r in cells.groupBy("p").agg(F.sum("w").alias("w")).orderBy("p").collect():
+        first.append((r.p, at))
+        at += r.w
+    shards = max(1, int(np.ceil(at - 1e-6)))
+    first = table.sparkSession.createDataFrame(first, "p int, first double")
+    before = F.sum("w").over(Window.partitionBy("p").orderBy("q")) - F.col("w")
+    cells = materialize(cells.join(F.broadcast(first), "p").select("p", "q", "w", (F.col("first") + before).alias("from")))
+    spread = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)
+    shard = F.floor((F.col("from") + F.col("w") * spread) * (shards / max(at, 1e-9))).cast("long")
+    return table.join(F.broadcast(cells), ["p", "q"]).select(
+        "doc_id", "n", "ids", F.least(shard, F.lit(shards - 1).cast("long")).alias("shard"))

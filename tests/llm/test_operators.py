@@ -387,6 +387,22 @@ def test_packing_puts_like_documents_together():
     assert share > 0.85
 
 
+def test_packing_finds_like_documents_in_many_shards(spark):
+    """Topics are dealt together, repeated rows of one id are spread over shards."""
+    rng = random.Random(5)
+    topics = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)] for _ in range(8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(200))) for i in range(480)]
+    pieces = packing.pack(frame(spark, rows, "doc_id bigint, text string").repartition(3), WORD, shard_rows=60).collect()
+    by = collections.defaultdict(collections.Counter)
+    for p in pieces:
+        by[p.sequence_id][p.doc_id % 8] += p.length
+    assert len({p.sequence_id >> 32 for p in pieces}) >= 8
+    assert sum(max(c.values()) for c in by.values()) / sum(sum(c.values()) for c in by.values()) > 0.8
+    same = packing.pack(frame(spark, [(1, rows[0][1])] * 480, "doc_id bigint, text string"), WORD, shard_rows=60).collect()
+    shards = collections.Counter(p.sequence_id >> 32 for p in same if p.start == 0)
+    assert len(shards) == 8 and max(shards.values()) < 100
+
+
 def test_words_equal_the_library():
     import pyarrow as pa
     t, enc, rng = tokens.load(WORD), tokens.WordEncoder(WORD, most=3000), random.Random(6)
