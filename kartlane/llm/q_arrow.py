@@ -61,3 +61,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pq
     return pq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+    return licenses.summary(licenses.matches(documents(spark, sf_dir)))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hardneg
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+    return collocations.collocations(documents(spark, sf_dir))

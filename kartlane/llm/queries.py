@@ -1,4 +1,4 @@
-"""The registered queries ``op1_...`` to ``op10_...`` and ``pipeline``, with SQL twins where SQL can say them."""
+"""The registered queries ``op1_...`` to ``op13_...``, with SQL twins where SQL can say them."""
 
 from __future__ import annotations
 
@@ -19,6 +19,9 @@ NAMES = {
     "op8_packing": ("q_arrow", "op8"),
     "op9_toxicity": ("q_arrow", "op9"),
     "op10_simhash": ("q_native", "op10"),
+    "op11_licenses": ("q_arrow", "op11"),
+    "op12_hard_negatives": ("q_arrow", "op12"),
+    "op13_collocations": ("q_arrow", "op13"),
 }
 
 

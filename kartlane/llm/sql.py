@@ -53,4 +53,39 @@ select page_id, payload_bytes, payload_digest,
 from d left join k using (payload_digest)
 """
 
-ORACLE = {"op1_url_filter": OP1, "op4_warc": OP4}
+OP12 = """
+with r as (select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l,
+ [floor(256 * x::double) for x in embedding] as q from embeddings
+ where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (select a.rid as arid, a.vec_id as aid, a.l as al, r.rid, r.vec_id, r.l, list_inner_product(a.q, r.q)::bigint as score
+ from r a join r on len(a.q) = len(r.q) and a.rid <> r.rid where a.vec_id % 100 = 0),
+p as (select *, row_number() over (partition by arid order by score desc, vec_id nulls last, rid) as pr from s where l = al qualify pr <= 5),
+n as (select p.aid, p.vec_id as pid, p.score as ps, s.vec_id as nid, s.score as ns,
+ row_number() over (partition by p.arid, p.pr order by s.score desc, s.vec_id nulls last, s.rid) as rank
+ from p join s on s.arid = p.arid and s.l <> s.al and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score qualify rank <= 10)
+select aid as anchor_id, pid as positive_id, rank::int as rank, nid as negative_id, ps as positive_score, ns as negative_score from n
+"""
+
+OP13 = r"""
+with t as (select coalesce(lang, 'und') as lang,
+ translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws
+ from (select lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) as piece from t)),
+g as (select lang, k, ws[i:i + k - 1] as p
+ from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3), (4)) v(k))),
+f as (select lang, k, p, count(*)::bigint as f from g group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and f >= 30),
+inner_ as (select lang, p[i:i + s - 1] as p, max(f) as longer
+ from (select lang, p, f, s, unnest(range(1, k - s + 2)) as i from c, (values (2), (3)) v(s) where s < k) group by all),
+kept as (select c.* from c left join inner_ using (lang, p) where longer is null or 100 * longer::hugeint < 80 * c.f::hugeint),
+cuts as (select lang, k, p, f, unnest(range(1, k)) as cut from kept),
+scored as (select cuts.lang, cuts.p, cuts.f as a, l.f as l, r.f as r, ((2000000::hugeint * cuts.f) // (l.f + r.f))::bigint as score, cut
+ from cuts join f l on l.lang = cuts.lang and l.p = cuts.p[1:cut] join f r on r.lang = cuts.lang and r.p = cuts.p[cut + 1:cuts.k]),
+best as (select * from scored qualify row_number() over (partition by lang, p order by score, cut) = 1),
+ranked as (select lang, array_to_string(p, ' ') as phrase, a, l, r, n, score,
+ row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank from best join n using (lang))
+select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op4_warc": OP4, "op12_hard_negatives": OP12, "op13_collocations": OP13}
