@@ -10,9 +10,9 @@
    occurrences, so no such group is larger, however frequent single words or
    pairs are. Equal suffixes of a chunk travel as one with a weight.
 3. Every bucket sorts its suffix pointers by multikey three-way quicksort to
-   depth ``DEPTH``; the size of an equal partition is its phrase's count. Partitions
-   below ``least`` are abandoned, except where the prefix is all hot words: such
-   a prefix may lie in many buckets, and its partial counts are added up.
+   depth ``DEPTH``; the size of an equal partition is its phrase's count, and partitions
+   below ``least`` are abandoned. Only a phrase of two or three hot words lies in many
+   buckets: each chunk counts its own and sends the counts to the phrase's bucket.
 4. Counts of both parts of each cut come by joins on the words' numbers. Only
    whole numbers are used; products are decimals of up to 38 digits.
 
@@ -134,7 +134,7 @@ def routed(cols: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
     from .common import mix
     key, go = np.zeros(cols.shape[1], np.uint64), np.ones(cols.shape[1], bool)
     for k in range(DEPTH):
-        key = np.where(go, mix(key * np.uint64(0x9E3779B97F4A7C15) + cols[k].astype(np.uint64) + np.uint64(k + 1)), key)
+        key = np.where(go, mix(key * np.uint64(0x9E3779B97F4A7C15) + cols[k].astype(np.int64).astype(np.uint64) + np.uint64(k + 1)), key)
         go &= is_hot(cols[k], hot)
     return (key % np.uint64(buckets)).astype(np.int64)
 
@@ -145,14 +145,29 @@ def is_hot(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, ids), len(hot) - 1)] == ids
 
 
+def hot_prefixes(w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Counts of the phrases of two and three hot words in ``w`` (windows and weights), ended by -1."""
+    out, go = [w[:, :0]], is_hot(w[0], hot)
+    for k in range(1, DEPTH - 1):
+        go = go & is_hot(w[k], hot)
+        own = w[:, go].astype(np.int64)
+        if not own.shape[1]:
+            break
+        own[k + 1:DEPTH] = -1  # windows are sorted: equal phrases lie together
+        first = np.flatnonzero(np.append(True, (own[:k + 1, 1:] != own[:k + 1, :-1]).any(0)))
+        counts = np.add.reduceat(own[DEPTH], first)
+        out.append(np.vstack([own[:DEPTH, first], counts[None]]).astype(np.int32))
+    return np.concatenate(out, 1)
+
+
 def phrase_counts(cols: np.ndarray, weight: np.ndarray, hot: np.ndarray, least: int, small: int = SMALL):
-    """``(words, count)`` of all phrases of 2 to ``DEPTH`` words with ``least`` occurrences, and all of hot words only."""
+    """``(words, count)`` of all phrases of 2 to ``DEPTH`` words with ``least`` occurrences, but those of two or three hot words."""
     hots = np.stack([is_hot(c, hot) for c in cols])
     found, rest = [], []
     todo = [(np.arange(cols.shape[1]), 0, True)]  # suffix pointers, how many words they share, whether all those are hot
     while todo:
-        p, depth, open_ = todo.pop()
-        if not len(p) or not open_ and weight[p].sum() < least:
+        p, depth, hot_so_far = todo.pop()
+        if not len(p) or weight[p].sum() < least:
             continue
         if len(p) <= small:
             rest.append((p, depth))
@@ -160,17 +175,17 @@ def phrase_counts(cols: np.ndarray, weight: np.ndarray, hot: np.ndarray, least:
         key = cols[depth][p]
         some = key[::max(1, len(key) // 255)]
         pivot = np.partition(some, len(some) // 2)[len(some) // 2]
-        todo.append((p[key < pivot], depth, open_))
-        todo.append((p[key > pivot], depth, open_))
+        todo.append((p[key < pivot], depth, hot_so_far))
+        todo.append((p[key > pivot], depth, hot_so_far))
         same = p[key == pivot]
         if pivot == 0:  # the suffixes end here
             continue
-        still = open_ and bool(hots[depth][same[0]])
+        all_hot = hot_so_far and bool(hots[depth][same[0]])
         count = int(weight[same].sum())
-        if depth >= 1 and (count >= least or still):
+        if depth >= 1 and count >= least and (not all_hot or depth + 1 == DEPTH):
             found.append((cols[:depth + 1, same[0]].tolist() + [0] * (DEPTH - depth - 1), count))
         if depth + 1 < DEPTH:
-            todo.append((same, depth + 1, still))
+            todo.append((same, depth + 1, all_hot))
     out = [np.array([w for w, _ in found], np.int32).reshape(-1, DEPTH)]
     counts = [np.array([c for _, c in found], np.int64)]
     if rest:  # all small partitions at once: their phrases beyond the shared words occur in no other partition
@@ -189,7 +204,7 @@ def phrase_counts(cols: np.ndarray, weight: np.ndarray, hot: np.ndarray, least:
                 continue
             first = np.flatnonzero(new)
             total = np.add.reduceat(mass, first)
-            keep = (own[k, first] != 0) & (shared[first] <= k) & ((total >= least) | all_hot[first])
+            keep = (own[k, first] != 0) & (shared[first] <= k) & (total >= least) & (~all_hot[first] | (k + 1 == DEPTH))
             words = np.zeros((int(keep.sum()), DEPTH), np.int32)
             words[:, :k + 1] = own[:k + 1, first[keep]].T
             out.append(words)
@@ -197,6 +212,18 @@ def phrase_counts(cols: np.ndarray, weight: np.ndarray, hot: np.ndarray, least:
     return np.concatenate(out), np.concatenate(counts)
 
 
+def bucket_counts(w: np.ndarray, hot: np.ndarray, least: int, small: int = SMALL):
+    """``phrase_counts`` of a bucket's windows, and the sums of the counted hot phrases."""
+    counted_ = (w[:DEPTH] == -1).any(0)
+    phrases, f = phrase_counts(w[:DEPTH, ~counted_], w[DEPTH, ~counted_].astype(np.int64), hot, least, small)
+    sent = w[:, counted_]
+    if sent.shape[1]:
+        names, at = np.unique(np.maximum(sent[:DEPTH], 0).T, axis=0, return_inverse=True)
+        total = np.bincount(at.ravel(), sent[DEPTH]).astype(np.int64)
+        phrases, f = np.concatenate([phrases, names[total >= least]]), np.concatenate([f, total[total >= least]])
+    return phrases, f
+
+
 def counted(chunked: DataFrame, words: DataFrame, least: int, suffixes: int = SUFFIXES) -> DataFrame:
     """``(w1, w2, w3, w4, f)`` of all phrases of 2 to ``DEPTH`` words with at least ``least`` occurrences (0: no word)."""
     total = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
@@ -221,6 +248,7 @@ def counted(chunked: DataFrame, words: DataFrame, least: int, suffixes: int = SU
                 w = windows(table[codes])
                 if not w.shape[1]:
                     continue
+                w = np.concatenate([w, hot_prefixes(w, hot)], 1)
                 to = routed(w[:DEPTH], hot, buckets)
                 order = np.argsort(to, kind="stable")
                 w, to = w[:, order], to[order]
@@ -236,12 +264,11 @@ def counted(chunked: DataFrame, words: DataFrame, least: int, suffixes: int = SU
         import pyarrow as pa
         parts = [np.frombuffer(x.as_buffer(), np.int32).reshape(DEPTH + 1, -1) for x in group.column("suffixes")]
         w = np.concatenate(parts, 1)
-        phrases, f = phrase_counts(w[:DEPTH], w[DEPTH].astype(np.int64), hot, least)
+        phrases, f = bucket_counts(w, hot, least)
         return pa.table({**{c: pa.array(phrases[:, k], pa.int32()) for k, c in enumerate(_IDS)}, "f": pa.array(f, pa.int64())})
 
-    # several buckets of one task are handled one after another
-    found = known.mapInArrow(cut, "bucket bigint, suffixes binary").groupBy("bucket").applyInArrow(sort, _OUT)
-    return materialize(found.groupBy(*_IDS).agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    # several buckets of one task are handled one after another; no phrase occurs in two buckets
+    return materialize(known.mapInArrow(cut, "bucket bigint, suffixes binary").groupBy("bucket").applyInArrow(sort, _OUT))
 
 
 # --- scores

@@ -222,8 +222,10 @@ def test_partitions_of_the_quicksort_are_counts():
         p = piece[piece != 0].tolist()
         for k in (2, 3, 4):
             want.update(tuple(p[i:i + k]) for i in range(len(p) - k + 1))
+    whole = np.concatenate([w, collocations.hot_prefixes(w, hot)], 1)
     for small in (1, 100, 1 << 20):
         words_, f = collocations.phrase_counts(w[:4], w[4].astype(np.int64), hot, 20, small)
+        assert not any(set(p) <= {0, 1, 2} and 0 in p for p in words_.tolist())
+        words_, f = collocations.bucket_counts(whole, hot, 20, small)
         got = {tuple(x for x in p if x): c for p, c in zip(words_.tolist(), f.tolist())}
-        assert len(got) == len(f) and {p: c for p, c in got.items() if c >= 20} == {p: c for p, c in want.items() if c >= 20}
-        assert all(set(p) <= {1, 2} for p, c in got.items() if c < 20)
+        assert len(got) == len(f) and got == {p: c for p, c in want.items() if c >= 20}
