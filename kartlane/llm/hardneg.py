@@ -8,10 +8,10 @@
    of the block from below and above. Only the columns of the zone maps are
    read for that. Blocks whose bounds miss all of the anchor's windows, or that hold
    no label of the wanted kind, are not read.
-3. Each search has two rounds: the block of the highest bound among each page of
-   zone maps, whose rows set the score that a place among the first k costs; then
-   every other block whose bounds still reach into a window beyond that score. Both
-   bounds hold for all rows, so the result is exact.
+3. Each search has two rounds: the blocks of the highest bounds of each page of
+   zone maps (as many as the square root of its blocks), whose rows set the score that a place
+   among the first k costs; then every other block whose bounds still reach into a
+   window beyond that score. The bounds hold for all rows, so the result is exact.
 4. First search: the ``positives`` best other rows of an anchor's label. Second: for each
    positive the ``negatives`` best rows of another label in the window between
    ``low`` and ``high`` hundredths of its score.
@@ -188,8 +188,8 @@ def _windows(column):
 def needed(zones: DataFrame, anchors: DataFrame, pages: int, same: bool, later: bool) -> DataFrame:
     """``(block, key)``: the blocks that each anchor has to read.
 
-    ``anchors(key, label, d, q, windows)``. The first round takes the block of the
-    highest bound of each page, the ``later`` one all others whose bounds reach into a window above its floor.
+    ``anchors(key, label, d, q, windows)``. The first round takes the blocks of the
+    highest bounds of each page, the ``later`` one all others whose bounds reach into a window above its floor.
     """
     held = zones.withColumn("page", F.pmod(F.xxhash64("block"), F.lit(pages)))
     asked = anchors.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pages - 1).cast("bigint"))))
@@ -247,9 +247,12 @@ def _reached(zone, p, d: int, same: bool, later: bool):
         some |= here
         beyond |= here & (most >= floor[:, j, None])
     some &= fits
-    best = np.where(some, most, -np.inf).argmax(1)
+    # with m of n blocks first, later ones hold about k n / m rows above the floor: the sum is least at the root
+    first_ = int(np.ceil(np.sqrt(fits.shape[1])))
+    order = np.argsort(np.where(some, -most, np.inf), axis=1, kind="stable")[:, :first_]
     chosen = np.zeros(fits.shape, bool)
-    chosen[np.arange(len(a)), best] = some[np.arange(len(a)), best]
+    np.put_along_axis(chosen, order, True, 1)
+    chosen &= some
     return np.nonzero(beyond & some & ~chosen if later else chosen)
 
 
