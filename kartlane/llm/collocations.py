@@ -33,7 +33,7 @@ from .common import materialize, pieces
 from .words import bytes_in, split
 
 DEPTH = 4
-CHUNK = 8 << 20         # bytes of text whose words share a dictionary
+CHUNK = 4 << 20         # bytes of text whose words share a dictionary
 SUFFIXES = 1 << 20      # suffixes that a bucket holds on average
 SMALL = 2048            # partitions that one sort finishes
 _BLANK = bytes_in((0x20, 0x20), (0x09, 0x09))
@@ -60,7 +60,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             w = split(column, _GAP)
             if not len(w.code):
                 return
-            stops = np.concatenate([[0], np.cumsum(_STOP[w.raw])])
+            stops = np.concatenate([[0], np.cumsum(_STOP[w.raw], dtype=np.int32)])
             ends = np.ones(len(w.code), bool)
             ends[:-1] = (w.doc[1:] != w.doc[:-1]) | (stops[w.start[1:]] > stops[w.end[:-1]])
             codes = np.full(len(w.code) + int(ends.sum()), -1, np.int32)
