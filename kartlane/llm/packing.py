@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces, shared_dir
 
 WINDOW, CLOSE = 4096, 2
+WORDS = 400_000  # most words that a worker keeps from task to task
 PIVOTS, SAMPLE, PIVOT_TERMS = 1024, 4096, 256  # most pivots, sampled documents and terms kept of each
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
@@ -76,14 +77,14 @@ class Pivots:
         w, score = self._weights(terms, counts), np.zeros(self.n, np.float32)
         if len(w) > query_terms:
             terms = terms[np.argpartition(-w, query_terms)[:query_terms]]
-        for t in terms:
-            a, b = self.start[t], self.start[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
+        lists = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist()) if a < b]
+        if lists:
+            score += np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
         return score
 
-    def nearest(self, own: np.ndarray) -> tuple[int, int]:
-        """The best and the second pivot of a document; ``n`` if it shares no heavy term with any."""
-        score = self._scores(*np.unique(own, return_counts=True))
+    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+        """The best and the second pivot of a document of these terms; ``n`` if it shares no heavy term with any."""
+        score = self._scores(terms.astype(np.int64), counts)
         out = []
         for _ in range(2):
             p = int(np.argmax(score)) if self.n else 0
@@ -100,7 +101,7 @@ def pivots(docs: DataFrame, path: str, rows: int, shard_rows: int) -> Pivots:
     def run(batches):
         import pyarrow as pa
         from .tokens import WordEncoder, encoder
-        enc = encoder(WordEncoder, path)
+        enc = encoder(WordEncoder, path, WORDS)
         for b in pieces(batches):
             ids, bound = enc.encode(b.column(0))
             out = []
@@ -109,7 +110,6 @@ def pivots(docs: DataFrame, path: str, rows: int, shard_rows: int) -> Pivots:
                 top = np.sort(np.argsort(-c, kind="stable")[:8 * PIVOT_TERMS])
                 out.append(np.stack([t[top].astype(np.int32), c[top].astype(np.int32)]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["terms"])
-        enc.cache.clear()
 
     some = docs.select("text").where("text is not null").sample(min(1.0, SAMPLE / rows), seed=17)
     found = [np.frombuffer(r.terms, np.int32).reshape(2, -1) for r in some.mapInArrow(run, "terms binary").limit(2 * SAMPLE).collect()]
@@ -121,25 +121,24 @@ def tokenise(docs: DataFrame, path: str, near: Pivots, vocabulary: int = 49_408)
     def run(batches):
         import pyarrow as pa
         from .tokens import WordEncoder, encoder
-        enc = encoder(WordEncoder, path)
-        df, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
+        enc = encoder(WordEncoder, path, WORDS)
+        df = np.zeros(vocabulary, np.int64)
         names = ["kind", "row", "doc_id", "n", "ids", "p", "q"]
         for b in pieces(batches):
             n, out, to = [], [], []
             ids, bound = enc.encode(b.column(2))
             for x, y in zip(bound[:-1], bound[1:]):
                 own = np.append(ids[x:y], np.uint16(CLOSE))
-                seen[own] = True
-                df += seen
-                seen[own] = False
                 n.append(len(own))
                 out.append(own.tobytes())
-                to.append(near.nearest(own[:-1]) if near.n else (0, 0))
+                terms, counts = np.unique(ids[x:y], return_counts=True)
+                df[terms] += 1
+                df[CLOSE] += CLOSE not in terms
+                to.append(near.nearest(terms, counts) if near.n else (0, 0))
             p, q = zip(*to) if to else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(n), pa.int32()), *b.columns[:2], pa.array(n, pa.int64()), pa.array(out, pa.binary()),
                  pa.array(p, pa.int32()), pa.array(q, pa.int32())], names)
-        enc.cache.clear()  # the worker stays, its words need not
         yield pa.RecordBatch.from_arrays(
             [pa.array([1], pa.int32()), *[pa.array([None], pa.int64())] * 2, pa.array([0], pa.int64()),
              pa.array([df.tobytes()], pa.binary()), *[pa.array([0], pa.int32())] * 2], names)
