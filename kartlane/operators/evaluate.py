@@ -75,42 +75,33 @@ def metrics(fc: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return m.unionByName(avg)
 
 
-def leaderboard(metric_tables: list[DataFrame]) -> DataFrame:
-    """Union of per-model metrics; average rows ranked by RMSE (model name breaks ties)."""
+def leaderboard(metric_tables: list[DataFrame], by: list[str] | None = None) -> DataFrame:
+    """Union of per-model metrics; average rows ranked by RMSE (model name breaks ties), within each ``by``."""
     u = metric_tables[0]
     for t in metric_tables[1:]:
         u = u.unionByName(t)
     avg = u.filter(F.col("target") == "average")
-    w = Window.orderBy("RMSE", "model")       # one row per model
+    w = Window.partitionBy(*(by or [])).orderBy("RMSE", "model")       # one row per model
     return avg.withColumn("rank", F.row_number().over(w))
 
 
-def best_model(metric_table: DataFrame) -> DataFrame:
+def best_model(metric_table: DataFrame, by: list[str] | None = None) -> DataFrame:
     avg = metric_table.filter(F.col("target") == "average")
-    return avg.agg(F.min_by("model", F.struct("RMSE", "model")).alias("best_model"),
-                   F.min("RMSE").alias("best_rmse"))
-
-
-# FIXED VALUES - substrings of feature names, first match wins; the texts are our own.
-DRIVER_RULES = [
-    (("lag",), "what the series did lately, or a season ago"),
-    (("roll_mean",), "the level the series has been moving around"),
-    (("roll_std",), "how much sales have been swinging"),
-    (("dayofweek", "weekofyear", "month", "dayofyear"), "the time of week and year"),
-    (("cogs_to_revenue", "gross_margin"), "past margin and cost"),
-]
-OTHER_DRIVER = "long-run level or place in the calendar"
+    return avg.groupBy(*(by or [])).agg(F.min_by("model", F.struct("RMSE", "model")).alias("best_model"),
+                                        F.min("RMSE").alias("best_rmse"))
 
 
 def driver_labels(importance: DataFrame, feature_col: str = "feature") -> DataFrame:
-    """``business_driver``: what the first matching rule says of a feature."""
-    lab = F
-    for parts, text in DRIVER_RULES:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | F.col(feature_col).contains(p)
-        lab = lab.when(hit, F.lit(text))
-    return importance.withColumn("business_driver", lab.otherwise(F.lit(OTHER_DRIVER)))
+    """``kind, window_days, of_target`` of each feature: which operator makes it, over how many days, of which target.
+
+    The names are those that the feature operators give (``features.feature_kinds``).
+    """
+    from kartlane.operators.features import feature_kinds
+    kinds = importance.sparkSession.createDataFrame(
+        [(n, *k) for n, k in feature_kinds().items()], f"`{feature_col}` string, kind string, window_days int, of_target string")
+    # a row for each name the operators can give
+    return (importance.join(F.broadcast(kinds), feature_col, "left")
+            .withColumn("kind", F.coalesce("kind", F.lit("other"))))
 
 
 def importance_share(imp: DataFrame, top_k: int | None = None) -> DataFrame:

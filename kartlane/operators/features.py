@@ -88,6 +88,19 @@ def cross_target_lags(panel: DataFrame) -> DataFrame:
                               "cogs_to_revenue_lag_1": c1 / F.nullif(r1, F.lit(0.0))})
 
 
+def feature_kinds() -> dict[str, tuple[str, int | None, str | None]]:
+    """``(kind, days, target)`` of each name that the one-step feature operators give."""
+    out: dict[str, tuple[str, int | None, str | None]] = {}
+    for t in TARGETS:
+        out |= {f"{t}_lag_{k}": ("lag", k, t) for k in LAGS}
+        out |= {f"{t}_roll_{fn}_{n}": (f"rolling_{fn}", n, t) for n in ROLLING_WINDOWS for fn in ("mean", "std", "min", "max")}
+        out[f"{t}_expanding_mean"] = ("expanding_mean", None, t)
+    out |= {"gross_margin_lag_1": ("margin", 1, None), "cogs_to_revenue_lag_1": ("cost_ratio", 1, None)}
+    out |= {c: ("calendar", None, None) for c in ("year", "quarter", "month", "weekofyear", "dayofyear", "dayofmonth", "dayofweek", "is_weekend")}
+    out |= {f"is_{p}_{e}": ("period_edge", None, None) for p in ("month", "quarter", "year") for e in ("start", "end")}
+    return out | {f"{c}_{f}": ("cycle", period, None) for c, period in CYCLES.items() for f in ("sin", "cos")}
+
+
 # -- build_features: calendar-only featurisation (81 columns) ---------------------------
 REGIME_YEAR = 1997  # the workload's regime year, 2019, moved by 22 years like the other eras of the test data
 

@@ -16,10 +16,7 @@ one job; windows partition by (series_id, target) over calendar-bounded rows.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,7 +169,8 @@ def blend_alpha(tab: DataFrame, spec: str, base: str, alpha_by_quarter: dict[int
     return tab.withColumn(out, a * F.col(spec) + (F.lit(1.0) - a) * F.col(base))
 
 
-def alpha_tuning(tab: DataFrame, spec: str, base: str, lo: float = 0.05, hi: float = 0.85) -> DataFrame:
+def alpha_tuning(tab: DataFrame, spec: str, base: str, lo: float = 0.05, hi: float = 0.85,
+                 keys: list[str] = K) -> DataFrame:
     """Per (series, target, quarter) alpha minimising squared error of a*s + (1-a)*b.
 
     The objective is a convex quadratic in a: a* = sum((y-b)(s-b)) / sum((s-b)^2),
@@ -180,10 +178,10 @@ def alpha_tuning(tab: DataFrame, spec: str, base: str, lo: float = 0.05, hi: flo
     """
     d = F.col(spec) - F.col(base)
     g = (tab.filter(F.col("y").isNotNull() & F.col(spec).isNotNull() & F.col(base).isNotNull())
-         .groupBy(*K, F.quarter("Date").alias("quarter"))
+         .groupBy(*keys, F.quarter("Date").alias("quarter"))
          .agg(F.sum((F.col("y") - F.col(base)) * d).alias("_num"), F.sum(d * d).alias("_den")))
     best = F.col("_num") / F.nullif(F.col("_den"), F.lit(0.0))
-    return g.select(*K, "quarter", clip(F.coalesce(best, F.lit(lo)), lo, hi).alias("alpha"), best.alias("unclipped"))
+    return g.select(*keys, "quarter", clip(F.coalesce(best, F.lit(lo)), lo, hi).alias("alpha"), best.alias("unclipped"))
 
 
 def blend_families(tab: DataFrame, cols_weights: dict[str, float], out: str = "blend") -> DataFrame:
@@ -194,28 +192,28 @@ def blend_families(tab: DataFrame, cols_weights: dict[str, float], out: str = "b
     return tab.withColumn(out, acc)
 
 
-def scale_calibration(tab: DataFrame, pred: str, lo: float = 0.8, hi: float = 2.0) -> DataFrame:
+def scale_calibration(tab: DataFrame, pred: str, lo: float = 0.8, hi: float = 2.0, keys: list[str] = K) -> DataFrame:
     """c minimising sum |y - c*p| per (series, target): the weighted median of y/p
     with weights p (p > 0), clipped to [lo, hi].
 
     Window per (series, target) over the validation days (calendar-bounded).
     """
     t = (tab.filter((F.col(pred) > 0) & F.col("y").isNotNull())
-         .select(*K, "Date", (F.col("y") / F.col(pred)).alias("r"), F.col(pred).alias("w")))
-    w = Window.partitionBy(*K).orderBy("r", "Date").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"_cw": F.sum("w").over(w), "_tw": F.sum("w").over(Window.partitionBy(*K))})
-    return (t.filter(F.col("_cw") >= F.col("_tw") / 2.0).groupBy(*K)
+         .select(*keys, "Date", (F.col("y") / F.col(pred)).alias("r"), F.col(pred).alias("w")))
+    w = Window.partitionBy(*keys).orderBy("r", "Date").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"_cw": F.sum("w").over(w), "_tw": F.sum("w").over(Window.partitionBy(*keys))})
+    return (t.filter(F.col("_cw") >= F.col("_tw") / 2.0).groupBy(*keys)
             .agg(F.min_by("r", F.struct("r", "Date")).alias("_c"))
-            .select(*K, clip("_c", lo, hi).alias("scale"), F.col("_c").alias("unclipped")))
+            .select(*keys, clip("_c", lo, hi).alias("scale"), F.col("_c").alias("unclipped")))
 
 
-def combine_components(preds_long: DataFrame, weights: DataFrame) -> DataFrame:
+def combine_components(preds_long: DataFrame, weights: DataFrame, keys: list[str] = K) -> DataFrame:
     """sum over models of w(model, target) * yhat, floored at 0 (long join + agg)."""
     j = preds_long.join(F.broadcast(weights), ["model", "target"], "inner")   # weights: models x targets
     # a component without a value leaves no value, rather than a blend with too little weight
-    return (j.groupBy(*K, "Date").agg(F.sum(F.col("w") * F.col("yhat")).alias("_s"),
+    return (j.groupBy(*keys, "Date").agg(F.sum(F.col("w") * F.col("yhat")).alias("_s"),
                                       (F.count("yhat") == F.count(F.lit(1))).alias("_all"))
-            .select(*K, "Date", F.when(F.col("_all"), F.greatest(F.col("_s"), F.lit(0.0))).alias("yhat")))
+            .select(*keys, "Date", F.when(F.col("_all"), F.greatest(F.col("_s"), F.lit(0.0))).alias("yhat")))
 
 
 # Fixed ensemble weights (workload constants).
@@ -224,11 +222,9 @@ REVENUE_ENSEMBLE_WEIGHTS = {"residual_lgbm": 0.50, "residual_xgb": 0.25, "direct
 COGS_ENSEMBLE_WEIGHTS = {"residual_lgbm": 0.60, "residual_xgb": 0.25, "calibrated_baseline": 0.15}
 
 
-def fixed_ensemble_weights(spark, mapping: dict[str, str]) -> DataFrame:
-    """Weight table (model, target, w) for the fixed ensembles; ``mapping`` renames
-    the workload's component names onto the models available here."""
-    rows = [(mapping.get(m, m), "Revenue", w) for m, w in REVENUE_ENSEMBLE_WEIGHTS.items()]
-    rows += [(mapping.get(m, m), "COGS", w) for m, w in COGS_ENSEMBLE_WEIGHTS.items()]
+def fixed_ensemble_weights(spark) -> DataFrame:
+    """Weight table (model, target, w) of the fixed ensembles."""
+    rows = [(m, "Revenue", w) for m, w in REVENUE_ENSEMBLE_WEIGHTS.items()] + [(m, "COGS", w) for m, w in COGS_ENSEMBLE_WEIGHTS.items()]
     return spark.createDataFrame(rows, "model string, target string, w double")
 
 
@@ -242,7 +238,7 @@ def residual_alpha_blend(tab: DataFrame, base: str, resid_pred: str, spark) -> D
 
 
 # -- simplex weights (Gram aggregate + per-group exact solve) -------------------------------
-def gram(tab: DataFrame, cols: list[str]) -> DataFrame:
+def gram(tab: DataFrame, cols: list[str], keys: list[str] = K) -> DataFrame:
     """X'X, X'y, y'y, n per (series, target) in one aggregate (complete rows only)."""
     t = tab.dropna(subset=cols + ["y"])
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy")]
@@ -251,59 +247,106 @@ def gram(tab: DataFrame, cols: list[str]) -> DataFrame:
         for j, b in enumerate(cols):
             if j >= i:
                 aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j}"))
-    return t.groupBy(*K).agg(*aggs)
+    return t.groupBy(*keys).agg(*aggs)
+
 
+def simplex_solve(G: np.ndarray, c: np.ndarray, rounds: int = 10_000) -> np.ndarray:
+    """min w'Gw - 2c'w  s.t. w >= 0, sum w = 1, by an active-set method that adds and drops columns.
 
-def _simplex_solve(G: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """min w'Gw - 2c'w  s.t. w >= 0, sum w = 1, by enumerating active sets (M <= ~10)."""
+    From the best single column on, the column whose derivative lies furthest below
+    that of the used ones is added; the equality-constrained optimum of the used
+    columns is approached as far as no weight turns negative, and the columns that
+    reach 0 are dropped. Each optimum lowers the objective, so no set comes back.
+    """
     m = len(c)
-    best, best_w = np.inf, None
-    for r in range(1, m + 1):
-        for S in itertools.combinations(range(m), r):
-            idx = list(S)
-            Gs = G[np.ix_(idx, idx)]
-            A = np.zeros((r + 1, r + 1))
-            A[:r, :r] = 2 * Gs
-            A[:r, r] = 1.0
-            A[r, :r] = 1.0
-            rhs = np.concatenate([2 * c[idx], [1.0]])
-            try:
-                sol = np.linalg.solve(A, rhs)
-            except np.linalg.LinAlgError:
-                sol = np.linalg.lstsq(A, rhs, rcond=None)[0]
-            ws = sol[:r]
-            if np.any(ws < -1e-12):
-                continue
-            w = np.zeros(m)
-            w[idx] = np.maximum(ws, 0.0)
-            if w.sum() <= 0:
-                continue
-            w = w / w.sum()
-            obj = w @ G @ w - 2 * c @ w
-            if obj < best - 1e-12:
-                best, best_w = obj, w
-    return best_w
-
-
-def simplex_weights(gram_tab: DataFrame, m: int) -> DataFrame:
-    """Exact simplex-constrained least squares per (series, target) from the Gram rows.
-
-    ``applyInPandas`` over the Gram table (one tiny row per group): the solve
-    runs in parallel on executors, nothing goes through the driver.
+    size = max(float(np.abs(G).max(initial=0)), float(np.abs(c).max(initial=0)), 1e-300)
+    G, c = G / size, c / size
+    w = np.zeros(m)
+    w[int(np.argmin(np.diag(G) - 2 * c))] = 1.0
+    used = w > 0
+    for _ in range(rounds):
+        while True:
+            idx = np.flatnonzero(used)
+            r = len(idx)
+            kkt = np.zeros((r + 1, r + 1))
+            kkt[:r, :r] = 2 * G[np.ix_(idx, idx)]
+            kkt[:r, r] = kkt[r, :r] = 1.0
+            want = np.linalg.lstsq(kkt, np.append(2 * c[idx], 1.0), rcond=None)[0][:r]
+            down = want <= 1e-13
+            if not down.any():
+                w[:] = 0
+                w[idx] = want
+                break
+            step = np.min(np.where(down, w[idx] / np.maximum(w[idx] - want, 1e-300), np.inf))
+            w[idx] += min(1.0, step) * (want - w[idx])
+            out = idx[down & (w[idx] <= 1e-12)]
+            if not len(out):
+                out = idx[[int(np.argmin(w[idx]))]]
+            w[out], used[out] = 0.0, False
+        slope = 2 * (G @ w - c)
+        level = slope[used].max()
+        rest = np.where(used, np.inf, slope)
+        j = int(np.argmin(rest))
+        if rest[j] >= level - 1e-10:
+            break
+        used[j] = True
+    return w / w.sum()
+
+
+def _gram_row(columns: dict, i: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    G = np.zeros((m, m))
+    for a in range(m):
+        for b in range(a, m):
+            G[a, b] = G[b, a] = columns[f"xx{a}_{b}"][i]
+    return G, np.array([columns[f"xy{a}"][i] for a in range(m)])
+
+
+def simplex_weights(gram_tab: DataFrame, m: int, keys: list[str] = K) -> DataFrame:
+    """Exact simplex-constrained least squares per group from the Gram rows: one small row a group, solved where it lies."""
+    schema = ", ".join(f"{k} string" for k in keys) + ", " + ", ".join(f"w{i} double" for i in range(m)) + ", rmse double"
+
+    def solve(batches):
+        import pyarrow as pa
+        for b in batches:
+            col = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+            found, error = [], []
+            for i in range(b.num_rows):
+                G, c = _gram_row(col, i, m)
+                w = simplex_solve(G, c)
+                found.append(w)
+                error.append(float(np.sqrt(max(col["yy"][i] - 2 * c @ w + w @ G @ w, 0.0) / col["n"][i])))
+            w = np.array(found).reshape(-1, m)
+            yield pa.RecordBatch.from_arrays([*(pa.array(col[k], pa.string()) for k in keys), *(pa.array(w[:, i]) for i in range(m)),
+                                              pa.array(error, pa.float64())], [*keys, *[f"w{i}" for i in range(m)], "rmse"])
+
+    return gram_tab.mapInArrow(solve, schema)
+
+
+def simplex_grid(spark, m: int, steps: int) -> DataFrame:
+    """All ``(g0, ..., g<m-1>)`` of whole numbers from 0 that add up to ``steps``, built column by column."""
+    grid = spark.createDataFrame([(0,)], "used int")
+    for i in range(m):
+        low = F.lit(steps) - F.col("used") if i == m - 1 else F.lit(0)
+        grid = grid.withColumn(f"g{i}", F.explode(F.sequence(low, F.lit(steps) - F.col("used")))).withColumn("used", F.col("used") + F.col(f"g{i}"))
+    return grid.drop("used")
+
+
+def simplex_weights_grid(gram_tab: DataFrame, m: int, steps: int = 10, keys: list[str] = K) -> DataFrame:
+    """The best weights in steps of ``1 / steps``, and their RMSE; of equal ones the first in the order of the weights.
+
+    The grid has C(steps + m - 1, m - 1) rows whatever the data, and meets one Gram row a group.
     """
-    schema = "series_id string, target string, " + ", ".join(f"w{i} double" for i in range(m)) + ", rmse double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            G = np.zeros((m, m))
-            for i in range(m):
-                for j in range(i, m):
-                    G[i, j] = G[j, i] = r[f"xx{i}_{j}"]
-            c = np.array([r[f"xy{i}"] for i in range(m)])
-            w = _simplex_solve(G, c)
-            sse = float(r["yy"] - 2 * c @ w + w @ G @ w)
-            out.append([r["series_id"], r["target"], *w.tolist(), float(np.sqrt(max(sse, 0.0) / r["n"]))])
-        return pd.DataFrame(out, columns=["series_id", "target", *[f"w{i}" for i in range(m)], "rmse"])
-
-    return gram_tab.groupBy(*K).applyInPandas(solve, schema)
+    g = [F.col(f"g{i}").cast("double") for i in range(m)]
+    cost = F.lit(0.0)
+    for a in range(m):
+        for b in range(a, m):
+            cost = cost + F.col(f"xx{a}_{b}") * (g[a] * g[b]) * (1.0 if a == b else 2.0)
+    linear = F.lit(0.0)
+    for a in range(m):
+        linear = linear + F.col(f"xy{a}") * g[a]
+    sse = F.col("yy") - 2.0 * linear / F.lit(float(steps)) + cost / F.lit(float(steps * steps))
+    # the grid's size depends on m and steps alone: broadcast
+    best = (gram_tab.crossJoin(F.broadcast(simplex_grid(gram_tab.sparkSession, m, steps))).withColumn("sse", sse)
+            .groupBy(*keys).agg(F.min(F.struct("sse", *[f"g{i}" for i in range(m)])).alias("x"), F.first("n").alias("n")))
+    return best.select(*keys, *[(F.col(f"x.g{i}") / float(steps)).alias(f"w{i}") for i in range(m)],
+                       F.sqrt(F.greatest(F.col("x.sse"), F.lit(0.0)) / F.col("n")).alias("rmse"))

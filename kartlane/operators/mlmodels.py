@@ -1,327 +1,70 @@
-"""MLlib models for the daily Revenue / COGS forecast.
-
-Feature tables are Spark DataFrames (calendar-only ``build_features`` or
-one-step lag features); ``VectorAssembler`` feeds MLlib estimators whose fits
-are distributed jobs.  Only model metadata comes back to the driver (the
-coefficient / importance vectors, bounded by the feature count) plus two
-scalars for the ridge penalty mapping.
-
-Workload -> MLlib re-aims (see README): LightGBM/XGBoost -> GBTRegressor; the
-decomposition model -> linear trend + hinge changepoints + Fourier + promo
-regressors; early stopping -> ``evaluateEachIteration`` on a holdout, then a
-refit on all rows.  Rounds and patience are parameters whose defaults are the
-workload's; every boosted fit reports its best iteration and whether the limit
-cut its search off.
+"""The blended final forecast, the monthly models, the random forest and the recursive baseline.
+
+The members are panel models (``panel_models``): grouped closed forms and grouped
+boosting. The random forest is MLlib's, fitted by distributed jobs.
+
+Workload -> re-aims (see README): its boosting engines -> ``boosting``; its
+decomposition model -> ``panel_models.structural``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kartlane.operators import boosting as B
 from kartlane.operators import features as FE
-from kartlane.session import cut_lineage
+from kartlane.operators import linear
+from kartlane.operators import panel_models as PM
+from kartlane.session import cut_lineage as materialize
 
 TARGETS = ["Revenue", "COGS"]
-VAL_YEAR = 2000
 # ---------------------------------------------------------------------------
-# FIXED VALUES - the workload's boosting configurations and final ensemble.
+# FIXED VALUES - the workload's final ensemble.
 # ---------------------------------------------------------------------------
-GBT_CANDIDATES = [
-    {"name": "gbt_trial_1", "maxIter": 500, "stepSize": 0.03, "maxDepth": 4, "subsample": 0.9, "columns": 0.9},
-    {"name": "gbt_trial_2", "maxIter": 800, "stepSize": 0.02, "maxDepth": 5, "subsample": 0.9, "columns": 0.8},
-    {"name": "gbt_trial_3", "maxIter": 500, "stepSize": 0.05, "maxDepth": 3, "subsample": 0.8, "columns": 0.9},
-]
-MAX_ROUNDS, PATIENCE, HOLDOUT_DAYS = 5000, 300, 180
 QUARTER_SHARE = {1: 0.6, 2: 0.6, 3: 1.0, 4: 0.6}                    # specialists' share of the boosted blend
 FAMILY_WEIGHTS = {"ridge": 0.10, "structural": 0.10, "boosted": 0.80}
 LEVEL = {"Revenue": 1.26, "COGS": 1.32}
 
-# What the registered queries use instead, to stay within minutes in local mode:
-# larger steps need fewer rounds, and a shorter patience ends the search sooner.
-QUERY_SPEED = {"step": 0.2, "patience": 12}
-
-
-# Every optimiser pass and a lost executor re-read the small aggregated feature
-# table from the shared checkpoint folder, not its lineage.
-materialize = cut_lineage
-
-
-def calendar_table(cat) -> DataFrame:
-    """Total daily series + the 81 calendar-only features (train, valid and template days)."""
-    s = cat.table("sales")
-    tmpl = cat.table("sample_submission").select("Date", F.lit(None).cast("double").alias("Revenue"),
-                                                 F.lit(None).cast("double").alias("COGS"))
-    allx = s.unionByName(tmpl)
-    return materialize(FE.build_features(cat.spark, allx))
-
-
-def calendar_feature_cols(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("Date", "Revenue", "COGS")]
-
-
-def lag_table(cat) -> DataFrame:
-    """Total daily series + one-step lag / rolling features of both targets + calendar basics.
-
-    Built on the long panel (one window spec per (series, target)), then one
-    join per target brings the features side by side.
-    """
-    s = cat.table("sales").withColumn("series_id", F.lit("total"))
-    long = materialize(FE.lag_rolling(FE.to_long(s)))
-    feats = [c for c in long.columns if c.startswith(("lag_", "roll_", "expanding_"))]
-    wide = FE.cross_target_lags(s).select("Date", "Revenue", "COGS", "gross_margin_lag_1", "cogs_to_revenue_lag_1")
-    for t in TARGETS:
-        part = long.filter(F.col("target") == t).select("Date", *[F.col(c).alias(f"{t}_{c}") for c in feats])
-        wide = wide.join(part, "Date", "inner")
-    # cut before the wide NULL filter: a 48-column isnotnull filter over aliased
-    # window / calendar columns makes Catalyst's constraint propagation explode
-    f = materialize(FE.cyclical(FE.calendar_basic(wide)))
-    cols = [c for c in f.columns if c not in ("Date", "Revenue", "COGS")]
-    return f.dropna(subset=cols)
-
-
-def _split(df: DataFrame, year: int = VAL_YEAR):
-    y = F.year("Date")
-    return df.filter(y < year), df.filter(y == year)
-
-
-def _vec(df: DataFrame, cols: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df)
-
-
-def ridge_reg_param(train: DataFrame, label: str, alpha: float) -> float:
-    """sklearn-style ridge alpha on z-scored features -> MLlib regParam = alpha * std(y) / n."""
-    r = train.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("s")).first()  # two scalars
-    return float(alpha * (r["s"] or 1.0) / max(r["n"], 1))
-
-
-def _predict(model, df: DataFrame, target: str, name: str, log: bool) -> DataFrame:
-    p = model.transform(df)
-    yhat = F.exp("prediction") if log else F.col("prediction")
-    return p.select(F.lit(name).alias("model"), F.lit(target).alias("target"), "Date",
-                    F.col(target).alias("y"), yhat.alias("yhat"))
 
-
-def fit_eval(cat, name: str, make, table: str = "calendar", log: bool = True,
-             weight_fn=None) -> DataFrame:
-    """Fit one estimator per target on the training years, predict the validation year."""
-    df = calendar_table(cat) if table == "calendar" else lag_table(cat)
-    cols = calendar_feature_cols(df) if table == "calendar" else [
-        c for c in df.columns if c not in ("Date", "Revenue", "COGS")]
-    tr, va = _split(df)
+def random_forest(cat, num_trees: int = 300, depth: int = 14, leaf: int = 3, series: str = PM.TOTAL, fold: str = "A") -> DataFrame:
+    """MLlib forest on the one-step features of one series: ``model, target, Date, y, yhat`` of the fold's validation days."""
+    rows, cols = PM.lag_rows(cat)
+    rows = materialize(PM.only(PM.in_folds(rows, cat.spark), series, fold).dropna(subset=cols + ["y"]))
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
     out = None
     for t in TARGETS:
-        trt = tr.filter(F.col(t) > 0) if log else tr.filter(F.col(t).isNotNull())
-        trt = trt.withColumn("label", F.log(t) if log else F.col(t))
-        if weight_fn is not None:
-            trt = weight_fn(trt)
-        est = make(trt, t)
-        model = est.fit(_vec(trt, cols))
-        p = _predict(model, _vec(va, cols), t, name, log)
+        own = rows.where(F.col("target") == t)
+        est = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=num_trees, maxDepth=depth, minInstancesPerNode=leaf, seed=42)
+        p = est.fit(own.where("role = 'train'")).transform(own.where("role = 'valid'")).select(
+            F.lit("random_forest").alias("model"), "target", "Date", "y", F.col("prediction").alias("yhat"))
         out = p if out is None else out.unionByName(p)
     return out
 
 
-def ridge(alpha: float, standardize: bool = True):
-    def make(train, _t):
-        return LinearRegression(featuresCol="features", labelCol="label", elasticNetParam=0.0,
-                                regParam=ridge_reg_param(train, "label", alpha), standardization=standardize,
-                                solver="l-bfgs", maxIter=200)
-    return make
-
-
-def ols():
-    def make(_train, _t):
-        return LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal")
-    return make
-
-
-def random_forest(num_trees: int = 300, depth: int = 14, leaf: int = 3):
-    def make(_train, _t):
-        return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                     maxDepth=depth, minInstancesPerNode=leaf, seed=42)
-    return make
-
-
-def boosted(train: DataFrame, cols: list[str], date_col: str = "Date", holdout_days: int = HOLDOUT_DAYS,
-            max_iter: int = MAX_ROUNDS, patience: int = PATIENCE, step: float = 0.03, depth: int = 5,
-            weight: str | None = None, subsample: float = 1.0, columns: float | None = None):
-    """Two-phase boosting of column ``label``: (model, best iteration, limit hit).
-
-    Phase 1 fits all but the last ``holdout_days`` days and scores every
-    iteration on them, unweighted, in absolute loss.  The number of rounds
-    doubles until the best one lies ``patience`` rounds back or ``max_iter`` is
-    reached.  Phase 2 refits all rows with the best number of rounds.  With too
-    few rows for a holdout phase 1 scores on the rows it fits.
-    """
-    last = train.agg(F.max(date_col).alias("m")).first()["m"]     # one scalar
-    old = F.col(date_col) <= F.date_sub(F.lit(last), holdout_days)
-    fit_df, hold = train.filter(old), train.filter(~old)
-    if fit_df.limit(20).count() < 20:
-        fit_df = hold = train
-    est = GBTRegressor(featuresCol="features", labelCol="label", stepSize=step, maxDepth=depth, subsamplingRate=subsample,
-                       seed=42)
-    if columns is not None:
-        est = est.setFeatureSubsetStrategy(str(columns))
-    if weight:
-        est = est.setWeightCol(weight)
-    fit_df, hold = materialize(_vec(fit_df, cols)), materialize(_vec(hold, cols))
-    rounds = min(max_iter, 2 * patience)
-    while True:
-        losses = est.copy().setMaxIter(rounds).fit(fit_df).evaluateEachIteration(hold, "absolute")
-        best = int(min(range(len(losses)), key=lambda i: losses[i])) + 1
-        if best + patience <= rounds or rounds >= max_iter:
-            break
-        rounds = min(max_iter, 2 * rounds)
-    return est.copy().setMaxIter(best).fit(_vec(train, cols)), best, best + patience > rounds
-
-
-def fit_eval_boosted(cat, c: dict, patience: int = PATIENCE, step_scale: float = 1.0) -> DataFrame:
-    """One boosted configuration on the lag features: validation-year predictions with the iterations used."""
-    df = lag_table(cat)
-    cols = [x for x in df.columns if x not in ("Date", "Revenue", "COGS")]
-    tr, va = _split(df)
-    out = None
-    for t in TARGETS:
-        m, best, hit = boosted(tr.filter(F.col(t).isNotNull()).withColumn("label", F.col(t)), cols, max_iter=c["maxIter"],
-                               patience=patience, step=c["stepSize"] * step_scale, depth=c["maxDepth"],
-                               subsample=c["subsample"], columns=c["columns"])
-        p = _predict(m, _vec(va, cols), t, c["name"], False).withColumns(
-            {"best_iteration": F.lit(best), "limit_hit": F.lit(hit)})
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def era_weight(lo: int = 1996, hi: int = 1999, quarter: int | None = None, boost: float = 3.0):
-    def fn(df):
-        out = FE.era_weights(df, lo, hi)
-        if quarter is not None:
-            out = FE.quarter_boost(out, quarter, boost)
-        return out
-    return fn
-
-
-def weighted_two_phase(cat, quarter: int | None = None, name: str = "gbt_weighted_2phase",
-                       max_iter: int = MAX_ROUNDS, patience: int = PATIENCE, step: float = 0.03,
-                       refit_all: bool = False) -> DataFrame:
-    """Era-weighted boosting per target, in log space.
-
-    Fitted on the training years and applied to the validation year, or with
-    ``refit_all`` fitted on every observed day and applied to the template.
-    """
-    df = calendar_table(cat)
-    cols = calendar_feature_cols(df)
-    tr, va = _history_and_template(cat, df) if refit_all else _split(df)
-    out = None
-    for t in TARGETS:
-        trt = era_weight(quarter=quarter)(tr.filter(F.col(t) > 0).withColumn("label", F.log(t)))
-        model, best, hit = boosted(trt, cols, max_iter=max_iter, patience=patience, step=step, weight="weight")
-        p = _predict(model, _vec(va, cols), t, name, True).withColumns(
-            {"best_iteration": F.lit(best), "limit_hit": F.lit(hit)})
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def _history_and_template(cat, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All observed days, and the template's days."""
-    tmpl = cat.table("sample_submission").select("Date")
-    return df.filter(F.col("Revenue").isNotNull()), tmpl.join(df, "Date", "inner")
-
-
-def quarter_specialists(cat, max_iter: int = MAX_ROUNDS, patience: int = PATIENCE, step: float = 0.03,
-                        refit_all: bool = False) -> DataFrame:
-    """4 boosted fits per target (quarter weight x3); each day takes its quarter's model."""
-    out = None
-    for q in (1, 2, 3, 4):
-        p = weighted_two_phase(cat, q, "quarter_specialist", max_iter, patience, step, refit_all)
-        p = p.filter(F.quarter("Date") == q)
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def structural(cat, changepoints: int = 8, train_from: int = 1997, refit_all: bool = False) -> DataFrame:
-    """Trend with hinge changepoints + yearly/weekly Fourier + promo regressors, log target.
-
-    A decomposition-style model fitted as one linear regression (public
-    method: piecewise-linear trend + Fourier seasonality + regressors).
-    """
-    df = calendar_table(cat)
-    tr_all, va = _history_and_template(cat, df) if refit_all else _split(df)
-    tr = tr_all.filter(F.year("Date") >= train_from)
-    span = tr.agg(F.min("t_days").alias("a"), F.max("t_days").alias("b")).first()   # two scalars
-    a, b = span["a"], span["b"]
-    knots = [a + (b - a) * (i + 1) / (changepoints + 1) for i in range(changepoints)]
-    hinge = {f"cp_{i}": F.greatest(F.col("t_days") - F.lit(float(k)), F.lit(0.0)) for i, k in enumerate(knots)}
-    promo = [c for c in df.columns if c.startswith("promo_") and not c.endswith(("_since", "_until", "_disc"))]
-    cols = (["t_days"] + list(hinge) + [f"{s}_y{k}" for s in ("sin", "cos") for k in (1, 2, 3, 4, 5)]
-            + [f"{s}_w{k}" for s in ("sin", "cos") for k in (1, 2)] + promo)
-    out = None
-    for t in TARGETS:
-        trt = tr.filter(F.col(t) > 0).withColumns(hinge).withColumn("label", F.log(t))
-        m = LinearRegression(featuresCol="features", labelCol="label", regParam=1e-4, elasticNetParam=0.0).fit(
-            _vec(trt, cols))
-        p = _predict(m, _vec(va.withColumns(hinge), cols), t, "structural", True)
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
-def gbt_candidates(cat, patience: int = PATIENCE, step_scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Evaluate the 3 configs; return (all predictions, metrics) — best by avg RMSE."""
-    from kartlane.operators.evaluate import metrics
-    preds = None
-    for c in GBT_CANDIDATES:
-        p = fit_eval_boosted(cat, c, patience, step_scale)
-        preds = p if preds is None else preds.unionByName(p)
-    preds = materialize(preds)
-    used = preds.groupBy("model").agg(F.max("best_iteration").alias("best_iteration"), F.max("limit_hit").alias("limit_hit"))
-    return preds, metrics(preds.drop("best_iteration", "limit_hit")).join(F.broadcast(used), "model")   # 3 rows
-
-
-def feature_importance(cat, top_k: int | None = None, step: float = 0.05, patience: int = PATIENCE) -> DataFrame:
-    """GBT importances per target as a (model, target, feature, importance) table."""
-    from kartlane.operators.evaluate import importance_share
-    df = lag_table(cat)
-    cols = [c for c in df.columns if c not in ("Date", "Revenue", "COGS")]
-    tr, _ = _split(df)
-    rows = []
-    for t in TARGETS:
-        m, _, _ = boosted(tr.withColumn("label", F.col(t)), cols, max_iter=500, patience=patience, step=step, depth=4)
-        imp = m.featureImportances.toArray()      # bounded by the feature count
-        rows += [("gbt", t, c, float(v)) for c, v in zip(cols, imp)]
-    imp_df = cat.spark.createDataFrame(rows, "model string, target string, feature string, importance double")
-    return importance_share(imp_df, top_k)
-
-
-def direct_forecast(cat, max_iter: int = MAX_ROUNDS, patience: int = PATIENCE, step: float = 0.03) -> DataFrame:
-    """One boosted model per target on calendar features, refit on all observed days, over the template."""
-    p = weighted_two_phase(cat, None, "direct", max_iter, patience, step, refit_all=True)
-    return (p.groupBy("Date").agg(*[F.max(F.when(F.col("target") == t, F.col("yhat"))).alias(t) for t in TARGETS],
-                                  F.max("best_iteration").alias("best_iteration"), F.max("limit_hit").alias("limit_hit")))
-
-
-def final_members(cat, max_iter: int = MAX_ROUNDS, patience: int = PATIENCE, step: float = 0.03,
-                  alpha: float = 3.0) -> DataFrame:
-    """Ridge, structural model, boosted base and quarter specialists, all refit on every
-    observed day: ``(target, Date, ridge, structural, base, specialist)`` over the template, written once."""
-    df = calendar_table(cat)
-    cols = calendar_feature_cols(df)
-    hist, tmpl = _history_and_template(cat, df)
-    long = None
-    for t in TARGETS:
-        trt = hist.filter(F.col(t) > 0).withColumn("label", F.log(t))
-        m = ridge(alpha)(trt, t).fit(_vec(trt, cols))
-        p = _predict(m, _vec(tmpl, cols), t, "ridge", True)
-        long = p if long is None else long.unionByName(p)
-    for p in (structural(cat, refit_all=True),
-              weighted_two_phase(cat, None, "base", max_iter, patience, step, refit_all=True),
-              quarter_specialists(cat, max_iter, patience, step, refit_all=True)):
+# --- the final forecast
+
+def final_members(cat, settings: B.Settings = PM.TWO_PHASE) -> DataFrame:
+    """Ridge, structural model, boosted base and quarter specialists, all fitted on every
+    observed day: ``(target, Date, ridge, structural, base, specialist, ...)`` over the template, written once."""
+    rows, cols = PM.calendar_rows(cat)
+    rows = materialize(PM.observed_and_template(cat, PM.only(rows, PM.TOTAL)))
+    keys = PM.SERIES
+    fitted = linear.fit(linear.design(rows.where("role = 'train' and y > 0"), keys, cols, F.log("y")), keys, PM.RIDGE_LOG_ALPHA)
+    ridge = linear.predict(linear.design(rows.where("role = 'valid'"), keys, cols, keep=("Date",)), fitted, keys)
+    long = ridge.select("target", "Date", F.lit("ridge").alias("model"), F.exp("prediction").alias("yhat"),
+                        F.lit(None).cast("int").alias("best_iteration"), F.lit(None).cast("double").alias("holdout_loss"))
+    _, trend = PM.structural(rows, keys=keys)
+    for p in (trend.withColumns({"best_iteration": F.lit(None).cast("int"), "holdout_loss": F.lit(None).cast("double")}),
+              PM.two_phase(rows, cols, "base", keys, settings), PM.specialists(rows, cols, "specialist", keys, settings)):
         long = long.unionByName(p.select(*long.columns))
-    pick = {"ridge": "ridge", "structural": "structural", "base": "base", "quarter_specialist": "specialist"}
+    pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
     return materialize(long.groupBy("target", "Date").agg(
-        *[F.max(F.when(F.col("model") == m, F.col("yhat"))).alias(c) for m, c in pick.items()]))
+        *[pick(m, "yhat").alias(m) for m in ("ridge", "structural", "base", "specialist")],
+        *[pick(m, c).alias(f"{m}_{c}") for m in ("base", "specialist") for c in ("best_iteration", "holdout_loss")]))
 
 
 def blend_members(members: DataFrame) -> DataFrame:
@@ -334,10 +77,13 @@ def blend_members(members: DataFrame) -> DataFrame:
     return members.withColumns({"blend": blend, "raw": raw, "yhat": level * raw})
 
 
-def final_forecast(cat, **speed) -> DataFrame:
-    """The submission frame: ``Date, Revenue, COGS`` of the blended, refit members."""
-    b = blend_members(final_members(cat, **speed))
-    return b.groupBy("Date").agg(*[F.max(F.when(F.col("target") == t, F.col("yhat"))).alias(t) for t in TARGETS])
+def final_forecast(cat, settings: B.Settings = PM.TWO_PHASE) -> DataFrame:
+    """The submission frame: ``Date, Revenue, COGS`` of the blended members."""
+    return submission(blend_members(final_members(cat, settings)))
+
+
+def submission(blended: DataFrame) -> DataFrame:
+    return blended.groupBy("Date").agg(*[F.max(F.when(F.col("target") == t, F.col("yhat"))).alias(t) for t in TARGETS])
 
 
 def forecast_sink(cat, forecast: DataFrame, path: str) -> DataFrame:
@@ -365,72 +111,135 @@ def monthly_table(cat) -> DataFrame:
     return FE.monthly_features(FE.monthly_panel(of, FX.customer_fact(cat), FX.inventory_fact(cat)))
 
 
-def rollforward_monthly(cat, steps: int = 6, max_iter: int = 300, patience: int = PATIENCE, step: float = 0.05) -> DataFrame:
-    """Monthly GBT rolled forward ``steps`` months, refreshing rev_lag_1 from predictions.
+def _monthly_design(rows: DataFrame, label=None, keep=("Date",)) -> DataFrame:
+    rows = rows.withColumns({"series": F.lit(PM.TOTAL), "Date": F.col("month")})
+    return linear.design(rows, ["series"], MONTHLY_COLS, label, keep=keep, missing=label is None)
+
+
+def monthly_fit(rows: DataFrame, settings: B.Settings = PM.MONTHLY) -> DataFrame:
+    """Boosted model of the monthly revenue on what is known when a month is forecast."""
+    return materialize(B.fit(_monthly_design(rows, F.col("revenue")), ["series"], settings))
+
+
+def monthly_predict(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``month, y, yhat, best_iteration, limit_hit`` of the rows; unknown features count as larger than all known values."""
+    d = _monthly_design(rows.withColumn("y", F.col("revenue").cast("double")), keep=("Date", "y"))
+    return B.predict(d, models, ["series"]).select(F.col("Date").alias("month"), "y", F.col("prediction").alias("yhat"), "best_iteration", "limit_hit")
+
+
+def rollforward_monthly(cat, steps: int = 6, settings: B.Settings = PM.MONTHLY) -> DataFrame:
+    """Monthly model rolled forward ``steps`` months, refreshing rev_lag_1 from predictions.
 
     Like the workload, rev_lag_3_avg and the other lagged columns are carried from the last
-    observed month.  Each step transforms one row (the next month).
+    observed month.  Each step predicts one row (the next month).
     """
-    cols = MONTHLY_COLS
     mp = materialize(monthly_table(cat))
-    train = mp.dropna(subset=cols + ["revenue"]).withColumn("label", F.col("revenue"))
-    model, best, hit = boosted(train, cols, "month", max_iter=max_iter, patience=patience, step=step, depth=3)
-    last = mp.orderBy(F.desc("month")).limit(1)               # one row: the feature carrier
-    out, cur = None, last
+    models = monthly_fit(mp, settings)
+    cur, out = mp.orderBy(F.desc("month")).limit(1), None       # one row: the feature carrier
     for _ in range(steps):
         m = F.add_months("month", 1)
         nxt = cur.select(m.alias("month"), "signups", "stockout_rate", "fill_rate", F.year(m).alias("year"),
                          F.month(m).alias("month_num"), F.quarter(m).alias("quarter"), F.col("revenue").alias("rev_lag_1"),
                          "rev_lag_3_avg", "orders_lag_1")
-        cur = model.transform(_vec(nxt, cols)).withColumn("revenue", F.col("prediction")).drop("features", "prediction")
-        p = cur.select("month", "revenue")
+        p = monthly_predict(nxt.withColumn("revenue", F.lit(None).cast("double")), models)
+        cur = materialize(nxt.join(p.select("month", F.col("yhat").alias("revenue"), "best_iteration", "limit_hit"), "month"))
+        p = cur.select("month", "revenue", "best_iteration", "limit_hit")
         out = p if out is None else out.unionByName(p)
-    return out.withColumns({"best_iteration": F.lit(best), "limit_hit": F.lit(hit)})
+    return out
 
 
-def recursive_linear(cat, weights: list[float] | None = None, horizon_days: int = 548) -> DataFrame:
-    """Day-by-day roll-forward of the weighted baseline x calibration, per (series, target).
+# --- the recursive baseline, without a loop over its days
 
-    The recursion needs rolling 7/30/90 means of *predicted* days, so it is a
-    per-series loop: ``groupBy(series_id, target).applyInPandas`` — each group
-    holds one series' history (calendar-bounded) and runs in parallel.
-    """
+def lag_weights(weights: list[float]) -> np.ndarray:
+    """Weight of each of the last days, the most recent first, in one step of the baseline."""
     from kartlane.operators import forecast as FC
-    w = weights or FC.DEFAULT_BASELINE_WEIGHTS
-    long = FE.to_long(cat.table("sales_panel"))
-    feats = FC.baseline_raw(FE.baseline_lags(long), w)
-    fac = FC.calibration_factors(feats, F.col("pred").isNotNull())
-    mfac = fac.filter(F.col("level") == "month").select("series_id", "target", "month", F.col("factor").alias("fm"))
-    wfac = fac.filter(F.col("level") == "weekday_month").select("series_id", "target", "month", "dayofweek",
-                                                                 F.col("factor").alias("fw"))
-    # factors travel with each group's history as a (month, dow) grid: <= 84 rows per group
-    grid = (mfac.join(wfac, ["series_id", "target", "month"], "left")
-            .select("series_id", "target", F.lit(None).cast("date").alias("Date"), F.lit(None).cast("double").alias("y"),
-                    "month", "dayofweek", F.coalesce(F.col("fm") * F.coalesce("fw", F.lit(1.0)), F.col("fm")).alias("f")))
-    hist = long.select("series_id", "target", "Date", "y", F.lit(None).cast("int").alias("month"),
-                       F.lit(None).cast("int").alias("dayofweek"), F.lit(None).cast("double").alias("f"))
-    both = hist.unionByName(grid)
-    lags, rolls = FC.BASELINE_LAGS, FC.BASELINE_ROLLS
-
-    def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        sid, tgt = pdf["series_id"].iloc[0], pdf["target"].iloc[0]
-        g = pdf[pdf["Date"].isna()]
-        fmap = {(int(r.month), int(r.dayofweek)): float(r.f) for r in g.itertuples() if pd.notna(r.f)}
-        h = pdf[pdf["Date"].notna()].sort_values("Date")
-        vals = h["y"].astype(float).tolist()
-        if len(vals) < max(lags):  # too short for the longest lag: reported, not forecast
-            return pd.DataFrame([(sid, tgt, None, None, True)], columns=["series_id", "target", "Date", "yhat", "skipped"])
-        last = pd.Timestamp(h["Date"].iloc[-1])
-        out = []
-        for i in range(1, horizon_days + 1):
-            d = last + pd.Timedelta(days=i)
-            x = [vals[-k] for k in lags] + [sum(vals[-n:]) / n for n in rolls]
-            base = sum(a * b for a, b in zip(w, x))
-            yhat = max(base * fmap.get((d.month, d.dayofweek), 1.0), 0.0)
-            vals.append(yhat)
-            out.append((sid, tgt, d.date(), yhat, False))
-        return pd.DataFrame(out, columns=["series_id", "target", "Date", "yhat", "skipped"])
-
-    return both.groupBy("series_id", "target").applyInPandas(
-        roll, "series_id string, target string, Date date, yhat double, skipped boolean")
+    w = np.zeros(max(FC.BASELINE_LAGS))
+    for k, x in zip(FC.BASELINE_LAGS, weights):
+        w[k - 1] += x
+    for n, x in zip(FC.BASELINE_ROLLS, weights[len(FC.BASELINE_LAGS):]):
+        w[:n] += x / n
+    return w
+
+
+def horizon_matrix(w: np.ndarray, days: int) -> np.ndarray:
+    """``(days, len(w))``: each day ahead as a combination of the last ``len(w)`` days, the most recent first.
+
+    The rows of the companion matrix' powers that belong to the newest day: those of m
+    days times the m-th power give those of the next m, so the number of days doubles with each product.
+    """
+    power = np.eye(len(w), k=-1)
+    power[0] = w
+    rows = w[None].copy()
+    while len(rows) < days:
+        rows = np.vstack([rows, rows @ power])
+        power = power @ power
+    return rows[:days]
 
+
+def calibrated_horizon(w: np.ndarray, factor: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Days ahead of ``y(t) = factor(t) * sum w(k) y(t - k)``: one triangular system for all days.
+
+    ``last``: the last days, the most recent first.
+    """
+    days, n = len(factor), len(w)
+    lagged = np.concatenate([w, np.zeros(max(0, days - n))])
+    ahead = np.subtract.outer(np.arange(days), np.arange(days))                 # how many days earlier a day of the horizon lies
+    inner = np.where(ahead > 0, lagged[np.maximum(ahead, 1) - 1], 0.0)
+    reach = np.add.outer(np.arange(days), np.arange(n))                         # lag of a known day, less one
+    known = np.where(reach < n, w[np.minimum(reach, n - 1)], 0.0) @ last
+    return np.linalg.solve(np.eye(days) - factor[:, None] * inner, factor * known)
+
+
+def recursive_linear(cat, weights: list[float] | None = None, horizon_days: int = 548, calibrated: bool = True,
+                     long: DataFrame | None = None) -> DataFrame:
+    """Roll-forward of the weighted baseline (times calibration) per (series, target), without a step for each day.
+
+    A day ahead is linear in the last ``max(lag)`` days. Uncalibrated, all series share one
+    matrix, found by doubling; a calibrated series solves one triangular system. Weights and values
+    must not be negative, so the floor at 0 never acts; series shorter than the longest lag are
+    reported as skipped.
+    """
+    from kartlane.functions.exprs import weekday_mon0
+    from kartlane.operators import forecast as FC
+    w = lag_weights(weights or FC.DEFAULT_BASELINE_WEIGHTS)
+    if (w < 0).any():
+        raise ValueError("negative weights: the floor at 0 would act")
+    n = len(w)
+    long = materialize(FE.to_long(cat.table("sales_panel")) if long is None else long)
+    keys = PM.SERIES
+    back = Window.partitionBy(*keys).orderBy(F.desc("Date"))
+    last = (long.where("y is not null").withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= n).groupBy(*keys)
+            .agg(F.max("Date").alias("origin"), F.transform(F.array_sort(F.collect_list(F.struct("_r", "y"))), lambda x: x.y).alias("last")))
+    if calibrated:
+        feats = FC.baseline_raw(FE.baseline_lags(long), weights or FC.DEFAULT_BASELINE_WEIGHTS)
+        fac = FC.calibration_factors(feats, F.col("pred").isNotNull())
+        month = fac.where("level = 'month'").select(*keys, "month", F.col("factor").alias("fm"))
+        day = fac.where("level = 'weekday_month'").select(*keys, "month", "dayofweek", F.col("factor").alias("fw"))
+        days = last.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(horizon_days))).alias("h"), F.date_add("origin", F.col("h")).alias("d"))
+        days = days.withColumns({"month": F.month("d"), "dayofweek": weekday_mon0("d")})
+        # at most the horizon's days a series
+        grid = (days.join(month, [*keys, "month"], "left").join(day, [*keys, "month", "dayofweek"], "left").groupBy(*keys)
+                .agg(F.transform(F.array_sort(F.collect_list(F.struct("h", (F.coalesce("fm", F.lit(1.0)) * F.when(F.col("fm").isNull(), 1.0).otherwise(
+                    F.coalesce("fw", F.lit(1.0)))).alias("f")))), lambda x: x.f).alias("factor")))
+        last = last.join(grid, keys)
+    else:
+        last = last.withColumn("factor", F.lit(None).cast("array<double>"))
+    steps = None if calibrated else horizon_matrix(w, horizon_days)
+
+    def roll(batches):
+        import pyarrow as pa
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                past = b.column(3)[i].values.to_numpy()
+                if len(past) < n:
+                    out.append(None)
+                elif (past < 0).any():
+                    raise ValueError("negative values: the floor at 0 would act")
+                else:
+                    out.append(calibrated_horizon(w, b.column(4)[i].values.to_numpy(), past) if calibrated else steps @ past)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.float64()))], [*keys, "origin", "path"])
+
+    path = last.select(*keys, "origin", "last", "factor").mapInArrow(roll, "series_id string, target string, origin date, path array<double>")
+    return (path.select(*keys, "origin", F.posexplode_outer("path").alias("h", "yhat"))
+            .select(*keys, F.date_add("origin", F.col("h") + 1).alias("Date"), "yhat", F.col("h").isNull().alias("skipped")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kartlane.operators import evaluate as EV
 from kartlane.operators import features as FE
 from kartlane.operators import forecast as FC
+from kartlane.operators import panel_models as PM
+from kartlane.plans import linear_sql as LS
 from kartlane.plans.oracle import D, R, STANDINS, with_views as W
 from kartlane.plans.registry import register
 from kartlane.sources.inline import fold_table
@@ -69,17 +71,6 @@ def _models(cat):
     return [_naive(cat, 365, "seasonal_naive"), _naive(cat, 364, "lag364"), _mean3(cat), _wb(cat), cal]
 
 
-def _wide(cat):
-    """Validation-year table with one column per component model."""
-    out = None
-    names = ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"]
-    for n, m in zip(names, _models(cat)):
-        t = m.select(*K, "Date", "y", F.col("yhat").alias(n)) if out is None else m.select(*K, "Date",
-                                                                                            F.col("yhat").alias(n))
-        out = t if out is None else out.join(t, K + ["Date"], "inner")
-    return out
-
-
 # ---------------------------------------------------------------------- SQL library
 _VS = f"DATE '{ORIGIN}'"
 STANDINS.update({
@@ -163,11 +154,6 @@ STANDINS.update({
     "v_models": (["v_naive365", "v_lag364", "v_mean3", "v_wb", "v_calm"], """
         SELECT * FROM v_naive365 UNION ALL SELECT * FROM v_lag364 UNION ALL SELECT * FROM v_mean3
         UNION ALL SELECT * FROM v_wb UNION ALL SELECT * FROM v_calm"""),
-    "v_wide": (["v_models"], """
-        SELECT series_id, target, Date, first(y) FILTER (WHERE model = 'seasonal_naive') AS y,
-               """ + ", ".join(f"max(yhat) FILTER (WHERE model = '{m}') AS {m}" for m in
-                               ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"])
-        + " FROM v_models GROUP BY 1, 2, 3"),
 })
 
 _FC_OUT = f"SELECT model, series_id, target, {D('Date')} AS Date, {R('y')} AS y, {R('yhat')} AS yhat FROM "
@@ -216,24 +202,62 @@ def ev_metrics(cat):
     return EV.metrics(t)
 
 
+# what the learners and baselines of the folds are compared on: days that all of them predict
+SCORED = ("seasonal_naive", "lag364", "weighted_baseline", "calibrated_baseline", "ridge_log", "ridge_lag", "linear")
+G = PM.GROUP
+
+
+def _oof_wide(models):
+    """Registers the view of the models' out-of-fold predictions side by side; returns its name."""
+    name = LS.oof_view(models).replace("v_oof__", "v_side__")
+    STANDINS[name] = ([LS.oof_view(models)], f"""
+        SELECT * FROM (SELECT fold, series_id, target, Date, max(y) AS y, {', '.join(f"max(yhat) FILTER (WHERE model = '{m}') AS {m}" for m in models)}
+                       FROM {LS.oof_view(models)} GROUP BY 1, 2, 3, 4) WHERE {' AND '.join(f'{m} IS NOT NULL' for m in models)}""")
+    return name
+
+
+def _oof(cat, models):
+    return PM.side_by_side(PM.out_of_fold(cat, models), models)
+
+
+def _oof_long(cat, models):
+    return _oof(cat, models).unpivot([*G, "Date", "y"], list(models), "model", "yhat")
+
+
+_V_SCORED = _oof_wide(SCORED)
+_FOLD_MET = f"""(WITH l AS (UNPIVOT {_V_SCORED} ON {', '.join(SCORED)} INTO NAME model VALUE yhat),
+    t AS (SELECT fold, model, target, avg(abs(y - yhat)) AS MAE, sqrt(avg((y - yhat) * (y - yhat))) AS RMSE,
+                 1.0 - sum((y - yhat) * (y - yhat)) / nullif(sum((y - ybar) * (y - ybar)), 0) AS R2
+          FROM (SELECT *, avg(y) OVER (PARTITION BY fold, model, target) AS ybar FROM l) GROUP BY 1, 2, 3)
+    SELECT fold, model, 'average' AS target, avg(MAE) AS MAE, avg(RMSE) AS RMSE, avg(R2) AS R2 FROM t GROUP BY 1, 2)"""
+
+
+@register("fc_oof_predictions", W(f"SELECT model, fold, series_id, target, {D('Date')} AS Date, {R('y')} AS y, {R('yhat')} AS yhat "
+                                  f"FROM {LS.oof_view(PM.BASELINES + tuple(PM.LEARNERS))}", LS.oof_view(PM.BASELINES + tuple(PM.LEARNERS))))
+def fc_oof_predictions(cat):
+    """Rolling-origin predictions of baselines and closed-form learners: every fold, series and target."""
+    return PM.out_of_fold(cat)
+
+
+@register("fc_oof_boosted")
+def fc_oof_boosted(cat):
+    """Rolling-origin predictions of the boosted members of the total, every fold."""
+    return PM.out_of_fold(cat, PM.BOOSTED)
+
+
 @register("ev_leaderboard", W(f"""
-    SELECT model, target, {R('MAE')} AS MAE, {R('RMSE')} AS RMSE, {R('R2')} AS R2,
-           row_number() OVER (ORDER BY RMSE, model) AS rank FROM {_MET_ALL} WHERE target = 'average'""", "v_models"))
+    SELECT fold, model, target, {R('MAE')} AS MAE, {R('RMSE')} AS RMSE, {R('R2')} AS R2,
+           row_number() OVER (PARTITION BY fold ORDER BY RMSE, model) AS rank FROM {_FOLD_MET}""", _V_SCORED))
 def ev_leaderboard(cat):
-    """Models ranked by average RMSE."""
-    return EV.leaderboard([EV.metrics(m) for m in _models(cat)])
+    """Models of every fold ranked by average RMSE on their out-of-fold predictions."""
+    return EV.leaderboard([EV.metrics(_oof_long(cat, SCORED), ["fold", "model"])], ["fold"])
 
 
 @register("ev_best_model", W(f"""
-    SELECT (SELECT model FROM {_MET_ALL} WHERE target = 'average' ORDER BY RMSE, model LIMIT 1) AS best_model,
-           {R(f"(SELECT min(RMSE) FROM {_MET_ALL} WHERE target = 'average')")} AS best_rmse""", "v_models"))
+    SELECT fold, arg_min(model, (RMSE, model)) AS best_model, {R('min(RMSE)')} AS best_rmse FROM {_FOLD_MET} GROUP BY fold""", _V_SCORED))
 def ev_best_model(cat):
-    """argmin of average RMSE over the candidates."""
-    u = _models(cat)
-    t = u[0]
-    for m in u[1:]:
-        t = t.unionByName(m)
-    return EV.best_model(EV.metrics(t))
+    """argmin of average RMSE over the candidates of every fold."""
+    return EV.best_model(EV.metrics(_oof_long(cat, SCORED), ["fold", "model"]), ["fold"])
 
 
 @register("ev_holdout_year", W(f"""
@@ -286,9 +310,10 @@ def ev_ratio_split(cat):
 
 @register("ev_driver_labels")
 def ev_driver_labels(cat):
-    """Feature name -> business explanation (substring rules) on GBT importances."""
-    from kartlane.operators import mlmodels as ML
-    return EV.driver_labels(ML.feature_importance(cat, step=0.2, patience=ML.QUERY_SPEED["patience"]))
+    """Boosting importances with the kind, window and target of each feature, told by the operator that makes it."""
+    from kartlane.operators import boosting as B
+    models, _, cols = PM.candidates(cat)
+    return EV.driver_labels(EV.importance_share(B.importances(models, cols)))
 
 
 _FAC_OUT = f"""SELECT series_id, target, level, CAST(month AS BIGINT) AS month, CAST(dayofweek AS BIGINT) AS dayofweek,
@@ -321,107 +346,106 @@ def fc_residual_target(cat):
 _ALPHA_CASE = ("CASE quarter(Date) " + " ".join(f"WHEN {q} THEN {a}" for q, a in FC.QUARTER_ALPHA.items()) + " END")
 
 
+SPECIALIST, BASE = "quarter_ridge", "ridge_log"
+_TIER1 = (SPECIALIST, BASE)
+_V_TIER1 = _oof_wide(_TIER1)
+_K_SQL = ", ".join(G)
+
+
 @register("fc_blend_alpha", W(f"""
-    SELECT series_id, target, {D('Date')} AS Date,
-           {R(f'{_ALPHA_CASE} * calibrated_baseline + (1.0 - {_ALPHA_CASE}) * seasonal_naive')} AS blend
-    FROM v_wide""", "v_wide"))
+    SELECT {_K_SQL}, {D('Date')} AS Date, {R(f'{_ALPHA_CASE} * {SPECIALIST} + (1.0 - {_ALPHA_CASE}) * {BASE}')} AS blend
+    FROM {_V_TIER1}""", _V_TIER1))
 def fc_blend_alpha(cat):
-    """Tier 1: alpha(quarter) * specialist + (1 - alpha) * base, alpha {.6,.6,1,.6}."""
-    return FC.blend_alpha(_wide(cat), "calibrated_baseline", "seasonal_naive").select(*K, "Date", "blend")
+    """Tier 1: alpha(quarter) * specialist + (1 - alpha) * base, alpha {.6,.6,1,.6}, on out-of-fold predictions."""
+    return FC.blend_alpha(_oof(cat, _TIER1), SPECIALIST, BASE).select(*G, "Date", "blend")
+
+
+_BEST_ALPHA = f"sum((y - {BASE}) * ({SPECIALIST} - {BASE})) / nullif(sum(({SPECIALIST} - {BASE}) * ({SPECIALIST} - {BASE})), 0)"
 
 
 @register("fc_alpha_tuning", W(f"""
-    SELECT series_id, target, CAST(quarter(Date) AS BIGINT) AS quarter,
-           {R('least(greatest(coalesce(sum((y - seasonal_naive) * (calibrated_baseline - seasonal_naive)) / nullif(sum((calibrated_baseline - seasonal_naive) * (calibrated_baseline - seasonal_naive)), 0), 0.05), 0.05), 0.85)')} AS alpha,
-           {R('sum((y - seasonal_naive) * (calibrated_baseline - seasonal_naive)) / nullif(sum((calibrated_baseline - seasonal_naive) * (calibrated_baseline - seasonal_naive)), 0)')} AS unclipped
-    FROM v_wide WHERE y IS NOT NULL AND calibrated_baseline IS NOT NULL AND seasonal_naive IS NOT NULL
-    GROUP BY 1, 2, 3""", "v_wide"))
+    SELECT {_K_SQL}, CAST(quarter(Date) AS BIGINT) AS quarter, {R(f'least(greatest(coalesce({_BEST_ALPHA}, 0.05), 0.05), 0.85)')} AS alpha,
+           {R(_BEST_ALPHA)} AS unclipped
+    FROM {_V_TIER1} WHERE y IS NOT NULL GROUP BY {_K_SQL}, quarter(Date)""", _V_TIER1))
 def fc_alpha_tuning(cat):
-    """Per-quarter alpha in [.05, .85] minimising squared error (closed form)."""
-    return FC.alpha_tuning(_wide(cat), "calibrated_baseline", "seasonal_naive")
+    """Per-quarter alpha in [.05, .85] minimising squared error (closed form) of the out-of-fold blend."""
+    return FC.alpha_tuning(_oof(cat, _TIER1), SPECIALIST, BASE, keys=G)
+
 
+# tier 2: ridge, least squares and the tier-1 blend by the workload's family weights
+_FAMILIES = {"ridge_lag": 0.10, "linear": 0.10, "blend": 0.80}
+_TIER2 = (*_TIER1, "ridge_lag", "linear")
+_V_TIER2 = _oof_wide(_TIER2)
+_FAM_SQL = f"(ridge_lag * 0.1 + linear * 0.1 + ({_ALPHA_CASE} * {SPECIALIST} + (1.0 - {_ALPHA_CASE}) * {BASE}) * 0.8)"
 
-_FAM = {"seasonal_naive": 0.10, "mean_364_366": 0.10, "calibrated_baseline": 0.80}
-_FAM_SQL = " + ".join(f"{c} * {w!r}" for c, w in _FAM.items())
 
+def _family_blend(cat):
+    return FC.blend_families(FC.blend_alpha(_oof(cat, _TIER2), SPECIALIST, BASE), _FAMILIES, "families")
 
-@register("fc_blend_families", W(f"""
-    SELECT series_id, target, {D('Date')} AS Date, {R(_FAM_SQL)} AS blend FROM v_wide""", "v_wide"))
+
+@register("fc_blend_families", W(f"SELECT {_K_SQL}, {D('Date')} AS Date, {R(_FAM_SQL)} AS blend FROM {_V_TIER2}", _V_TIER2))
 def fc_blend_families(cat):
-    """Tier 2: fixed .10 / .10 / .80 family blend."""
-    return FC.blend_families(_wide(cat), _FAM).select(*K, "Date", "blend")
+    """Tier 2: .10 / .10 / .80 of ridge, least squares and the tier-1 blend, on out-of-fold predictions."""
+    return _family_blend(cat).select(*G, "Date", F.col("families").alias("blend"))
 
 
 @register("fc_scale_calibration", W(f"""
-    SELECT series_id, target, {R('least(greatest(min(r), 0.8), 2.0)')} AS scale, {R('min(r)')} AS unclipped FROM (
-      SELECT series_id, target, r, sum(w) OVER (PARTITION BY series_id, target ORDER BY r, Date
-                                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
-             sum(w) OVER (PARTITION BY series_id, target) AS tw
-      FROM (SELECT series_id, target, Date, y / ({_FAM_SQL}) AS r, {_FAM_SQL} AS w FROM v_wide
-            WHERE {_FAM_SQL} > 0 AND y IS NOT NULL))
-    WHERE cw >= tw / 2.0 GROUP BY 1, 2""", "v_wide"))
+    SELECT {_K_SQL}, {R('least(greatest(min(r), 0.8), 2.0)')} AS scale, {R('min(r)')} AS unclipped FROM (
+      SELECT {_K_SQL}, r, sum(w) OVER (PARTITION BY {_K_SQL} ORDER BY r, Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw,
+             sum(w) OVER (PARTITION BY {_K_SQL}) AS tw
+      FROM (SELECT {_K_SQL}, Date, y / {_FAM_SQL} AS r, {_FAM_SQL} AS w FROM {_V_TIER2} WHERE {_FAM_SQL} > 0 AND y IS NOT NULL))
+    WHERE cw >= tw / 2.0 GROUP BY {_K_SQL}""", _V_TIER2))
 def fc_scale_calibration(cat):
-    """Tier 3: c in [.8, 2] minimising MAE = weighted median of y/p (weights p)."""
-    t = FC.blend_families(_wide(cat), _FAM)
-    return FC.scale_calibration(t, "blend")
+    """Tier 3: c in [.8, 2] minimising MAE of the tier-2 blend = weighted median of y/p (weights p)."""
+    return FC.scale_calibration(_family_blend(cat), "families", keys=G)
 
 
-_CW = {("seasonal_naive", "Revenue"): 0.2, ("mean_364_366", "Revenue"): 0.3, ("calibrated_baseline", "Revenue"): 0.5,
-       ("seasonal_naive", "COGS"): 0.25, ("mean_364_366", "COGS"): 0.25, ("calibrated_baseline", "COGS"): 0.5}
+_CW = {("ridge_log", "Revenue"): 0.2, ("ridge_lag", "Revenue"): 0.3, ("calibrated_baseline", "Revenue"): 0.5,
+       ("ridge_log", "COGS"): 0.25, ("ridge_lag", "COGS"): 0.25, ("calibrated_baseline", "COGS"): 0.5}
+_COMPONENTS = ("ridge_log", "ridge_lag", "calibrated_baseline")
+_V_COMPONENTS = _oof_wide(_COMPONENTS)
 
 
 @register("fc_combine_components", W(f"""
-    SELECT series_id, target, {D('Date')} AS Date, {R('greatest(sum(w * yhat), 0.0)')} AS yhat
-    FROM v_models JOIN (VALUES {', '.join(f"('{m}', '{t}', {w!r})" for (m, t), w in _CW.items())}) c(model, target, w)
-    USING (model, target) GROUP BY 1, 2, 3""", "v_models"))
+    SELECT {_K_SQL}, {D('Date')} AS Date, {R('greatest(sum(w * yhat), 0.0)')} AS yhat
+    FROM (UNPIVOT {_V_COMPONENTS} ON {', '.join(_COMPONENTS)} INTO NAME model VALUE yhat)
+    JOIN (VALUES {', '.join(f"('{m}', '{t}', {w!r})" for (m, t), w in _CW.items())}) c(model, target, w)
+    USING (model, target) GROUP BY {_K_SQL}, Date""", _V_COMPONENTS))
 def fc_combine_components(cat):
-    """Weighted sum over (model, target) component weights, floored at 0."""
-    u = _models(cat)
-    t = u[0]
-    for m in u[1:]:
-        t = t.unionByName(m)
+    """Weighted sum over (model, target) component weights of the out-of-fold predictions, floored at 0."""
     wt = cat.spark.createDataFrame([(m, tg, w) for (m, tg), w in _CW.items()], "model string, target string, w double")
-    return FC.combine_components(t, wt)
+    return FC.combine_components(_oof_long(cat, _COMPONENTS), wt, G)
 
 
-_FIXMAP = {"residual_lgbm": "mean_364_366", "residual_xgb": "lag364", "direct_lgbm": "seasonal_naive",
-           "calibrated_baseline": "calibrated_baseline"}
+FIXED = ("residual_lgbm", "residual_xgb", "direct_lgbm", "calibrated_baseline")
 
 
-@register("fc_fixed_ensemble", W(f"""
-    SELECT series_id, target, {D('Date')} AS Date, {R('greatest(sum(w * yhat), 0.0)')} AS yhat
-    FROM v_models JOIN (VALUES {', '.join(
-        [f"('{_FIXMAP[m]}', 'Revenue', {w!r})" for m, w in FC.REVENUE_ENSEMBLE_WEIGHTS.items()]
-        + [f"('{_FIXMAP[m]}', 'COGS', {w!r})" for m, w in FC.COGS_ENSEMBLE_WEIGHTS.items()])}) c(model, target, w)
-    USING (model, target) GROUP BY 1, 2, 3""", "v_models"))
+@register("fc_fixed_ensemble")
 def fc_fixed_ensemble(cat):
-    """Fixed .50/.25/.15/.10 (Revenue) and .60/.25/.15 (COGS) ensembles, floor 0."""
-    u = _models(cat)
-    t = u[0]
-    for m in u[1:]:
-        t = t.unionByName(m)
-    return FC.combine_components(t, FC.fixed_ensemble_weights(cat.spark, _FIXMAP))
+    """Fixed .50/.25/.15/.10 (Revenue) and .60/.25/.15 (COGS) ensembles of the residual, direct and baseline members, floor 0.
+
+    Out-of-fold predictions of the total; days that one of a target's members does not predict are absent.
+    """
+    oof = PM.out_of_fold(cat, FIXED).where(F.col("series_id") == PM.TOTAL)
+    weights = FC.fixed_ensemble_weights(cat.spark)
+    members = F.count_distinct("model").alias("members")
+    days = oof.join(F.broadcast(weights), ["model", "target"]).groupBy(*G, "Date").agg(members)   # weights: seven rows
+    whole = days.join(F.broadcast(weights.groupBy("target").agg(F.count("*").alias("members"))), ["target", "members"]).drop("members")
+    return FC.combine_components(oof.join(whole, [*G, "Date"]), weights, G)
+
+
+_RESIDUAL = ("calibrated_baseline", "residual_calendar")
+_V_RESIDUAL = _oof_wide(_RESIDUAL)
 
 
 @register("fc_residual_alpha_blend", W(f"""
-    WITH rs AS (SELECT series_id, target, Date, y, pred_calibrated,
-                       lag(y - pred_calibrated, 365) OVER (PARTITION BY series_id, target ORDER BY Date) AS rp
-                FROM v_cal),
-    g AS (SELECT a.alpha, r.* FROM rs r CROSS JOIN (VALUES (0.25), (0.5), (0.75), (1.0)) a(alpha)
-          WHERE year(r.Date) = {VAL_YEAR}),
-    m AS (SELECT alpha, target, avg(abs(y - yhat)) AS MAE, sqrt(avg((y - yhat) * (y - yhat))) AS RMSE
-          FROM (SELECT *, pred_calibrated + alpha * rp AS yhat FROM g) WHERE y IS NOT NULL AND yhat IS NOT NULL
-          GROUP BY 1, 2)
-    SELECT {R('alpha')} AS alpha, target, {R('MAE')} AS MAE, {R('RMSE')} AS RMSE FROM m""", "v_cal"))
+    SELECT {R('alpha')} AS alpha, target, {R('avg(abs(y - yhat))')} AS MAE, {R('sqrt(avg((y - yhat) * (y - yhat)))')} AS RMSE FROM (
+      SELECT *, calibrated_baseline + alpha * (residual_calendar - calibrated_baseline) AS yhat
+      FROM {_V_RESIDUAL} CROSS JOIN (VALUES (0.25), (0.5), (0.75), (1.0)) a(alpha)) WHERE y IS NOT NULL GROUP BY 1, 2""", _V_RESIDUAL))
 def fc_residual_alpha_blend(cat):
-    """baseline + alpha * residual forecast (residual at t-365) for alpha in {.25,.5,.75,1}; metrics per alpha."""
-    from pyspark.sql import Window
-    c = _calibrated(cat)
-    w = Window.partitionBy(*K).orderBy("Date")
-    c = c.withColumn("rp", F.lag(F.col("y") - F.col("pred_calibrated"), 365).over(w)).filter(
-        F.year("Date") == VAL_YEAR)
-    g = FC.residual_alpha_blend(c, "pred_calibrated", "rp", cat.spark)
-    e = g.filter(F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    """baseline + alpha * predicted residual for alpha in {.25,.5,.75,1}: metrics per alpha over all folds and series."""
+    c = _oof(cat, _RESIDUAL).withColumn("rp", F.col("residual_calendar") - F.col("calibrated_baseline"))
+    e = FC.residual_alpha_blend(c, "calibrated_baseline", "rp", cat.spark).filter(F.col("y").isNotNull())
     return (e.groupBy("alpha", "target")
             .agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("MAE"),
                  F.sqrt(F.avg((F.col("y") - F.col("yhat")) ** 2)).alias("RMSE")))
@@ -457,14 +481,47 @@ def fc_simplex_weights(cat):
     return FC.simplex_weights(FC.gram(b, FC.BASELINE_FEATURES), len(FC.BASELINE_FEATURES))
 
 
+def _grid_sql(view, cols, keys, where="TRUE", steps=10):
+    m = len(cols)
+    xs = " + ".join(f"xx{a}_{b} * (g{a}::DOUBLE * g{b}::DOUBLE) * {'1.0' if a == b else '2.0'}" for a in range(m) for b in range(a, m))
+    ys = " + ".join(f"xy{a} * g{a}::DOUBLE" for a in range(m))
+    grid = ", ".join(f"(SELECT unnest(range(0, {steps + 1})) AS g{i}) r{i}" for i in range(m - 1))
+    last = f"{steps} - " + " - ".join(f"g{i}" for i in range(m - 1))
+    ws = ", ".join(f"g{i}" for i in range(m))
+    return f"""
+    , gram_ AS (SELECT {', '.join(keys)}, count(*) AS n, sum(y * y) AS yy, {', '.join(f'sum({a} * y) AS xy{i}' for i, a in enumerate(cols))},
+                       {', '.join(f'sum({a} * {b}) AS xx{i}_{j}' for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i)}
+                FROM {view} WHERE {where} AND y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in cols)} GROUP BY ALL),
+    grid_ AS (SELECT *, {last} AS g{m - 1} FROM {grid} WHERE {last} >= 0),
+    cost_ AS (SELECT *, yy - 2.0 * ({ys}) / {float(steps)!r} + ({xs}) / {float(steps * steps)!r} AS sse FROM gram_ CROSS JOIN grid_)
+    SELECT {', '.join(keys)}, {', '.join(f"{R(f'g{i} / {float(steps)!r}')} AS w{i}" for i in range(m))},
+           {R("CAST(printf('%.6e', sqrt(greatest(sse, 0.0) / n)) AS DOUBLE)")} AS rmse
+    FROM cost_ QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY sse, {ws}) = 1"""
+
+
+@register("fc_simplex_weights_grid", W("SELECT 0", "v_bfeat").replace(
+    "\nSELECT 0", _grid_sql("v_bfeat", FC.BASELINE_FEATURES, K, _INNER)), significant=("rmse",))
+def fc_simplex_weights_grid(cat):
+    """Simplex weights of the six baseline features in steps of a tenth, by enumeration (3,003 points)."""
+    b = _bfeat(cat).filter((F.col("Date") >= F.lit(f"{VAL_YEAR - 1}-01-01").cast("date"))
+                           & (F.col("Date") < F.lit(f"{VAL_YEAR}-01-01").cast("date")))
+    return FC.simplex_weights_grid(FC.gram(b, FC.BASELINE_FEATURES), len(FC.BASELINE_FEATURES))
+
+
 @register("fc_ensemble_weights")
 def fc_ensemble_weights(cat):
-    """Simplex weights over the component models' validation predictions per (series, target)."""
-    cols = ["seasonal_naive", "lag364", "mean_364_366", "weighted_baseline", "calibrated_baseline"]
-    return FC.simplex_weights(FC.gram(_wide(cat), cols), len(cols))
+    """Exact simplex weights over the out-of-fold predictions of all scored models per fold, series and target."""
+    return FC.simplex_weights(FC.gram(_oof(cat, SCORED), list(SCORED), G), len(SCORED), G)
+
 
+@register("fc_ensemble_weights_grid", W("SELECT 0", _V_COMPONENTS).replace(
+    "\nSELECT 0", _grid_sql(_V_COMPONENTS, _COMPONENTS, G, steps=20)), significant=("rmse",))
+def fc_ensemble_weights_grid(cat):
+    """Weights of three components in steps of a twentieth that minimise the out-of-fold RMSE."""
+    return FC.simplex_weights_grid(FC.gram(_oof(cat, _COMPONENTS), list(_COMPONENTS), G), len(_COMPONENTS), 20, G)
 
-# ----------------------------------------------------------------------------- MLlib (rows-only)
+
+# ----------------------------------------------------------------------------- learners
 def _ml():
     from kartlane.operators import mlmodels as ML
     return ML
@@ -501,124 +558,116 @@ def dq_forecast_sanity(cat):
                  (F.count_if((F.col("Revenue") < 0) | (F.col("COGS") < 0)) > 0).alias("any_negative"))
 
 
-@register("fc_ridge_log")
+# ----------------------------------------------------------------------------- panel fits
+SIG = "CAST(printf('%.4e', {}) AS DOUBLE)"  # five digits: sums of a hundred terms differ in their last ones
+
+
+def _panel_sql(view):
+    return W(f"SELECT model, fold, series_id, target, {D('Date')} AS Date, {R('y')} AS y, {R(SIG.format('yhat'))} AS yhat FROM {view}", view)
+
+
+def _five(p, *cols):
+    return p.withColumns({c: F.format_string("%.4e", F.col(c)).cast("double") for c in cols or ("yhat",)})
+
+
+@register("fc_ridge_log", _panel_sql("v_ridge_log"))
 def fc_ridge_log(cat):
-    """Ridge (alpha=3) on z-scored calendar features, log target; validation-year predictions."""
-    ML = _ml()
-    return ML.fit_eval(cat, "ridge_log", ML.ridge(3.0), table="calendar", log=True)
+    """Ridge (alpha=3) on the 81 standardised calendar features, log target: every fold, series and target in one job."""
+    return _five(PM.ridge_log(cat))
 
 
-@register("fc_ridge_lag")
+@register("fc_ridge_lag", _panel_sql("v_ridge_lag"))
 def fc_ridge_lag(cat):
-    """Scaled ridge (alpha=10) on one-step lag / rolling features, one fit per target."""
-    ML = _ml()
-    return ML.fit_eval(cat, "ridge_lag", ML.ridge(10.0), table="lags", log=False)
+    """Ridge (alpha=10) on the 68 standardised one-step features: every fold, series and target in one job."""
+    return _five(PM.ridge_lag(cat))
 
 
-@register("fc_linear")
+@register("fc_linear", _panel_sql("v_linear"))
 def fc_linear(cat):
-    """OLS on the lag / rolling features."""
-    ML = _ml()
-    return ML.fit_eval(cat, "linear", ML.ols(), table="lags", log=False)
+    """Least squares on the one-step features: every fold, series and target in one job."""
+    return _five(PM.least_squares(cat))
 
 
 @register("fc_random_forest")
 def fc_random_forest(cat):
     """Random forest (300 trees, depth 14, min leaf 3) on lag features."""
-    ML = _ml()
-    return ML.fit_eval(cat, "random_forest", ML.random_forest(), table="lags", log=False)
+    return _ml().random_forest(cat)
 
 
 @register("fc_gbt_candidates")
 def fc_gbt_candidates(cat):
     """Three boosting configs scored on the validation year; metrics with the best flagged."""
-    ML = _ml()
-    _, m = ML.gbt_candidates(cat, ML.QUERY_SPEED["patience"], step_scale=6.0)
+    _, p, _ = PM.candidates(cat)
+    used = p.groupBy("model").agg(F.max("best_iteration").alias("best_iteration"), F.max("limit_hit").alias("limit_hit"))
+    m = EV.metrics(p.select("model", "target", "y", "yhat")).join(F.broadcast(used), "model")   # three rows
     best = EV.best_model(m).select("best_model")
     return m.crossJoin(best).withColumn("is_best", F.col("model") == F.col("best_model")).drop("best_model")
 
 
 @register("fc_gbt_monthly")
 def fc_gbt_monthly(cat):
-    """Monthly GBT (lagged features) scored on the last 20 % of months."""
+    """Monthly boosting (300 rounds, lagged features) scored on the last 20 % of months."""
     ML = _ml()
-    cols = ML.MONTHLY_COLS
-    sp = EV.ratio_split(ML.monthly_table(cat).dropna(subset=cols + ["revenue"]), 0.8, "month")
-    tr = sp.filter(F.col("role") == "train").withColumn("label", F.col("revenue"))
-    m, best, hit = ML.boosted(tr, cols, "month", max_iter=300, patience=ML.QUERY_SPEED["patience"], step=0.25, depth=3)
-    te = sp.filter(F.col("role") == "test")
-    return m.transform(ML._vec(te, cols)).select("month", F.col("revenue").alias("y"), F.col("prediction").alias("yhat"),
-                                                 F.lit(best).alias("best_iteration"), F.lit(hit).alias("limit_hit"))
+    sp = EV.ratio_split(ML.monthly_table(cat).dropna(subset=ML.MONTHLY_COLS + ["revenue"]), 0.8, "month")
+    return ML.monthly_predict(sp.filter(F.col("role") == "test"), ML.monthly_fit(sp.filter(F.col("role") == "train")))
+
+
+def _total_rows(cat, fold=None):
+    rows, cols = PM.calendar_rows(cat)
+    return PM.only(PM.in_folds(rows, cat.spark), PM.TOTAL, fold), cols
 
 
 @register("fc_gbt_weighted_2phase")
 def fc_gbt_weighted_2phase(cat):
-    """Era-weighted GBT: holdout picks the best iteration, refit on all rows with it."""
-    return _ml().weighted_two_phase(cat, **_ml().QUERY_SPEED)
+    """Era-weighted boosting of every fold: the last 180 days pick the best of up to 5,000 rounds (patience 300), then a refit."""
+    return PM.two_phase(*_total_rows(cat), "gbt_weighted_2phase")
 
 
 @register("fc_quarter_specialists")
 def fc_quarter_specialists(cat):
     """4 boosted fits per target (quarter weight x3); each day uses its quarter's model."""
-    return _ml().quarter_specialists(cat, **_ml().QUERY_SPEED)
+    return PM.specialists(*_total_rows(cat, "A"))
 
 
 @register("fc_structural")
 def fc_structural(cat):
-    """Piecewise-linear trend + Fourier + promo regressors in log space."""
-    return _ml().structural(cat)
+    """Trend with changepoints chosen by an L1 penalty + Fourier + promo regressors in log space: every fold, series and target."""
+    rows, _ = PM.calendar_rows(cat)
+    return PM.structural(PM.in_folds(rows, cat.spark))[1]
 
 
 @register("fc_residual_models")
 def fc_residual_models(cat):
-    """Per target: two learners of the residual (y - calibrated baseline), added back to it, and one of y for Revenue."""
-    ML = _ml()
-    lg = FE.yoy_growth(_calibrated(cat)) if "yoy_lag_364_growth" not in _calibrated(cat).columns else _calibrated(cat)
-    start = lg.groupBy(*K).agg(F.min("Date").alias("data_start"))
-    f = FE.fourier_trend(FE.event_distance(FE.events_v2(FE.calendar_basic(lg.join(start, K)))))
-    keep = [c for c in f.columns if c.startswith(("event_", "days_to_", "is_", "day", "week", "month", "quarter", "sin_", "cos_",
-                                                  "yoy_")) and c != "data_start"] + FC.BASELINE_FEATURES
-    f = ML.materialize(f.select(*K, "Date", "y", "pred_calibrated", *dict.fromkeys(keep)))
-    cols = list(dict.fromkeys(keep))
-    out = None
-    for t in ML.TARGETS:
-        one = f.filter(F.col("target") == t).dropna(subset=FC.BASELINE_FEATURES).fillna(0.0, cols)
-        tr = one.filter((F.year("Date") < VAL_YEAR) & F.col("pred_calibrated").isNotNull())
-        va = one.filter(F.year("Date") == VAL_YEAR)
-        learners = [("residual_gbt_deep", 5, True), ("residual_gbt_flat", 3, True)] + [("direct_gbt", 4, False)] * (t == "Revenue")
-        for name, depth, add in learners:
-            label = F.col("y") - F.col("pred_calibrated") if add else F.col("y")
-            m, best, hit = ML.boosted(tr.withColumn("label", label), cols, max_iter=350, depth=depth, **ML.QUERY_SPEED)
-            p = m.transform(ML._vec(va, cols))
-            yhat = F.col("prediction") + F.col("pred_calibrated") if add else F.col("prediction")
-            p = p.select(F.lit(name).alias("model"), *K, "Date", "y", yhat.alias("yhat"), F.lit(best).alias("best_iteration"),
-                         F.lit(hit).alias("limit_hit"))
-            out = p if out is None else out.unionByName(p)
-    return out
+    """Per series and target: two learners of the residual (y - calibrated baseline), added back to it, and one of y for Revenue."""
+    return PM.residual_models(cat)
 
 
 @register("fc_recursive_linear")
 def fc_recursive_linear(cat):
-    """Day-by-day weighted baseline x calibration per series (applyInPandas, parallel over series)."""
+    """Weighted baseline x calibration rolled forward 548 days: one triangular system a series."""
     return _ml().recursive_linear(cat)
 
 
 @register("fc_direct_ml")
 def fc_direct_ml(cat):
-    """Direct multi-horizon forecast: GBT on calendar features over the template days."""
-    return _ml().direct_forecast(cat, **_ml().QUERY_SPEED)
+    """Direct forecast of the template: a boosted model per horizon block with the lags that are known there."""
+    p = PM.direct(cat)
+    pick = lambda t: F.max(F.when(F.col("target") == t, F.col("yhat"))).alias(t)
+    return p.groupBy("Date", "block").agg(pick("Revenue"), pick("COGS"), F.max("best_iteration").alias("best_iteration"),
+                                          F.max("limit_hit").alias("limit_hit"), F.avg("holdout_loss").alias("holdout_loss"),
+                                          F.avg("calendar_loss").alias("calendar_loss"))
 
 
 @register("fc_rollforward_monthly")
 def fc_rollforward_monthly(cat):
     """6-month roll-forward of the monthly model with rev_lag_1 refreshed from predictions."""
-    return _ml().rollforward_monthly(cat, patience=_ml().QUERY_SPEED["patience"], step=0.25)
+    return _ml().rollforward_monthly(cat)
 
 
 @register("fc_refit_full")
 def fc_refit_full(cat):
     """All members refit on all observed days, blended by quarter, family and level, over the template."""
-    return _ml().final_forecast(cat, **_ml().QUERY_SPEED)
+    return _ml().final_forecast(cat)
 
 
 @register("snk_forecast")
@@ -628,30 +677,38 @@ def snk_forecast(cat):
     from kartlane.plans.reports import output_root
     ML = _ml()
     path = f"{output_root(cat.spark)}/forecast_{uuid.uuid4().hex[:8]}"
-    return ML.forecast_sink(cat, ML.final_forecast(cat, **ML.QUERY_SPEED), path)
+    return ML.forecast_sink(cat, ML.final_forecast(cat), path)
 
 
 @register("snk_run_metadata")
 def snk_run_metadata(cat):
-    """Parameters, ensemble weights and best-model score written as one JSON record."""
+    """Parameters, members, rounds and losses of the final forecast written as one JSON record, read back."""
+    import dataclasses
     import uuid
     from kartlane.plans.reports import output_root, write_run_metadata
-    u = _models(cat)
-    t = u[0]
-    for m in u[1:]:
-        t = t.unionByName(m)
-    best = EV.best_model(EV.metrics(t)).first()          # one row
-    meta = {"validation_year": VAL_YEAR, "origin": ORIGIN, "best_model": best["best_model"],
-            "best_rmse": best["best_rmse"], "revenue_weights": FC.REVENUE_ENSEMBLE_WEIGHTS,
-            "cogs_weights": FC.COGS_ENSEMBLE_WEIGHTS, "quarter_alpha": FC.QUARTER_ALPHA}
+    ML = _ml()
+    members = ML.final_members(cat)
+    own = [f"{m}_{c}" for m in ("base", "specialist") for c in ("best_iteration", "holdout_loss")]
+    # one row a target
+    fits = {r.target: {c: r[c] for c in own} for r in members.groupBy("target").agg(*[F.max(c).alias(c) for c in own]).collect()}
+    first, last, days = members.agg(F.min("Date"), F.max("Date"), F.count_distinct("Date")).first()
+    meta = {"model": "blended", "members": ["ridge", "structural", "base", "specialist"], "ridge_alpha": PM.RIDGE_LOG_ALPHA,
+            "boosting": dataclasses.asdict(PM.TWO_PHASE), "quarter_boost": PM.QUARTER_BOOST, "clean_era": list(PM.CLEAN_ERA),
+            "quarter_share": ML.QUARTER_SHARE, "family_weights": ML.FAMILY_WEIGHTS, "level": ML.LEVEL, "fits": fits,
+            "first_date": str(first), "last_date": str(last), "days": days, "revenue_weights": FC.REVENUE_ENSEMBLE_WEIGHTS,
+            "cogs_weights": FC.COGS_ENSEMBLE_WEIGHTS}
     path = write_run_metadata(cat.spark, meta, f"{output_root(cat.spark)}/meta_{uuid.uuid4().hex[:8]}")
     back = cat.spark.read.text(path)
-    return back.select(F.get_json_object("value", "$.best_model").alias("best_model"),
-                       F.get_json_object("value", "$.validation_year").cast("int").alias("validation_year"),
-                       F.to_json(F.json_object_keys("value")).alias("keys"))
+    get = lambda p, t="string": F.get_json_object("value", p).cast(t)
+    return back.select(get("$.model").alias("model"), get("$.days", "int").alias("days"), get("$.first_date").alias("first_date"),
+                       get("$.fits.Revenue.base_best_iteration", "int").alias("revenue_rounds"),
+                       get("$.fits.Revenue.base_holdout_loss", "double").alias("revenue_holdout_loss"),
+                       get("$.boosting.patience", "int").alias("patience"), F.to_json(F.json_object_keys("value")).alias("keys"))
 
 
 @register("ev_feature_importance")
 def ev_feature_importance(cat):
-    """GBT importances long (model, target, feature, importance) + share + rank."""
-    return _ml().feature_importance(cat, step=0.2, patience=_ml().QUERY_SPEED["patience"])
+    """Boosting importances long (model, target, feature, importance) + share + rank."""
+    from kartlane.operators import boosting as B
+    models, _, cols = PM.candidates(cat)
+    return EV.importance_share(B.importances(models, cols))
