@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces, shared_dir
 
 WINDOW, CLOSE = 4096, 2
-WORDS = 400_000  # most words that a worker keeps from task to task
+WORDS = 1_000_000  # most words that a worker keeps from task to task
 PIVOTS, SAMPLE, PIVOT_TERMS = 1024, 4096, 256  # most pivots, sampled documents and terms kept of each
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")

@@ -163,6 +163,7 @@ def encoder(kind, path: str, *more):
 
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_PARTS = re.compile(_PLAIN.pattern + r"|\n")
 _END = "\x01"
 
 
@@ -202,21 +203,30 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.cache) + len(words) > self.most:
             self.cache = {}
-        plain, counts, names, rest = [], [], [], []
-        for w in words:
-            s = w.decode()
-            found = _PLAIN.findall(s)
-            if len(s) <= 64 and "<|" not in s and sum(map(len, found)) == len(s):
-                plain += found
-                counts.append(len(found))
-                names.append(w)
-            else:
-                rest.append(w)
-        if plain:
-            got = np.array(self.bpe.encode_ordinary(_END.join(plain).lower() + _END), np.int64)
+        text = b"\n".join(words).decode()  # no word holds white space
+        strings = text.split("\n")
+        parts = _PARTS.findall(text)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.append(np.flatnonzero(np.fromiter(map("\n".__eq__, parts), bool, len(parts))), len(parts))
+        size[ends[:-1]] = 0
+        length = np.fromiter(map(len, strings), np.int64, len(strings))
+        total = np.append(0, np.cumsum(size))
+        covered = np.diff(total[ends], prepend=0)
+        fine = (covered == length) & (length <= 64)
+        if "<|" in text:
+            fine &= ["<|" not in w for w in strings]
+        rest = [w for w, f in zip(words, fine) if not f] if not fine.all() else []
+        if rest:
+            words = [w for w, f in zip(words, fine) if f]
+            kept = np.repeat(fine, np.diff(ends, prepend=-1))[:len(parts)]
+            parts = [p for p, k in zip(parts, kept) if k]
+        parts = [p for p in parts if p != "\n"]
+        counts = (np.diff(ends, prepend=-1) - 1)[fine]
+        if words:
+            got = np.array(self.bpe.encode_ordinary(_END.join(parts).lower() + _END), np.int64)
             last = np.flatnonzero(self.ends[got])[np.cumsum(counts) - 1] + 1
             raw, cut = self.ids[got].tobytes(), (2 * last).tolist()
-            self.cache.update(zip(names, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
+            self.cache.update(zip(words, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
         if rest and self.tok is None:
             self.tok = load(self.path)
         for w in rest:
