@@ -39,30 +39,10 @@ def value_counts(df: DataFrame, col_name: str, out_col: str = "count") -> DataFr
             .orderBy(F.desc(out_col), F.asc_nulls_first(col_name)))
 
 
-def quantiles(c: str, probs: list[float]) -> list[Column]:
-    """Exact linear-interpolated quantiles (pandas default), one column each."""
-    return [F.percentile(F.col(c), p).alias(f"p{int(round(p * 100))}") for p in probs]
-
-
 def describe_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count/mean/std/min/p1/p5/p50/p95/p99/max per column, long form.
-
-    One aggregate pass per column unioned: ``percentile`` keeps a value-count
-    map per group, so we avoid pushing all columns through one buffer.
-    """
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"),
-            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), F.percentile(x, 0.01).alias("p1"), F.percentile(x, 0.05).alias("p5"),
-            F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.95).alias("p95"),
-            F.percentile(x, 0.99).alias("p99"), F.max(x).alias("max")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """count/mean/std/min/p1/p5/p50/p95/p99/max per column, long form: all columns in one rank search."""
+    from kartlane.operators.percentiles import describe
+    return describe(df, [], cols, {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -87,7 +87,8 @@ def submission(blended: DataFrame) -> DataFrame:
 
 
 def forecast_sink(cat, forecast: DataFrame, path: str) -> DataFrame:
-    """Template order kept, ISO dates, round(2), >= 0; a template day without a forecast is an error; CSV written."""
+    """Template order kept, ISO dates, round(2), >= 0; a template day without a forecast is an error;
+    written as CSV, as a new version below ``path``."""
     tmpl = cat.table("sample_submission").select("Date")
 
     def known(c):
@@ -96,8 +97,9 @@ def forecast_sink(cat, forecast: DataFrame, path: str) -> DataFrame:
 
     f = tmpl.join(forecast, "Date", "left").select(
         F.date_format("Date", "yyyy-MM-dd").alias("Date"), known("Revenue"), known("COGS")).orderBy("Date")
-    f.write.mode("overwrite").option("header", True).csv(path)
-    return cat.spark.read.option("header", True).schema("Date string, Revenue double, COGS double").csv(path)
+    from kartlane.plans.reports import commit, read_version
+    commit({"forecast": f}, path, "csv")
+    return read_version(cat.spark, path)["forecast"]
 
 
 # lagged columns only: what is known when a month is forecast (``orders`` of the month itself is not)

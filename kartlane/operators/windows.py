@@ -141,8 +141,7 @@ def exact_percentiles(df: DataFrame, c: str, probs: dict[str, float], n_buckets:
 
     Two passes over the distinct values: bucket counts (at most ``n_buckets``
     rows to the driver) tell which buckets hold the wanted ranks, and only those
-    buckets are ordered.  ``aggregates.quantiles`` is the one-pass form for columns
-    of few distinct values.
+    buckets are ordered.  ``percentiles.exact`` does this for many groups and columns.
     """
     import math
 

@@ -177,7 +177,7 @@ _FACT_VIEWS = {"order_fact_table": "v_order_fact", "customer_fact_table": "v_cus
                          *_FACT_VIEWS.values()))
 def snk_facts(cat):
     """Write the five facts as Parquet (month-partitioned where useful), read back; rows of each."""
-    from kartlane.plans.reports import output_root, write_facts
+    from kartlane.plans.reports import output_root, read_version, write_facts
     from kartlane.session import cut_lineage
     import uuid
     # the order and customer facts are derived once for all the facts built on them
@@ -187,9 +187,8 @@ def snk_facts(cat):
              "signup_activation_fact": FX.activation(cat, cf),
              "product_month_inventory_fact": FX.inventory_fact(cat)}
     root = f"{output_root(cat.spark)}/facts_{uuid.uuid4().hex[:8]}"
-    paths = write_facts(facts, root)
-    parts = [cat.spark.read.parquet(p).agg(F.lit(n).alias("fact"), F.count(F.lit(1)).alias("rows"))
-             for n, p in paths.items()]
+    write_facts(facts, root)
+    parts = [df.agg(F.lit(n).alias("fact"), F.count(F.lit(1)).alias("rows")) for n, df in read_version(cat.spark, root).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

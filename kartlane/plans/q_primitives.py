@@ -260,6 +260,14 @@ _proj("agg_median_quantiles", "Exact p25/p50/p75/p90/p95/p99 and IQR of order ne
         + f", {R('quantile_cont(net_revenue, 0.75) - quantile_cont(net_revenue, 0.25)')} AS iqr FROM v_order_fact",
         "v_order_fact"))
 
+_GP = {f"p{int(round(q * 100))}": q for q in (0.25, 0.5, 0.9, 0.99)}
+_proj("agg_grouped_percentiles", "Exact p25/p50/p90/p99 of three order values by status, all groups and columns in one rank search.",
+      lambda cat: __import__("kartlane.operators.percentiles", fromlist=["x"]).exact(
+          FX.order_fact(cat), ["order_status"], ["net_revenue", "shipping_fee", "payment_value"], _GP),
+      W(" UNION ALL ".join(f"""SELECT order_status, '{c}' AS "column", count({c}) AS count, """
+                           + ", ".join(f"{R(f'quantile_cont({c}, {q})')} AS {n}" for n, q in _GP.items())
+                           + " FROM v_order_fact GROUP BY 1" for c in ("net_revenue", "shipping_fee", "payment_value")), "v_order_fact"))
+
 _proj("agg_describe_percentiles", "describe(percentiles 1/5/50/95/99) of shipment lags and fee, long form.",
       lambda cat: A.describe_long(
           __import__("kartlane.operators.business", fromlist=["x"]).shipment_lag(

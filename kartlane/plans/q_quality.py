@@ -259,7 +259,7 @@ def snk_reports(cat):
     """write_eda_reports: the EDA report tables written by name; returns name + row count."""
     import uuid
     from pyspark.sql import functions as F
-    from kartlane.plans.reports import output_root, write_reports
+    from kartlane.plans.reports import output_root, read_version, write_reports
     from kartlane.operators.business import revenue_seasonality, cohort_summary
     from kartlane.operators.business import inventory_status, lost_units, product_seasonality
     tables = _tables(cat)
@@ -281,7 +281,6 @@ def snk_reports(cat):
         "eda_payment_revenue_proxy": Q.payment_proxy_summary(orev, cat.table("payments")),
     }
     root = f"{output_root(cat.spark)}/reports_{uuid.uuid4().hex[:8]}"
-    paths = write_reports(reports, root)
-    parts = [cat.spark.read.parquet(p).agg(F.lit(n).alias("report"), F.count(F.lit(1)).alias("rows"))
-             for n, p in paths.items()]
+    write_reports(reports, root)
+    parts = [df.agg(F.lit(n).alias("report"), F.count(F.lit(1)).alias("rows")) for n, df in read_version(cat.spark, root).items()]
     return Q.union_all(parts)

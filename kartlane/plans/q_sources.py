@@ -125,3 +125,42 @@ def src_derived_scan(cat):
     from kartlane.plans.reports import write_and_read_fact
     return write_and_read_fact(cat)
 
+
+
+# faults that ``src_read_files`` writes into the files: (table, column, text, rows it stands in)
+_FAULTS = [("orders", "order_date", "n/a", "order_id % 97 = 3"), ("orders", "customer_id", "12x", "order_id % 89 = 5"),
+           ("payments", "payment_value", "1,5", "order_id % 101 = 7"), ("customers", "signup_date", "1994", "customer_id % 37 = 2"),
+           ("shipments", "ship_date", "1995-02-30", "order_id % 103 = 1"), ("products", "price", "free", "product_id % 41 = 4")]
+
+
+def _faulty(table):
+    own = [w for t, _, _, w in _FAULTS if t == table]
+    return " OR ".join(f"coalesce({w}, false)" for w in own) if own else "false"
+
+
+@register("src_read_files", with_views(
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, 'clean' AS what, NULL AS reason, count(*) FILTER (WHERE NOT ({_faulty(n)})) AS rows FROM v_{n}"
+                       for n in _LOAD_ALL)
+    + "".join(f" UNION ALL SELECT * FROM (SELECT '{t}', '{c}', '" + ("not a date" if "date" in c else "not a bigint" if c.endswith("_id") else "not a double")
+              + f"', count(*) AS rows FROM v_{t} WHERE {w}) WHERE rows > 0" for t, c, _, w in _FAULTS), *[f"v_{n}" for n in _LOAD_ALL]))
+def src_read_files(cat):
+    """The 14 tables written as CSV with planted faults and read back: clean rows, and quarantined ones by column and reason."""
+    import uuid
+    from kartlane.plans.reports import output_root
+    from kartlane.sources.catalog import SCHEMAS, read_checked
+    root = f"{output_root(cat.spark)}/files_{uuid.uuid4().hex[:8]}"
+    parts = []
+    for n in _LOAD_ALL:
+        names = [f.name for f in cat.spark.createDataFrame([], SCHEMAS[n]).schema.fields]
+        df = cat.table(n).select(*names).select(*[F.col(c).cast("string") for c in names])
+        for t, c, text, where in _FAULTS:
+            if t == n:
+                df = df.withColumn(c, F.when(F.coalesce(F.expr(where.replace("order_id", "cast(order_id as bigint)")), F.lit(False)), F.lit(text)).otherwise(F.col(c)))
+        df.write.option("header", True).csv(f"{root}/{n}.csv")
+        clean, bad = read_checked(cat.spark, n, f"{root}/{n}.csv")
+        parts.append(clean.agg(F.lit(n).alias("table_name"), F.lit("clean").alias("what"), F.lit(None).cast("string").alias("reason"), F.count("*").alias("rows")))
+        parts.append(bad.groupBy("table_name", F.col("column").alias("what"), "reason").agg(F.count("*").alias("rows")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1,4 +1,4 @@
-"""Sinks: report tables, fact tables, run metadata, forecast file.
+"""Sinks: report tables, fact tables, run metadata, forecast file, as versions that appear whole or not at all.
 
 All writes go under the session's shared checkpoint folder (or an explicit
 output root) — never a machine-local temp dir on a cluster.
@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartlane.session import checkpoint_dir
 
@@ -19,30 +21,78 @@ def output_root(spark, root: str | None = None) -> str:
     return (root or checkpoint_dir(spark)).rstrip("/")
 
 
-def write_reports(reports: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
-    """write_eda_reports: one overwrite per named report; returns name -> path."""
-    paths = {}
-    for name, df in reports.items():
-        path = f"{root}/{name}"
-        w = df.write.mode("overwrite")
+def commit(frames: dict[str, DataFrame], root: str, fmt: str = "parquet", partition: dict[str, str] | None = None) -> dict[str, str]:
+    """Write all frames as one new version below ``root``; returns name -> path.
+
+    The frames go to a folder of their own, are read back and summed up (rows, and a
+    digest of all cells), and the last step writes the manifest, a single row in a folder
+    named by the version. Readers take the newest manifest, so a write that fails on
+    the way leaves the version before as it was; its own files are never looked at.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    last = latest(spark, root)
+    version = (last["version"] if last else 0) + 1
+    folder = f"{root}/data/{version:08d}-{uuid.uuid4().hex[:8]}"
+    tables = {}
+    for name, df in frames.items():
+        path = f"{folder}/{name}"
+        w = df.write
+        if partition and name in partition:
+            w = w.partitionBy(partition[name])
         (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
-        paths[name] = path
-    return paths
+        rows, digest = summed(_read(spark, path, fmt, df.schema))
+        tables[name] = {"path": path, "rows": rows, "digest": digest, "schema": df.schema.json()}
+    manifest = json.dumps({"version": version, "format": fmt, "tables": tables}, sort_keys=True)
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{root}/manifests/{version:08d}-{uuid.uuid4().hex[:8]}")
+    return {n: t["path"] for n, t in tables.items()}
+
+
+def summed(df: DataFrame) -> tuple[int, str]:
+    """Rows, and the sum of their hashes: the same whatever their order."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)")).alias("s")).first()
+    return r.n, str(r.s or 0)
+
+
+def latest(spark, root: str) -> dict | None:
+    """The newest whole manifest below ``root``, or None."""
+    try:
+        # one row a version
+        found = [json.loads(r.value) for r in spark.read.option("wholetext", True).text(f"{root}/manifests/*").collect()]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return max(found, key=lambda m: m["version"], default=None)
+
+
+def read_version(spark, root: str, check: bool = False) -> dict[str, DataFrame]:
+    """The tables of the newest version; with ``check`` their rows and digests are compared with the manifest."""
+    manifest = latest(spark, root)
+    if manifest is None:
+        raise FileNotFoundError(f"no version below {root}")
+    out = {}
+    for name, t in manifest["tables"].items():
+        out[name] = _read(spark, t["path"], manifest["format"], T.StructType.fromJson(json.loads(t["schema"])))
+        if check and summed(out[name]) != (t["rows"], t["digest"]):
+            raise ValueError(f"{name} is not what version {manifest['version']} says")
+    return out
+
+
+def _read(spark, path: str, fmt: str, schema) -> DataFrame:
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
+
+
+def write_reports(reports: dict[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
+    """write_eda_reports: all reports as one version; returns name -> path."""
+    return commit(reports, root, fmt)
 
 
 def write_facts(facts: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Persist fact tables as Parquet; month-grained facts partitioned by month."""
-    paths = {}
-    for name, df in facts.items():
-        path = f"{root}/{name}"
-        w = df.write.mode("overwrite")
-        for part in ("snapshot_month", "order_month"):
-            if part in df.columns and name != "order_fact_table":
-                w = w.partitionBy(part)
-                break
-        w.parquet(path)
-        paths[name] = path
-    return paths
+    """All fact tables as one version of Parquet; month-grained facts partitioned by month."""
+    months = {n: next((p for p in ("snapshot_month", "order_month") if p in df.columns), None) for n, df in facts.items()}
+    return commit(facts, root, partition={n: m for n, m in months.items() if m and n != "order_fact_table"})
 
 
 def write_run_metadata(spark, meta: dict, root: str) -> str:

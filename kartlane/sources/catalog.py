@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # Fixed values of the schema (must equal the surveyed workload's metadata).
@@ -176,6 +177,45 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     return reader.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
+ROW = "_row"   # pseudo-column of rows whose fields do not fit the header at all
+
+
+def read_checked(spark: SparkSession, name: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """A CSV table's good rows by its schema, and ``(table_name, column, reason, value, line)`` of every fault.
+
+    Every field is read as text and tried against its type. A row with a fault in any
+    field is kept out of the clean frame; it has one row in the quarantine for each fault,
+    or a single one of the column ``_row`` where the line has another number of fields
+    than the table or quotes that do not end. Empty fields are null.
+    """
+    if name not in SCHEMAS:
+        raise KeyError(f"Unknown table {name!r}. Available tables: " + ", ".join(sorted(SCHEMAS)))
+    fields = spark.createDataFrame([], SCHEMAS[name]).schema.fields
+    texts = ", ".join(f"`{f.name}` string" for f in fields) + ", _line string"
+    raw = (spark.read.schema(texts).option("header", True).option("multiLine", True).option("escape", '"')
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path))
+    # ISO dates and plain numbers alone: a cast would take "2020" for a date and "1e3" for a whole number
+    shape = {"date": r"^\d{4}-\d{2}-\d{2}$", "bigint": r"^\s*[+-]?\d+\s*$", "int": r"^\s*[+-]?\d+\s*$"}
+    typed, faults = {}, []
+    for f in fields:
+        kind = f.dataType.simpleString()
+        value = F.col(f"`{f.name}`").try_cast(f.dataType)
+        if kind in shape:
+            value = F.when(F.col(f"`{f.name}`").rlike(shape[kind]), value)
+        typed[f.name] = value
+        if kind != "string":
+            faults.append(F.when(F.col(f"`{f.name}`").isNotNull() & value.isNull(), F.struct(
+                F.lit(f.name).alias("column"), F.lit(f"not a {kind}").alias("reason"), F.col(f"`{f.name}`").alias("value"))))
+    broken = F.array(F.struct(F.lit(ROW).alias("column"), F.lit("fields").alias("reason"), F.lit(None).cast("string").alias("value")))
+    own = F.array_compact(F.array(*faults)) if faults else F.array().cast("array<struct<column:string,reason:string,value:string>>")
+    checked = raw.withColumn("_faults", F.when(F.col("_line").isNotNull(), broken).otherwise(own))
+    clean = checked.where(F.size("_faults") == 0).select(*[typed[f.name].alias(f.name) for f in fields])
+    line = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in fields]))
+    bad = (checked.where(F.size("_faults") > 0).select(F.lit(name).alias("table_name"), F.explode("_faults").alias("_f"), F.coalesce("_line", line).alias("line"))
+           .select("table_name", "_f.column", "_f.reason", "_f.value", "line"))
+    return clean, bad
+
+
 def external(spark: SparkSession, root: str, fmt: str = "csv") -> Catalog:
     """A catalog over the files ``root/<table>.<fmt>`` of the retail schema instead of the driver's tables."""
     tables = {n: read_table(spark, n, f"{root.rstrip('/')}/{n}.{fmt}", fmt) for n in TABLE_NAMES}

@@ -70,3 +70,34 @@ def test_exact_percentiles(spark):
     got = W.exact_percentiles(df, "x", want, n_buckets=32).first()
     assert all(abs(got[k] - np.quantile(v, p)) < 1e-9 * max(1, abs(got[k])) for k, p in want.items())
     assert W.exact_percentiles(df.where("x is null"), "x", want).first()["b"] is None
+
+
+def test_grouped_percentiles_of_a_hot_group(spark):
+    """Two thirds of all rows in one group, ties, nulls, NaN, a null key; intervals are cut until none is longer than the limit."""
+    import numpy as np
+    from kartlane.operators import percentiles as P
+    r = np.random.default_rng(3)
+    rows = [("hot", float(v), float(round(v, 1))) for v in r.lognormal(size=6000)]
+    rows += [("small", float(v), None) for v in r.normal(size=301)] + [(None, 1.5, 2.0), (None, -0.0, 0.0), ("one", 7.0, float("nan")), ("flat", 2.0, 3.0), ("flat", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, x double, z double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    seen = []
+    cut = P.cut_lineage
+    P.cut_lineage = lambda d: seen.append(cut(d)) or seen[-1]
+    try:
+        got = {(g.k, g.column): g for g in P.exact(df, ["k"], ["x", "z"], probs, limit=40).collect()}
+    finally:
+        P.cut_lineage = cut
+    for k in ("hot", "small", None, "one", "flat"):
+        for i, c in enumerate("xz", 1):
+            v = [q[i] for q in rows if q[0] == k and q[i] is not None and q[i] == q[i]]
+            assert ((k, c) in got) == bool(v)
+            if v:
+                g = got[k, c]
+                assert g["count"] == len(v) and np.allclose([g[p] for p in probs], np.quantile(v, list(probs.values())), rtol=1e-12)
+    last = seen[-1]                                              # what is ordered in the end: short intervals
+    assert last.groupBy("k", "column", "part").count().agg({"count": "max"}).first()[0] <= 40 and len(seen) >= 5
+    d = P.describe(df, [], ["x"], {"m": 0.5}).first()
+    v = [q[1] for q in rows]
+    assert np.allclose([d["mean"], d["std"], d["min"], d["m"], d["max"]], [np.mean(v), np.std(v, ddof=1), min(v), np.median(v), max(v)])
+    assert P.exact(df.where("k = 'no'"), ["k"], ["x"], probs).count() == 0

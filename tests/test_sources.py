@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 
 from kartlane.operators import business as B
-from kartlane.sources.catalog import SCHEMAS, TABLE_NAMES, external, read_table
+from kartlane.plans import reports as RP
+from kartlane.sources.catalog import SCHEMAS, TABLE_NAMES, external, read_checked, read_table
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
@@ -36,3 +37,47 @@ def test_unknown_tables_and_formats(spark, cat, tmp_path):
         read_table(spark, "sales", str(tmp_path), "xml")
     with pytest.raises(KeyError, match="Available tables"):
         cat.table("nothing")
+
+
+def test_unreadable_rows_are_quarantined_by_column_and_reason(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("order_id,ship_date,delivery_date,shipping_fee\n1,2020-01-02,2020-01-05,3.5\n2,,,\n3,2020-13-02,2020-01-05,3.5\n"
+                                    "x4,2020,2020-01-05,abc\n5,2020-01-02\n6,2020-01-02,2020-01-05,1.0,more\n7,2020-01-02,\"2020-01-05\",1e2\n")
+    clean, bad = read_checked(spark, "shipments", str(tmp_path / "s.csv"))
+    assert clean.dtypes == spark.createDataFrame([], SCHEMAS["shipments"]).dtypes
+    assert sorted((r.order_id, str(r.ship_date), r.shipping_fee) for r in clean.collect()) == [(1, "2020-01-02", 3.5), (2, "None", None), (7, "2020-01-02", 100.0)]
+    got = sorted((r.column, r.reason, r.value) for r in bad.collect() if r.column != "_row")
+    assert got == [("order_id", "not a bigint", "x4"), ("ship_date", "not a date", "2020"), ("ship_date", "not a date", "2020-13-02"), ("shipping_fee", "not a double", "abc")]
+    broken = [r.line for r in bad.collect() if r.column == "_row"]
+    assert len(broken) == 2 and any(x.startswith("5,") for x in broken) and any("more" in x for x in broken)
+    (tmp_path / "empty.csv").write_text("order_id,ship_date,delivery_date,shipping_fee\n")
+    clean, bad = read_checked(spark, "shipments", str(tmp_path / "empty.csv"))
+    assert clean.count() == bad.count() == 0
+    with pytest.raises(KeyError, match="Available tables"):
+        read_checked(spark, "nothing", str(tmp_path))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_write_that_fails_half_way_leaves_the_version_before(spark, tmp_path, fmt):
+    from pyspark.sql import functions as F
+    root = f"{tmp_path}/out"
+    with pytest.raises(FileNotFoundError):
+        RP.read_version(spark, root)
+    one, two = spark.createDataFrame([(1, "a"), (2, None)], "x int, s string"), spark.range(5).toDF("y")
+    RP.commit({"one": one, "two": two}, root, fmt)
+    fails = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).otherwise(F.lit("z")).cast("string").alias("y"))
+    with pytest.raises(Exception, match="no"):
+        RP.commit({"one": one.union(one), "two": fails}, root, fmt)
+    now = RP.read_version(spark, root, check=True)
+    assert sorted(map(tuple, now["one"].collect()), key=str) == [(1, "a"), (2, None)] and now["two"].count() == 5
+    assert RP.latest(spark, root)["version"] == 1
+    RP.commit({"one": one.union(one)}, root, fmt)
+    now = RP.read_version(spark, root, check=True)
+    assert RP.latest(spark, root)["version"] == 2 and list(now) == ["one"] and now["one"].count() == 4
+
+
+def test_a_changed_file_is_noticed(spark, tmp_path):
+    root = f"{tmp_path}/out"
+    path = RP.commit({"one": spark.range(5).toDF("y")}, root)["one"]
+    spark.range(1).toDF("y").write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="one is not what version 1 says"):
+        RP.read_version(spark, root, check=True)
