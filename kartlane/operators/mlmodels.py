@@ -48,8 +48,13 @@ def random_forest(cat, num_trees: int = 300, depth: int = 14, leaf: int = 3, ser
 # --- the final forecast
 
 def final_members(cat, settings: B.Settings = PM.TWO_PHASE) -> DataFrame:
+    """``fitted_members``, written once (``Catalog.shared``)."""
+    return cat.shared(f"final_members_{hash(settings)}", lambda: fitted_members(cat, settings))
+
+
+def fitted_members(cat, settings: B.Settings) -> DataFrame:
     """Ridge, structural model, boosted base and quarter specialists, all fitted on every
-    observed day: ``(target, Date, ridge, structural, base, specialist, ...)`` over the template, written once."""
+    observed day: ``(target, Date, ridge, structural, base, specialist, ...)`` over the template."""
     rows, cols = PM.calendar_rows(cat)
     rows = materialize(PM.observed_and_template(cat, PM.only(rows, PM.TOTAL)))
     keys = PM.SERIES
@@ -62,9 +67,9 @@ def final_members(cat, settings: B.Settings = PM.TWO_PHASE) -> DataFrame:
               PM.two_phase(rows, cols, "base", keys, settings), PM.specialists(rows, cols, "specialist", keys, settings)):
         long = long.unionByName(p.select(*long.columns))
     pick = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
-    return materialize(long.groupBy("target", "Date").agg(
+    return long.groupBy("target", "Date").agg(
         *[pick(m, "yhat").alias(m) for m in ("ridge", "structural", "base", "specialist")],
-        *[pick(m, c).alias(f"{m}_{c}") for m in ("base", "specialist") for c in ("best_iteration", "holdout_loss")]))
+        *[pick(m, c).alias(f"{m}_{c}") for m in ("base", "specialist") for c in ("best_iteration", "holdout_loss")])
 
 
 def blend_members(members: DataFrame) -> DataFrame:

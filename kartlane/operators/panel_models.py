@@ -45,19 +45,18 @@ OUT = ["model", *GROUP, "Date", "y", "yhat"]
 
 def panel(cat) -> DataFrame:
     """``(series_id, Date, Revenue, COGS)``: the segments and ``total``, written once."""
-    if "panel_all@checkpoint" not in cat._tables:
+    def build():
         total = cat.table("sales").select(F.lit(TOTAL).alias("series_id"), "Date", "Revenue", "COGS")
-        cat._tables["panel_all@checkpoint"] = cut_lineage(
-            cat.table("sales_panel").select("series_id", "Date", "Revenue", "COGS").unionByName(total))
-    return cat._tables["panel_all@checkpoint"]
+        return cat.table("sales_panel").select("series_id", "Date", "Revenue", "COGS").unionByName(total)
+    return cat.shared("panel_all", build)
 
 
 def calendar(cat) -> tuple[DataFrame, list[str]]:
     """The 81 features of every day of the panel and of the template, written once, and their names."""
-    if "calendar@checkpoint" not in cat._tables:
+    def build():
         days = cat.table("sales").select("Date").unionByName(cat.table("sample_submission").select("Date")).distinct()
-        cat._tables["calendar@checkpoint"] = cut_lineage(FE.build_features(cat.spark, days))
-    f = cat._tables["calendar@checkpoint"]
+        return FE.build_features(cat.spark, days)
+    f = cat.shared("calendar_features", build)
     return f, [c for c in f.columns if c != "Date"]
 
 
@@ -69,7 +68,7 @@ def calendar_rows(cat) -> tuple[DataFrame, list[str]]:
 
 def lag_rows(cat) -> tuple[DataFrame, list[str]]:
     """Long panel with the 68 one-step features: lags and rolling statistics of both targets, their ratio, the calendar."""
-    if "lags@checkpoint" not in cat._tables:
+    def build():
         wide = panel(cat)
         lags = cut_lineage(FE.lag_rolling(FE.to_long(wide)))
         names = [c for c in lags.columns if c.startswith(("lag_", "roll_", "expanding_"))]
@@ -77,8 +76,8 @@ def lag_rows(cat) -> tuple[DataFrame, list[str]]:
         for t in FE.TARGETS:
             own = lags.filter(F.col("target") == t).select("series_id", "Date", *[F.col(c).alias(f"{t}_{c}") for c in names])
             f = f.join(own, ["series_id", "Date"])
-        cat._tables["lags@checkpoint"] = cut_lineage(FE.cyclical(FE.calendar_basic(f)))
-    f = cat._tables["lags@checkpoint"]
+        return FE.cyclical(FE.calendar_basic(f))
+    f = cat.shared("lag_features", build)
     return FE.to_long(panel(cat)).join(f, ["series_id", "Date"]), [c for c in f.columns if c not in ("series_id", "Date")]
 
 
@@ -198,7 +197,10 @@ def candidates(cat, series: str = TOTAL, fold: str = "A", settings: dict = CANDI
     """Models and predictions of the boosting candidates on the one-step features, and the features' names."""
     rows, cols = lag_rows(cat)
     rows = only(in_folds(rows, cat.spark), series, fold).withColumn("model", F.explode(F.array(*[F.lit(m) for m in settings])))
-    models, p = boosted(rows, cols, ["model", *GROUP], settings, F.col("y"))
+    keys = ["model", *GROUP]
+    fitted = linear.design(rows.where("role = 'train'"), keys, cols, F.col("y"), keep=("Date",))
+    models = cat.shared(f"candidates_{series}_{fold}_{hash(tuple(settings.items()))}", lambda: B.fit(fitted, keys, settings))
+    p = B.predict(linear.design(rows.where("role = 'valid'"), keys, cols, keep=("Date", "y")), models, keys)
     return models, p.withColumn("yhat", F.greatest("prediction", F.lit(0.0))), cols
 
 
@@ -276,15 +278,15 @@ def structural(rows: DataFrame, name: str = "structural", keys: list[str] = GROU
 def calibrated(cat, val_year: int = VAL_YEAR) -> DataFrame:
     """One-step calibrated baseline of every fold, its factors learnt on the fold's training days; with the fold's roles, written once."""
     from kartlane.operators import forecast as FC
-    if "calibrated@checkpoint" not in cat._tables:
+    def build():
         b = cut_lineage(FC.baseline_raw(FE.baseline_lags(FE.to_long(panel(cat)))))
         out = None
         for f in fold_table(cat.spark, val_year).collect():   # three rows
             factors = FC.calibration_factors(b, (F.col("Date") <= F.lit(f.train_end)) & F.col("pred").isNotNull())
             one = in_folds(FC.apply_calibration(b, factors), cat.spark, val_year).where(F.col("fold") == f.fold)
             out = one if out is None else out.unionByName(one)
-        cat._tables["calibrated@checkpoint"] = cut_lineage(out)
-    return cat._tables["calibrated@checkpoint"]
+        return out
+    return cat.shared(f"calibrated_{val_year}", build)
 
 
 def residual_rows(cat) -> tuple[DataFrame, list[str]]:
@@ -348,20 +350,22 @@ def _boosted_member(cat, name: str) -> DataFrame:
 
 def out_of_fold(cat, models=(*BASELINES, *LEARNERS)) -> DataFrame:
     """``model, fold, series_id, target, Date, y, yhat``: what each model, fitted on a fold's training days, predicts of its
-    validation days. Each model is written once for a catalog; a learner's ``yhat`` keeps five digits; days without a prediction are absent.
+    validation days. Each model is written once (``Catalog.shared``); a learner's ``yhat`` keeps five digits; days without a prediction are absent.
 
     ``BASELINES`` and ``LEARNERS`` cover all series, ``BOOSTED`` the total.
     """
+    def build(m):
+        p = _baseline(cat, m) if m in BASELINES else LEARNERS[m](cat) if m in LEARNERS else _boosted_member(cat, m)
+        p = p.select(*OUT).where("yhat is not null")
+        if m in BASELINES:
+            return p
+        # sums of a hundred terms differ in their last digits
+        return p.withColumn("yhat", F.when(F.col("yhat").isNotNull(), F.format_string("%.4e", "yhat")).cast("double"))
+
     out = None
     for m in models:
-        key = f"oof_{m}@checkpoint"
-        if key not in cat._tables:
-            p = _baseline(cat, m) if m in BASELINES else LEARNERS[m](cat) if m in LEARNERS else _boosted_member(cat, m)
-            p = p.select(*OUT).where("yhat is not null")
-            if m not in BASELINES:  # sums of a hundred terms differ in their last digits
-                p = p.withColumn("yhat", F.when(F.col("yhat").isNotNull(), F.format_string("%.4e", "yhat")).cast("double"))
-            cat._tables[key] = cut_lineage(p)
-        out = cat._tables[key] if out is None else out.unionByName(cat._tables[key])
+        p = cat.shared(f"oof_{m}", lambda m=m: build(m))
+        out = p if out is None else out.unionByName(p)
     return out
 
 

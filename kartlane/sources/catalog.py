@@ -98,6 +98,9 @@ DRIVER_TABLES = [
 ]
 
 
+_SHARED: dict[tuple, DataFrame] = {}   # of a session: derived tables by files and name
+
+
 class Catalog:
     """Name -> lazy DataFrame, cached per name so plans share one scan node.
 
@@ -112,6 +115,7 @@ class Catalog:
         self.sf_dir = sf_dir.rstrip("/")
         self._raw: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = dict(overrides or {})
+        self._replaced, self._seen = bool(overrides), None
 
     # -- driver tables -----------------------------------------------------
     def raw(self, name: str) -> DataFrame:
@@ -137,16 +141,40 @@ class Catalog:
         return df
 
     def checkpointed(self, name: str) -> DataFrame:
-        """``table(name)`` cut from its lineage once per catalog (reliable checkpoint
-        in ``spark.checkpoint.dir``).  For small derived tables (the daily panel)
+        """``table(name)`` cut from its lineage, as ``shared``.  For small derived tables (the daily panel)
         that many downstream branches read: they scan the checkpoint instead of
         re-deriving it from the raw tables."""
-        key = f"{name}@checkpoint"
-        if key not in self._tables:
-            from kartlane.session import checkpoint_dir
-            checkpoint_dir(self.spark)
-            self._tables[key] = self.table(name).checkpoint(eager=True)
-        return self._tables[key]
+        return self.shared(name, lambda: self.table(name))
+
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table written once to ``spark.checkpoint.dir`` and read from there ever after.
+
+        Catalogs of one session over the same files share it: features, panels and
+        out-of-fold predictions are made once for all queries.  The files' names, sizes and
+        times are looked at when a catalog first asks; where one has changed, or the
+        catalog has tables of its own, the table is made anew.
+        """
+        from kartlane.session import cut_lineage
+        own = f"{name}@checkpoint"
+        if own not in self._tables:
+            key = None if self._replaced else (self.spark.sparkContext.applicationId, self.sf_dir, self._stamp(), name)
+            if key is None:
+                self._tables[own] = cut_lineage(build())
+            else:
+                if key not in _SHARED:
+                    _SHARED[key] = cut_lineage(build())
+                self._tables[own] = _SHARED[key]
+        return self._tables[own]
+
+    def _stamp(self) -> tuple:
+        """Name, size and time of every table's file or folder."""
+        if self._seen is None:
+            jvm = self.spark._jvm
+            root = jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+            fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "*.parquet")) or []
+            self._seen = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+        return self._seen
 
     def derive(self, overrides: dict[str, DataFrame]) -> "Catalog":
         """A catalog whose named tables are replaced; everything built on them

@@ -81,3 +81,23 @@ def test_a_changed_file_is_noticed(spark, tmp_path):
     spark.range(1).toDF("y").write.mode("append").parquet(path)
     with pytest.raises(ValueError, match="one is not what version 1 says"):
         RP.read_version(spark, root, check=True)
+
+
+def test_derived_tables_are_shared_by_catalogs_over_the_same_files(spark, tmp_path):
+    import shutil
+
+    from kartlane.sources.catalog import Catalog
+    for t in ("orders", "customer"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    made = []
+
+    def ask(c):
+        return c.shared("days", lambda: made.append(1) or c.raw("orders").groupBy(c.raw("orders").o_orderdate).count()).count()
+    days = ask(Catalog(spark, str(tmp_path)))
+    assert days == ask(Catalog(spark, str(tmp_path) + "/")) > 100 and len(made) == 1
+    own = Catalog(spark, str(tmp_path), {"days_": spark.range(1)})
+    assert ask(own) == ask(own) == days and len(made) == 2         # tables of its own: written for this catalog
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(10).coalesce(1).write.parquet(f"{tmp_path}/new")
+    part = next(p for p in (tmp_path / "new").iterdir() if p.suffix == ".parquet")
+    shutil.copy(part, tmp_path / "orders.parquet")
+    assert ask(Catalog(spark, str(tmp_path))) <= 10 and len(made) == 3
