@@ -92,15 +92,35 @@ class Boosting:
         cut = np.zeros((1 << depth) - 1, np.int16)
         node = np.zeros(len(r), np.int64)
         live = np.ones(len(r), bool)
+        mass, p = r * w, len(columns)
+
+        def histograms(at, own, k):
+            index = (own[:, None] * total + flat[at]).ravel()
+            return [np.bincount(index, weights, k * total).reshape(k, total).astype(float)
+                    for weights in (np.repeat(mass[at], p), np.repeat(w[at], p), None)]
+
         for level in range(depth):
             at = np.flatnonzero(live)
             if not len(at):
                 break
-            names, own = np.unique(node[at], return_inverse=True)
-            index = (own[:, None] * total + flat[at]).ravel()
-            k = len(names) * total
-            sums = [np.bincount(index, np.repeat(v[at], len(columns)), k).reshape(-1, total) for v in (r * w, w)]
-            sums.append(np.bincount(index, minlength=k).reshape(-1, total).astype(float))
+            if not level:
+                names, own = np.zeros(1, np.int64), np.zeros(len(at), np.int64)
+                sums = histograms(at, own, 1)
+            else:  # of two children the smaller is added up, the other is what its parent has besides
+                place = np.zeros(1 << (level - 1), np.int64)
+                place[names[split]] = np.arange(split.sum())
+                parent, side = place[node[at] >> 1], node[at] & 1
+                least = np.bincount(2 * parent + side, minlength=2 * int(split.sum())).reshape(-1, 2).argmin(1)
+                few = side == least[parent]
+                small = histograms(at[few], parent[few], len(least))
+                names = np.stack([2 * names[split], 2 * names[split] + 1], 1).ravel()
+                own = 2 * parent + side
+                whole_sums, sums = [v[split] for v in sums], []
+                for v, q in zip(small, whole_sums):
+                    both = np.empty((len(least), 2, total))
+                    both[np.arange(len(least)), least] = v
+                    both[np.arange(len(least)), 1 - least] = q - v
+                    sums.append(both.reshape(-1, total))
             left = []
             for v in sums:  # running sums within each column
                 c = np.cumsum(v, 1)
@@ -126,8 +146,8 @@ class Boosting:
             right[moved] = code[moved, which[o]] > (best - first[which])[o]
             node = 2 * node + right
         leaves = 1 << depth
-        mass = np.bincount(node, w, leaves) + s.l2
-        return feature, cut, np.divide(np.bincount(node, r * w, leaves), mass, out=np.zeros(leaves), where=mass > 0)
+        held = np.bincount(node, w, leaves) + s.l2
+        return feature, cut, np.divide(np.bincount(node, mass, leaves), held, out=np.zeros(leaves), where=held > 0)
 
 
 def value(tree, code: np.ndarray) -> np.ndarray:
