@@ -229,3 +229,25 @@ def test_partitions_of_the_quicksort_are_counts():
         words_, f = collocations.bucket_counts(whole, hot, 20, small)
         got = {tuple(x for x in p if x): c for p, c in zip(words_.tolist(), f.tolist())}
         assert len(got) == len(f) and got == {p: c for p, c in want.items() if c >= 20}
+
+
+# --- the word cutter of the packing operator
+
+def test_words_cut_in_one_pass_are_encoded_as_the_library_does():
+    import pyarrow as pa
+    import tokenizers
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from kartlane.llm.tokens import WordEncoder
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    r = random.Random(1)
+    texts = ["".join(r.choice("aZé'日<|>.,1 9\n😀\x01\x00 x-_") for _ in range(r.randint(0, 80))) for _ in range(400)]
+    texts += [None, "", "x" * 500, "<|endoftext|> a", "don't", "a\nb", "word, (word) word-word", "x" * 64 + " " + "y" * 65]
+    for most in (1_000_000, 50):                     # with a table that forgets its words too
+        enc = WordEncoder(path, most)
+        for part in (texts[:200], texts[200:], texts[:200]):
+            ids, bound = enc.encode(pa.array(part))
+            want = tok.encode_batch([t or "" for t in part], add_special_tokens=False)
+            assert [ids[a:b].tolist() for a, b in zip(bound[:-1], bound[1:])] == [w.ids for w in want]
