@@ -201,8 +201,8 @@ class WordEncoder:
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) + len(words) > self.most:
-            self.cache = {}
+        if not words:
+            return
         text = b"\n".join(words).decode()  # no word holds white space
         strings = text.split("\n")
         parts = _PARTS.findall(text)
@@ -241,15 +241,13 @@ class WordEncoder:
         bounds = np.asarray(lists.offsets).astype(np.int64)
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        self.cache[b""] = b""
         code = np.asarray(words.indices)
         names = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.dictionary.type) else pa.binary()).to_pylist()
         fresh = [w for w in names if w not in self.cache]
-        if fresh:
-            before = len(self.cache)
-            self._learn(fresh)
-            if len(self.cache) < before:  # it was emptied meanwhile
-                self._learn([w for w in names if w not in self.cache])
+        if len(self.cache) + len(fresh) > self.most:  # the table begins anew with this batch's words
+            self.cache, fresh = {}, names
+        self.cache[b""] = b""
+        self._learn([w for w in fresh if w])
         parts = list(map(self.cache.__getitem__, names))
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
         flat = np.frombuffer(b"".join(parts), "<u2")
