@@ -39,6 +39,7 @@ SMALL = 2048            # partitions that one sort finishes
 _BLANK = bytes_in((0x20, 0x20), (0x09, 0x09))
 _STOP = bytes_in((0x0A, 0x0D), (0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
 _GAP = _BLANK | _STOP
+_STOPS = [chr(i) for i in np.flatnonzero(_STOP)]
 _IDS = ["w1", "w2", "w3", "w4"]
 _OUT = "w1 int, w2 int, w3 int, w4 int, f bigint"
 
@@ -75,7 +76,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             langs = b.column(0).dictionary_encode()
             which = langs.indices.to_numpy()
             for i, lang in enumerate(langs.dictionary.to_pylist()):
-                text = b.column(1).cast(pa.large_string()).take(pa.array(np.flatnonzero(which == i)))
+                text = shortened(b.column(1).cast(pa.large_string()).take(pa.array(np.flatnonzero(which == i))))
                 held.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + text.nbytes
                 if size[lang] >= CHUNK:
@@ -87,6 +88,26 @@ def chunks(docs: DataFrame) -> DataFrame:
     return materialize(made.select(F.monotonically_increasing_id().alias("chunk"), "*"))
 
 
+def shortened(texts, most: int | None = None):
+    """The column with each text of more than ``most`` bytes (a chunk's size) cut into several between pieces."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    most = most or CHUNK
+    if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= most:
+        return texts
+    out = []
+    for t in texts.to_pylist():
+        while len(t) > most:  # characters, so no part is longer than four times that
+            at = max(t.rfind(c, 0, most) for c in _STOPS)
+            at = at if at >= 0 else min((x for x in (t.find(c, most) for c in _STOPS) if x >= 0), default=-1)
+            if at < 0:
+                break
+            out.append(t[:at])
+            t = t[at + 1:]
+        out.append(t)
+    return pa.array(out, pa.large_string())
+
+
 def vocabulary(chunked: DataFrame, least: int) -> DataFrame:
     """``(lang, word, f, id)`` of the words with at least ``least`` occurrences; ``id`` counts from 1 without gaps."""
     words = (chunked.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))

@@ -211,6 +211,18 @@ def test_collocations_against_brute_force(spark, suffixes, monkeypatch):
     assert collocations.collocations(docs(spark, [])).count() == 0
 
 
+def test_very_long_texts_are_cut_between_pieces(spark, monkeypatch):
+    import pyarrow as pa
+    rows = phrase_rows()
+    t = "a b. c d e" * 3
+    assert collocations.shortened(pa.array([t, "x"], pa.large_string()), 8).to_pylist() == ["a b", " c d ea b", " c d ea b", " c d e", "x"]
+    assert collocations.shortened(pa.array(["q" * 50], pa.large_string()), 8).to_pylist() == ["q" * 50]
+    monkeypatch.setattr(collocations, "shortened", lambda c, cut=collocations.shortened: cut(c, 300))
+    texts = pa.array([r[1] or "" for r in rows], pa.large_string())
+    cut = collocations.shortened(texts).to_pylist()
+    assert len(cut) > len(rows) and brute_collocations([(0, x, "en") for x in cut], 12, 50) == brute_collocations([(0, r[1], "en") for r in rows], 12, 50)
+
+
 def test_partitions_of_the_quicksort_are_counts():
     r = np.random.default_rng(9)
     gid = np.minimum(r.zipf(1.5, 60_000), 40).astype(np.int32)
