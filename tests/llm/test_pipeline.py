@@ -65,5 +65,5 @@ def test_rows_are_judged_by_their_text_alone(spark):
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in queries.NAMES} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in queries.NAMES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.NAMES) <= set(names)
