@@ -38,6 +38,30 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+BYTES_A_TASK = 8 << 20   # of Parquet input to one shuffle task; aggregates hold some 30 times that in memory
+
+
+def shuffle_by_size(spark: SparkSession, size: int) -> None:
+    """As many shuffle partitions as a table of ``size`` bytes calls for, so that a task's memory does not grow with the input.
+
+    A session's larger number and its smaller advisory size stay, and AQE merges what turns out
+    small. The settings only ever get finer, since lazy frames are planned when they run.
+    """
+    tasks, advisory = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    wanted = min(-(-size // BYTES_A_TASK), 4000)
+    if wanted > int(spark.conf.get(tasks)):
+        spark.conf.set(tasks, str(wanted))
+    if wanted > 1 and _bytes(spark.conf.get(advisory)) > BYTES_A_TASK:   # else AQE merges up to 64 MB of compressed rows
+        spark.conf.set(advisory, f"{BYTES_A_TASK}b")
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a size as Spark writes it (``64MB``, ``16m``, ``1024``)."""
+    number = text.strip().lower().rstrip("b")
+    unit = number[-1] if number[-1:].isalpha() else ""
+    return int(number.removesuffix(unit)) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there."""
     checkpoint_dir(df.sparkSession)

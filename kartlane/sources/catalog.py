@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartlane.session import shuffle_by_size
+
 # ---------------------------------------------------------------------------
 # Fixed values of the schema (must equal the surveyed workload's metadata).
 # ---------------------------------------------------------------------------
@@ -124,6 +126,7 @@ class Catalog:
                            + ", ".join(sorted(DRIVER_TABLES)))
         if name not in self._raw:
             self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            shuffle_by_size(self.spark, self._bytes(name))
         return self._raw[name]
 
     # -- retail tables -----------------------------------------------------
@@ -166,6 +169,11 @@ class Catalog:
                 self._tables[own] = _SHARED[key]
         return self._tables[own]
 
+    def _bytes(self, name: str) -> int:
+        """Bytes of a driver table's file or folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def _stamp(self) -> tuple:
         """Name, size and time of every table's file or folder."""
         if self._seen is None:

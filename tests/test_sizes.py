@@ -2,7 +2,10 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from kartlane.operators import quality as Q
+from kartlane.session import BYTES_A_TASK, shuffle_by_size
 
 
 def plan_of(df):
@@ -28,3 +31,27 @@ def test_column_summary_counts_cells_in_one_shared_exchange(spark):
     plan = plan_of(out)
     assert "SortAggregate" not in plan and "ReusedExchange" in plan
     assert plan.count("Expand") == 2     # the cells of each table with rows once
+
+
+def test_snapshot_coverage_expands_no_rows(spark):
+    inv = spark.createDataFrame([(1, "2001-01-31"), (1, "2001-01-31"), (1, "2001-01-30"), (2, "2001-01-31"), (None, "2001-01-31"),
+                                 (None, "2001-01-31"), (3, "2001-03-31"), (4, None)], "product_id bigint, d string")
+    out = Q.snapshot_coverage(inv.select("product_id", F.col("d").cast("date").alias("snapshot_date")))
+    rows = [tuple(r)[1:] for r in sorted(out.collect())]
+    assert rows == [(True, 2, 6, 2, 2), (False, 0, 0, 0, 0), (True, 1, 1, 1, 0)]
+    assert "Expand" not in plan_of(out)
+
+
+def test_shuffles_grow_with_the_input(spark):
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        shuffle_by_size(spark, 1000)
+        assert [spark.conf.get(k) for k in keys] == before
+        shuffle_by_size(spark, 100 * BYTES_A_TASK + 1)
+        assert spark.conf.get(keys[0]) == "101" and spark.conf.get(keys[1]) == f"{BYTES_A_TASK}b"
+        shuffle_by_size(spark, 50 * BYTES_A_TASK)
+        assert spark.conf.get(keys[0]) == "101"
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
