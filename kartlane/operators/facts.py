@@ -90,7 +90,9 @@ def order_revenue(cat) -> DataFrame:
 def order_item_fact(cat) -> DataFrame:
     iv = cat.table("item_values").withColumn(
         "discount_amount", F.coalesce(F.col("discount_amount"), F.lit(0.0)))
-    f = (iv.groupBy("order_id")
+    # an order's few lines meet once, for the products and for the sums
+    f = (iv.select("order_id", "product_id", "quantity", "gross_item_value", "discount_amount", "net_item_value", "item_cogs")
+         .repartition("order_id").groupBy("order_id")
          .agg(F.count_distinct("product_id").alias("distinct_products"),
               F.sum("quantity").alias("total_quantity"),
               F.sum("gross_item_value").alias("gross_revenue"),
@@ -184,7 +186,6 @@ def customer_orders(cat, level: DataFrame | None = None) -> DataFrame:
     st = F.col("order_status")
     agg = (ol.groupBy("customer_id")
            .agg(F.max("order_date").alias("last_order_date"),
-                F.count_distinct("order_id").alias("orders_count"),
                 F.count_if(st == "delivered").alias("delivered_orders_count"),
                 F.count_if(st == "returned").alias("returned_orders_count"),
                 F.count_if(st == "cancelled").alias("cancelled_orders_count"),
@@ -199,6 +200,10 @@ def customer_orders(cat, level: DataFrame | None = None) -> DataFrame:
                 sum0("shipping_fee").alias("total_shipping_fee"),
                 F.avg("net_revenue").alias("avg_order_value"),
                 F.avg("total_quantity").alias("avg_items_per_order")))
+    # the orders are counted apart, so that the sums are combined before their shuffle
+    orders = (ol.groupBy("customer_id", "order_id").agg(F.count(F.lit(1)).alias("_n"))
+              .groupBy("customer_id").agg(F.count("order_id").alias("orders_count")))
+    agg = agg.join(orders, "customer_id", "left")
     for src, dst in [("payment_method_recorded", "preferred_payment_method"),
                      ("device_type", "preferred_device_type"),
                      ("order_source", "preferred_order_source")]:
@@ -206,7 +211,15 @@ def customer_orders(cat, level: DataFrame | None = None) -> DataFrame:
     return agg
 
 
-def customer_returns(cat) -> DataFrame:
+def customer_returns(cat, ofact: DataFrame | None = None) -> DataFrame:
+    """Returns of a customer's orders, from the order fact where it is given."""
+    if ofact is not None:
+        back = ofact.filter("return_records_count > 0")
+        return (back.groupBy("customer_id")
+                .agg(F.sum("return_records_count").alias("return_records_count"),
+                     F.sum("returned_units_count").alias("returned_units_count"),
+                     F.sum("total_refund_amount").alias("total_refund_amount"),
+                     F.max("last_return_date").alias("last_return_date")))
     per_order = (cat.table("returns").groupBy("order_id")
                  .agg(F.count_distinct("return_id").alias("_recs"),
                       F.sum("return_quantity").alias("_units"),
@@ -227,13 +240,15 @@ def customer_reviews(cat) -> DataFrame:
                  F.max("review_date").alias("latest_review_date")))
 
 
-def customer_fact(cat) -> DataFrame:
+def customer_fact(cat, ofact: DataFrame | None = None) -> DataFrame:
+    """All measures of a customer; an order fact that is already written stands for its order and return level."""
+    level = ofact.withColumn("gross_revenue", F.col("total_order_value")) if ofact is not None else None
     end = cat.table("orders_slim").agg(F.max("order_date").alias("_analysis_end"))
     f = (cat.table("customers")
          .join(customer_order_dates(cat), "customer_id", "left")
-         .join(customer_orders(cat), "customer_id", "left")
+         .join(customer_orders(cat, level), "customer_id", "left")
          .join(customer_items(cat), "customer_id", "left")
-         .join(customer_returns(cat), "customer_id", "left")
+         .join(customer_returns(cat, ofact), "customer_id", "left")
          .join(customer_reviews(cat), "customer_id", "left")
          .crossJoin(F.broadcast(end)))
     f = f.withColumns({
@@ -261,17 +276,20 @@ def cohort_activity(cat, ofact: DataFrame | None = None, cfact: DataFrame | None
         "net_revenue_proxy", "gross_margin")
     cf = (cfact if cfact is not None else customer_fact(cat)).select(
         "customer_id", "signup_date", "first_order_date", "acquisition_channel")
-    b = of.join(cf, "customer_id", "left").withColumns({
+    # orders are summed by customer and month before the customers are joined; a month of a customer meets in one task
+    sums = ["total_order_value", "net_revenue", "net_revenue_proxy", "gross_margin"]
+    months = (of.repartition("customer_id", "order_month").groupBy("customer_id", "order_month", "order_id")
+              .agg(*[sum0(c).alias(c) for c in sums])
+              .groupBy("customer_id", "order_month")
+              .agg(F.count("order_id").alias("orders_count"), *[sum0(c).alias(c) for c in sums]))
+    b = months.join(cf, "customer_id", "left").withColumns({
         "first_order_cohort_month": month_trunc("first_order_date"),
         "signup_cohort_month": month_trunc("signup_date"),
     }).withColumn("cohort_index", month_diff("order_month", "first_order_cohort_month"))
     g = (b.groupBy("customer_id", "first_order_cohort_month", "signup_cohort_month", "order_month",
                    "cohort_index", "acquisition_channel")     # NULL keys kept (dropna=False)
-         .agg(F.count_distinct("order_id").alias("orders_count"),
-              sum0("total_order_value").alias("total_order_value"),
-              sum0("net_revenue").alias("net_revenue"),
-              sum0("net_revenue_proxy").alias("net_revenue_proxy"),
-              sum0("gross_margin").alias("gross_margin")))
+         .agg(F.max("orders_count").alias("orders_count"),     # a repeated customer repeats the same orders
+              *[F.sum(c).alias(c) for c in sums]))
     g = g.withColumns({"active_month_flag": F.lit(1),
                        "payment_gap_vs_net_revenue": F.col("net_revenue_proxy") - F.col("net_revenue")})
     return g.select(*COHORT_ACTIVITY_COLUMNS)
@@ -311,11 +329,12 @@ def inventory_fact(cat) -> DataFrame:
 def fact_quality(cat) -> DataFrame:
     """rows / unique keys / duplicate keys / with / without activity for five facts.
 
-    The order and customer facts are written once for the others built on them. Keys are counted by one
-    partial aggregate on the key, not by an expanded distinct.
+    The order and customer facts are written once for the others built on them, the customer fact being
+    one of them. Keys are counted by one partial aggregate on the key, not by an expanded distinct.
     """
-    from kartlane.session import cut_lineage
-    of, cf = cut_lineage(order_fact(cat)), cut_lineage(customer_fact(cat))
+    from kartlane.session import written
+    of = written(order_fact(cat))
+    cf = written(customer_fact(cat, of))
     ca, ac, pi = cohort_activity(cat, of, cf), activation(cat, cf), inventory_fact(cat)
 
     def one(name, df, keys, active):

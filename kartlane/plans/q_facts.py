@@ -178,10 +178,11 @@ _FACT_VIEWS = {"order_fact_table": "v_order_fact", "customer_fact_table": "v_cus
 def snk_facts(cat):
     """Write the five facts as Parquet (month-partitioned where useful), read back; rows of each."""
     from kartlane.plans.reports import output_root, read_version, write_facts
-    from kartlane.session import cut_lineage
+    from kartlane.session import written
     import uuid
     # the order and customer facts are derived once for all the facts built on them
-    of, cf = cut_lineage(FX.order_fact(cat)), cut_lineage(FX.customer_fact(cat))
+    of = written(FX.order_fact(cat))
+    cf = written(FX.customer_fact(cat, of))
     facts = {"order_fact_table": of, "customer_fact_table": cf,
              "customer_cohort_activity_fact": FX.cohort_activity(cat, of, cf),
              "signup_activation_fact": FX.activation(cat, cf),

@@ -36,9 +36,9 @@ def commit(frames: dict[str, DataFrame], root: str, fmt: str = "parquet", partit
     tables = {}
     for name, df in frames.items():
         path = f"{folder}/{name}"
-        w = df.write
-        if partition and name in partition:
-            w = w.partitionBy(partition[name])
+        by = (partition or {}).get(name)
+        # a month's rows meet before they are written, in tasks of bounded size: else every task has a file of every month
+        w = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
         (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
         rows, digest = summed(_read(spark, path, fmt, df.schema))
         tables[name] = {"path": path, "rows": rows, "digest": digest, "schema": df.schema.json()}

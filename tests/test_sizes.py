@@ -55,3 +55,22 @@ def test_shuffles_grow_with_the_input(spark):
     finally:
         for k, v in zip(keys, before):
             spark.conf.set(k, v)
+
+
+def test_facts_are_built_on_the_written_order_fact(spark, cat):
+    from kartlane.operators import facts as FX
+    from kartlane.session import written
+    of = written(FX.order_fact(cat))
+    whole, built = FX.customer_fact(cat), FX.customer_fact(cat, of)
+    assert whole.columns == built.columns
+
+    def rows(df):
+        return sorted((tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str)
+    assert rows(whole) == rows(built)
+    assert plan_of(built).count("FileScan parquet") < plan_of(whole).count("FileScan parquet")
+
+
+def test_items_of_an_order_are_shuffled_once(spark, cat):
+    from kartlane.operators import facts as FX
+    plan = plan_of(FX.order_item_fact(cat))
+    assert plan.count("hashpartitioning(order_id") == 1 and plan.count("Exchange hashpartitioning(order_id#") == 1
