@@ -32,6 +32,7 @@ from .common import materialize, pieces, shared_dir
 WINDOW, CLOSE = 4096, 2
 WORDS = 1_000_000  # most words that a worker keeps from task to task
 PIVOTS, SAMPLE, PIVOT_TERMS = 1024, 4096, 256  # most pivots, sampled documents and terms kept of each
+POSTINGS = 1 << 20  # most index entries, and scores, that are added up at once
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint")
 
@@ -82,17 +83,62 @@ class Pivots:
             score += np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.n)
         return score
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
-        """The best and the second pivot of a document of these terms; ``n`` if it shares no heavy term with any."""
-        score = self._scores(terms.astype(np.int64), counts)
-        out = []
-        for _ in range(2):
-            p = int(np.argmax(score)) if self.n else 0
-            out.append(p if self.n and score[p] > 0 else self.n)
-            score[p:p + 1] = 0
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, bound: np.ndarray, query_terms: int = 24) -> tuple[np.ndarray, np.ndarray]:
+        """The best and the second pivot of each document; ``n`` if it shares no heavy term with any.
+
+        ``terms`` and ``counts`` hold all documents' distinct terms; ``bound`` is where each begins and ends.
+        """
+        size, out = np.diff(bound), np.full((2, len(bound) - 1), self.n)
+        if not self.n or not len(terms):
+            return out[0], out[1]
+        total = np.add.reduceat(np.append(counts, 0), bound[:-1]) * (size > 0)
+        norm = (1.2 * (0.25 + 0.75 * total / self.mean)).astype(np.float32)
+        light = -(self.idf[terms] * counts * np.float32(2.2) / (counts + np.repeat(norm, size)))
+        terms = terms.astype(np.int64)
+        asked = [terms[a:b] if b - a <= query_terms else terms[a:b][np.argpartition(light[a:b], query_terms)[:query_terms]]
+                 for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
+        size = np.fromiter(map(len, asked), np.int64, len(asked))
+        asked = np.concatenate(asked)
+        first, length = self.start[asked], self.start[asked + 1] - self.start[asked]
+        own = np.append(0, np.cumsum(size))             # where a document's query begins
+        listed = np.append(0, np.cumsum(length))[own]   # and its postings
+        x = 0
+        while x < len(size):  # as many documents at once as have ``POSTINGS``
+            y = max(x + 1, min(int(np.searchsorted(listed, listed[x] + POSTINGS, "right")) - 1, x + POSTINGS // self.n))
+            a, b, k = own[x], own[y], length[own[x]:own[y]]
+            at = np.repeat(first[a:b] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            doc = np.repeat(np.repeat(np.arange(y - x) * self.n, size[x:y]), k)
+            score = np.bincount(doc + self.doc[at], self.weight[at], (y - x) * self.n).astype(np.float32).reshape(y - x, self.n)
+            for o in out:
+                best = score.argmax(1)
+                found = score[np.arange(y - x), best] > 0
+                o[x:y][found] = best[found]
+                score[np.arange(y - x), best] = 0
+            x = y
         return out[0], out[1]
 
 
+def distinct(ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct 16-bit ids of each text in order, how often each stands there, and where each text's begin and end."""
+    d = len(bound) - 1
+    wide = np.uint32 if d <= 1 << 16 else np.uint64
+    key = np.repeat(np.arange(d, dtype=wide) << wide(16), np.diff(bound)) | ids.astype(wide)
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=key[:1] + wide(1)) != 0)
+    counts, key = np.diff(first, append=len(key)), key[first]
+    return (key & wide(0xFFFF)).astype(np.uint16), counts, np.searchsorted(key >> wide(16), np.arange(d + 1))
+
+
+def closed(ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids, each text's followed by the closing one, and where each begins and ends."""
+    to = bound + np.arange(len(bound))
+    out = np.full(to[-1], CLOSE, "<u2")
+    inner = np.ones(len(out), bool)
+    inner[to[1:] - 1] = False
+    out[inner] = ids
+    return out, to
+
+
 def pivots(docs: DataFrame, path: str, rows: int, shard_rows: int) -> Pivots:
     """Pivots from a sample of ``docs``; none where one shard holds all rows."""
     if rows <= shard_rows:
@@ -125,19 +171,16 @@ def tokenise(docs: DataFrame, path: str, near: Pivots, vocabulary: int = 49_408)
         df = np.zeros(vocabulary, np.int64)
         names = ["kind", "row", "doc_id", "n", "ids", "p", "q"]
         for b in pieces(batches):
-            n, out, to = [], [], []
             ids, bound = enc.encode(b.column(2))
-            for x, y in zip(bound[:-1], bound[1:]):
-                own = np.append(ids[x:y], np.uint16(CLOSE))
-                n.append(len(own))
-                out.append(own.tobytes())
-                terms, counts = np.unique(ids[x:y], return_counts=True)
-                df[terms] += 1
-                df[CLOSE] += CLOSE not in terms
-                to.append(near.nearest(terms, counts) if near.n else (0, 0))
-            p, q = zip(*to) if to else ((), ())
+            terms, counts, own = distinct(ids, bound)
+            df += np.bincount(terms, minlength=vocabulary)
+            df[CLOSE] += b.num_rows - np.count_nonzero(terms == CLOSE)  # each text has it at its end
+            p, q = near.nearest(terms, counts, own)
+            ids, bound = closed(ids, bound)
+            raw = ids.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(n), pa.int32()), *b.columns[:2], pa.array(n, pa.int64()), pa.array(out, pa.binary()),
+                [pa.array([0] * b.num_rows, pa.int32()), *b.columns[:2], pa.array(np.diff(bound), pa.int64()),
+                 pa.array([raw[2 * x:2 * y] for x, y in zip(bound[:-1].tolist(), bound[1:].tolist())], pa.binary()),
                  pa.array(p, pa.int32()), pa.array(q, pa.int32())], names)
         yield pa.RecordBatch.from_arrays(
             [pa.array([1], pa.int32()), *[pa.array([None], pa.int64())] * 2, pa.array([0], pa.int64()),

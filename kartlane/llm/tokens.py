@@ -242,13 +242,16 @@ class WordEncoder:
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
         code = np.asarray(words.indices)
-        names = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.dictionary.type) else pa.binary()).to_pylist()
-        fresh = [w for w in names if w not in self.cache]
-        if len(self.cache) + len(fresh) > self.most:  # the table begins anew with this batch's words
-            self.cache, fresh = {}, names
+        names = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.dictionary.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
         self.cache[b""] = b""
-        self._learn([w for w in fresh if w])
-        parts = list(map(self.cache.__getitem__, names))
+        parts = list(map(self.cache.get, names))
+        fresh = [i for i, p in enumerate(parts) if p is None]
+        if fresh:
+            if len(self.cache) + len(fresh) > self.most:  # the table begins anew with this batch's words
+                self.cache = {w: p for w, p in zip(names, parts) if p is not None}
+            self._learn([names[i] for i in fresh])
+            for i in fresh:
+                parts[i] = self.cache[names[i]]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
         flat = np.frombuffer(b"".join(parts), "<u2")
         start = np.cumsum(size) - size

@@ -387,6 +387,46 @@ def test_packing_puts_like_documents_together():
     assert share > 0.85
 
 
+def test_pivots_of_a_batch_are_those_of_each_document(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [np.minimum(rng.geometric(0.02, n), 500).astype(np.uint16) for n in (40, 0, 300, 7, 0, 0, 25, 900, 1, 0)]
+    ids, bound = np.concatenate(texts), np.append(0, np.cumsum([len(x) for x in texts]))
+    terms, counts, own = packing.distinct(ids, bound)
+    plain = [np.unique(x, return_counts=True) for x in texts]
+    assert [terms[a:b].tolist() for a, b in zip(own, own[1:])] == [t.tolist() for t, _ in plain]
+    assert counts.tolist() == [c for _, n in plain for c in n.tolist()]
+    raw, to = packing.closed(ids, bound)
+    assert [raw[a:b].tolist() for a, b in zip(to, to[1:])] == [[*x.tolist(), packing.CLOSE] for x in texts]
+    sample = [np.unique(rng.geometric(0.02, 200).clip(max=499), return_counts=True) for _ in range(60)]
+    near = packing.Pivots([(t.astype(np.int32), c.astype(np.int32)) for t, c in sample], 50)
+    want = []
+    for t, c in plain:
+        score, best = near._scores(t.astype(np.int64), c), []
+        for _ in range(2):
+            best.append(int(score.argmax()) if score.max() > 0 else near.n)
+            score[score.argmax()] = 0
+        want.append(tuple(best))
+    assert len(set(want)) > 4 and want[1] == (near.n, near.n)
+    for most in (1 << 20, 1):  # all at once, and one document at a time
+        monkeypatch.setattr(packing, "POSTINGS", most)
+        p, q = near.nearest(terms, counts, own)
+        assert list(zip(p.tolist(), q.tolist())) == want
+    p, q = packing.Pivots([], 0).nearest(terms, counts, own)
+    assert p.tolist() == q.tolist() == [0] * len(texts)
+
+
+def test_a_full_word_table_keeps_the_words_of_the_batch():
+    import pyarrow as pa
+    enc, learnt = tokens.WordEncoder(WORD, most=6), []
+    learn = enc._learn
+    enc._learn = lambda words: (learnt.extend(words), learn(words))
+    enc.encode(pa.array(["one two three"]))
+    ids, bound = enc.encode(pa.array(["two four five six", None, " three "]))
+    plain = tokens.load(WORD)
+    assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [plain.encode(x, add_special_tokens=False).ids for x in ("two four five six", "", "three")]
+    assert len(learnt) == len(set(learnt)) == 6 and b"one" not in enc.cache and b"two" in enc.cache
+
+
 def test_packing_finds_like_documents_in_many_shards(spark):
     """Topics are dealt together, repeated rows of one id are spread over shards."""
     rng = random.Random(5)
