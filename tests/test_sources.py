@@ -101,3 +101,39 @@ def test_derived_tables_are_shared_by_catalogs_over_the_same_files(spark, tmp_pa
     part = next(p for p in (tmp_path / "new").iterdir() if p.suffix == ".parquet")
     shutil.copy(part, tmp_path / "orders.parquet")
     assert ask(Catalog(spark, str(tmp_path))) <= 10 and len(made) == 3
+
+
+def test_odd_texts_are_judged_as_by_the_patterns_and_counted_in_one_reading(spark, tmp_path):
+    from pyspark.sql import functions as F
+    dates = ["2020-01-02", "2020-01-2 ", "2020-01-5T", " 999-01-02", "+999-01-02", "2020-1-002", "20200-01-2", "2020-01- 2", "2020-02-30", "+10000-01-01",
+             "-001-01-02", "0001-01-01", "2020-01-02 ", " 2020-01-02", "2020-01-02T00:00", "2020-01", "2020", "2020/01/02", "٢020-01-02", "2020-01-0٢", "9999-12-31"]
+    numbers = ["1", "-1", "+1", "007", "-0", " 7", "7 ", "\t7", "1.0", "1e3", "0x1", "9223372036854775807", "9223372036854775808", "-9223372036854775808", "١", "1 1", "- 1", "1_0", " 7"]
+    rows = [(n, d, "2020-01-05", "1.5") for d in dates for n in ("1", numbers[len(d) % 3])] + [(n, "2020-01-02", "2020-01-05", "x") for n in numbers] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "order_id string, ship_date string, delivery_date string, shipping_fee string")
+    df.repartition(3).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quoteAll", True).csv(f"{tmp_path}/s")
+    spark.createDataFrame([("1,2020-01-02",), ("1,2020-01-02,2020-01-05,1.0,more",)], "value string").coalesce(1).write.text(f"{tmp_path}/broken")
+    whole = next(p for p in (tmp_path / "broken").iterdir() if p.suffix == ".txt").read_text()
+    (tmp_path / "s" / "more.csv").write_text("order_id,ship_date,delivery_date,shipping_fee\n" + whole)
+    out = read_checked(spark, "shipments", f"{tmp_path}/s")
+    clean, bad = out
+    at, day = df.withColumn("d", F.expr("case when ship_date rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$' then try_cast(ship_date as date) end")), "ship_date is not null and d is null"
+    at = at.withColumn("n", F.expr(r"case when order_id rlike '^\\s*[+-]?[0-9]+\\s*$' then try_cast(order_id as bigint) end"))
+    want = {"ship_date": at.where(day).count(), "order_id": at.where("order_id is not null and n is null").count(), "shipping_fee": len(numbers), "_row": 2}
+    found = {r.column: r["count"] for r in bad.groupBy("column").count().collect()}
+    assert found == want and 10 < want["ship_date"] and 5 < want["order_id"]
+    fine = at.where(f"not ({day}) and (order_id is null or n is not null) and coalesce(shipping_fee, '') <> 'x'")
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, clean.select("order_id", "ship_date").collect())) == sorted(map(key, fine.select("n", "d").collect()))
+    got = {r.what: (r.table_name, r.reason, r.rows) for r in out.counts.collect()}
+    assert got.pop("clean") == ("shipments", None, fine.count())
+    assert got == {c: ("shipments", {"ship_date": "not a date", "order_id": "not a bigint", "shipping_fee": "not a double", "_row": "fields"}[c], n) for c, n in want.items()}
+    plan = out.counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan csv") == 1
+
+
+def test_a_table_of_texts_alone_and_an_empty_one_are_counted(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("zip,city,region,district\n1,a,b,c\n,,,\nx,a,b,c\n2,a\n")
+    got = sorted((r.what, r.rows) for r in read_checked(spark, "geography", str(tmp_path / "g.csv")).counts.collect())
+    assert got == [("_row", 1), ("clean", 2), ("zip", 1)]
+    (tmp_path / "e.csv").write_text("zip,city,region,district\n")
+    assert [tuple(r) for r in read_checked(spark, "geography", str(tmp_path / "e.csv")).counts.collect()] == [("geography", "clean", None, 0)]
