@@ -2,8 +2,10 @@
 
 ``UnitEncoder`` cuts a text at places where no token of the tokenizer can reach
 across (a white-space byte between two other bytes), encodes each distinct unit
-once per worker and joins the ids. Texts where such cuts are not certain are
-encoded whole, long ones by ``tree_encode``.
+once per worker and joins the ids. The merges of units of plain characters run
+in ``tiktoken`` over the file's own merge list, those of others in the tokenizer
+itself. Texts where such cuts are not certain are encoded whole, long ones by
+``tree_encode``.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 _UNIT = re.compile(rb"[ \n]?[^ \n]+")
 _OTHER_SPACE = bytes([9, 11, 12, 13, 28, 29, 30, 31])
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1[\x9a\xa0][\x80\x8e]|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_PLAIN_UNIT = re.compile(r"[ \n]?[!-~À-ÖØ-öø-ÿ]{1,64}")
 _WIDE_LEAD = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
@@ -30,12 +33,58 @@ def load(path: str):
     return t
 
 
+class ByteMerges:
+    """Merges of a byte-level BPE file, run in ``tiktoken``; for texts whose white space is single and not at the end.
+
+    ``tiktoken`` merges two neighbours whenever their joined bytes are a token, the
+    tokenizer only if they are that token's own pair. Both do the same if each token,
+    encoded by itself, gives itself: what happens between a token's two ends does not
+    depend on what lies around them, so it is always made from the same last pair.
+    ``of`` looks that up and gives nothing for a file where it does not hold.
+    """
+
+    _CUT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"  # as ByteLevel's for such texts
+
+    def __init__(self, vocab: dict[bytes, int], merges: list[bytes]):
+        import tiktoken
+        ranks = {bytes([x]): x for x in range(256)} | {t: 256 + j for j, t in enumerate(merges)}
+        self.ids = np.array([vocab[t] for t in ranks], "<u4")
+        self.size = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        self.bpe = tiktoken.Encoding("bytes", pat_str=self._CUT, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, path: str, tok) -> ByteMerges | None:
+        import json
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, pre, byte = file["model"], file.get("pre_tokenizer") or {}, byte_alphabet()
+        if (file.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True)
+                or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+                or any("<|" not in t["content"] for t in file.get("added_tokens") or [])):  # as ``UnitEncoder.units`` takes them to be
+            return None
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        tokens = {c: model["vocab"].get(c) for c in [*byte, *merges]}
+        if len(tokens) < len(byte) + len(merges) or any([x.id for x in tok.model.tokenize(t)] != [i] for t, i in tokens.items()):
+            return None
+        raw = {t: bytes(byte[c] for c in t) for t in tokens}
+        return cls({raw[t]: i for t, i in tokens.items()}, [raw[t] for t in merges])
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``text``, and how many bytes come before each of them and, at last, in all."""
+        got = np.array(self.bpe.encode_ordinary(text), np.int64)
+        return self.ids[got], np.append(0, np.cumsum(self.size[got]))
+
+
 class UnitEncoder:
-    """Exact ids of UTF-8 texts for byte-level BPE; units keep their leading space or line feed."""
+    """Exact ids of UTF-8 texts for byte-level BPE; units keep their leading space or line feed.
+
+    A worker keeps at most ``most`` units, or those of one call's 200 texts if they are more.
+    """
 
     def __init__(self, path: str, separator: str, leaf: int = 4096, most: int = 500_000):
         self.tok, self.leaf, self.most = load(path), leaf, most
         self.sep, self.sep_id = separator, self.tok.token_to_id(separator)
+        self.merges = ByteMerges.of(path, self.tok)
         self.cache: dict[bytes, bytes] = {}
 
     def units(self, raw: bytes) -> list[bytes] | None:
@@ -49,9 +98,28 @@ class UnitEncoder:
         found = _UNIT.findall(raw)
         return found if sum(map(len, found)) == len(raw) else None
 
+    def _learn_plain(self, units: list[bytes]) -> list[bytes]:
+        """Learn the units of plain characters; returns the others."""
+        strings = b"\0".join(units).decode().split("\0")  # a unit with this byte is not plain
+        if len(strings) != len(units):
+            strings = [u.decode() for u in units]
+        plain = list(map(bool, map(_PLAIN_UNIT.fullmatch, strings)))
+        # A unit without white space begins a text; here a line feed, which is always a token of its own, precedes it.
+        rest, own = [u for u, p in zip(units, plain) if not p], [u for u, p in zip(units, plain) if p]
+        bare = np.fromiter((u[0] not in b" \n" for u in own), bool, len(own))
+        text = "".join([s if s[0] in " \n" else "\n" + s for s, p in zip(strings, plain) if p])
+        ids, at = self.merges.encode(text)
+        end = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + bare)
+        last = np.searchsorted(at, end)
+        if not np.array_equal(at[last], end):  # cannot happen between such units; kept as a guard
+            return units
+        raw, first = ids.tobytes(), np.append(0, last[:-1]) + bare
+        self.cache.update(zip(own, map(raw.__getitem__, map(slice, (4 * first).tolist(), (4 * last).tolist()))))
+        return rest
+
     def _learn(self, units: list[bytes]) -> None:
-        if len(self.cache) + len(units) > self.most:
-            self.cache.clear()
+        if self.merges:
+            units = [u for at in range(0, len(units), 65536) for u in self._learn_plain(units[at:at + 65536])]
         short = [u for u in units if len(u) <= self.leaf]
         for at in range(0, len(short), 4096):
             part = short[at:at + 4096]
@@ -71,17 +139,18 @@ class UnitEncoder:
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
+        known = self.cache
         for at in range(0, len(raws), 200):
             cut = [self.units(r) for r in raws[at:at + 200]]
-            known = self.cache
-            fresh = {u for c in cut if c for u in c if u not in known}
-            if fresh:
-                self._learn(list(fresh))
-                if any(u not in known for c in cut if c for u in c):  # the cache was emptied meanwhile
-                    self._learn(list({u for c in cut if c for u in c if u not in known}))
+            every = set().union(*filter(None, cut))
+            fresh = [u for u in every if u not in known]
+            if len(known) + len(fresh) > self.most:  # begins anew with all units of these texts
+                known.clear()
+                fresh = list(every)
+            self._learn(fresh)
             for r, c in zip(raws[at:at + 200], cut):
                 if c is not None:
-                    out.append(b"".join([known[u] for u in c]))
+                    out.append(b"".join(map(known.__getitem__, c)))
                 else:
                     out.append(tree_encode(self.tok, r.decode(), self.leaf).tobytes())
         return out

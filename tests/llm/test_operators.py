@@ -260,6 +260,40 @@ def test_tree_concatenation(path):
             assert tokens.tree_encode(t, s, leaf).tolist() == t.encode(s, add_special_tokens=False).ids, (leaf, s)
 
 
+def test_units_beyond_the_table_are_learnt_anew():
+    t, rng = tokens.load(BYTE), random.Random(2)
+    words = ["The", "the", "it's", "they'LL", "naïve", "日本", "x1", "a" * 70, "b" * 70, "\0", "c\0d", "İ", "don't!!", "1234", "ÿ×÷", "--", "e\u0301"]
+    words += ["".join(rng.choice("abcdeéß'.,1") for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    texts = ["".join(rng.choice(" \n") + rng.choice(words) for _ in range(rng.choice([0, 1, 9, 60])))[rng.randint(0, 1):] for _ in range(700)]
+    enc = tokens.UnitEncoder(BYTE, bpe.SEPARATOR, most=600)
+    got = enc.encode([x.encode() for x in texts])
+    for x, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_plain_units_are_merged_without_the_library():
+    t = tokens.load(BYTE)
+    texts = ["The the\nThe it's O'Reilly's\n1st naïve Straße, (x) -- 12,5%", "", "The", "don't", "a", " a\nb"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    enc = tokens.UnitEncoder(BYTE, bpe.SEPARATOR)
+    enc.tok = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([x.encode() for x in texts])] == want
+
+
+def test_merges_need_tokens_that_give_themselves(tmp_path):
+    import json
+    file = json.load(open(BYTE, encoding="utf-8"))
+    file["model"]["vocab"] = {c: i for i, c in enumerate(tokens.byte_alphabet())} | {"bc": 256, "ab": 257, "abc": 258}
+    for last, fits in ((["ab", "c"], False), (["a", "bc"], True)):  # "abc" is a + bc always: ab + c makes no token of it
+        file["model"]["merges"] = [["b", "c"], ["a", "b"], last]
+        path = tmp_path / f"{fits}.json"
+        path.write_text(json.dumps(file), encoding="utf-8")
+        enc = tokens.UnitEncoder(str(path), bpe.SEPARATOR)
+        assert (enc.merges is not None) == fits
+        x = "abc cab abcab bc"
+        assert np.frombuffer(enc.encode([x.encode()])[0], "<u4").tolist() == enc.tok.encode(x, add_special_tokens=False).ids
+
+
 # --- 6 and 9: classifiers
 
 def test_classifiers_on_held_out_labels(spark):
