@@ -138,11 +138,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, ROWS_PER_BATCH)
 
 
-def pieces(batches, rows: int = 2000):
-    """Arrow batches cut to at most ``rows`` rows; gives unused memory back when a task ends."""
+def pieces(batches, rows: int = 2000, text: int | None = None, size: int = 1 << 21):
+    """Arrow batches cut to at most ``rows`` rows; gives unused memory back when a task ends.
+
+    With ``text``, a string column's number, also cut to at most ``size`` bytes of its texts (or one row).
+    """
+    import pyarrow.compute as pc
     for b in batches:
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            part = b.slice(at, rows)
+            if text is None:
+                yield part
+                continue
+            end = np.cumsum(pc.binary_length(part.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            x = 0
+            while x < len(end):
+                y = max(x + 1, int(np.searchsorted(end, (end[x - 1] if x else 0) + size, "right")))
+                yield part.slice(x, y - x)
+                x = y
     tidy()
 
 

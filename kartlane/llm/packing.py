@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces, shared_dir
 
 WINDOW, CLOSE = 4096, 2
-WORDS = 1_000_000  # most words that a worker keeps from task to task
+WORDS = 250_000  # most words that a worker keeps from task to task, about 40 MB; those it used last stay
 PIVOTS, SAMPLE, PIVOT_TERMS = 1024, 4096, 256  # most pivots, sampled documents and terms kept of each
 POSTINGS = 1 << 20  # most index entries, and scores, that are added up at once
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -148,7 +148,7 @@ def pivots(docs: DataFrame, path: str, rows: int, shard_rows: int) -> Pivots:
         import pyarrow as pa
         from .tokens import WordEncoder, encoder
         enc = encoder(WordEncoder, path, WORDS)
-        for b in pieces(batches):
+        for b in pieces(batches, text=0):
             ids, bound = enc.encode(b.column(0))
             out = []
             for x, y in zip(bound[:-1], bound[1:]):
@@ -170,7 +170,7 @@ def tokenise(docs: DataFrame, path: str, near: Pivots, vocabulary: int = 49_408)
         enc = encoder(WordEncoder, path, WORDS)
         df = np.zeros(vocabulary, np.int64)
         names = ["kind", "row", "doc_id", "n", "ids", "p", "q"]
-        for b in pieces(batches):
+        for b in pieces(batches, text=2):
             ids, bound = enc.encode(b.column(2))
             terms, counts, own = distinct(ids, bound)
             df += np.bincount(terms, minlength=vocabulary)

@@ -243,6 +243,9 @@ class WordEncoder:
     once per worker. The merges of plain words (Latin-1 letters, digits, ASCII
     marks but the apostrophe) run in ``tiktoken`` over the file's own merge list
     with ``\\x01`` for a word's end; any other word goes through the tokenizer itself.
+    A worker keeps at most ``most`` words, or those of one call if they are more: half of them
+    in a table that begins anew when it is full, half in the one before it, from which words
+    that are met again come back. Each 64 bytes of words and ids count as one more word.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -268,6 +271,8 @@ class WordEncoder:
             self.ids[r], self.ends[r] = own.get(t, 0), t.endswith(b"\x01")
         self.bpe = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0  # what the words of ``cache`` count
 
     def _learn(self, words: list[bytes]) -> None:
         if not words:
@@ -302,6 +307,11 @@ class WordEncoder:
             s = w.decode()
             self.cache[w] = tree_encode(self.tok, s).astype("<u2").tobytes()
 
+    @staticmethod
+    def _counts(words, ids) -> int:
+        """What these words count; ids that are not known yet are taken to be as long as the word."""
+        return len(words) + sum(len(w) + len(w if p is None else p) for w, p in zip(words, ids)) // 64
+
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow string column (null: empty) in one array, and where each row begins and ends."""
         import pyarrow as pa
@@ -314,13 +324,21 @@ class WordEncoder:
         names = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.dictionary.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
         self.cache[b""] = b""
         parts = list(map(self.cache.get, names))
-        fresh = [i for i, p in enumerate(parts) if p is None]
-        if fresh:
-            if len(self.cache) + len(fresh) > self.most:  # the table begins anew with this batch's words
-                self.cache = {w: p for w, p in zip(names, parts) if p is not None}
-            self._learn([names[i] for i in fresh])
-            for i in fresh:
-                parts[i] = self.cache[names[i]]
+        missed = [i for i, p in enumerate(parts) if p is None]
+        if missed:
+            words = [names[i] for i in missed]
+            back = list(map(self.older.get, words))
+            fresh = [w for w, p in zip(words, back) if p is None]
+            counts = self._counts(words, back)
+            if self.held + counts > self.most // 2:  # a new table with this batch's words
+                self.older, self.cache = self.cache, {w: p for w, p in zip(names, parts) if p is not None}
+                self.held = counts + self._counts(self.cache.keys(), self.cache.values())
+            else:
+                self.held += counts
+            self.cache.update((w, p) for w, p in zip(words, back) if p is not None)
+            self._learn(fresh)
+            for i, w in zip(missed, words):
+                parts[i] = self.cache[w]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
         flat = np.frombuffer(b"".join(parts), "<u2")
         start = np.cumsum(size) - size

@@ -461,6 +461,58 @@ def test_a_full_word_table_keeps_the_words_of_the_batch():
     assert len(learnt) == len(set(learnt)) == 6 and b"one" not in enc.cache and b"two" in enc.cache
 
 
+def test_a_word_table_keeps_used_words_and_counts_their_bytes():
+    import pyarrow as pa
+    enc, learnt = tokens.WordEncoder(WORD, most=40), []
+    learn = enc._learn
+    enc._learn = lambda words: (learnt.extend(words), learn(words))
+    plain = tokens.load(WORD)
+    for i in range(30):  # one word comes back from the table before, the others are met once
+        text = " ".join(["again", *(f"w{i}x{j}" for j in range(6))])
+        ids, _ = enc.encode(pa.array([text]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(enc.cache) + len(enc.older) <= 42
+    assert learnt.count(b"again") == 1 and len(learnt) == 181
+    for i in range(12):  # words of 640 bytes count as many
+        enc.encode(pa.array(["z" * 639 + chr(97 + i)]))
+        assert sum(map(len, enc.cache)) + sum(map(len, enc.older)) < 64 * 40
+
+
+def test_batches_are_cut_by_the_bytes_of_their_texts():
+    import pyarrow as pa
+    from kartlane.llm.common import pieces
+    texts = ["é" * 40, None, "", "a" * 300, "b", None, "c" * 60, "d" * 30] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["row", "text"])
+    for size, rows in ((100, 2000), (100, 5), (1, 2000), (1 << 20, 2000)):
+        got = list(pieces([batch.slice(0, 3), batch.slice(3)], rows, text=1, size=size))
+        assert [x for b in got for x in b.column(0).to_pylist()] == list(range(len(texts)))
+        for b in got:
+            held = [len((t or "").encode()) for t in b.column(1).to_pylist()]
+            assert b.num_rows <= rows and (sum(held) <= size or sum(held) == held[0])
+
+
+def test_the_memory_of_encoding_follows_no_batch_of_long_texts(monkeypatch):
+    """Packing encodes at most 2 MB of texts at once, however long the rows of a batch are."""
+    import pyarrow as pa
+    seen, encode = [], tokens.WordEncoder.encode
+    monkeypatch.setattr(tokens.WordEncoder, "encode", lambda self, c: (seen.append(sum(len(t or "") for t in c.to_pylist())), encode(self, c))[1])
+    monkeypatch.setattr(packing, "shared_dir", lambda spark: "unused")
+
+    class Docs:  # what ``pivots`` asks of a table; runs its function on one batch
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, run, schema):
+            self.out = list(run([pa.RecordBatch.from_arrays([pa.array(["word " * 100_000] * 12)], ["text"])]))
+            return self
+
+        def collect(self):
+            return []
+    docs = Docs()
+    packing.pivots(docs, WORD, 12, 4)
+    assert sum(seen) == 6_000_000 and max(seen) <= 1 << 21 and sum(b.num_rows for b in docs.out) == 12
+
+
 def test_packing_finds_like_documents_in_many_shards(spark):
     """Topics are dealt together, repeated rows of one id are spread over shards."""
     rng = random.Random(5)
