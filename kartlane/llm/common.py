@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartlane.session import remove, shuffles_removed
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a local one only where a local master names none."""
@@ -25,8 +27,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``materialize``d tables of which all readers have been written."""
+    for t in tables:
+        remove(t.sparkSession, t._folder)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,7 +49,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = (edges.select("a", "b").where("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
+    last = before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -49,6 +60,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = materialize(small.select("u", F.col("m").alias("v"))
                         .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
                         .distinct())
+        if before is not None:
+            discard(before)
+        before = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break

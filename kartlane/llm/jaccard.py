@@ -7,9 +7,13 @@ two texts is found; nothing is sampled, capped or approximated.
 2. Size bands: a pair can only link if its sizes are within ``num/den``. In a
    band two linked sets differ in at most D shingles, so of more than D hash
    ranges one at least holds the same shingles in both. A set's key per range is
-   the hash of all it holds there; a shared passage alone makes no equal key.
-   A set emits its non-empty ranges, and the empty ones too if it has no more
-   than D non-empty ones, so no pair is lost.
+   the hash of all it holds there. A set that differs from no partner in more
+   than d shingles emits its non-empty ranges, and the empty ones too if it has
+   no more than d non-empty ones, so no pair is lost.
+   Of f > d non-empty ranges f - d at least are equal in a partner. With all keys
+   in one order by how many sets hold them, the rarest key of a linked pair is
+   never among the f - d - 1 most common ones of either set, so these count for
+   nothing: what many texts hold, or a few ranges alone, ties no sets together.
 3. Sets that share a key, and those that share one with them, form a cluster.
    A cluster is a tile; one of more than ``BLOCK`` sets or ``SHINGLES`` shingles is
    cut into size bands and these into blocks, with a tile for each two blocks of
@@ -33,16 +37,19 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, pieces, texts_of, tidy, word_hashes
+from .common import components, discard, materialize, mix, pieces, texts_of, tidy, word_hashes
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 BROADCAST_ROWS = 200_000  # sets whose place (about 100 bytes) may be broadcast; beyond, a shuffled join
 BLOCK, SHINGLES = 4096, 1_500_000  # sets and shingles (12 MB) of a block
+MANY = 1 << 16  # keys of so many sets or more are equally common
 COARSE, FINE = 4, 16  # bits of a bitmap for each shingle, up to twice as many
 
 
@@ -87,19 +94,27 @@ class Bands:
         u = self.upper[band]
         return (self.den - self.num) * (u + u * self.den // self.num) // (self.num + self.den)
 
+    def own_difference(self, band: int, size: int) -> int:
+        """The same for a set of this size: its partner is larger by den/num at most, or in the band of a smaller one."""
+        u = self.upper[band]
+        return (self.den - self.num) * (size + (size * self.den // self.num if size <= u else u)) // (self.num + self.den)
+
 
-def range_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of one non-empty set in all its bands."""
+def range_keys(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int]]:
+    """The keys of one non-empty set in all its bands, the band in the first byte, and ``band << 32 | keys that need not count``."""
     content = np.concatenate([[np.uint64(0)], np.cumsum(mix(s + _MUL[1]), dtype=np.uint64)])
-    high, out = s >> np.uint64(32), []
+    high, out, spare = s >> np.uint64(32), [], []
     for band in bands.of(len(s)):
         d = bands.difference(band)
         k = 1 if d == 0 else d + 1 + max(2, -(-(d + 1) // 10))
         cut = np.searchsorted((high * np.uint64(k)) >> np.uint64(32), np.arange(k + 1))
         key = mix((content[cut[1:]] - content[cut[:-1]]) * _MUL[2] + mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)))
+        key = (key >> np.uint64(8)) | np.uint64(band << 56)
         full = cut[1:] > cut[:-1]
-        out.append(key if full.sum() <= d else key[full])
-    return np.concatenate(out)
+        more = int(full.sum()) - bands.own_difference(band, len(s))
+        out.append(key[full] if more > 0 else key)
+        spare.append(band << 32 | max(0, more - 1))
+    return np.concatenate(out), spare
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -131,7 +146,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``(key, doc_id, node, n, keys)``; node null without shingles, keys on a set's first row of a task."""
+    """``(key, doc_id, node, n, keys, spare)``; node null without shingles, keys on a set's first row of a task."""
     def run(batches):
         import pyarrow as pa
         bands, seen = Bands(num, den), set()
@@ -141,15 +156,16 @@ def signatures(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
             for t in texts_of(b.column(2)):
                 s = shingle_set(t, words)
                 if not len(s):
-                    rows.append((None, 0, None))
+                    rows.append((None, 0, None, None))
                     continue
                 node = node_of(s)
                 if node in seen:
-                    rows.append((node, len(s), None))
+                    rows.append((node, len(s), None, None))
                 else:
                     if len(seen) < 1_000_000:  # else a set may be sent once more, which changes nothing
                         seen.add(node)
-                    rows.append((node, len(s), range_keys(s, bands).view(np.int64)))
+                    keys, spare = range_keys(s, bands)
+                    rows.append((node, len(s), keys.view(np.int64), spare))
                 if len(rows) == 2000:
                     yield _rows([c.slice(at, 2000) for c in ids], rows)
                     at, rows = at + 2000, []
@@ -157,40 +173,75 @@ def signatures(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def _rows(ids, rows):
         import pyarrow as pa
-        node, n, keys = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([*ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()),
-                                           pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "node", "n", "keys"])
+        node, n, keys, spare = zip(*rows) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays(
+            [*ids, pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+             pa.array(spare, pa.list_(pa.int64()))], ["key", "doc_id", "node", "n", "keys", "spare"])
 
     return rows.select("key", "doc_id", "text").mapInArrow(
-        run, "key bigint, doc_id bigint, node bigint, n bigint, keys array<bigint>")
+        run, "key bigint, doc_id bigint, node bigint, n bigint, keys array<bigint>, spare array<bigint>")
 
 
 def shared_keys(sig: DataFrame) -> DataFrame:
-    """``(a, b)``: the first set of each key that several sets hold, with each of the others."""
+    """``(key, node, sets)``: the keys that several sets hold, and how many do, as far as ``MANY``."""
+    many = MANY
+
     def run(batches):
         import pyarrow as pa
-        key0 = node0 = first0 = None
+        # the sets of the last key so far; where these are many and told already, the last of them
+        key, node, told = np.empty(0, np.int64), np.empty(0, np.int64), False
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                key, node = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()])
+            if not len(key):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node = key[new], node[new]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            rows = np.diff(start, append=len(key))
+            sets = np.minimum(rows, many)
+            if told:
+                sets[0] = many
+            give = np.repeat(sets > 1, rows)
+            give[0] &= not told
+            told = bool(sets[-1] == many)
+            if b is not None and not told:
+                give[start[-1]:] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key[give]), pa.array(node[give]), pa.array(np.repeat(sets, rows)[give])],
+                                             ["key", "node", "sets"])
+            at = len(key) - 1 if told else start[-1]
+            key, node = key[at:], node[at:]
+
+    rows = sig.where("keys is not null").select("node", F.explode("keys").alias("key")).select("key", "node")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key bigint, node bigint, sets bigint")
+
+
+def ties(shared: DataFrame, sig: DataFrame) -> DataFrame:
+    """``(a, b)``: the first set of each key that counts for several sets, with each of the others."""
+    def run(batches):
+        import pyarrow as pa
+        key0 = first0 = None
         for b in batches:
             key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
             if not len(key):
                 continue
-            same_key = np.concatenate([[key0 is not None and key[0] == key0], key[1:] == key[:-1]])
-            same = same_key & np.concatenate([[node0 is not None and node[0] == node0], node[1:] == node[:-1]])
-            run_of = np.cumsum(~same_key)  # 0: the run that goes on from the batch before
-            first = np.concatenate([[first0 if first0 is not None else 0], node[~same_key]])[run_of]
-            keep = same_key & ~same
-            yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(node[keep])], ["a", "b"])
-            key0, node0, first0 = key[-1], node[-1], first[-1]
+            same = np.concatenate([[key0 is not None and key[0] == key0], key[1:] == key[:-1]])
+            run_of = np.cumsum(~same)  # 0: the run that goes on from the batch before
+            first = np.concatenate([[first0 if first0 is not None else 0], node[~same]])[run_of]
+            yield pa.RecordBatch.from_arrays([pa.array(first[same]), pa.array(node[same])], ["a", "b"])
+            key0, first0 = key[-1], first[-1]
 
-    rows = sig.where("keys is not null").select("node", F.explode("keys").alias("key")).select("key", "node")
-    return (rows.repartition("key").sortWithinPartitions("key", "node")
-            .mapInArrow(run, "a bigint, b bigint").distinct())
+    spare = sig.where("spare is not null").select("node", F.explode("spare").alias("s"))
+    spare = spare.select("node", F.shiftright("s", 32).alias("band"), F.col("s").bitwiseAND((1 << 32) - 1).alias("spare")).distinct()
+    rank = F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("sets"), F.desc("key")))  # of one set's keys
+    rows = (shared.withColumn("band", F.shiftrightunsigned("key", 56)).join(spare, ["node", "band"])
+            .withColumn("rank", rank).where("rank > spare").select("key", "node"))
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def members(sig: DataFrame) -> DataFrame:
+def members(sig: DataFrame, edges: DataFrame) -> DataFrame:
     """``(key, node, cluster, n)``: a row for each set that shares a range key with another."""
-    cluster = components(materialize(shared_keys(sig)))
-    return materialize(sig.where("keys is not null").join(cluster, "node").groupBy("node")
+    return materialize(sig.where("first").join(components(edges), "node").groupBy("node")
                        .agg(F.min("key").alias("key"), F.first("component").alias("cluster"), F.first("n").alias("n")))
 
 
@@ -323,11 +374,22 @@ def links(rows: DataFrame, placed: DataFrame, words: int, num: int, den: int) ->
 
 def grouped(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``(key, doc_id, n_shingles, component)`` of ``keyed`` rows; rows without shingles have no component."""
-    sig = materialize(signatures(rows, words, num, den))
-    found = members(sig)
-    left = materialize(reachable(rows, place(found, num, den), words, num, den))
-    found = place(found.join(left, "node", "left_semi"), num, den)
-    comp = components(materialize(links(rows, found, words, num, den)))
+    whole = materialize(signatures(rows, words, num, den))
+    shared = materialize(shared_keys(whole))
+    edges = materialize(ties(shared, whole))
+    # the range keys, most of the table, have done their work; what is written from here on takes their place on disk
+    sig = materialize(whole.select("key", "doc_id", "node", "n", F.col("keys").isNotNull().alias("first")))
+    discard(whole, shared)
+    found = members(sig, edges)
+    discard(edges)
+    placed = place(found, num, den)
+    left = materialize(reachable(rows, placed, words, num, den))
+    discard(placed)
+    placed = place(found.join(left, "node", "left_semi"), num, den)
+    linked = materialize(links(rows, placed, words, num, den))
+    discard(found, left, placed)
+    comp = components(linked)
+    discard(linked)
     return (sig.join(comp, "node", "left")
             .select("key", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component")))
 

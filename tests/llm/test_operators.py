@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
@@ -178,6 +179,60 @@ def test_jaccard_rows_without_an_id_link(spark):
     assert sorted(r.component_id for r in got) == [3, 9, 9, 9]
 
 
+@pytest.mark.parametrize("many", [3, 1 << 16])
+def test_jaccard_common_keys_do_not_decide(spark, monkeypatch, many):
+    """Keys of many sets are told in parts, over several batches; no link is lost."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        rows = mutated(400, 5)
+        got = jaccard.near_duplicates(frame(spark, rows, "doc_id bigint, text string"), 2, 80, 100).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert sorted(map(tuple, got)) == brute_components(rows, 2, 80, 100)
+
+
+def test_jaccard_shared_passages_tie_no_clusters(spark, monkeypatch):
+    """Texts that have passages in common are compared with their near copies, not with one another."""
+    rng, seen, place = random.Random(4), [], jaccard.place
+    passages = [[f"p{i}-{k}" for k in range(14)] for i in range(3)]
+    rows = []
+    for i in range(300):
+        own = [f"w{rng.randrange(10 ** 9)}" for _ in range(rng.choice([110, 150, 260]))]
+        for p in rng.sample(passages, 2):
+            at = rng.randrange(len(own))
+            own[at:at] = p
+        rows += [(2 * i, " ".join(own))] + [(2 * i + 1, " ".join(own[3:]))] * (i % 10 == 0)
+    monkeypatch.setattr(jaccard, "place", lambda found, *a: seen.append(found.count()) or place(found, *a))
+    got = jaccard.near_duplicates(frame(spark, rows, "doc_id bigint, text string"), 5, 80, 100).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 5, 80, 100)
+    assert 60 <= seen[0] < 100
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def test_written_tables_leave_neither_shuffles_nor_used_tables(spark, monkeypatch):
+    import time
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    before, kept = shuffle_files(spark), []
+    monkeypatch.setattr(jaccard, "materialize", lambda df: kept.append(common.materialize(df)) or kept[-1])
+    rows = mutated(120, 3)
+    out = jaccard.near_duplicates(frame(spark, rows, "doc_id bigint, text string"), 2, 80, 100)
+    end = time.time() + 20
+    while shuffle_files(spark) > before + 12 and time.time() < end:
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before + 12     # of reads of few rows, such as sums; each written table had left some dozens
+    left = [t for t in kept if any(os.path.isdir(f.removeprefix("file:").rsplit("/", 1)[0]) for f in t.inputFiles())]
+    assert len(left) <= 3 < len(kept)              # the rows, their sets, and the links
+    assert out.count() == len(rows)
+
+
 def test_jaccard_empty(none):
     assert jaccard.near_duplicates(none).count() == 0
 
