@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartlane.session import remove, shuffles_removed
+from kartlane.session import discard, shuffles_removed
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +34,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete ``materialize``d tables of which all readers have been written."""
-    for t in tables:
-        remove(t.sparkSession, t._folder)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component = smallest node.
 

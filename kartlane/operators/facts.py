@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kartlane.functions.exprs import day_diff, month_diff, month_trunc, safe_divide, fdiv, days_in_month
 from kartlane.operators.aggregates import mode_ref
+from kartlane.session import discard, scratch, written
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES - output schemas of the five fact tables (names and order).
@@ -91,8 +92,9 @@ def order_item_fact(cat) -> DataFrame:
     iv = cat.table("item_values").withColumn(
         "discount_amount", F.coalesce(F.col("discount_amount"), F.lit(0.0)))
     # an order's few lines meet once, for the products and for the sums
-    f = (iv.select("order_id", "product_id", "quantity", "gross_item_value", "discount_amount", "net_item_value", "item_cogs")
-         .repartition("order_id").groupBy("order_id")
+    f = (iv.select("order_id", "product_id", "quantity", "gross_item_value", "discount_amount", "item_cogs")
+         .repartition("order_id").withColumn("net_item_value", F.col("gross_item_value") - F.col("discount_amount"))
+         .groupBy("order_id")
          .agg(F.count_distinct("product_id").alias("distinct_products"),
               F.sum("quantity").alias("total_quantity"),
               F.sum("gross_item_value").alias("gross_revenue"),
@@ -102,13 +104,13 @@ def order_item_fact(cat) -> DataFrame:
     return f.withColumn("gross_margin", F.col("net_revenue") - F.col("total_cogs"))
 
 
-def order_level(cat) -> DataFrame:
+def order_level(cat, items: DataFrame | None = None, shipments: DataFrame | None = None) -> DataFrame:
     """orders LEFT items-agg LEFT payments LEFT shipments; recorded payment method."""
     pay = cat.table("payments").withColumnRenamed("payment_method", "payment_method_payment")
     out = (cat.table("orders")
-           .join(order_item_fact(cat), "order_id", "left")
+           .join(items if items is not None else order_item_fact(cat), "order_id", "left")
            .join(pay, "order_id", "left")
-           .join(cat.table("shipments"), "order_id", "left"))
+           .join(shipments if shipments is not None else cat.table("shipments"), "order_id", "left"))
     return out.withColumn("payment_method_recorded",
                           F.coalesce("payment_method_payment", "payment_method"))
 
@@ -132,10 +134,12 @@ def order_reviews(cat) -> DataFrame:
                  F.max("review_date").alias("latest_review_date")))
 
 
-def order_fact(cat) -> DataFrame:
-    f = (order_level(cat)
-         .join(order_returns(cat), "order_id", "left")
-         .join(order_reviews(cat), "order_id", "left"))
+def order_fact(cat, items: DataFrame | None = None, shipments: DataFrame | None = None,
+               returned: DataFrame | None = None, reviewed: DataFrame | None = None) -> DataFrame:
+    """All measures of an order; aggregates of its lines that are already written stand for themselves."""
+    f = (order_level(cat, items, shipments)
+         .join(returned if returned is not None else order_returns(cat), "order_id", "left")
+         .join(reviewed if reviewed is not None else order_reviews(cat), "order_id", "left"))
     counts = ["return_records_count", "returned_products_count", "returned_units_count",
               "reviews_count", "reviewed_products_count"]
     f = f.withColumns({
@@ -155,6 +159,12 @@ def order_fact(cat) -> DataFrame:
     return f.select(*ORDER_FACT_COLUMNS)
 
 
+def order_fact_in_steps(cat, write=written) -> DataFrame:
+    """``write(order_fact)``, every aggregate of lines being written before: each takes its shuffles with it when it is done."""
+    with scratch() as put:
+        return write(order_fact(cat, *[put(f) for f in (order_item_fact(cat), cat.table("shipments"), order_returns(cat), order_reviews(cat))]))
+
+
 # -- customer level -------------------------------------------------------------
 def customer_order_dates(cat) -> DataFrame:
     """Dates of a customer's first and second order, in (date, order id) order.
@@ -240,16 +250,19 @@ def customer_reviews(cat) -> DataFrame:
                  F.max("review_date").alias("latest_review_date")))
 
 
-def customer_fact(cat, ofact: DataFrame | None = None) -> DataFrame:
-    """All measures of a customer; an order fact that is already written stands for its order and return level."""
+def customer_fact(cat, ofact: DataFrame | None = None, put=lambda part: part) -> DataFrame:
+    """All measures of a customer; an order fact that is already written stands for its order and return level.
+
+    ``put`` may write the aggregates of a customer before they are joined.
+    """
     level = ofact.withColumn("gross_revenue", F.col("total_order_value")) if ofact is not None else None
     end = cat.table("orders_slim").agg(F.max("order_date").alias("_analysis_end"))
     f = (cat.table("customers")
-         .join(customer_order_dates(cat), "customer_id", "left")
-         .join(customer_orders(cat, level), "customer_id", "left")
-         .join(customer_items(cat), "customer_id", "left")
-         .join(customer_returns(cat, ofact), "customer_id", "left")
-         .join(customer_reviews(cat), "customer_id", "left")
+         .join(put(customer_order_dates(cat)), "customer_id", "left")
+         .join(put(customer_orders(cat, level)), "customer_id", "left")
+         .join(put(customer_items(cat)), "customer_id", "left")
+         .join(put(customer_returns(cat, ofact)), "customer_id", "left")
+         .join(put(customer_reviews(cat)), "customer_id", "left")
          .crossJoin(F.broadcast(end)))
     f = f.withColumns({
         "customer_tenure_days": day_diff("last_order_date", "first_order_date"),
@@ -269,6 +282,12 @@ def customer_fact(cat, ofact: DataFrame | None = None) -> DataFrame:
     return f.select(*CUSTOMER_FACT_COLUMNS)
 
 
+def customer_fact_in_steps(cat, ofact: DataFrame, write=written) -> DataFrame:
+    """``write(customer_fact)`` on a written order fact, each aggregate of a customer being written before."""
+    with scratch() as put:
+        return write(customer_fact(cat, ofact, put))
+
+
 # -- cohort / activation / inventory ---------------------------------------------
 def cohort_activity(cat, ofact: DataFrame | None = None, cfact: DataFrame | None = None) -> DataFrame:
     of = (ofact if ofact is not None else order_fact(cat)).select(
@@ -315,8 +334,14 @@ def activation(cat, cfact: DataFrame | None = None) -> DataFrame:
     return a.select(*ACTIVATION_COLUMNS)
 
 
-def inventory_fact(cat) -> DataFrame:
-    inv = cat.table("inventory")
+def inventory_fact(cat, by_month: bool = False) -> DataFrame:
+    """Product-month inventory; ``by_month``: a month's rows meet in tasks of bounded size, before any column is derived."""
+    if by_month and cat.derived("inventory"):
+        from kartlane.sources.standins import inventory
+        inv = inventory(cat, by_month=True)
+    else:
+        inv = cat.table("inventory")
+        inv = inv.hint("rebalance", "snapshot_date") if by_month else inv
     f = inv.withColumns({
         "snapshot_month": month_trunc("snapshot_date"),
         "stockout_rate_days": fdiv("stockout_days", days_in_month("snapshot_date")),

@@ -178,15 +178,14 @@ _FACT_VIEWS = {"order_fact_table": "v_order_fact", "customer_fact_table": "v_cus
 def snk_facts(cat):
     """Write the five facts as Parquet (month-partitioned where useful), read back; rows of each."""
     from kartlane.plans.reports import output_root, read_version, write_facts
-    from kartlane.session import written
     import uuid
-    # the order and customer facts are derived once for all the facts built on them
-    of = written(FX.order_fact(cat))
-    cf = written(FX.customer_fact(cat, of))
-    facts = {"order_fact_table": of, "customer_fact_table": cf,
-             "customer_cohort_activity_fact": FX.cohort_activity(cat, of, cf),
-             "signup_activation_fact": FX.activation(cat, cf),
-             "product_month_inventory_fact": FX.inventory_fact(cat)}
+    # each fact is written once, in its place, and the facts built on it read it there
+    order, customer = "order_fact_table", "customer_fact_table"
+    facts = {order: lambda write, done: FX.order_fact_in_steps(cat, write),
+             customer: lambda write, done: FX.customer_fact_in_steps(cat, done[order], write),
+             "customer_cohort_activity_fact": lambda write, done: write(FX.cohort_activity(cat, done[order], done[customer])),
+             "signup_activation_fact": lambda write, done: write(FX.activation(cat, done[customer])),
+             "product_month_inventory_fact": lambda write, done: write(FX.inventory_fact(cat, by_month=True), dealt=True)}
     root = f"{output_root(cat.spark)}/facts_{uuid.uuid4().hex[:8]}"
     write_facts(facts, root)
     parts = [df.agg(F.lit(n).alias("fact"), F.count(F.lit(1)).alias("rows")) for n, df in read_version(cat.spark, root).items()]

@@ -8,40 +8,53 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import partial
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kartlane.session import checkpoint_dir
+from kartlane.session import checkpoint_dir, shuffles_removed
 
 
 def output_root(spark, root: str | None = None) -> str:
     return (root or checkpoint_dir(spark)).rstrip("/")
 
 
-def commit(frames: dict[str, DataFrame], root: str, fmt: str = "parquet", partition: dict[str, str] | None = None) -> dict[str, str]:
+def commit(frames: dict, root: str, fmt: str = "parquet", partition: dict[str, str] | None = None) -> dict[str, str]:
     """Write all frames as one new version below ``root``; returns name -> path.
 
+    A frame may be a function ``(write, done)`` instead, which makes it from the tables of the
+    version that are ``done`` and calls ``write`` on it (with ``dealt`` where rows of a folder
+    have met already). Each write takes its shuffles with it.
+
     The frames go to a folder of their own, are read back and summed up (rows, and a
     digest of all cells), and the last step writes the manifest, a single row in a folder
     named by the version. Readers take the newest manifest, so a write that fails on
     the way leaves the version before as it was; its own files are never looked at.
     """
-    spark = next(iter(frames.values())).sparkSession
+    spark = next((f.sparkSession for f in frames.values() if isinstance(f, DataFrame)), None) or SparkSession.active()
     last = latest(spark, root)
     version = (last["version"] if last else 0) + 1
     folder = f"{root}/data/{version:08d}-{uuid.uuid4().hex[:8]}"
-    tables = {}
-    for name, df in frames.items():
+    tables, done = {}, {}
+
+    def write(df: DataFrame, name: str, dealt: bool = False) -> DataFrame:
         path = f"{folder}/{name}"
         by = (partition or {}).get(name)
         # a month's rows meet before they are written, in tasks of bounded size: else every task has a file of every month
-        w = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
-        (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
-        rows, digest = summed(_read(spark, path, fmt, df.schema))
+        w = (df if dealt else df.hint("rebalance", by)).write.partitionBy(by) if by else df.write
+        with shuffles_removed(spark):
+            (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
+        out = _read(spark, path, fmt, df.schema)
+        rows, digest = summed(out)
         tables[name] = {"path": path, "rows": rows, "digest": digest, "schema": df.schema.json()}
+        return out
+
+    for name, df in frames.items():
+        put = partial(write, name=name)
+        done[name] = put(df) if isinstance(df, DataFrame) else df(put, done)
     manifest = json.dumps({"version": version, "format": fmt, "tables": tables}, sort_keys=True)
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{root}/manifests/{version:08d}-{uuid.uuid4().hex[:8]}")
     return {n: t["path"] for n, t in tables.items()}
@@ -89,10 +102,9 @@ def write_reports(reports: dict[str, DataFrame], root: str, fmt: str = "parquet"
     return commit(reports, root, fmt)
 
 
-def write_facts(facts: dict[str, DataFrame], root: str) -> dict[str, str]:
+def write_facts(facts: dict, root: str) -> dict[str, str]:
     """All fact tables as one version of Parquet; month-grained facts partitioned by month."""
-    months = {n: next((p for p in ("snapshot_month", "order_month") if p in df.columns), None) for n, df in facts.items()}
-    return commit(facts, root, partition={n: m for n, m in months.items() if m and n != "order_fact_table"})
+    return commit(facts, root, partition={"customer_cohort_activity_fact": "order_month", "product_month_inventory_fact": "snapshot_month"})
 
 
 def write_run_metadata(spark, meta: dict, root: str) -> str:

@@ -95,7 +95,25 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of which all readers have been written."""
+    for t in tables:
+        remove(t.sparkSession, t._folder)
+
+
+@contextlib.contextmanager
+def scratch():
+    """``written`` for tables that are deleted at the end: what is made of them inside must have been written by then."""
+    made = []
+    try:
+        yield lambda df: made.append(written(df)) or made[-1]
+    finally:
+        discard(*made)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

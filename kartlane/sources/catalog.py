@@ -117,6 +117,7 @@ class Catalog:
         self.sf_dir = sf_dir.rstrip("/")
         self._raw: dict[str, DataFrame] = {}
         self._tables: dict[str, DataFrame] = dict(overrides or {})
+        self._own = frozenset(overrides or ())
         self._replaced, self._seen = bool(overrides), None
 
     # -- driver tables -----------------------------------------------------
@@ -143,6 +144,10 @@ class Catalog:
         self._tables[name] = df
         return df
 
+    def derived(self, name: str) -> bool:
+        """Whether ``name`` is a stand-in of the driver's tables rather than a table of the catalog's own."""
+        return name not in self._own
+
     def checkpointed(self, name: str) -> DataFrame:
         """``table(name)`` cut from its lineage, as ``shared``.  For small derived tables (the daily panel)
         that many downstream branches read: they scan the checkpoint instead of

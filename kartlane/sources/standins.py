@@ -188,18 +188,25 @@ def reviews(cat) -> DataFrame:
     )
 
 
-def inventory(cat) -> DataFrame:
+def inventory(cat, by_month: bool = False) -> DataFrame:
+    """A row for each product and month with sales; ``by_month``: dealt by month before the columns are derived."""
     li = cat.raw("lineitem")
     d = F.col("l_shipdate").cast("date")
     monthly = (li.groupBy(F.col("l_partkey").alias("product_id"),
                           F.last_day(d).alias("snapshot_date"))
                .agg(F.sum("l_quantity").cast("bigint").alias("units_sold")))
+    # the join and the dealing move a product's sales and names alone; all else is derived from these
+    p = cat.raw("part").select(F.col("p_partkey"), F.col("p_name").alias("product_name"),
+                               F.col("p_type").alias("category"), F.col("p_brand").alias("segment"))
+    rows = monthly.join(p, monthly.product_id == p.p_partkey, "left").drop("p_partkey")
+    if by_month:
+        rows = rows.hint("rebalance", "snapshot_date")
     m = F.year("snapshot_date").cast("bigint") * 12 + F.month("snapshot_date").cast("bigint")
     pid = F.col("product_id")
     soh = (pid * 11 + m * 3) % 120
     stockout = F.when((pid + m) % 4 == 0, (pid * 5 + m) % 15 + 1).otherwise(F.lit(0).cast("bigint"))
-    inv = monthly.select(
-        "product_id", "snapshot_date", "units_sold",
+    inv = rows.select(
+        "product_id", "snapshot_date", "units_sold", "product_name", "category", "segment",
         soh.alias("stock_on_hand"),
         (F.col("units_sold") + (pid * 7 + m * 13) % 40).alias("units_received"),
         stockout.alias("stockout_days"),
@@ -216,13 +223,10 @@ def inventory(cat) -> DataFrame:
         F.year("snapshot_date").alias("year"),
         F.month("snapshot_date").alias("month"),
     )
-    p = cat.raw("part").select(F.col("p_partkey"), F.col("p_name").alias("product_name"),
-                               F.col("p_type").alias("category"), F.col("p_brand").alias("segment"))
-    return (inv.join(p, inv.product_id == p.p_partkey, "left")
-            .select("snapshot_date", "product_id", "stock_on_hand", "units_received", "units_sold",
-                    "stockout_days", "days_of_supply", "fill_rate", "stockout_flag", "overstock_flag",
-                    "reorder_flag", "sell_through_rate", "product_name", "category", "segment",
-                    "year", "month"))
+    return inv.select("snapshot_date", "product_id", "stock_on_hand", "units_received", "units_sold",
+                      "stockout_days", "days_of_supply", "fill_rate", "stockout_flag", "overstock_flag",
+                      "reorder_flag", "sell_through_rate", "product_name", "category", "segment",
+                      "year", "month")
 
 
 def item_values(cat) -> DataFrame:

@@ -83,3 +83,45 @@ def test_table_summary_shuffles_one_number_for_all_missing_cells(spark):
     assert got == {"t": (4, 3, 4, 4 / 12, 1), "none": (0, 3, 0, 0.0, 0)}
     plan = plan_of(Q.table_summary({"t": df}))
     assert "partial_count(a" not in plan and "partial_count(b" not in plan and "partial_sum(missing" in plan
+
+
+def scratch_tables(spark):
+    import glob
+
+    from kartlane.session import checkpoint_dir
+    return set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/tables/*"))
+
+
+def test_facts_are_written_once_and_leave_no_scratch_tables(spark, cat):
+    from kartlane.plans.registry import load_all_plans
+    before = scratch_tables(spark)
+    rows = {r.fact: r.rows for r in load_all_plans()["snk_facts"].build(cat).collect()}
+    assert rows["order_fact_table"] == cat.table("orders_slim").count() and len(rows) == 5
+    assert scratch_tables(spark) == before
+
+
+def test_fact_quality_keeps_no_fact(spark, cat):
+    from kartlane.operators import facts as FX
+    before = scratch_tables(spark)
+    out = FX.fact_quality(cat)
+    left = [spark.read.parquet(t) for t in scratch_tables(spark) - before]
+    assert all(t.count() == 1 and "rows" in t.columns for t in left)
+    assert len(out.collect()) == 5 and "hashpartitioning(order_id" not in plan_of(out)
+
+
+def test_facts_in_steps_equal_those_in_one(spark, cat):
+    import math
+
+    from kartlane.operators import facts as FX
+
+    def same(x, y, *keys):
+        assert x.columns == y.columns and x.dtypes == y.dtypes
+        x, y = (df.orderBy(*keys).collect() for df in (x, y))
+        alike = lambda a, b: math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-6) if isinstance(a, float) and isinstance(b, float) else a == b
+        return len(x) == len(y) > 100 and all(alike(a, b) for r, q in zip(x, y) for a, b in zip(r, q))
+    of = FX.order_fact_in_steps(cat)
+    assert same(of, FX.order_fact(cat), "order_id")
+    assert same(FX.customer_fact_in_steps(cat, of), FX.customer_fact(cat), "customer_id")
+    assert same(FX.inventory_fact(cat, by_month=True), FX.inventory_fact(cat), "product_id", "snapshot_date")
+    own = cat.derive({"inventory": cat.table("inventory").limit(3)})
+    assert FX.inventory_fact(own, by_month=True).count() == 3
