@@ -355,11 +355,11 @@ def fact_quality(cat) -> DataFrame:
     """rows / unique keys / duplicate keys / with / without activity for five facts.
 
     The order and customer facts are written once for the others built on them, the customer fact being
-    one of them. Keys are counted by one partial aggregate on the key, not by an expanded distinct.
+    one of them. Keys are counted by one partial aggregate on the key, not by an expanded distinct, and
+    each fact's row is written by itself: no two facts have their shuffles on disk together.
     """
-    from kartlane.session import written
-    of = written(order_fact(cat))
-    cf = written(customer_fact(cat, of))
+    of = order_fact_in_steps(cat)
+    cf = customer_fact_in_steps(cat, of)
     ca, ac, pi = cohort_activity(cat, of, cf), activation(cat, cf), inventory_fact(cat)
 
     def one(name, df, keys, active):
@@ -375,7 +375,8 @@ def fact_quality(cat) -> DataFrame:
         one("signup_activation_fact", ac, ["customer_id"], F.col("activated_flag") == 1),
         one("product_month_inventory_fact", pi, ["product_id", "snapshot_month"], F.col("product_id").isNotNull()),
     ]
-    out = parts[0]
+    out = written(parts[0])
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(written(p))
+    discard(of, cf)
     return out
