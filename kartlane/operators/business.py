@@ -203,9 +203,11 @@ def payment_summary(payments: DataFrame) -> DataFrame:
 # -- inventory -------------------------------------------------------------------------
 def inventory_status(inventory: DataFrame) -> DataFrame:
     m = inventory.withColumn("snapshot_month", month_trunc("snapshot_date"))
+    # products are counted apart: beside a distinct count every product of a month would have medians of its own
+    products = (m.groupBy("snapshot_month", "product_id").agg(F.lit(1).alias("_one"))
+                .groupBy(F.col("snapshot_month").alias("_month")).agg(F.count("product_id").alias("unique_products")))
     g = (m.groupBy("snapshot_month")
          .agg(F.count(F.lit(1)).alias("product_month_rows"),
-              F.count_distinct("product_id").alias("unique_products"),
               F.sum("stockout_flag").alias("stockout_product_months"),
               F.sum("overstock_flag").alias("overstock_product_months"),
               F.sum("reorder_flag").alias("reorder_product_months"),
@@ -218,6 +220,7 @@ def inventory_status(inventory: DataFrame) -> DataFrame:
               F.avg("stock_on_hand").alias("avg_stock_on_hand"),
               F.sum("units_received").alias("total_units_received"),
               F.sum("units_sold").alias("total_units_sold")))
+    g = g.join(products, F.col("snapshot_month").eqNullSafe(F.col("_month"))).drop("_month")
     n = "product_month_rows"
     return g.withColumns({
         "stockout_product_month_rate": fdiv("stockout_product_months", n),
@@ -236,9 +239,10 @@ def lost_units(inventory: DataFrame) -> DataFrame:
     """
     f = F.when(F.col("fill_rate") > 0, F.col("fill_rate"))
     inv = inventory.withColumn("lost_unit_sold_proxy", F.col("units_sold") * (F.lit(1.0) - f) / f)
+    products = (inv.groupBy("category", "product_id").agg(F.lit(1).alias("_one"))     # apart, as above
+                .groupBy(F.col("category").alias("_category")).agg(F.count("product_id").alias("unique_products")))
     g = (inv.groupBy("category")
          .agg(F.count(F.lit(1)).alias("product_month_rows"),
-              F.count_distinct("product_id").alias("unique_products"),
               F.sum("stockout_flag").alias("stockout_product_months"),
               F.sum("stockout_days").alias("total_stockout_days"),
               F.avg("fill_rate").alias("avg_fill_rate"), F.median("fill_rate").alias("median_fill_rate"),
@@ -246,6 +250,7 @@ def lost_units(inventory: DataFrame) -> DataFrame:
               F.coalesce(F.sum("lost_unit_sold_proxy"), F.lit(0.0)).alias("lost_unit_sold_proxy"),
               fdiv(F.sum(F.col("units_sold") * F.col("fill_rate")), F.sum("units_sold")).alias(
                   "units_weighted_avg_fill_rate")))
+    g = g.join(products, F.col("category").eqNullSafe(F.col("_category"))).drop("_category")
     g = g.withColumn("estimated_unconstrained_units", F.col("total_units_sold") + F.col("lost_unit_sold_proxy"))
     return g.withColumns({
         "lost_unit_sold_proxy_share": fdiv("lost_unit_sold_proxy", "estimated_unconstrained_units"),

@@ -254,33 +254,40 @@ REPORT_QUERIES = {
 }
 
 
+DERIVED = ["inventory", "reviews", "shipments", "orders", "sales", "web_traffic"]   # no plain projections of the driver's tables
+
+
 @register("snk_reports")
 def snk_reports(cat):
     """write_eda_reports: the EDA report tables written by name; returns name + row count."""
     import uuid
     from pyspark.sql import functions as F
     from kartlane.plans.reports import output_root, read_version, write_reports
+    from kartlane.session import scratch
     from kartlane.operators.business import revenue_seasonality, cohort_summary
     from kartlane.operators.business import inventory_status, lost_units, product_seasonality
-    tables = _tables(cat)
-    orev = order_revenue(cat)
-    reports = {
-        "eda_column_summary": Q.column_summary(tables),
-        "eda_date_coverage": Q.date_coverage(tables),
-        "eda_customer_acquisition_channel_nullness": Q.channel_nullness(cat.table("customers")),
-        "eda_product_seasonality": product_seasonality(cat.table("item_values"), cat.table("orders_slim")),
-        "eda_inventory_status_summary": inventory_status(cat.table("inventory")),
-        "eda_inventory_category_fill_rate_lost_unit_proxy": lost_units(cat.table("inventory")),
-        "eda_table_summary": Q.table_summary(tables),
-        "eda_duplicate_key_report": Q.duplicate_key_report({n: cat.table(n) for n in KEY_COLUMNS}),
-        "eda_relationship_checks": Q.relationship_checks({n: cat.table(n) for n in PROFILED}),
-        "eda_customer_cohorts": cohort_summary(cat.table("customers")),
-        "eda_revenue_seasonality": revenue_seasonality(orev),
-        "eda_inventory_snapshot_coverage": Q.snapshot_coverage(cat.table("inventory")),
-        "eda_inventory_schema_quality_checks": Q.inventory_checks(cat.table("inventory"), cat.table("products")),
-        "eda_payment_revenue_proxy": Q.payment_proxy_summary(orev, cat.table("payments")),
-    }
     root = f"{output_root(cat.spark)}/reports_{uuid.uuid4().hex[:8]}"
-    write_reports(reports, root)
+    # what takes a join or an aggregate of the lines is derived once for all reports
+    with scratch() as put:
+        cat = cat.derive({n: put(cat.table(n)) for n in DERIVED if cat.derived(n)})
+        tables = _tables(cat)
+        orev = put(order_revenue(cat))
+        reports = {
+            "eda_column_summary": Q.column_summary(tables),
+            "eda_date_coverage": Q.date_coverage(tables),
+            "eda_customer_acquisition_channel_nullness": Q.channel_nullness(cat.table("customers")),
+            "eda_product_seasonality": product_seasonality(cat.table("item_values"), cat.table("orders_slim")),
+            "eda_inventory_status_summary": inventory_status(cat.table("inventory")),
+            "eda_inventory_category_fill_rate_lost_unit_proxy": lost_units(cat.table("inventory")),
+            "eda_table_summary": Q.table_summary(tables),
+            "eda_duplicate_key_report": Q.duplicate_key_report({n: cat.table(n) for n in KEY_COLUMNS}),
+            "eda_relationship_checks": Q.relationship_checks({n: cat.table(n) for n in PROFILED}),
+            "eda_customer_cohorts": cohort_summary(cat.table("customers")),
+            "eda_revenue_seasonality": revenue_seasonality(orev),
+            "eda_inventory_snapshot_coverage": Q.snapshot_coverage(cat.table("inventory")),
+            "eda_inventory_schema_quality_checks": Q.inventory_checks(cat.table("inventory"), cat.table("products")),
+            "eda_payment_revenue_proxy": Q.payment_proxy_summary(orev, cat.table("payments")),
+        }
+        write_reports(reports, root)
     parts = [df.agg(F.lit(n).alias("report"), F.count(F.lit(1)).alias("rows")) for n, df in read_version(cat.spark, root).items()]
     return Q.union_all(parts)

@@ -191,8 +191,8 @@ class Catalog:
 
     def derive(self, overrides: dict[str, DataFrame]) -> "Catalog":
         """A catalog whose named tables are replaced; everything built on them
-        (facts, series) is rebuilt lazily from the replacements."""
-        child = Catalog(self.spark, self.sf_dir, overrides)
+        (facts, series) is rebuilt lazily from the replacements. Tables of its own stay."""
+        child = Catalog(self.spark, self.sf_dir, {n: self._tables[n] for n in self._own} | overrides)
         child._raw = self._raw
         return child
 

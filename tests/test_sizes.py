@@ -125,3 +125,28 @@ def test_facts_in_steps_equal_those_in_one(spark, cat):
     assert same(FX.inventory_fact(cat, by_month=True), FX.inventory_fact(cat), "product_id", "snapshot_date")
     own = cat.derive({"inventory": cat.table("inventory").limit(3)})
     assert FX.inventory_fact(own, by_month=True).count() == 3
+
+
+def test_products_are_counted_apart_from_medians(spark):
+    from kartlane.operators import business as B
+    rows = [(1, "2001-01-31", "a", 0.5), (1, "2001-01-31", "a", 0.7), (2, "2001-01-31", None, 0.1), (None, "2001-01-31", "a", 0.2), (3, None, None, 1.0)]
+    inv = spark.createDataFrame(rows, "product_id bigint, d string, category string, fill_rate double").select("*", F.col("d").cast("date").alias("snapshot_date"))
+    for c in ("stock_on_hand", "units_received", "units_sold", "stockout_days", "stockout_flag", "overstock_flag", "reorder_flag"):
+        inv = inv.withColumn(c, F.lit(3))
+    inv = inv.withColumns({c: F.col("fill_rate") for c in ("days_of_supply", "sell_through_rate")})
+    months, groups = B.inventory_status(inv), B.lost_units(inv)
+    assert {r.snapshot_month and r.snapshot_month.month: (r.product_month_rows, r.unique_products) for r in months.collect()} == {1: (4, 2), None: (1, 1)}
+    assert {r.category: (r.product_month_rows, r.unique_products) for r in groups.collect()} == {"a": (3, 1), None: (2, 2)}
+    for df in (months, groups):     # a median is kept for each group, not for each product of it
+        assert not [x for x in plan_of(df).splitlines() if "percentile" in x and "keys=" in x and "product_id" in x.split("functions=")[0]]
+        assert "distinct" not in plan_of(df)
+
+
+def test_reports_derive_the_inventory_once(spark, cat, monkeypatch):
+    from kartlane.plans.registry import load_all_plans
+    before, put = scratch_tables(spark), []
+    from kartlane import session
+    monkeypatch.setattr(session, "written", lambda df, f=session.written: put.append(df.columns) or f(df))
+    out = load_all_plans()["snk_reports"].build(cat).collect()
+    assert len(out) == 14 and scratch_tables(spark) == before
+    assert sum("snapshot_date" in c for c in put) == 1 and sum("review_id" in c for c in put) == 1
